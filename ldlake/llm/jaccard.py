@@ -363,16 +363,29 @@ def split_cells(members: DataFrame, percent: int, cell: int = CELL, pivots: int
         rest = sized.where(large & ~stuck).drop("parent").withColumn("of", F.ceil(F.col("size") / cell))
         order = F.xxhash64(F.lit("pivot"), F.lit(level), "doc")
         found = rest.groupBy("cell", F.pmod(order, F.lit(pivots)).alias("slot")).agg(F.min(F.struct(order.alias("o"), "doc", "shingles")).alias("p"), F.max("of").alias("of"))
-        found = found.select("cell", F.col("p.doc").alias("doc"), F.col("p.shingles").alias("shingles"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("chunk"))
+        found = found.select(F.col("cell").alias("pivot_cell"), F.col("p.doc").alias("doc"), F.col("p.shingles").alias("shingles"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("pivot_chunk"))
         rest = rest.withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "doc"), "of"))
         run, ddl = _assign(percent)
-        now = cut(rest.groupBy("cell", "chunk").cogroup(found.groupBy("cell", "chunk")).applyInArrow(run, ddl))
+        now = cut(rest.groupBy("cell", "chunk").cogroup(found.groupBy("pivot_cell", "pivot_chunk")).applyInArrow(run, ddl))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return out
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs without those that a smaller doc_id of their component stands for.
+
+    Of rows that are wholly equal one stays. Rows without words are in no group and stay.
+    """
+    got = cut(join(docs, key, text, k, percent).select("doc_id", "component_id"))
+    gone = got.where("component_id is null or doc_id != component_id").where("doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    if got.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.distinct()
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, cell: int = CELL) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for each row.
 

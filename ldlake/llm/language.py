@@ -194,7 +194,9 @@ def identify(docs: DataFrame, model: tuple | None, text: str = "text", keep: tup
 
     sc = docs.sparkSession.sparkContext
     held, tag = sc.broadcast(model), uuid.uuid4().hex
-    src = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("text"))
+    own = keep.index(text) if text in keep and dict(docs.dtypes)[text] == "string" else len(keep)  # where the text is among the columns sent
+    more = [F.col(text).cast("string").alias("text")] if own == len(keep) else []
+    src = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *more)
     schema = ", ".join(f"k{i} {src.schema[i].dataType.simpleString()}" for i in range(len(keep))) + ", lang_pred string, score double"
 
     def score(batches):
@@ -205,7 +207,7 @@ def identify(docs: DataFrame, model: tuple | None, text: str = "text", keep: tup
         for whole in batches:
             for begin in range(0, whole.num_rows, 512):
                 batch = whole.slice(begin, 512)
-                texts = batch.column(len(keep))
+                texts = batch.column(own)
                 raw, off = utf8(texts)
                 said = [bool(t) and bool(LETTER.search(t) or any(map(str.isalpha, t))) for t in texts.to_pylist()]
                 if trees is None:

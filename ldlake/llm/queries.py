@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, mixing, packing, tool_calls, topk, url_rules, warc
+from . import fingerprints, jaccard, language, mixing, packing, suffixes, tool_calls, topk, url_rules, warc
 from .common import held_out, table
 
 
@@ -44,6 +44,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"), 1.0, 3).select("doc_id", "mix_epoch", "mix_path")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_rules, op2_tool_calls, op3_topk, op4_packing, op5_language, op7_fingerprints, op8_warc, op9_mixing)}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_rules, op2_tool_calls, op3_topk, op4_packing, op5_language, op6_suffixes, op7_fingerprints, op8_warc, op9_mixing, op10_jaccard)}
 
 ORACLE = {
     "op2_tool_calls": """

@@ -280,17 +280,17 @@ def _previous_factors(t: pa.Table) -> pa.Table:
     return _table(out, ANSWER)
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans[, kept]) for each row.
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans[, kept][, carried]) for each row.
 
     Each byte covered by a 50-byte string that also starts in a document with a smaller id is removed;
     strings are judged on the input. ``spans`` has begin and end of the maximal removed runs. Null
     text is empty; a null id counts as the smallest; rows with the same id don't remove from
     each other. ``keep_text`` adds what is left, decoded; bytes of characters cut in half are dropped.
-    An empty table gives an empty result.
+    The columns in ``carry`` come along under their names. An empty table gives an empty result.
     """
     low = np.iinfo(np.int64).min
-    src = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(low)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    src = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(low)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     total = src.agg(F.sum(F.octet_length("text"))).first()[0]
     blocks, buckets = n_parts(total, BLOCK), n_parts(total, BUCKET)
     src = src.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.lit(blocks)).cast("int"))
@@ -335,11 +335,17 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text:
                 row = (None if doc == low else doc, z - a, int(mine.sum()), turns.size // 2, hashlib.sha256(kept).hexdigest(), turns, kept.decode("utf-8", "ignore") if keep_text else None)
                 for k, v in zip(out, row):
                     out[k].append(v)
-        return _table(out, result)
+        done = _table(out, result)
+        for i in range(len(carry)):
+            column = block.t.column(f"c{i}") if t.num_rows else pa.chunked_array([], t.schema.field(f"c{i}").type)
+            done = done.append_column(f"c{i}", column)
+        return done
 
     by_block = src.groupBy("block")
     several = by_block.applyInArrow(name, _ddl(NAMED)).groupBy("bucket").applyInArrow(_several, _ddl(ANSWER))
     fragments = by_block.cogroup(several.groupBy("block")).applyInArrow(send, _ddl(FRAGMENTS))
     factors = fragments.groupBy("bucket").applyInArrow(_previous_factors, _ddl(ANSWER))
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>" + ", kept string" * keep_text
-    return by_block.cogroup(several.unionByName(factors).groupBy("block")).applyInArrow(finish, ddl)
+    ddl += "".join(f", c{i} {src.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(carry)))
+    out = by_block.cogroup(several.unionByName(factors).groupBy("block")).applyInArrow(finish, ddl)
+    return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(carry)})
