@@ -106,11 +106,11 @@ def munge_merge_alleles(v: Views) -> DataFrame:
     return munging.merge_alleles(up, v.alleles).select("SNP", "A1", "A2", "_row")
 
 
-@query(f"WITH a AS (SELECT SNP, upper(A1) AS A1, upper(A2) AS A2, BETA, _row FROM v_sumstats), s AS (SELECT a.*, {_SIGN} AS sign FROM a JOIN v_alleles b ON a.SNP = b.SNP WHERE {_VALID.replace('A1', 'a.A1').replace('A2', 'a.A2')}) SELECT SNP, _row, round(BETA * sign, 6) AS Z2 FROM s WHERE sign IS NOT NULL", "v_sumstats", "v_alleles")
+@query(f"WITH a AS (SELECT SNP, upper(A1) AS A1, upper(A2) AS A2, BETA, _row FROM v_sumstats), s AS (SELECT a.*, {_SIGN} AS sign FROM a JOIN v_alleles b ON a.SNP = b.SNP WHERE {_VALID.replace('A1', 'a.A1').replace('A2', 'a.A2')}) SELECT SNP, _row, round(BETA * sign, 6) + 0.0 AS Z2 FROM s WHERE sign IS NOT NULL", "v_sumstats", "v_alleles")
 def rg_align(v: Views) -> DataFrame:
     up = munging.alleles_valid(v.sumstats)
     met = up.join(v.alleles.toDF("SNP", "_b1", "_b2"), "SNP").withColumn("sign", C.same_or_flipped(F.col("A1"), F.col("A2"), F.col("_b1"), F.col("_b2")))
-    return met.where("sign IS NOT NULL").select("SNP", "_row", r(F.col("BETA") * F.col("sign")).alias("Z2"))
+    return met.where("sign IS NOT NULL").select("SNP", "_row", (r(F.col("BETA") * F.col("sign")) + 0.0).alias("Z2"))
 
 
 @query("WITH f AS (SELECT *, row_number() OVER (PARTITION BY SNP ORDER BY _row) AS k FROM v_sumstats) SELECT SNP, A1, A2, _row FROM f WHERE k = 1", "v_sumstats")

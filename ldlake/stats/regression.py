@@ -182,7 +182,7 @@ def overlap_results(fit: Partitioned, overlap: np.ndarray, m_tot: int) -> list[d
         {
             "category": fit.names[i], "prop_snps": float(prop_m[i]), "prop_h2": float(prop[i]), "prop_h2_se": float(prop_se[i]),
             "enrichment": float(prop[i] / prop_m[i]), "enrichment_se": float(prop_se[i] / prop_m[i]),
-            "enrichment_p": None if se[i] == 0 else 2 * student_t_sf(abs(est[i] / se[i]), fit.blocks),
+            "enrichment_p": None if se[i] == 0 else float(2 * student_t_sf(abs(float(est[i] / se[i])), fit.blocks)),
             "coefficient": float(fit.coef[i]), "coefficient_se": float(fit.coef_se[i]),
             "coefficient_z": float(fit.coef[i] / fit.coef_se[i]) if fit.coef_se[i] else math.nan,
         }
@@ -196,7 +196,7 @@ def cell_types(df: DataFrame, sets: list[tuple[str, list[str], list[float]]], ba
     for name, columns, m in sets:
         fit = partitioned(df, [*columns, *base], [*m, *m_base], blocks, intercept)
         z = fit.coef[0] / fit.coef_se[0] if fit.coef_se[0] else math.nan
-        out.append({"name": name, "coefficient": float(fit.coef[0]), "coefficient_se": float(fit.coef_se[0]), "p": normal_sf(z)})
+        out.append({"name": name, "coefficient": float(fit.coef[0]), "coefficient_se": float(fit.coef_se[0]), "p": float(normal_sf(float(z)))})
     return sorted(out, key=lambda r: (math.isnan(r["p"]), r["p"]))
 
 
