@@ -22,9 +22,9 @@ CLASSES, PERIOD, SAMPLES = 64, 1 << 16, 128
 TEXT_PARTITION = 24_000_000
 
 
-def _walk_table() -> list[list[int]]:
+def _walk_table(seed: int) -> list[list[int]]:
     """For each class and step (periodic), how far the output gets until the pointer moves."""
-    bits = np.random.default_rng(20240229).integers(0, 2, (CLASSES, PERIOD), dtype=np.uint8)
+    bits = np.random.default_rng(20240229 + seed).integers(0, 2, (CLASSES, PERIOD), dtype=np.uint8)
     jump = np.zeros((CLASSES, PERIOD), np.int64)
     for c in range(CLASSES):
         ones = np.flatnonzero(bits[c])
@@ -33,13 +33,13 @@ def _walk_table() -> list[list[int]]:
     return jump.tolist()
 
 
-_tables: list = []
+_tables: dict[int, tuple[list[list[int]], np.ndarray]] = {}
 
 
-def _tables_of() -> tuple[list[list[int]], np.ndarray]:
-    if not _tables:
-        _tables.extend((_walk_table(), np.random.default_rng(7919).random(SAMPLES)))
-    return _tables[0], _tables[1]
+def _tables_of(seed: int) -> tuple[list[list[int]], np.ndarray]:
+    if seed not in _tables:
+        _tables[seed] = _walk_table(seed), np.random.default_rng(7919 + seed).random(SAMPLES)
+    return _tables[seed]
 
 
 def code_points(text: str) -> np.ndarray:
@@ -49,17 +49,17 @@ def code_points(text: str) -> np.ndarray:
 class Walk:
     """Output steps at which each character of a text begins, resumable at any character."""
 
-    def __init__(self, points: np.ndarray, start: int = 0):
-        jump, _ = _tables_of()
+    def __init__(self, points: np.ndarray, start: int = 0, seed: int = 0):
+        jump, _ = _tables_of(seed)
         mask = PERIOD - 1
         classes = ((points * np.uint32(2654435769)) >> np.uint32(26)).astype(np.uint8).tobytes()
         self.points = points
         self.begin = np.fromiter(accumulate(classes, lambda i, c: i + jump[c][i & mask], initial=start), np.int64, points.size + 1)
 
 
-def sampled(points: np.ndarray, begin: np.ndarray) -> str:
+def sampled(points: np.ndarray, begin: np.ndarray, seed: int = 0) -> str:
     """The fingerprint: scale, then one byte for each sampled step of that scale and of the next smaller."""
-    _, places = _tables_of()
+    _, places = _tables_of(seed)
     scale = max(6, int(2 * points.size).bit_length())
     out = bytes([scale])
     for s in (scale, scale - 1):
@@ -72,9 +72,9 @@ def sampled(points: np.ndarray, begin: np.ndarray) -> str:
     return out.hex()
 
 
-def fingerprint(text: str) -> str:
+def fingerprint(text: str, seed: int = 0) -> str:
     points = code_points(text)
-    return sampled(points, Walk(points).begin)
+    return sampled(points, Walk(points, seed=seed).begin, seed)
 
 
 def likeness(one: str, two: str) -> float:
@@ -178,17 +178,26 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     return src.select("part", "extra", "doc_id", "text").mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = 16, width: int = 6) -> DataFrame:
-    """(a, b, likeness): bit-sampled banding, then verification by the fingerprints.
+def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = 16, width: int = 6, walks: int = 3) -> DataFrame:
+    """(a, b, likeness): bit-sampled banding, then verification by the fingerprints; the best of several walks.
 
-    A band is ``width`` samples of one scale. Within a band's bucket each member meets the bucket's
-    smallest key; those that fail stay for the next round without it, until no bucket has two rows.
-    So buckets of any size cost their size in a round, and no bucket's pairs are expanded. Null text
-    is empty; empty texts have no band and are in no pair.
+    An edit can throw one walk out of step for long, rarely several. A band is ``width`` samples of
+    one scale. Within a band's bucket each member meets the bucket's smallest key; those that fail stay for the
+    next round without it, until no bucket has two rows. So buckets of any size cost their size in a
+    round, and no bucket's pairs are expanded. Null text is empty; empty texts have no band and
+    are in no pair.
     """
+    found = None
+    for seed in range(walks):
+        more = _pairs_of_walk(docs, key, text, least, bands, width, seed)
+        found = more if found is None else found.unionByName(more)
+    return found.groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
+
+
+def _pairs_of_walk(docs: DataFrame, key: str, text: str, least: float, bands: int, width: int, seed: int) -> DataFrame:
     @F.pandas_udf("string")
     def fp(s: pd.Series) -> pd.Series:
-        return s.map(fingerprint)
+        return s.map(lambda t: fingerprint(t, seed))
 
     @F.pandas_udf("double")
     def like(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -60,7 +60,7 @@ def mix(docs: DataFrame, path: list[F.Column], tokens: F.Column, key: F.Column,
     ``path`` gives the levels of the tree (null is a node of its own), ``total`` the tokens wanted
     (else ``share`` of all there are). A row is taken while the tokens before it in its leaf's stream
     are below the leaf's budget; rows that tie in the seeded order are taken together; rows without tokens
-    go with the order too. Leaves are counted in the driver; more than MOST_LEAVES is an error. An
+    go with the order too. A leaf without tokens gives nothing. Leaves are counted in the driver; more than MOST_LEAVES is an error. An
     empty table gives an empty result. Columns of docs named mix_epoch or mix_path are replaced.
     """
     docs = docs.drop("mix_epoch", "mix_path")
