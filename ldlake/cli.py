@@ -39,6 +39,9 @@ def parser() -> argparse.ArgumentParser:
     l2.add_argument("--pq-exp", type=float)
     l2.add_argument("--chunk-size", type=int, default=200, dest="chunk")
     l2.add_argument("--sketch", type=int)
+    l2.add_argument("--sketch-maf-aware", action="store_true")
+    for flag in ("mmap", "fast-f32", "gpu", "verbose-timing", "no-print-annot", "maf-pre"):  # taken, without effect on results here
+        l2.add_argument(f"--{flag}", action="store_true")
 
     for name in ("h2", "rg"):
         h = sub.add_parser(name)
@@ -49,7 +52,7 @@ def parser() -> argparse.ArgumentParser:
             h.add_argument("--intercept-h2", type=float)
             h.add_argument("--frqfile")
             h.add_argument("--frqfile-chr")
-            for flag in ("print-coefficients", "overlap-annot", "print-all-cts"):
+            for flag in ("print-coefficients", "overlap-annot", "print-all-cts", "print-cov", "print-delete-vals", "invert-anyway", "verbose-timing"):
                 h.add_argument(f"--{flag}", action="store_true")
             h.add_argument("--samp-prev", type=float)
             h.add_argument("--pop-prev", type=float)
@@ -127,7 +130,12 @@ def main(argv: list[str] | None = None) -> int:
             if args.h2_cts:
                 _, text = commands.run_cell_types(spark, args.h2_cts, ref, weights, args.ref_ld_chr_cts, opts)
             else:
-                _, text = commands.run_h2(spark, args.h2, ref, weights, args.out, opts, split, args.w_ld_chr is not None)
+                fit, text = commands.run_h2(spark, args.h2, ref, weights, args.out, opts, split, args.w_ld_chr is not None)
+                jk = (fit[0] if isinstance(fit, tuple) else fit).jackknife
+                if args.print_cov:
+                    text += f"Covariance of the estimates:\n{jk.cov}\n"
+                if args.print_delete_vals:
+                    text += f"Delete values:\n{jk.delete}\n"
         print(text, end="")
     elif args.command == "make-annot":
         commands.run_make_annot(spark, args.bimfile, args.annot_file, args.bed_file, args.gene_set_file, args.gene_coord_file, args.windowsize, args.nomerge)

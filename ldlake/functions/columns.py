@@ -92,7 +92,11 @@ def covariance_weight(ld: Column, w_ld: Column, n1: Column, n2: Column, m: float
 
 def unbiased_r2(r: Column, n: int) -> Column:
     """r^2 - (1 - r^2) / (n - 2), with n where n <= 2."""
-    return r * r - (1 - r * r) / F.lit(float(n - 2 if n > 2 else n))
+    return unbiased(r * r, n)
+
+
+def unbiased(r2: Column, n: int) -> Column:
+    return r2 - (1 - r2) / F.lit(float(n - 2 if n > 2 else n))
 
 
 def sketch_r2(t: Column, d: Column) -> Column:

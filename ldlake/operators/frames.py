@@ -101,3 +101,8 @@ def drop_constant(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[st
     if not kept:
         raise ValueError("all LD score columns have zero variance")
     return df.drop(*[c for c in columns if c not in kept]), kept
+
+
+def take_rows(df: DataFrame, places: DataFrame, row: str = "_row") -> DataFrame:
+    """Rows by number: ``places`` has ``at`` (a row number) and ``_to``, its new one; repeats are allowed."""
+    return df.join(places, df[row] == places["at"]).drop("at", row).withColumnRenamed("_to", row)

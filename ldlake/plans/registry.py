@@ -356,13 +356,9 @@ def ld_score_global_pass(v: Views) -> DataFrame:
 @query()
 def ld_score_sketch(v: Views) -> DataFrame:
     """LD scores out of 32 sketch dimensions for 64 individuals, squared correlations corrected for the sketch."""
-    left = windows.block_left_kb(sketch.project(ldscore.standardised(v.geno), 64, 32), 200).withColumn("left", F.col("block_left"))
-    a, b = left.select("CHR", F.col("pos").alias("i"), F.col("x").alias("xi"), (F.col("pos") / 64).cast("long").alias("bin")), left
-    b = b.select("CHR", F.col("pos").alias("j"), F.col("x").alias("xj"), "left", F.explode(F.sequence((F.col("left") / 64).cast("long"), (F.col("pos") / 64).cast("long"))).alias("bin"))
-    t = F.aggregate(F.zip_with("xi", "xj", lambda x, y: x * y), F.lit(0.0), lambda s, y: s + y) / 64
-    r2 = a.join(b, ["CHR", "bin"]).where("i < j AND i >= left").select("CHR", "i", "j", sketch.corrected_r2(t * t, 32, 64).alias("r2"))
-    sides = r2.select("CHR", F.explode(F.array("i", "j")).alias("pos"), "r2").groupBy("CHR", "pos").agg(F.sum("r2").alias("s"))
-    return left.join(sides, ["CHR", "pos"], "left").select("CHR", "pos", r(1 + F.coalesce("s", F.lit(0.0)), 5).alias("L2"))
+    left = windows.effective_left(windows.block_left_kb(sketch.project(ldscore.standardised(v.geno), 64, 32), 200), None)
+    got = ldscore.scores(left.withColumn("a", F.array(F.lit(1.0))), 64, sketch=32)
+    return got.select("CHR", "pos", r(F.col("l2")[0], 5).alias("L2"))
 
 
 _DISC = "((29.0 - n % 3) * (29.0 - n % 3) + 8 * ((32.0 - n % 3) * t - 1))"

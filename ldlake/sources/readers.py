@@ -239,3 +239,15 @@ def biobank_sumstats(df: DataFrame, population: str, p_scale: str = "neglog10")
         F.concat_ws(":", "chr", "pos", "ref", "alt").alias("SNP"), F.col("alt").alias("A1"), F.col("ref").alias("A2"),
         number(F.col(f"beta_{population}")).alias("BETA"), number(F.col(f"se_{population}")).alias("SE"), F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-300)).alias("P"), "_row",
     )
+
+
+def decode_table(spark: SparkSession, data: bytes) -> DataFrame:
+    """A table that is in memory, as text or gzip (told by its first bytes)."""
+    import gzip
+
+    text = (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).decode()
+    rows = [x for x in text.splitlines() if x.strip()]
+    names = names_of(rows[0])
+    cells = [(x.split("\t") if "\t" in rows[0] else x.split()) for x in rows[1:]]
+    cells = [(*[c.strip() for c in x[: len(names)]], *[None] * (len(names) - len(x)), i) for i, x in enumerate(cells)]
+    return spark.createDataFrame(cells, ", ".join(f"`{n.strip()}` string" for n in names) + ", _row long")

@@ -168,3 +168,40 @@ def test_sidecars(spark, tmp_path):
 def test_result_tables():
     rows = [{"name": "b", "coefficient": 1.0, "coefficient_se": 0.5, "p": 0.2}, {"name": "a", "coefficient": 2.0, "coefficient_se": 0.5, "p": 0.1}]
     assert writers.cell_type_table(rows).splitlines()[1].startswith("a\t2.000000e+00")
+
+
+def test_in_memory(spark):
+    from ldlake.plans import memory
+
+    rng = np.random.default_rng(9)
+    g = rng.integers(0, 3, (300, 40)).astype(np.int8)
+    bim = "".join(f"{1 + i // 200}\trs{i}\t0\t{1000 * i}\tA\tC\n" for i in range(300))
+    got = memory.l2_from_bytes(spark, plink.MAGIC + plink.encode_block(g), bim, 40, snps=5, chunk=None).cache()
+    assert got.count() == 300
+    left = np.maximum(np.arange(300) - 5, (np.arange(300) // 200) * 200)
+    assert np.allclose([r["L2"] for r in got.orderBy("bed_idx").collect()], literal_scores(g, np.arange(300) // 200, left))
+    text = "SNP\tZ\tN\n" + "".join(f"rs{i}\t{rng.normal():.4f}\t1000\n" for i in range(300))
+    for data in (text.encode(), gzip.compress(text.encode())):
+        assert np.isfinite(memory.h2_from_bytes(spark, data, got, 20).h2)
+    with pytest.raises(ValueError):
+        memory.h2_from_bytes(spark, b"SNP\tZ\tN\nrs1\t1\t1\n", got)
+    assert memory.balanced({1: 10, 2: 7, 3: 5, 4: 1}, 2) == [[1, 4], [2, 3]]
+    table = memory.bim_table(spark, "1\ta\t0\t1\tA\tC\n1\tb\tx\t2\tA\tC\n2\tc\t0\ty\tA\tC\n1\td\t0\t4\tA\tC\n")
+    assert [r["run"] for r in windows.chromosome_runs(table).orderBy("bed_idx").collect()] == [0, 0, 2, 3]
+    places = spark.createDataFrame([(1, 0), (0, 1), (1, 2)], "at long, _to long")
+    assert [r["SNP"] for r in frames.take_rows(table.withColumnRenamed("bed_idx", "_row"), places).orderBy("_row").collect()] == ["b", "a", "b"]
+
+
+def test_sketch_is_near_exact(spark):
+    from ldlake.operators import sketch
+
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 3, (1, 400))
+    g = np.where(rng.random((60, 400)) < np.linspace(0.05, 0.9, 60)[:, None], rng.integers(0, 3, (60, 400)), base)
+    df = spark.createDataFrame([(1, i, i * 10, [int(x) for x in row]) for i, row in enumerate(g)], "CHR int, pos long, BP long, g array<int>")
+    x = windows.effective_left(windows.block_left_kb(ldscore.standardised(df), 10), None).withColumn("a", F.array(F.lit(1.0)))
+    exact = np.array([r["l2"][0] for r in ldscore.scores(x, 400).orderBy("pos").collect()])
+    rough = np.array([r["l2"][0] for r in ldscore.scores(sketch.project(x, 400, 200), 400, sketch=200).orderBy("pos").collect()])
+    assert np.corrcoef(exact, rough)[0, 1] > 0.9
+    with pytest.raises(ValueError):
+        sketch.check_dimensions(400, 400)
