@@ -30,8 +30,9 @@ from .common import mix64, n_parts, utf8
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1  # grams in a string
-BLOCK, BUCKET = 4_000_000, 48_000_000
-PIECE = 1 << 22
+BLOCK, BUCKET = 4_000_000, 8_000_000
+FRAGMENTS_AT_ONCE = 1 << 15
+PIECE, SORTED = 1 << 15, 1 << 18  # bytes at a time: hashed in a cache's size, and sorted
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xD1342543DE82EF95
 
@@ -99,9 +100,13 @@ def previous_smaller(values: np.ndarray) -> np.ndarray:
 
 
 def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
-    """Rank of each position by the ``length`` bytes from there, for positions with so many (prefix doubling)."""
+    """Rank of each position by the ``length`` bytes from there, for positions with so many (prefix doubling from eight)."""
     have = 1
-    rank = text.astype(np.int64)
+    key = text.astype(np.uint64)
+    while have < 8:
+        key = (key[: key.size - have] << np.uint64(8 * have)) | key[have:]
+        have *= 2
+    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
     while have < length:
         step = min(have, length - have)
         pair = (rank[: rank.size - step] << 32) | rank[step:]
@@ -201,10 +206,10 @@ class Block:
         place = np.arange(run.size) - np.repeat(np.cumsum(count) - count, count)
         hit = (bits[run] >> place) & 1 == 1
         starts = self.first[run[hit]] + place[hit]
-        step = np.zeros(self.raw.size + 1, np.int32)
-        np.add.at(step, starts, 1)
-        np.add.at(step, starts + LENGTH, -1)
-        return np.cumsum(step[:-1]) > 0
+        gone = np.zeros(self.raw.size + 1, bool)
+        gone[starts] = True
+        last = np.where(gone, np.arange(gone.size), -LENGTH)  # the last hit at or before each byte
+        return (np.arange(gone.size) - np.maximum.accumulate(last) < LENGTH)[:-1]
 
 
 NAMED = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("n", pa.int64()), ("hashes", pa.binary())])
@@ -223,23 +228,20 @@ def _several(t: pa.Table) -> pa.Table:
     out: dict[str, list] = {f.name: [] for f in ANSWER}
     values = [_expand(h, n) for h, n in zip(t.column("hashes").to_pylist(), t.column("n").to_pylist())]
     every = np.concatenate(values)
-    hashes, count = np.unique(every >> 1, return_counts=True)
-    shared = np.union1d(hashes[count > 1], every[every & 1 == 1] >> 1)
+    every.sort()
+    new = np.ones(every.size, bool)
+    new[1:] = every[1:] >> 1 != every[:-1] >> 1
+    at = np.flatnonzero(new)
+    shared = (np.diff(np.append(at, every.size)) > 1) | (every[np.append(at[1:], every.size) - 1] & 1 == 1)
+    hashes = every[at] >> 1
     for block, bucket, v in zip(t.column("block").to_pylist(), t.column("bucket").to_pylist(), values):
-        for name, x in zip(out, (block, bucket, 0, np.packbits(np.isin(v >> 1, shared)).tobytes())):
+        for name, x in zip(out, (block, bucket, 0, np.packbits(shared[np.searchsorted(hashes, v >> 1)]).tobytes())):
             out[name].append(x)
     return _table(out, ANSWER)
 
 
-def _previous_factors(t: pa.Table) -> pa.Table:
-    """Of each bucket: for each fragment of each block the positions that are copies from outside the block."""
-    t = t.sort_by("block")
-    sizes = t.column("n").to_pylist()
-    hashes = np.concatenate([_expand(x, n) for x, n in zip(t.column("hashes").to_pylist(), sizes)])
-    lengths = np.concatenate([_expand(x, n) for x, n in zip(t.column("lengths").to_pylist(), sizes)])
-    docs = np.concatenate([_expand(x, n) for x, n in zip(t.column("docs").to_pylist(), sizes)])
-    text = b"".join(pa.decompress(x, n, codec="zstd", asbytes=True) for x, n in zip(t.column("text").to_pylist(), t.column("size").to_pylist()))
-    ends = np.cumsum(lengths)
+def _copied_bits(text: bytes, ends: np.ndarray, lengths: np.ndarray, docs: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For each fragment (of whole minimisers) the positions that are copies of one in a smaller document."""
     # equal fragments of several blocks are one, of the smallest document
     number: dict[bytes, int] = {}
     of = np.fromiter((number.setdefault(text[e - n : e], len(number)) for e, n in zip(ends.tolist(), lengths.tolist())), np.int64, ends.size)
@@ -259,7 +261,7 @@ def _previous_factors(t: pa.Table) -> pa.Table:
     raw = np.frombuffer(text, np.uint8)
     begin = 0
     while begin < order.size:
-        end = int(np.searchsorted(size, (size[begin - 1] if begin else 0) + PIECE, side="right"))
+        end = int(np.searchsorted(size, (size[begin - 1] if begin else 0) + SORTED, side="right"))
         end = int(np.searchsorted(h, h[min(max(end, begin + 1), h.size) - 1], side="right"))
         part = order[begin:end]
         n = length_of[part]
@@ -270,11 +272,29 @@ def _previous_factors(t: pa.Table) -> pa.Table:
         hit = copies(raw[at], (np.cumsum(n) - n)[who] + place, least[part][who])
         np.bitwise_or.at(bits, part[who[hit]], np.int64(1) << place[hit])
         begin = end
+    return np.where(docs > least[of], (1 << SPAN) - 1, bits[of])
+
+
+def _previous_factors(t: pa.Table) -> pa.Table:
+    """Of each bucket: for each fragment of each block the positions that are copies from outside the block."""
+    t = t.sort_by("block")
+    sizes = t.column("n").to_pylist()
+    hashes, lengths, docs = (np.concatenate([_expand(x, n) for x, n in zip(t.column(c).to_pylist(), sizes)]) for c in ("hashes", "lengths", "docs"))
+    text = b"".join(pa.decompress(x, n, codec="zstd", asbytes=True) for x, n in zip(t.column("text").to_pylist(), t.column("size").to_pylist()))
+    ends = np.cumsum(lengths)
+    order = np.argsort(hashes, kind="stable")
+    by_hash = hashes[order]
+    found = np.zeros(hashes.size, np.int64)
+    begin = 0
+    while begin < order.size:  # whole minimisers, some fragments at a time
+        end = int(np.searchsorted(by_hash, by_hash[min(begin + FRAGMENTS_AT_ONCE, order.size) - 1], side="right"))
+        part = order[begin:end]
+        found[part] = _copied_bits(text, ends[part], lengths[part], docs[part], hashes[part])
+        begin = end
     out: dict[str, list] = {f.name: [] for f in ANSWER}
-    everything = np.where(docs > least[of], (1 << SPAN) - 1, bits[of])
     at = 0
     for block, bucket, n in zip(t.column("block").to_pylist(), t.column("bucket").to_pylist(), sizes):
-        for name, x in zip(out, (block, bucket, 1, _squeeze(everything[at : at + n]))):
+        for name, x in zip(out, (block, bucket, 1, _squeeze(found[at : at + n]))):
             out[name].append(x)
         at += n
     return _table(out, ANSWER)
