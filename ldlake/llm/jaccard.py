@@ -32,7 +32,8 @@ from .common import cut, mix64, n_parts, utf8
 from .components import components
 from .suffixes import _ddl, _expand, _squeeze, _table
 
-BLOCK, BUCKET = 4_000_000, 32_000_000
+BLOCK, BUCKET = 4_000_000, 12_000_000
+PIECE = 1 << 18  # bytes of texts that are hashed at a time
 CELL, PIVOTS, ROUNDS = 1500, 32, 3
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -76,9 +77,18 @@ def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
     """The sorted distinct k-word shingles of each text; fewer words make one shingle, none an empty set."""
+    out: list[np.ndarray] = []
+    n, begin = off.size - 1, 0
+    while begin < n:
+        end = max(begin + 1, int(np.searchsorted(off, off[begin] + PIECE, side="right")) - 1)
+        out += _sets_of_piece(raw[off[begin] : off[end]], off[begin : end + 1] - off[begin], k)
+        begin = end
+    return out
+
+
+def _sets_of_piece(raw: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
     h, text = words(raw, off)
-    n = off.size - 1
-    count = np.bincount(text, minlength=n)
+    count = np.bincount(text, minlength=off.size - 1)
     at = np.cumsum(count) - count
     g = h.copy()
     for step in range(1, k):
@@ -91,11 +101,10 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
             keep[1:] = s[1:] != s[:-1]
             out.append(s[keep])
         elif c:
-            with np.errstate(over="ignore"):
-                x = np.uint64(c) * _GOLD
-                for w in h[a : a + c]:
-                    x = mix64(np.array([x + w], np.uint64))[0]
-            out.append(np.array([x], np.uint64))
+            x = np.array([c], np.uint64) * _GOLD
+            for w in range(a, a + c):
+                x = mix64(x + h[w])
+            out.append(x)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -314,6 +323,19 @@ def _leaf(percent: int):
     return run
 
 
+def _apart(pivots: list[np.ndarray], least: float) -> list[np.ndarray]:
+    """Pivots more than ``least`` from those before them: nearer ones would have the same documents in their windows."""
+    kept: list[np.ndarray] = []
+    for p in pivots:
+        if kept:
+            common = overlaps(kept, [p])[:, 0]
+            size = np.array([x.size for x in kept])
+            if (1 - common / (size + p.size - common)).min() <= least:
+                continue
+        kept.append(p)
+    return kept
+
+
 def _assign(percent: int):
     """Give each document its home among the cell's pivots and the cells whose window it lies in."""
     schema = pa.schema([("cell", pa.int64()), ("doc", pa.int64()), ("weight", pa.int64()), ("shingles", pa.binary()), ("cells", pa.list_(pa.int64())), ("parts", pa.list_(pa.int64())), ("parent", pa.int64())])
@@ -323,7 +345,8 @@ def _assign(percent: int):
         if t.num_rows and p.num_rows:
             p = p.sort_by("doc")
             raw = t.column("shingles").to_pylist()
-            sets, pivots = [np.frombuffer(x, np.uint64) for x in raw], [np.frombuffer(x, np.uint64) for x in p.column("shingles").to_pylist()]
+            sets = [np.frombuffer(x, np.uint64) for x in raw]
+            pivots = _apart([np.frombuffer(x, np.uint64) for x in p.column("shingles").to_pylist()], 2 * (1 - percent / 100) + 1e-9)
             common = overlaps(sets, pivots)
             n, size = np.array([x.size for x in sets]), np.array([x.size for x in pivots])
             distance = 1 - common / (n[:, None] + size[None, :] - common)
