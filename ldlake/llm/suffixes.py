@@ -82,7 +82,8 @@ def runs(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
         last = np.ones(key.size, bool)
         last[:-1] = new[1:] | ~ok[1:]
         first = np.flatnonzero(new & ok)
-        parts.append((first + begin, np.flatnonzero(last & ok) + begin, key[first] >> np.uint64(24)))
+        # smallest hashes crowd near 0: hashed again, they spread over the buckets
+        parts.append((first + begin, np.flatnonzero(last & ok) + begin, mix64(key[first] >> np.uint64(24)) >> np.uint64(24)))
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*parts))
