@@ -10,9 +10,12 @@ islands, where pieces of several islands meet.
 from __future__ import annotations
 
 import bisect
+import json
 import random
 import re
 import zlib
+from array import array
+from codecs import charmap_decode
 
 import numpy as np
 import pandas as pd
@@ -30,23 +33,37 @@ PLAIN = re.compile(rf"[\t\n\r -~{LETTERS}¡¿«»°€‘’“”–—…]*")
 SPLIT = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 
 
+#: Byte-level models spell a byte as one character: itself if it is printed in Latin-1, else one from 256 on.
+UNPRINTED = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+SPELLED = "".join(chr(256 + UNPRINTED.index(b) if b in UNPRINTED else b) for b in range(256))
+
+
 class Words(dict):
     """Ids of a pre-token as little-endian bytes; filled on demand, emptied when it grows beyond a bound."""
 
     MOST = 600_000
 
-    def __init__(self, tokenizer):
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path) as f:
+            parts = json.load(f)
+        first = parts.get("pre_tokenizer") or {}
+        #: Whether texts are split by the pattern of SPLIT and spelled byte by byte, and nothing else is done to them.
+        self.by_words = not parts.get("normalizer") and (first.get("type"), first.get("add_prefix_space"), first.get("use_regex", True)) == ("ByteLevel", False, True) and parts["model"].get("type", "BPE") == "BPE"
+        self.model = self.tokenizer.model
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        spelled = charmap_decode(word.encode(), "strict", SPELLED)[0]
+        ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         self[word] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
-        """The text's ids. BPE never crosses pre-tokens, so a text is the sum of its pre-tokens."""
-        if "<|" in text or not PLAIN.fullmatch(text):
+        """The text's ids. BPE never crosses pre-tokens, so a text is the sum of its pre-tokens; odd characters go the long way."""
+        if not self.by_words or "<|" in text or not PLAIN.fullmatch(text):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) > self.MOST:
             self.clear()
@@ -65,9 +82,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
     """
     def pieces(batches):
         if tokenizer not in _words:
-            from tokenizers import Tokenizer
-
-            _words[tokenizer] = Words(Tokenizer.from_file(tokenizer))
+            _words[tokenizer] = Words(tokenizer)
         words = _words[tokenizer]
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]

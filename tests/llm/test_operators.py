@@ -159,9 +159,7 @@ def test_packing(spark, odd, none):
 @settings(max_examples=40, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab é'sZ1 \n\t.<|>½²你\x1c "), max_size=60))
 def test_cached_ids_are_the_tokenizer_s(text):
-    from tokenizers import Tokenizer
-
-    t = packing._words.setdefault("x", packing.Words(Tokenizer.from_file(queries.tokenizer_path())))
+    t = packing._words.get("x") or packing._words.setdefault("x", packing.Words(queries.tokenizer_path()))
     assert np.frombuffer(t.ids(text), "<u4").tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids
 
 
