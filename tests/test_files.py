@@ -117,6 +117,10 @@ def test_ld_scores(spark, tmp_path):
     assert readers.read_table(spark, str(tmp_path / "ld.l2.ldscore")).count() == 60
     for opts in (commands.LdOptions(kb=5, per_allele=True), commands.LdOptions(cm=0.1, maf=0.05, sketch=10), commands.LdOptions(snps=5, global_pass=True)):
         assert commands.run_l2(spark, path, None, opts)["scores"].count() > 0
+    (tmp_path / "keep.txt").write_text("# some\n" + "".join(f"f{i} i{i}\n" for i in range(0, 23, 2)))
+    got = commands.run_l2(spark, path, None, commands.LdOptions(snps=5, snp_level_masking=True, keep=str(tmp_path / "keep.txt")))
+    left = np.maximum(np.arange(60) - 5, chromosome * 30)
+    assert np.allclose([r["L2"] for r in got["scores"].orderBy("bed_idx").collect()], literal_scores(g[:, ::2], chromosome, left))
     with pytest.raises(ValueError):
         commands.LdOptions(kb=1, cm=1)
 
