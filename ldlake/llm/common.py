@@ -56,6 +56,14 @@ def n_parts(total_bytes: int | None, target: int, least: int = 1) -> int:
     return max(least, -(-int(total_bytes or 0) // target))
 
 
+def part_bytes(total_bytes: int | None, unit: int, most: int = 4) -> int:
+    """Size of blocks and buckets: ``unit`` up to 1 GB, then growing with the root of the input, to ``most`` times as much.
+
+    Between b blocks and k buckets go up to b * k arrays; larger parts keep those from getting tiny.
+    """
+    return int(unit * min(float(most), max(1.0, (int(total_bytes or 0) / 1e9) ** 0.5)))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finaliser over uint64: spreads every input bit over the word."""
     x = x.astype(np.uint64, copy=True)

@@ -25,16 +25,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, n_parts, utf8
+from .common import cut, mix64, n_parts, part_bytes, utf8
 from .components import components
 from .suffixes import _ddl, _expand, _squeeze, _table
 
 BLOCK, BUCKET = 4_000_000, 12_000_000
 PIECE = 1 << 18  # bytes of texts that are hashed at a time
 CELL, PIVOTS, ROUNDS = 1500, 32, 3
+BROADCAST_ROWS = 10_000  # of two numbers each
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -151,7 +153,7 @@ def _summed(t: pa.Table) -> pa.Table:
     """Of each bucket: documents for each key; smallest id and count for each digest."""
     out: dict[str, list] = {f.name: [] for f in ANSWER}
     for kind in (0, 1):
-        rows = t.filter(pa.compute.equal(t.column("kind"), kind)).to_pylist()
+        rows = t.filter(pc.equal(t.column("kind"), kind)).to_pylist()
         if not rows:
             continue
         a, b = (np.concatenate([_expand(r[c], r["n"]) for r in rows]) for c in "ab")
@@ -182,7 +184,7 @@ def document_sets(docs: DataFrame, key: str, text: str, k: int, percent: int) ->
     low = np.iinfo(np.int64).min
     src = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(low)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     total = src.agg(F.sum(F.octet_length("text"))).first()[0]
-    blocks, buckets = n_parts(total, BLOCK), n_parts(total, BUCKET)
+    blocks, buckets = n_parts(total, part_bytes(total, BLOCK)), n_parts(total, part_bytes(total, BUCKET))
     bits = min(56, max(34, int(total or 0).bit_length() + 5))  # keys only order shingles by their counts
     src = src.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.lit(blocks)).cast("int"))
 
@@ -370,11 +372,15 @@ def split_cells(members: DataFrame, percent: int, cell: int = CELL, pivots: int
     columns = ["cell", "doc", "weight", "shingles", "cells", "parts"]
     whole = {"grid": F.lit(None).cast("array<long>"), "chunk": F.lit(0).cast("long")}
     for level in range(rounds + 1):
-        sized = now.join(now.groupBy("cell").agg(F.count("*").alias("size")), "cell")
-        large = F.col("size") > cell
-        done.append(sized.where(~large).select(*columns).withColumns(whole))
-        if sized.where(large).isEmpty():
+        sizes = cut(now.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > cell))
+        n = sizes.count()
+        if not n:
+            done.append(now.select(*columns).withColumns(whole))
             break
+        # large cells are few: if they are no more than the bound, the members aren't dealt out to find them
+        sized = now.join(F.broadcast(sizes) if n <= BROADCAST_ROWS else sizes, "cell", "left")
+        large = F.col("size").isNotNull()
+        done.append(sized.where(~large).select(*columns).withColumns(whole))
         # stuck: the windows took in nearly everything; then pairs of chunks
         stuck = F.lit(True) if level == rounds else F.col("size") > 0.7 * F.coalesce("parent", F.col("size") * 2)
         grid = sized.where(large & stuck).withColumn("of", F.ceil(F.col("size") / cell))

@@ -23,10 +23,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, n_parts, utf8
+from .common import mix64, n_parts, part_bytes, utf8
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1  # grams in a string
@@ -220,7 +221,7 @@ _ddl = lambda s: ", ".join(f"{f.name} {({'int32': 'int', 'int64': 'long'}).get(s
 
 
 def _answers(t: pa.Table, kind: int) -> dict[int, bytes]:
-    t = t.filter(pa.compute.equal(t.column("kind"), kind))
+    t = t.filter(pc.equal(t.column("kind"), kind))
     return dict(zip(t.column("bucket").to_pylist(), t.column("bits").to_pylist()))
 
 
@@ -313,7 +314,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text:
     low = np.iinfo(np.int64).min
     src = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(low)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     total = src.agg(F.sum(F.octet_length("text"))).first()[0]
-    blocks, buckets = n_parts(total, BLOCK), n_parts(total, BUCKET)
+    blocks, buckets = n_parts(total, part_bytes(total, BLOCK)), n_parts(total, part_bytes(total, BUCKET))
     src = src.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.lit(blocks)).cast("int"))
 
     def name(t: pa.Table) -> pa.Table:
