@@ -157,7 +157,7 @@ _W = "1 / (2 * power(1 + 0.5 * N / 1000 * greatest(L2, 1), 2)) / greatest(w_l2,
 
 
 @query(f"{_REG} SELECT SNP, round({_W}, 9) AS w FROM reg", "v_sumstats", "v_ld")
-def ldsc_weights(v: Views) -> DataFrame:
+def regression_weights(v: Views) -> DataFrame:
     w = C.regression_weight(F.col("L2"), F.col("w_l2"), F.col("N"), 1000, 0.5, 1)
     return _reg(v).select("SNP", r(w, 9).alias("w"))
 
