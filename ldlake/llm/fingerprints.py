@@ -20,6 +20,7 @@ from .common import cut, n_parts
 
 CLASSES, PERIOD, SAMPLES = 64, 1 << 16, 128
 TEXT_PARTITION = 24_000_000
+CHUNK = 512  # fingerprints of a bucket that meet those of another chunk in a tile
 
 
 def _walk_table(seed: int) -> list[list[int]]:
@@ -179,13 +180,14 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
 
 def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = 16, width: int = 6, walks: int = 3) -> DataFrame:
-    """(a, b, likeness): bit-sampled banding, then verification by the fingerprints; the best of several walks.
+    """(a, b, likeness), a < b: bit-sampled banding, then verification by the fingerprints; the best of several walks.
 
     An edit can throw one walk out of step for long, rarely several. A band is ``width`` samples of
-    one scale. Within a band's bucket each member meets the bucket's smallest key; those that fail stay for the
-    next round without it, until no bucket has two rows. So buckets of any size cost their size in a
-    round, and no bucket's pairs are expanded. Null text is empty; empty texts have no band and
-    are in no pair.
+    one scale. All pairs of different fingerprints that share a band are compared: equal fingerprints
+    are one, and a large bucket is cut to chunks, each two of which meet in a tile, so no task holds a
+    bucket. Comparing costs the square of the different fingerprints of a bucket; the pairs of equal
+    texts are only made at the end, all of them. Null text is empty; empty texts have no band and
+    are in no pair, nor are rows with a null key or two rows of one key.
     """
     found = None
     for seed in range(walks):
@@ -194,26 +196,44 @@ def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     return found.groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
 
 
+def _likeness_to(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """``likeness`` of a fingerprint (as bytes) and each row of others that differ from it."""
+    step = int(one[0]) - many[:, 0].astype(int)
+    x, y = (np.where((step == s)[:, None], v[..., 1 + SAMPLES :], v[..., 1 : 1 + SAMPLES]) for s, v in ((1, one), (-1, many)))
+    inside = (x > 0) | (y > 0)
+    either = inside.sum(1)
+    return np.where(np.abs(step) <= 1, ((x == y) & inside).sum(1) / np.maximum(either, 1), 0.0)
+
+
 def _pairs_of_walk(docs: DataFrame, key: str, text: str, least: float, bands: int, width: int, seed: int) -> DataFrame:
     @F.pandas_udf("string")
     def fp(s: pd.Series) -> pd.Series:
         return s.map(lambda t: fingerprint(t, seed))
 
-    @F.pandas_udf("double")
-    def like(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([likeness(x, y) for x, y in zip(a, b)], dtype=float)
-
-    prints = cut(docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).select("id", fp("t").alias("fp")))
+    def compare(tile: pd.DataFrame) -> pd.DataFrame:
+        tile = tile.sort_values(["chunk", "fp"])
+        raw = np.frombuffer(bytes.fromhex("".join(tile["fp"])), np.uint8).reshape(len(tile), -1)
+        names = tile["fp"].to_numpy()
+        low, high = tile[["i", "j"]].iloc[0]
+        n = int((tile["chunk"] == low).sum())
+        out = []
+        for k in range(n):
+            begin = k + 1 if low == high else n
+            like = _likeness_to(raw[k], raw[begin:])
+            out += [(*sorted((names[k], names[begin + m])), like[m]) for m in np.flatnonzero(like >= least)]
+        return pd.DataFrame(out, columns=["f", "g", "likeness"])
+
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).where("id is not null")
+    prints = cut(rows.select("id", fp("t").alias("fp")).distinct())
     scale = F.conv(F.substring("fp", 1, 2), 16, 10).cast("int")
     own = [F.concat(scale - F.lit(s), F.lit(f"/{b}/"), F.substring("fp", 3 + 2 * (SAMPLES * s + b * width), 2 * width)) for s in (0, 1) for b in range(bands)]
-    open_ = prints.select("id", "fp", F.explode(F.array(*own)).alias("band")).where(~F.col("band").rlike("/0*$"))  # a band wholly beyond the text says nothing
-    found = None
-    while True:
-        heads = open_.groupBy("band").agg(F.min(F.struct("id", "fp")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-        met = cut(open_.join(heads, "band").where("id != head.id").withColumn("likeness", like("head.fp", "fp")))
-        if met.isEmpty():
-            break
-        good = met.where(F.col("likeness") >= least).select(F.col("head.id").alias("a"), F.col("id").alias("b"), "likeness").distinct()
-        found = good if found is None else found.unionByName(good).distinct()
-        open_ = met.where(F.col("likeness") < least).select("id", "fp", "band")
-    return found if found is not None else docs.sparkSession.createDataFrame([], "a long, b long, likeness double")
+    classes = prints.groupBy("fp").agg(F.count("*").alias("copies"))
+    banded = classes.withColumn("band", F.explode(F.array(*own))).where(~F.col("band").rlike("/0*$"))  # a band wholly beyond the text says nothing
+    copies = banded.where("copies > 1").select(F.col("fp").alias("f"), F.col("fp").alias("g"), F.lit(1.0).alias("likeness")).distinct()
+    sizes = banded.groupBy("band").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("k"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = banded.select("fp", "band").join(sizes, "band").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    met = met.select("fp", "band", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    tiles = met.groupBy("band", "i", "j").applyInPandas(compare, "f string, g string, likeness double").groupBy("f", "g").agg(F.first("likeness").alias("likeness"))
+    links = tiles.unionByName(copies).join(prints.toDF("a", "f"), "f").join(prints.toDF("b", "g"), "g")
+    return links.where("f <> g and a <> b or f = g and a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness").distinct()

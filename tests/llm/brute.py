@@ -78,3 +78,10 @@ def jaccard(rows, k, percent):
 def plain(df):
     pdf = df.toPandas()
     return sorted((tuple(None if not isinstance(x, list) and pd.isna(x) else int(x) if isinstance(x, float) and x == int(x) else x for x in r) for r in pdf.itertuples(index=False, name=None)), key=str)
+
+
+def bands(fp, n, width):
+    """The bands of a fingerprint that say something, on both of its scales."""
+    scale, samples = int(fp[:2], 16), (len(fp) - 2) // 4
+    parts = {(scale - s, b): fp[2 + 2 * (samples * s + b * width) :][: 2 * width] for s in (0, 1) for b in range(n)}
+    return {(*k, v) for k, v in parts.items() if v.strip("0")}

@@ -335,6 +335,29 @@ def test_near_pairs(spark):
     assert got == {(i, 10 + i) for i in range(8)}
 
 
+def test_near_pairs_keeps_links_beside_the_smallest_key(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "CHUNK", 3, raising=False)
+    rng = random.Random(12)
+    chain = ["".join(rng.choice("abcdefghij ") for _ in range(900))]
+    for k in range(11):  # each has one more edit than the one before
+        at = 60 + 70 * k
+        chain.append(chain[-1][:at] + "#%" * 5 + chain[-1][at + 10 :])
+    rows = list(enumerate(chain)) + [(20, chain[4]), (21, chain[4]), (21, chain[4]), (22, chain[9]), (None, chain[0]), (30, None), (31, "")]
+    want = {}
+    for seed in range(3):
+        known = [(i, fingerprints.fingerprint(t, seed)) for i, t in dict(rows).items() if t and i is not None]
+        bands = {i: brute.bands(f, 16, 6) for i, f in known}
+        for a, f in known:
+            for b, g in known:
+                like = fingerprints.likeness(f, g)
+                if a < b and like >= 0.8 and bands[a] & bands[b]:
+                    want[a, b] = max(like, want.get((a, b), 0))
+    missed = [(h, a, b) for h in range(12) for a in range(h + 1, 12) for b in range(a + 1, 12) if (h, a) in want and (a, b) in want and (h, b) not in want]
+    assert missed and (20, 21) in want  # the first is near the second and the second near the third only
+    got = fingerprints.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]): r["likeness"] for r in got} == want
+
+
 # WARC
 
 
