@@ -126,9 +126,9 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "rg":
             _, text = commands.run_rg(spark, args.rg.split(","), ref, weights, commands.RegressionOptions(**common), split, _list(args.intercept_h2), _list(args.intercept_gencov), args.no_check_alleles)
         else:
-            opts = commands.RegressionOptions(**common, intercept=args.intercept_h2, samp_prev=args.samp_prev, pop_prev=args.pop_prev, overlap_annot=args.overlap_annot, frqfile=args.frqfile_chr or args.frqfile, print_coefficients=args.print_coefficients)
+            opts = commands.RegressionOptions(**common, intercept=args.intercept_h2, samp_prev=args.samp_prev, pop_prev=args.pop_prev, overlap_annot=args.overlap_annot, frqfile=args.frqfile_chr or args.frqfile, print_coefficients=args.print_coefficients, print_all_cts=args.print_all_cts)
             if args.h2_cts:
-                _, text = commands.run_cell_types(spark, args.h2_cts, ref, weights, args.ref_ld_chr_cts, opts)
+                _, text = commands.run_cell_types(spark, args.h2_cts, ref, weights, args.ref_ld_chr_cts, opts, args.out)
             else:
                 fit, text = commands.run_h2(spark, args.h2, ref, weights, args.out, opts, split, args.w_ld_chr is not None)
                 jk = (fit[0] if isinstance(fit, tuple) else fit).jackknife

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import float_text
@@ -41,6 +41,14 @@ def write_m(df: DataFrame, names: list[str], path: str) -> None:
     df.select(F.concat_ws("\t", *[F.col(n).cast("string") for n in names]).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_text(spark: SparkSession, text: str | bytes, path: str) -> None:
+    """A small file, as one file and not a folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    stream.write(bytearray(text.encode() if isinstance(text, str) else text))
+    stream.close()
+
+
 def cell_type_table(rows: list[dict]) -> str:
     """Lines of a cell-type result, P ascending, six decimals in exponent form."""
     out = ["Name\tCoefficient\tCoefficient_std_error\tCoefficient_P_value"]
@@ -62,6 +70,25 @@ def overlap_table(rows: list[dict], coefficients: bool = False) -> str:
     return "\n".join(out) + "\n"
 
 
+def category_table(fit) -> str:
+    """Lines on the categories of a partitioned fit that don't overlap."""
+    out = ["", f"{'Category':<35} {'Prop_h2':>10} {'Prop_SNPs':>10} {'Enrichment':>12} {'Coefficient':>14}", "-" * 83]
+    for name, *cells, coef in zip(fit.names, fit.prop, fit.m / fit.m.sum(), fit.enrichment(), fit.coef):
+        out.append(f"{name:<35} {cells[0]:>10.4f} {cells[1]:>10.4f} {cells[2]:>12.4f} {coef:>14.4e}")
+    return "\n".join(out) + "\n\n"
+
+
+def correlation_table(traits: list[str], found: list) -> str:
+    """The summary of the first trait against each other; what is out of bounds stands as it is."""
+    rows = [(traits[0], name, c.rg, c.se, c.z, c.p, c.h2.h2, c.h2.se, c.h2.intercept, c.h2.intercept_se, c.gencov.intercept, c.gencov.intercept_se) for name, c in zip(traits[1:], found)]
+    head = ("p1", "p2", "rg", "se", "z", "p", "h2_obs", "h2_obs_se", "h2_int", "h2_int_se", "gcov_int", "gcov_int_se")
+    wide = [max(2, *(len(r[k]) for r in rows)) for k in (0, 1)] if rows else [2, 2]
+    wide += [8, 8, 8, 8, 8, 10, 8, 10, 9, 12]
+    out = [" ".join(f"{c:>{w}}" for c, w in zip(head, wide))]
+    out += [" ".join(f"{c if isinstance(c, str) else f'{c:.4f}':>{w}}" for c, w in zip(r, wide)) for r in rows]
+    return "\nSummary of Genetic Correlation Results\n" + "\n".join(out) + "\n"
+
+
 def heritability_summary(h, fixed: bool, liability: float | None = None) -> str:
     """The lines that downstream tools parse."""
     out = [f"Total Observed scale h2: {h.h2:.4f} ({h.se:.4f})", f"Lambda GC: {h.lambda_gc:.4f}", f"Mean Chi^2: {h.mean_chi2:.4f}"]

@@ -190,13 +190,14 @@ def overlap_results(fit: Partitioned, overlap: np.ndarray, m_tot: int) -> list[d
     ]
 
 
-def cell_types(df: DataFrame, sets: list[tuple[str, list[str], list[float]]], base: list[str], m_base: list[float], blocks: int = 200, intercept: float | None = None) -> list[dict]:
-    """For each labelled set of LD columns: its first coefficient beside the baseline, one-sided P; ascending P."""
+def cell_types(df: DataFrame, sets: list[tuple[str, list[str], list[float]]], base: list[str], m_base: list[float], blocks: int = 200, intercept: float | None = None, first: int = 1) -> list[dict]:
+    """For each labelled set of LD columns: its ``first`` coefficients (name, name_1, ...) beside the baseline, one-sided P; ascending P."""
     out = []
     for name, columns, m in sets:
         fit = partitioned(df, [*columns, *base], [*m, *m_base], blocks, intercept)
-        z = fit.coef[0] / fit.coef_se[0] if fit.coef_se[0] else math.nan
-        out.append({"name": name, "coefficient": float(fit.coef[0]), "coefficient_se": float(fit.coef_se[0]), "p": float(normal_sf(float(z)))})
+        for i in range(min(first, len(fit.coef))):
+            z = fit.coef[i] / fit.coef_se[i] if fit.coef_se[i] else math.nan
+            out.append({"name": f"{name}_{i}" if i else name, "coefficient": float(fit.coef[i]), "coefficient_se": float(fit.coef_se[i]), "p": float(normal_sf(float(z)))})
     return sorted(out, key=lambda r: (math.isnan(r["p"]), r["p"]))
 
 

@@ -209,3 +209,38 @@ def test_sketch_is_near_exact(spark):
     assert np.corrcoef(exact, rough)[0, 1] > 0.9
     with pytest.raises(ValueError):
         sketch.check_dimensions(400, 400)
+
+
+def test_result_files(spark, tmp_path):
+    rng = np.random.default_rng(13)
+    n, ld = 400, {}
+    for name in ("base.", "w.", "a.", "b."):
+        ld[name] = 1 + rng.random((2, n)) * 20 if name == "base." else 1 + rng.random((1, n)) * 9
+        columns = ["oneL2", "twoL2"] if name == "base." else ["L2"]
+        for c in (1, 2):
+            at = range((c - 1) * n // 2, c * n // 2)
+            (tmp_path / f"{name}{c}.l2.ldscore").write_text("\t".join(["CHR", "SNP", "BP", *columns]) + "\n" + "".join("\t".join([str(c), f"rs{i}", str(i), *(f"{x[i]:.3f}" for x in ld[name])]) + "\n" for i in at))
+            (tmp_path / f"{name}{c}.l2.M_5_50").write_text("\t".join(["500"] * len(columns)) + "\n")
+            if name == "base.":
+                (tmp_path / f"base.{c}.annot").write_text("CHR\tBP\tSNP\tCM\tone\ttwo\n" + "".join(f"{c}\t{i}\trs{i}\t0\t1\t{i % 2}\n" for i in at))
+    for name in "xy":
+        z = rng.normal(size=n) * np.sqrt(1 + ld["base."].sum(0) / 10)
+        (tmp_path / f"{name}.txt").write_text("SNP\tA1\tA2\tZ\tN\n" + "".join(f"rs{i}\tA\tC\t{v:.4f}\t1000\n" for i, v in enumerate(z)))
+    at, out = (lambda x: str(tmp_path / x)), str(tmp_path / "o")
+    options = commands.RegressionOptions(n_blocks=20, overlap_annot=True)
+    (fit, rows), text = commands.run_h2(spark, at("x.txt"), at("base."), at("w."), out, options, True)
+    lines = (tmp_path / "o.results").read_text()
+    assert lines == writers.overlap_table(rows) and len(lines.splitlines()) == 3 and text.endswith(lines) and text.startswith("Total observed-scale h2")
+    fit, text = commands.run_h2(spark, at("x.txt"), at("base."), at("w."), None, commands.RegressionOptions(n_blocks=20, print_coefficients=True), True)
+    cells = [line.split() for line in text.splitlines()]
+    assert ["Category", "Prop_h2", "Prop_SNPs", "Enrichment", "Coefficient"] in cells
+    assert ["twoL2", f"{fit.prop[1]:.4f}", "0.5000", f"{2 * fit.prop[1]:.4f}", f"{fit.coef[1]:.4e}"] in cells
+    (tmp_path / "k.ldcts").write_text(f"liver {at('a.')},{at('b.')}\nbrain {at('b.')}\n")
+    for every, names in ((False, ["brain", "liver"]), (True, ["brain", "liver", "liver_1"])):
+        rows, text = commands.run_cell_types(spark, at("x.txt"), at("base."), at("w."), at("k.ldcts"), commands.RegressionOptions(n_blocks=20, print_all_cts=every), out)
+        assert (tmp_path / "o.cell_type_results.txt").read_text() == text and sorted(line.split()[0] for line in text.splitlines()[1:]) == names
+        assert [r["p"] for r in rows] == sorted(r["p"] for r in rows)
+    (found,), text = commands.run_rg(spark, [at("x.txt"), at("y.txt")], at("w."), at("w."), commands.RegressionOptions(n_blocks=20), True)
+    head, row = text.split("Summary of Genetic Correlation Results\n")[1].splitlines()
+    assert head.split()[:3] == ["p1", "p2", "rg"] and row.split()[:2] == [at("x.txt"), at("y.txt")]
+    assert row.split()[6:] == [f"{v:.4f}" for v in (found.h2.h2, found.h2.se, found.h2.intercept, found.h2.intercept_se, found.gencov.intercept, found.gencov.intercept_se)]
