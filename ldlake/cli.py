@@ -33,14 +33,14 @@ def parser() -> argparse.ArgumentParser:
     l2.add_argument("--ld-wind-snps", type=int, dest="snps")
     for name in ("annot", "cts-bin", "cts-breaks", "cts-names", "extract", "keep", "print-snps"):
         l2.add_argument(f"--{name}")
-    for flag in ("thin-annot", "per-allele", "snp-level-masking", "global-pass", "python-compat", "yes-really"):
+    for flag in ("thin-annot", "per-allele", "snp-level-masking", "global-pass", "python-compat", "yes-really", "no-print-annot"):
         l2.add_argument(f"--{flag}", action="store_true")
     l2.add_argument("--maf", type=float)
     l2.add_argument("--pq-exp", type=float)
     l2.add_argument("--chunk-size", type=int, default=200, dest="chunk")
     l2.add_argument("--sketch", type=int)
     l2.add_argument("--sketch-maf-aware", action="store_true")
-    for flag in ("mmap", "fast-f32", "gpu", "verbose-timing", "no-print-annot", "maf-pre"):  # taken, without effect on results here
+    for flag in ("mmap", "fast-f32", "gpu", "verbose-timing", "maf-pre"):  # taken, without effect on results here
         l2.add_argument(f"--{flag}", action="store_true")
 
     for name in ("h2", "rg"):

@@ -83,14 +83,14 @@ def join_first(left: DataFrame, right: DataFrame, key: str, order: list[Column])
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, n, mean, sd, min, q25, median, q75, max): exact."""
-    parts = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).cast("double").alias("min"), *[F.percentile(c, q).alias(a) for q, a in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))], F.max(c).cast("double").alias("max")) for c in columns]
+    parts = [F.struct(F.lit(name).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).cast("double").alias("min"), *[F.percentile(c, q).alias(a) for q, a in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))], F.max(c).cast("double").alias("max")) for name in columns for c in [F.col(f"`{name}`")]]
     return df.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("s")).select("s.*")
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r) for each pair a <= b in the order of the columns; null where a column doesn't vary."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    parts = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in pairs]
+    parts = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias("r")) for a, b in pairs]
     return df.agg(F.array(*parts).alias("x")).select(F.explode("x").alias("s")).select("s.*")
 
 

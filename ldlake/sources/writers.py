@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,16 +30,55 @@ def write_table(df: DataFrame, path: str, order: list[Column] | None = None, for
     (rows.coalesce(1) if single else rows).write.mode("overwrite").csv(path, sep="\t", header=True, compression="gzip" if compress else "none", quote="", emptyValue="", escape="")
 
 
-def write_by_chromosome(df: DataFrame, path: str, order: list[Column]) -> None:
-    """The same, a folder for each chromosome (CHR=...), sorted inside; the file keeps its CHR column."""
-    rows = df.select(F.col("CHR").alias("_chr"), *_text(df, {}), *[o.alias(f"_o{i}") for i, o in enumerate(order)])
-    rows = rows.repartition("_chr").sortWithinPartitions("_chr", *[f"_o{i}" for i in range(len(order))]).drop(*[f"_o{i}" for i in range(len(order))])
-    rows.withColumnRenamed("_chr", "chromosome").write.mode("overwrite").partitionBy("chromosome").csv(path, sep="\t", header=True, compression="gzip", quote="", emptyValue="", escape="")
+def _move_part(spark: SparkSession, folder: str, path: str) -> bool:
+    """Put the only part file of a folder in the place of ``path``; false if there is none."""
+    jvm = spark.sparkContext._jvm
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/part-*")) or []
+    if len(found) > 1:
+        raise ValueError(f"{folder} has several parts")
+    for part in found:
+        fs.delete(to, True)
+        if not fs.rename(part.getPath(), to):
+            raise OSError(f"{path} can't be written")
+    return bool(found)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def write_file(df: DataFrame, path: str, order: str) -> None:
+    """A table like that of ``write_table``, sorted by a column that isn't written, as one gzip file and not a folder."""
+    write_table(df.orderBy(order).drop(order), f"{path}.parts")
+    _move_part(df.sparkSession, f"{path}.parts", path)
+    _remove(df.sparkSession, f"{path}.parts")
+
+
+def write_by_chromosome(df: DataFrame, prefix: str, suffix: str, order: str, chromosomes: list[int]) -> None:
+    """The same for each chromosome, one gzip file (prefix, number, suffix), sorted inside; without rows just the header."""
+    spark, folder = df.sparkSession, f"{prefix}.parts{suffix}"
+    table = df.drop(order)
+    rows = df.select(F.col("CHR").alias("chromosome"), *_text(table, {}), F.col(order).alias("_o"))
+    rows = rows.repartition("chromosome").sortWithinPartitions("chromosome", "_o").drop("_o")
+    rows.write.mode("overwrite").option("maxRecordsPerFile", 0).partitionBy("chromosome").csv(folder, sep="\t", header=True, compression="gzip", quote="", emptyValue="", escape="")
+    for c in chromosomes:
+        if not _move_part(spark, f"{folder}/chromosome={c}", f"{prefix}{c}{suffix}"):
+            write_text(spark, gzip.compress(("\t".join(table.columns) + "\n").encode()), f"{prefix}{c}{suffix}")
+    _remove(spark, folder)
+
+
+def write_m_by_chromosome(df: DataFrame, names: list[str], prefix: str, suffix: str) -> None:
+    """A file for each row (prefix, CHR, suffix) with one line of tab-joined values."""
+    for r in df.select("CHR", F.concat_ws("\t", *[F.col(f"`{n}`").cast("string") for n in names]).alias("value")).collect():  # rows are chromosomes
+        write_text(df.sparkSession, r["value"] + "\n", f"{prefix}{r['CHR']}{suffix}")
 
 
 def write_m(df: DataFrame, names: list[str], path: str) -> None:
     """One line of tab-joined values out of a one-row table."""
-    df.select(F.concat_ws("\t", *[F.col(n).cast("string") for n in names]).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    df.select(F.concat_ws("\t", *[F.col(f"`{n}`").cast("string") for n in names]).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_text(spark: SparkSession, text: str | bytes, path: str) -> None:

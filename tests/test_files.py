@@ -244,3 +244,29 @@ def test_result_files(spark, tmp_path):
     head, row = text.split("Summary of Genetic Correlation Results\n")[1].splitlines()
     assert head.split()[:3] == ["p1", "p2", "rg"] and row.split()[:2] == [at("x.txt"), at("y.txt")]
     assert row.split()[6:] == [f"{v:.4f}" for v in (found.h2.h2, found.h2.se, found.h2.intercept, found.h2.intercept_se, found.gencov.intercept, found.gencov.intercept_se)]
+
+
+def test_ld_scores_feed_h2(spark, tmp_path):
+    rng = np.random.default_rng(15)
+    g = rng.integers(0, 3, (60, 23)).astype(np.int8)
+    g[3:10] = np.eye(7, 23, dtype=np.int8)  # rare
+    path, out = write_fileset(tmp_path, g), str(tmp_path / "ld")
+    (tmp_path / "print.txt").write_text("".join(f"rs{i}\n" for i in range(30)))
+    got = commands.run_l2(spark, path, out, commands.LdOptions(snps=5))
+    assert [(tmp_path / f"ld{c}.l2.{m}").read_text() for c in (1, 2) for m in ("M", "M_5_50")] == ["30.0\n", "23.0\n", "30.0\n", "30.0\n"]
+    again = readers.read_split(spark, out, ".l2.ldscore").orderBy("_row").collect()
+    assert [r["SNP"] for r in again] == [f"rs{i}" for i in range(60)] and [r["CHR"] for r in again] == ["1"] * 30 + ["2"] * 30
+    assert np.allclose([float(r["L2"]) for r in again], [r["L2"] for r in got["scores"].orderBy("bed_idx").collect()], atol=6e-4)
+    (tmp_path / "s.txt").write_text("SNP\tZ\tN\n" + "".join(f"rs{i}\t{rng.normal():.4f}\t1000\n" for i in range(50)))
+    h = [commands.run_h2(spark, str(tmp_path / "s.txt"), out, out, None, commands.RegressionOptions(n_blocks=10, m=m), True)[0].h2 for m in (None, 53.0, 50.0)]
+    assert h[0] == h[1] != h[2]
+    commands.run_l2(spark, path, out, commands.LdOptions(snps=5, print_snps=str(tmp_path / "print.txt")))
+    assert gzip.open(tmp_path / "ld2.l2.ldscore.gz", "rt").read() == "CHR\tSNP\tBP\tL2\n" and readers.read_split(spark, out, ".l2.ldscore").count() == 30
+    (tmp_path / "v.txt").write_text("".join(f"rs{i} {i / 60}\n" for i in range(60)))
+    for quiet in (True, False):
+        commands.run_l2(spark, path, str(tmp_path / "cts"), commands.LdOptions(snps=5, cts_bin=str(tmp_path / "v.txt"), cts_breaks="0.5", cts_names="V", no_print_annot=quiet))
+        assert (tmp_path / "cts.annot.gz").exists() != quiet
+    lines = gzip.open(tmp_path / "cts.annot.gz", "rt").read().splitlines()
+    assert lines[0] == "CHR\tSNP\tBP\tCM\tV_min_0.5L2\tV_0.5_maxL2" and lines[2] == "1\trs1\t2000\t0.01\t1\t0" and lines[-1].endswith("\t0\t1") and len(lines) == 61
+    assert (tmp_path / "cts2.l2.M").read_text() == "1.0\t29.0\n"
+    assert not list(tmp_path.glob("*.parts*"))
