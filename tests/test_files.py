@@ -270,3 +270,13 @@ def test_ld_scores_feed_h2(spark, tmp_path):
     assert lines[0] == "CHR\tSNP\tBP\tCM\tV_min_0.5L2\tV_0.5_maxL2" and lines[2] == "1\trs1\t2000\t0.01\t1\t0" and lines[-1].endswith("\t0\t1") and len(lines) == 61
     assert (tmp_path / "cts2.l2.M").read_text() == "1.0\t29.0\n"
     assert not list(tmp_path.glob("*.parts*"))
+
+
+@pytest.mark.parametrize("snps", [60, 10_060])
+def test_whole_window_warns_at_every_size(spark, tmp_path, snps):
+    g = np.random.default_rng(17).integers(0, 3, (snps, 4)).astype(np.int8)
+    path = write_fileset(tmp_path, g)
+    (tmp_path / "x.bim").write_text("".join(f"{1 if i < snps - 5 else 2}\trs{i}\t0\t{1000 * (i + 1)}\tA\tC\n" for i in range(snps)))
+    with pytest.warns(UserWarning, match="whole chromosome"):
+        got = commands.run_l2(spark, path, None, commands.LdOptions(snps=6))
+    assert got["scores"].count() == snps
