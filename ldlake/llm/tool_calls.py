@@ -118,6 +118,9 @@ SCHEMAS = {
 def conversation_calls(conversations: DataFrame) -> DataFrame:
     """Every system or user turn of a conversation as a call that depends on its turn 0, the assistant's next turn as its result.
 
+    Real tool calls in assistants' texts and the tools' results (see ``from_messages``) are linked
+    beside them, under their own identifiers; a tool without a schema here is an error, ``unknown tool``.
+    A tool call whose identifier reads like that of a turn (turn0) is taken for the same call.
     Other roles, null ones too, are no calls. A null text gives arguments without text, which is
     an error by the schema.
     """
@@ -129,4 +132,5 @@ def conversation_calls(conversations: DataFrame) -> DataFrame:
         F.when(F.col("turn") > 0, F.array(ident(F.lit(0)))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
     )
     results = rows.where("role = 'assistant'").select("conv", ident(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
-    return link(calls, results, SCHEMAS)
+    more, answers = from_messages(rows)
+    return link(calls.unionByName(more), results.unionByName(answers), SCHEMAS)

@@ -101,6 +101,20 @@ def test_conversations_with_nulls(spark):
     assert got["1", "turn0"]["status"] == "linked" and len(got) == 4
 
 
+def test_conversations_with_real_tool_calls(spark):
+    call = lambda i, deps: {"id": i, "name": "sum", "arguments": {"x": 1}, "depends_on": deps}
+    rows = [
+        (1, 0, "user", "q"), (1, 1, "assistant", json.dumps({"tool_calls": [call("a", []), call("b", ["a"]), call("c", ["b"])]})), (1, 2, "tool", json.dumps({"tool_call_id": "a", "content": "one"})),
+        (1, 3, "tool", json.dumps({"tool_call_id": "z", "content": "?"})), (1, 4, "assistant", '{"tool_calls": 3'), (2, 0, "user", "q"), (2, 1, "tool", None),
+    ]
+    got = {(r["conv"], r["call_id"]): r for r in tool_calls.conversation_calls(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    assert {k: (r["level"], r["status"]) for k, r in got.items()} == {
+        ("1", "turn0"): (0, "linked"), ("1", "turn3"): (None, "orphan"), ("2", "turn0"): (0, "no_result"),
+        ("1", "a"): (0, "linked"), ("1", "b"): (1, "no_result"), ("1", "c"): (2, "no_result"), ("1", "z"): (None, "orphan"),
+    }
+    assert json.loads(got["1", "a"]["record"])["result"] == "one" and json.loads(got["1", "c"]["record"])["depends_on"] == ["b"]
+
+
 # top k
 
 
