@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -83,10 +84,16 @@ def mine(labelled: DataFrame, url: str = "url", block: str = "block", support: f
             left = whole - {LABEL}
             if f / freq[left] >= confidence:
                 rules[left] = (f / freq[left], f / total)
-    kept = [k for k, (c, _) in rules.items() if not any(o < k and rules[o][0] >= c for o in rules)] if len(rules) < 3000 else list(rules)
+    kept = without_implied(rules)
     return sorted((tuple(sorted(k)), *rules[k]) for k in kept)
 
 
+def without_implied(rules: dict[frozenset, tuple[float, float]]) -> list[frozenset]:
+    """The rules that have no shorter one over part of their tokens that is at least as confident."""
+    parts = lambda k: (frozenset(o) for n in range(1, len(k)) for o in combinations(k, n))
+    return [k for k, (c, _) in rules.items() if not any(o in rules and rules[o][0] >= c for o in parts(k))]
+
+
 class Index:
     """Inverted index over mined rules: each is filed under its token that fewest rules have."""
 

@@ -72,6 +72,16 @@ def test_mined_rules(spark):
     assert url_rules.mine(df.limit(0)) == [] and url_rules.judge(pages.limit(0), []).count() == 0
 
 
+def test_implied_rules_go_at_every_size():
+    rng = random.Random(14)
+    for n in (200, 3500):
+        rules = {}
+        while len(rules) < n:
+            rules[frozenset(rng.sample(range(40), rng.randint(1, 3)))] = rng.randint(5, 10) / 10, 0.1
+        want = [k for k, (c, _) in rules.items() if not any(o < k and rules[o][0] >= c for o in rules)]
+        assert url_rules.without_implied(rules) == want and len(want) < n
+
+
 # tool calls
 
 
