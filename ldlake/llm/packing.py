@@ -1,10 +1,15 @@
-"""Best-fit packing by a grouping genetic algorithm.
+"""Best-fit packing by a grouping genetic algorithm on islands.
 
 A chromosome is a set of bins (groups of pieces). Crossover injects the other parent's best filled
 bins whole, drops every bin that holds one of the injected pieces, and places the displaced pieces
-by best fit, largest first. Islands are evolved apart in ``applyInPandas`` groups; between epochs the
-elite (bins that are full enough) is settled, and the pieces of the other bins migrate to new
-islands, where pieces of several islands meet.
+by best fit, largest first. Mutation empties the worst bins and some others.
+
+Pieces are dealt into shards of bounded size, and each shard is packed by several islands. An island is a
+population of its own with its own seed, evolved in a task of its own. After each epoch an island's
+elite, its best chromosome, migrates by a keyed shuffle to the next island of the ring, where it
+takes the place of the worst. At least one generation runs in every epoch; the lower bound on the number of bins only
+ends an epoch early after that. The best chromosome of a shard's islands is taken. Bins
+that stay far from full in some shard are opened once more, and their pieces are packed together.
 """
 
 from __future__ import annotations
@@ -26,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SIZE = 2048
-ISLAND = 12_000
+SHARD = 12_000  # pieces
+ISLANDS, EPOCHS, POPULATION, GENERATIONS = 3, 2, 5, 6
 #: Characters for which the standard library's classes split as the tokenizer's pattern does.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = re.compile(rf"[\t\n\r -~{LETTERS}¡¿«»°€‘’“”–—…]*")
@@ -158,43 +164,116 @@ def crossover(one: list[list[int]], two: list[list[int]], lengths: list[int], si
     return best_fit(kept, loose, lengths, size)
 
 
-def evolve(lengths: list[int], size: int, seed: int, population: int = 4, generations: int = 4) -> list[list[int]]:
-    """The island's best bins: lists of positions in ``lengths``."""
-    rng = random.Random(seed)
+def mutated(bins: list[list[int]], lengths: list[int], size: int, rng: random.Random) -> list[list[int]]:
+    """Empty the least filled bins and as many others, and place their pieces by best fit."""
+    few = max(1, len(bins) // 50)
+    order = sorted(range(len(bins)), key=lambda b: sum(lengths[i] for i in bins[b]))
+    opened = {*order[:few], *rng.sample(range(len(bins)), min(few, len(bins)))}
+    loose = [i for b in opened for i in bins[b]]
+    return best_fit([list(b) for k, b in enumerate(bins) if k not in opened], loose, lengths, size)
+
+
+def founders(lengths: list[int], size: int, rng: random.Random, population: int = POPULATION) -> list[list[list[int]]]:
+    """The first population: best fit, and best fit around pieces that were drawn to open bins."""
     n = range(len(lengths))
-    least = -(-sum(lengths) // size)
     pool = [best_fit([], list(n), lengths, size)]
-    if len(pool[0]) <= least:
-        return pool[0]
-    for _ in range(population - 1):  # other parents: pairs that fill a bin, drawn at random, then best fit
+    for _ in range(population - 1):
         seeds = rng.sample(n, len(lengths) // 4)
         pool.append(best_fit([[i] for i in seeds], sorted(set(n) - set(seeds)), lengths, size))
-    for _ in range(generations):
-        pool.sort(key=lambda b: fitness(b, lengths, size), reverse=True)
+    return pool
+
+
+def evolve(pool: list[list[list[int]]], lengths: list[int], size: int, rng: random.Random, generations: int = GENERATIONS) -> tuple[list[list[list[int]]], int]:
+    """The population after some generations, best first, and how many there were: one at least, less than asked for where the bound is met."""
+    worth = lambda b: fitness(b, lengths, size)
+    least, done = -(-sum(lengths) // size), 0
+    pool = sorted(pool, key=worth, reverse=True)
+    while done < generations:
+        a, b = pool[0], pool[rng.randrange(1, len(pool))] if len(pool) > 1 else pool[0]
+        child = max((crossover(a, b, lengths, size, rng, 0.3), crossover(b, a, lengths, size, rng, 0.5)), key=worth)
+        pool[-1] = max((child, mutated(child, lengths, size, rng)), key=worth)
+        pool.sort(key=worth, reverse=True)
+        done += 1
         if len(pool[0]) <= least:
             break
-        a, b = pool[0], pool[rng.randrange(1, len(pool))]
-        pool[-1] = max((crossover(a, b, lengths, size, rng, 0.3), crossover(b, a, lengths, size, rng, 0.5)), key=lambda x: fitness(x, lengths, size))
-    return max(pool, key=lambda b: fitness(b, lengths, size))
+    return pool, done
+
+
+def _packed(bins: list[list[int]], n: int) -> bytes:
+    """A chromosome as bytes: the bin of each piece."""
+    of = np.zeros(n, np.int32)
+    for b, items in enumerate(bins):
+        of[items] = b
+    return pa.compress(of.tobytes(), codec="zstd", asbytes=True)
+
 
+def _unpacked(data: bytes, n: int) -> list[list[int]]:
+    of = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.int32)
+    out: list[list[int]] = [[] for _ in range(int(of.max(initial=-1)) + 1)]
+    for i, b in enumerate(of.tolist()):
+        out[b].append(i)
+    return out
+
+
+STATE = "shard long, island int, lengths binary, pool array<binary>, elite boolean, bins int, fill double, generations int, migrants int"
 
-def _island(epoch: int, last: bool, size: int, full: float, seed: int):
-    """The function that packs one island; sequence_id is -1 for pieces that migrate."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+def _epoch(epoch: int, islands: int, size: int, seed: int, population: int, generations: int):
+    """One epoch of one island: newcomers take the places of the worst, generations run, the elite leaves for the next island."""
+
+    def run(state: pd.DataFrame) -> pd.DataFrame:
+        own = state[~state["elite"]].iloc[0]
+        shard, island = int(own["shard"]), int(own["island"])
+        lengths = np.frombuffer(own["lengths"], np.int32).tolist()
+        rng = random.Random(f"{seed}/{epoch}/{shard}/{island}")
+        pool = [_unpacked(x, len(lengths)) for x in own["pool"]] or founders(lengths, size, rng, population)
+        come = [_unpacked(x, len(lengths)) for row in state[state["elite"]]["pool"] for x in row]
+        pool = pool[: max(1, len(pool) - len(come))] + come
+        pool, done = evolve(pool, lengths, size, rng, generations)
+        bins, fill = len(pool[0]), fitness(pool[0], lengths, size)[1]
+        packed = [_packed(b, len(lengths)) for b in pool]
+        out = [(shard, island, own["lengths"], packed, False, bins, fill, int(own["generations"]) + done, int(own["migrants"]) + len(come))]
+        if islands > 1:
+            out.append((shard, (island + 1) % islands, b"", packed[:1], True, bins, fill, 0, 0))
+        return pd.DataFrame(out, columns=list(state.columns))
+
+    return run
+
+
+def evolved(pieces: DataFrame, size: int = SIZE, islands: int = ISLANDS, epochs: int = EPOCHS, population: int = POPULATION, generations: int = GENERATIONS, seed: int = 7) -> DataFrame:
+    """The islands' last states (STATE; the best chromosome comes first in ``pool``) for pieces (shard, row, piece, length) shorter than ``size``."""
+
+    def start(frame: pd.DataFrame) -> pd.DataFrame:
+        lengths = frame.sort_values(["row", "piece"])["length"].to_numpy(np.int32).tobytes()
+        return pd.DataFrame({"shard": frame["shard"].iloc[0], "lengths": [lengths]})
+
+    first = pieces.select("shard", "row", "piece", "length").groupBy("shard").applyInPandas(start, "shard long, lengths binary")
+    state = first.select(
+        "shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths", F.array().cast("array<binary>").alias("pool"), F.lit(False).alias("elite"),
+        F.lit(0).alias("bins"), F.lit(0.0).alias("fill"), F.lit(0).alias("generations"), F.lit(0).alias("migrants"),
+    )
+    for epoch in range(epochs):
+        state = state.groupBy("shard", "island").applyInPandas(_epoch(epoch, islands, size, seed, population, generations), STATE)
+    return state.where("not elite")
+
+
+def _place(level: int, last: bool, size: int, full: float):
+    """sequence_id and offset of a shard's pieces by its best chromosome; a full piece is a sequence; -1 for pieces of bins that are opened again."""
+
+    def run(frame: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["row", "piece"]).reset_index(drop=True)
         lengths = frame["length"].tolist()
-        tag = int(frame.pop("island").iloc[0])
-        loose = [i for i, x in enumerate(lengths) if x < size]  # a full piece is a bin
+        tag = int(frame.pop("shard").iloc[0])
+        loose = [i for i, x in enumerate(lengths) if x < size]
         bins = [[i] for i, x in enumerate(lengths) if x >= size]
         if loose:
-            bins += [[loose[i] for i in b] for b in evolve([lengths[i] for i in loose], size, seed * 1000 + epoch * 100 + tag)]
+            bins += [[loose[i] for i in b] for b in _unpacked(best["best"].iloc[0], len(loose))]
         name, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         for b, items in enumerate(bins):
             at = 0
             keep = last or sum(lengths[i] for i in items) >= full * size
             for i in items:
-                name[i] = (epoch << 60) + (tag << 20) + b if keep else -1
+                name[i] = (level << 60) + (tag << 20) + b if keep else -1
                 offset[i] = at
                 at += lengths[i]
         return frame.assign(sequence_id=name, offset=offset)
@@ -202,25 +281,29 @@ def _island(epoch: int, last: bool, size: int, full: float, seed: int):
     return run
 
 
-def pack(pieces: DataFrame, size: int = SIZE, island: int = ISLAND, epochs: int = 2, full: float = 0.995, seed: int = 7) -> DataFrame:
+def pack(pieces: DataFrame, size: int = SIZE, shard: int = SHARD, levels: int = 2, full: float = 0.98, seed: int = 7) -> DataFrame:
     """Add sequence_id and offset to pieces (row, piece, length and any other columns).
 
-    Each epoch deals the pieces by a seeded hash over islands of about ``island`` pieces (their
-    number follows the input). Bins filled to ``full`` are settled, as is everything after the last
-    epoch; the rest migrates. Lengths must lie in 1..size; no piece is dropped. An empty table gives
-    an empty result.
+    Pieces are dealt by a seeded hash over shards of about ``shard`` pieces, whose number follows the
+    input. Bins filled to less than ``full`` are opened after each level but the last, and their pieces
+    are dealt again. Lengths must lie in 1..size; no piece is dropped. Columns named shard, sequence_id
+    or offset are replaced. An empty table gives an empty result.
     """
-    schema = pieces.schema.simpleString()[7:-1]
-    rest, settled = cut(pieces), []
-    for epoch in range(epochs):
+    rest, settled = cut(pieces.drop("shard", "sequence_id", "offset")), []
+    schema = rest.schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id long, offset long"
+    for level in range(levels):
         n = rest.count()
         if not n:
             break
-        islands, last = -(-n // island), epoch == epochs - 1
-
-        dealt = rest.withColumn("island", F.pmod(F.xxhash64(F.lit(seed + epoch), "row", "piece"), F.lit(islands)))
-        done = cut(dealt.groupBy("island").applyInPandas(_island(epoch, last, size, full, seed), f"{schema.replace(':', ' ')}, sequence_id long, offset long"))
+        shards = -(-n // shard)
+        last = level == levels - 1 or shards == 1
+        dealt = rest.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + level), "row", "piece"), F.lit(shards)))
+        islands = evolved(dealt.where(F.col("length") < size), size, seed=seed + level)
+        best = islands.groupBy("shard").agg(F.max_by(F.element_at("pool", 1), F.struct(-F.col("bins"), "fill", -F.col("island"))).alias("best"))
+        done = cut(dealt.groupBy("shard").cogroup(best.groupBy("shard")).applyInPandas(_place(level, last, size, full), schema))
         settled.append(done.where("sequence_id >= 0"))
+        if last:
+            break
         rest = done.where("sequence_id < 0").drop("sequence_id", "offset")
     if not settled:
         return rest.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})

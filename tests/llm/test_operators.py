@@ -190,17 +190,43 @@ def test_cached_ids_are_the_tokenizer_s(text):
 def test_genetic_packing_is_near_the_bound():
     rng = random.Random(3)
     lengths = [rng.randint(300, 1500) for _ in range(1500)]
-    bins = packing.evolve(lengths, 2048, 1)
-    plain = packing.best_fit([], list(range(1500)), lengths, 2048)
+    first = packing.founders(lengths, 2048, random.Random(1))
+    pool, done = packing.evolve(first, lengths, 2048, random.Random(2))
+    bins, plain = pool[0], packing.best_fit([], list(range(1500)), lengths, 2048)
+    assert done == packing.GENERATIONS and packing.fitness(bins, lengths, 2048) > packing.fitness(plain, lengths, 2048)
     assert sorted(i for b in bins for i in b) == list(range(1500)) and all(sum(lengths[i] for i in b) <= 2048 for b in bins)
-    assert len(bins) <= len(plain)
-    child = packing.crossover(plain, bins, lengths, 2048, rng, 0.4)
-    assert sorted(i for b in child for i in b) == list(range(1500))
-
-
-def test_packing_over_islands(spark):
-    rows = [(i, 0, 1 + (i * 7919) % 2048) for i in range(3000)]
-    df = packing.pack(spark.createDataFrame(rows, "row long, piece long, length long"), island=1000, epochs=3)
+    for child in (packing.crossover(plain, bins, lengths, 2048, rng, 0.4), packing.mutated(plain, lengths, 2048, rng)):
+        assert sorted(i for b in child for i in b) == list(range(1500)) and all(sum(lengths[i] for i in b) <= 2048 for b in child)
+    assert packing._unpacked(packing._packed(bins, 1500), 1500) == [sorted(b) for b in bins]
+
+
+def test_genetic_packing_finds_the_optimum_of_small_sets():
+    rng = random.Random(21)
+    for k in range(6):  # cut whole bins, so the optimum is known
+        lengths = []
+        for _ in range(6):
+            at = sorted(rng.sample(range(1, 100), 2))
+            lengths += [at[0], at[1] - at[0], 100 - at[1]]
+        rng.shuffle(lengths)
+        pool, _ = packing.evolve(packing.founders(lengths, 100, random.Random(k)), lengths, 100, random.Random(k), 400)
+        assert 6 <= len(pool[0]) <= 7
+
+
+def test_islands_run_generations_and_send_their_elite(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pieces = cut(packing.tokenised_pieces(docs, queries.tokenizer_path()))
+    dealt = pieces.where("length < 2048").withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(2)))
+    states = packing.evolved(dealt).collect()
+    assert len(states) == 2 * packing.ISLANDS
+    for s in states:
+        assert s["generations"] >= packing.EPOCHS and s["migrants"] == packing.EPOCHS - 1
+    got = check_packing(packing.pack(pieces))
+    assert got.sequence_id.nunique() == -(-int(got.length.sum()) // 2048)  # the bound
+
+
+def test_packing_over_shards(spark):
+    rows = [(i, 0, 1 + (i * 7919) % 2048, "x") for i in range(3000)]
+    df = packing.pack(spark.createDataFrame(rows, "row long, piece long, length long, shard string"), shard=1000)
     got = check_packing(df)
     assert len(got) == 3000 and got.sequence_id.nunique() <= 1.02 * got.length.sum() / 2048 + 2
 
