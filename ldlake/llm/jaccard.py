@@ -1,22 +1,26 @@
 """N-gram Jaccard join in the metric space of shingle sets, exact.
 
-Jaccard distance d is a metric, and two documents link when d <= r. Regions are found in three steps.
-
-Root: the pivots are the shingles, as sets of one: d({t}, x) is 1 - 1/|x| if t is in x, else 1. A
-document lies with its rarest shingles, and its window takes in as many of them as a linked one
-can lack, so linked documents meet at a pivot. (Documents as root pivots tell nothing: two
-texts have distance 1 nearly always, so each window would hold the whole table.) A shingle that one
-set alone has leads nowhere and is dropped; most documents then are in no region at all. Regions that
-share documents are joined to one.
-
-Voronoi: a region with too many documents picks some as pivots. Each document is at home with its
-nearest pivot, and is replicated to each pivot p_i with d(x, p_i) <= d(x, home) + 2r. Cells that are
-still too large are split again; where windows hold everything, a cell is split into a grid of pairs of chunks.
-
-Leaf: pairs are tested on whole sets; the size ratio and |d(x, p) - d(y, p)| <= r for some pivots p
-leave out what can't link. A pair is counted in one cell only, that of the smaller home.
-
-Equal sets are one class from the start. Shingles are 64-bit hashes.
+Jaccard distance d is a metric, and two documents link when d <= r. Equal sets are one class from the
+start (128-bit digests); what follows is about classes, called documents.
+
+Regions: the root pivots are documents. Of each document the rarest shingles are looked at, so many that linked
+ones share one of them (all others have distance 1 to each other as far as links go). Each shingle points to the smallest
+document that has it so, its pivot, and a document lies in the region of each pivot its shingles point to.
+Linked documents share a shingle, so they share a pivot; no region is closed transitively, and
+copies, which share most shingles, share few pivots. A shingle that one document alone has leads nowhere and
+is dropped; most documents are in no region. (Pivots drawn from all documents tell nothing here: two
+texts have distance 1 nearly always, so each window of a pivot would hold the whole table.)
+
+Voronoi: a region picks some of its documents as pivots. Each document is at home with its
+nearest pivot, and is replicated to each pivot p with d(x, p) <= d(x, home) + 2r. Cells are split
+again: those that are too large for a task by a shuffle, others inside the task. Cells of a few
+documents, and those whose windows hold nearly all, are leaves; a leaf too large for a task is a grid of pairs of chunks.
+
+Leaf: pairs are tested on whole sets; the size ratio and |d(x, p) - d(y, p)| <= r for the pivots leave
+out what can't link. A pair counts in one cell only: in its smallest common region, and there in
+the cell of the smaller home.
+
+Shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,8 +39,10 @@ from .suffixes import _ddl, _expand, _squeeze, _table
 
 BLOCK, BUCKET = 4_000_000, 12_000_000
 PIECE = 1 << 18  # bytes of texts that are hashed at a time
-CELL, PIVOTS, ROUNDS = 1500, 32, 3
+CELL, CELL_BYTES, PIVOTS, ROUNDS = 1500, 16_000_000, 32, 3  # a cell that is larger is split over tasks
+LEAF, TASK_BYTES = 24, 8_000_000  # a smaller cell isn't split; cells that a task takes together
 BROADCAST_ROWS = 10_000  # of two numbers each
+LOW = np.iinfo(np.int64).min
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -112,10 +118,11 @@ def _sets_of_piece(raw: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]
     return out
 
 
-NAMED = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-ANSWER = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
-SETS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("rep", pa.int64()), ("weight", pa.int64()), ("tokens", pa.binary()), ("shingles", pa.binary())])
-EDGES = pa.schema([("doc", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
+_fields = lambda **f: pa.schema([(k, {"i": pa.int32(), "l": pa.int64(), "b": pa.binary(), "a": pa.list_(pa.int64())}[v]) for k, v in f.items()])
+NAMED = _fields(bucket="i", block="i", kind="i", n="l", a="b", b="b", c="b", d="b", e="b")
+ANSWER = _fields(block="i", bucket="i", kind="i", n="l", a="b", b="b", c="b")
+SETS = _fields(block="i", row="l", doc_id="l", h="l", n="l", rep="l", least="l", weight="l", tokens="b", shingles="b")
+EDGES = _fields(least="l", doc="l", root_least="l", root="l", links="l")
 
 
 class Block:
@@ -123,12 +130,14 @@ class Block:
 
     def __init__(self, t: pa.Table, k: int, bits: int, buckets: int):
         t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        self.ids = t.column("doc_id").to_numpy()
+        self.ids, self.hashes = t.column("doc_id").to_numpy(), t.column("h").to_numpy()
+        self.rows = (np.int64(t.column("block")[0].as_py()) << 32) + np.arange(len(self.ids))
         self.sets = shingle_sets(*utf8(t.column("text")), k)
         self.sizes = np.fromiter(map(len, self.sets), np.int64, len(self.sets))
-        digest = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in self.sets]
-        self.digests, self.first, self.of, self.count = np.unique(np.array(digest, np.int64), return_index=True, return_inverse=True, return_counts=True)
-        self.digest_edges = np.searchsorted(self._bucket(self.digests.view(np.uint64) ^ np.uint64(1 << 63), 64, buckets), np.arange(buckets + 1))
+        digest = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in self.sets)
+        digest = np.frombuffer(digest, [("high", "<u8"), ("low", "<u8")])
+        self.digests, self.first, self.of, self.count = np.unique(digest, return_index=True, return_inverse=True, return_counts=True)
+        self.digest_edges = np.searchsorted(self._bucket(self.digests["high"], 64, buckets), np.arange(buckets + 1))
         own = [self.sets[i] for i in self.first]
         every = np.concatenate(own) >> np.uint64(64 - bits) if own else np.zeros(0, np.uint64)
         self.keys, self.key_of, self.key_count = np.unique(every, return_inverse=True, return_counts=True)
@@ -140,36 +149,40 @@ class Block:
         return ((x >> np.uint64(bits - 30)).astype(np.int64) * buckets) >> 30
 
     def named(self):
-        """(bucket, kind, n, arrays): counts of shingle keys, smallest id and count of digests."""
+        """(bucket, kind, n, arrays): counts of shingle keys; of digests first row, its id, and count."""
         for b, (x, y) in enumerate(zip(self.key_edges, self.key_edges[1:])):
             if x < y:
-                yield b, 0, y - x, (self.keys[x:y].astype(np.int64), self.key_count[x:y], None)
+                yield b, 0, y - x, (self.keys[x:y], self.key_count[x:y], None, None, None)
         for b, (x, y) in enumerate(zip(self.digest_edges, self.digest_edges[1:])):
             if x < y:
-                yield b, 1, y - x, (self.digests[x:y], self.ids[self.first[x:y]], self.count[x:y])
+                first = self.first[x:y]
+                yield b, 1, y - x, (self.digests["high"][x:y], self.digests["low"][x:y], self.rows[first], self.ids[first], self.count[x:y])
 
 
 def _summed(t: pa.Table) -> pa.Table:
-    """Of each bucket: documents for each key; smallest id and count for each digest."""
+    """Of each bucket: documents for each key; first row, its id and count for each digest."""
     out: dict[str, list] = {f.name: [] for f in ANSWER}
     for kind in (0, 1):
         rows = t.filter(pc.equal(t.column("kind"), kind)).to_pylist()
         if not rows:
             continue
-        a, b = (np.concatenate([_expand(r[c], r["n"]) for r in rows]) for c in "ab")
-        value, of = np.unique(a, return_inverse=True)
+        a, b, *more = (np.concatenate([_expand(r[c], r["n"]) for r in rows]) for c in ("ab", "abcde")[kind])
         if kind == 0:
-            total = np.bincount(of, b, value.size).astype(np.int64)[of]
-            answers = (total,)
+            value, of = np.unique(a, return_inverse=True)
+            answers = (np.bincount(of, b, value.size).astype(np.int64)[of],)
         else:
-            least = np.full(value.size, np.iinfo(np.int64).max)
-            np.minimum.at(least, of, b)
-            count = np.bincount(of, np.concatenate([_expand(r["c"], r["n"]) for r in rows]), value.size).astype(np.int64)
-            answers = (least[of], count[of])
+            row, doc, count = more
+            order = np.lexsort((row, doc, b, a))
+            new = np.ones(order.size, bool)
+            new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+            group = np.zeros(order.size, np.int64)
+            group[order] = np.cumsum(new) - 1
+            first = order[new]
+            answers = (row[first][group], doc[first][group], np.bincount(group, count).astype(np.int64)[group])
         at = 0
         for r in rows:
-            parts = [_squeeze(x[at : at + r["n"]]) for x in answers] + [None]
-            for name, x in zip(out, (r["block"], r["bucket"], kind, r["n"], parts[0], parts[1])):
+            parts = [_squeeze(x[at : at + r["n"]]) for x in answers] + [None, None]
+            for name, x in zip(out, (r["block"], r["bucket"], kind, r["n"], *parts)):
                 out[name].append(x)
             at += r["n"]
     return _table(out, ANSWER)
@@ -180,13 +193,13 @@ def _least_common(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """SETS for each row: size, representative, class size; tokens and shingles for representatives that may link."""
-    low = np.iinfo(np.int64).min
-    src = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(low)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    """SETS for each row: size, class (first row, smallest id, size); tokens and shingles for first rows that may link."""
+    src = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LOW)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     total = src.agg(F.sum(F.octet_length("text"))).first()[0]
     blocks, buckets = n_parts(total, part_bytes(total, BLOCK)), n_parts(total, part_bytes(total, BUCKET))
     bits = min(56, max(34, int(total or 0).bit_length() + 5))  # keys only order shingles by their counts
-    src = src.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.lit(blocks)).cast("int"))
+    src = src.withColumn("h", F.xxhash64("text"))
+    src = src.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "doc_id", "h"), F.lit(blocks)).cast("int"))
 
     def name(t: pa.Table) -> pa.Table:
         out: dict[str, list] = {f.name: [] for f in NAMED}
@@ -202,23 +215,25 @@ def document_sets(docs: DataFrame, key: str, text: str, k: int, percent: int) ->
             number = t.column("block")[0].as_py()
             block = Block(t, k, bits, buckets)
             count = np.ones(block.keys.size, np.int64)
-            rep, weight = np.zeros(block.digests.size, np.int64), np.zeros(block.digests.size, np.int64)
+            rep, least, weight = (np.zeros(block.digests.size, np.int64) for _ in range(3))
             for r in answers.to_pylist():
                 if r["kind"] == 0:
                     count[block.key_edges[r["bucket"]] : block.key_edges[r["bucket"] + 1]] = _expand(r["a"], r["n"])
                 else:
                     at = slice(block.digest_edges[r["bucket"]], block.digest_edges[r["bucket"] + 1])
-                    rep[at], weight[at] = _expand(r["a"], r["n"]), _expand(r["b"], r["n"])
-            for i, (doc, n, c) in enumerate(zip(block.ids.tolist(), block.sizes.tolist(), block.of.tolist())):
+                    rep[at], least[at], weight[at] = (_expand(r[c], r["n"]) for c in "abc")
+            for i, (row, doc, h, n, c) in enumerate(zip(block.rows.tolist(), block.ids.tolist(), block.hashes.tolist(), block.sizes.tolist(), block.of.tolist())):
                 tokens = shingles = None
-                if block.first[c] == i and rep[c] == doc and n:
+                first = rep[c] == row
+                if first and n:
                     mine = block.sets[i]
                     often = count[block.key_of[block.at[c] : block.at[c] + n]]
                     window = np.lexsort((mine, often))[: n - int(_least_common(np.int64(n), percent)) + 1]
                     window = window[often[window] > 1]
                     if window.size:
                         tokens, shingles = mine[window].tobytes(), mine.tobytes()
-                for name_, x in zip(out, ((number << 32) + i, doc, n, int(rep[c]), int(weight[c]), tokens, shingles)):
+                whose = (int(rep[c]), int(least[c]), int(weight[c])) if n else (row, doc, 1)
+                for name_, x in zip(out, (number, row, doc, h, n, *whose, tokens, shingles)):
                     out[name_].append(x)
         return _table(out, SETS)
 
@@ -235,144 +250,194 @@ def _explode_tokens(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(docs)], ["token", "doc"])
 
 
-def overlaps(sets: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
-    """Size of the intersection of each set (row) with each pivot."""
-    every, at = np.concatenate([*sets, np.zeros(1, np.uint64)]), np.cumsum([0, *map(len, sets)])[:-1]
-    out = np.zeros((len(sets), len(pivots)), np.int64)
-    for j, p in enumerate(pivots):
-        place = np.minimum(np.searchsorted(p, every), max(p.size - 1, 0))
-        hit = p[place] == every if p.size else np.zeros(every.size, bool)
-        hit[-1] = False
-        out[:, j] = np.add.reduceat(hit.astype(np.int64), at)
-    return out
-
-
-def linked_pairs(sets: list[np.ndarray], allowed, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs i < j of non-empty sets with 100 * common >= percent * union for which allowed(i, js) holds."""
-    n = np.fromiter(map(len, sets), np.int64, len(sets))
-    m = n.size
-    order = np.argsort(n, kind="stable")
-    some = [sets[i] for i in order[:: max(1, m // 4)][:4]]
-    common = overlaps(sets, some)
-    size = np.array([len(p) for p in some])
-    distance = 1 - common / (n[:, None] + size[None, :] - common)
-    r = 1 - percent / 100 + 1e-9
-    token, of = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(m), n)
-    by_token = np.argsort(of, kind="stable")
-    posting, edge = owner[by_token], np.searchsorted(of[by_token], np.arange(token.size + 1))
-    at = np.concatenate([[0], np.cumsum(n)])
-    left, right = [], []
-    for i in range(m - 1):
-        js = np.arange(i + 1, m)
-        ok = (100 * np.minimum(n[i], n[js]) >= percent * np.maximum(n[i], n[js])) & (np.abs(distance[js] - distance[i]).max(1) <= r)
-        js = js[ok]
-        if js.size:
-            js = js[allowed(i, js)]
-        if not js.size:
-            continue
-        mine = of[at[i] : at[i + 1]]
-        begin, width = edge[mine], edge[mine + 1] - edge[mine]
-        places = np.repeat(begin - (np.cumsum(width) - width), width) + np.arange(width.sum())
-        both = np.bincount(posting[places], minlength=m)[js]
-        js = js[100 * both >= percent * (n[i] + n[js] - both)]
-        left.append(np.full(js.size, i))
-        right.append(js)
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _leaf(percent: int):
-    """Join a cell: for each document its local root and the weight of what it links to here."""
+def regions(able: DataFrame) -> DataFrame:
+    """(doc, roots): the pivots whose regions a document lies in, ascending; documents in no region are left out."""
+    tokens = able.select("doc", "tokens").mapInArrow(lambda it: _explode_tokens(b for b in it), "token long, doc long")
+    pivots = tokens.groupBy("token").agg(F.min("doc").alias("root"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return tokens.join(pivots, "token").select("doc", "root").distinct().groupBy("doc").agg(F.array_sort(F.collect_list("root")).alias("roots"))
+
+
+class Space:
+    """The documents of a cell, their shingles as small numbers: overlaps with one of them are sums of flags."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.size = np.fromiter(map(len, sets), np.int64, len(sets))
+        token, of = np.unique(np.concatenate(sets), return_inverse=True)
+        self.of = np.split(of, np.cumsum(self.size)[:-1])
+        self.flag = np.zeros(token.size, np.int32)
+        self.percent, self.r = percent, 1 - percent / 100 + 1e-9
+
+    def flat(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.size[index]
+        return np.concatenate([self.of[i] for i in index.tolist()]), np.cumsum(n) - n
+
+    def common(self, i: int, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Size of the intersection of document ``i`` with each of those in ``flat``."""
+        self.flag[self.of[i]] = 1
+        out = np.add.reduceat(self.flag[flat], at)
+        self.flag[self.of[i]] = 0
+        return out
+
+    def distances(self, index: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pivots among the documents of ``index``, each more than 2r from the others, and all distances to them."""
+        flat, at = self.flat(index)
+        pivots, columns = [], []
+        for k in dict.fromkeys(np.linspace(0, index.size - 1, most).astype(int).tolist()):
+            if all(c[k] > 2 * self.r for c in columns):
+                both = self.common(index[k], flat, at)
+                columns.append(1 - both / (self.size[index] + self.size[index[k]] - both))
+                pivots.append(index[k])
+        return np.array(pivots), np.stack(columns, 1)
+
+    def pairs(self, index: np.ndarray, tests: list, label: np.ndarray | None, depth: int = 0):
+        """Yield (i, js): linked pairs of ``index`` that pass the tests; with ``label`` only those between different labels.
+
+        The Voronoi cells of the pivots are joined one by one, each like this one.
+        """
+        index = index[np.argsort(self.size[index], kind="stable")]
+        if label is not None and (label[index] == label[index[0]]).all():
+            return
+        distance = None
+        if index.size > LEAF:
+            pivots, distance = self.distances(index, max(2, int(index.size**0.5)))
+            near = distance <= distance.min(1)[:, None] + 2 * self.r
+            if depth < 12 and pivots.size > 1 and near.sum(0).max() <= 0.7 * index.size:
+                home = np.full(self.size.size, -1)
+                home[index] = distance.argmin(1)
+                for j in range(pivots.size):
+                    mine = index[near[:, j]]
+                    if mine.size > 1:
+                        yield from self.pairs(mine, [*tests, lambda i, js, j=j: np.minimum(home[i], home[js]) == j], label, depth + 1)
+                return
+        flat, at = self.flat(index)
+        ends = np.append(at[1:], flat.size)
+        n = self.size[index]
+        upto = np.searchsorted(n, n * 100 // self.percent, side="right")
+        for k, i in enumerate(index.tolist()):
+            low, high = k + 1, int(upto[k])
+            if low >= high:
+                continue
+            js = index[low:high]
+            may = np.ones(js.size, bool)
+            if distance is not None:
+                may = (np.abs(distance[low:high] - distance[k]) <= self.r).all(1)
+            if label is not None:
+                may &= label[js] != label[i]
+            for test in tests:
+                if may.any():
+                    may[may] = test(i, js[may])
+            if not may.any():
+                continue
+            if may.sum() * 4 < js.size:
+                js = js[may]
+                both = self.common(i, *self.flat(js))
+            else:
+                both = self.common(i, flat[at[low] : ends[high - 1]], at[low:high] - at[low])[may]
+                js = js[may]
+            js = js[100 * both >= self.percent * (self.size[i] + self.size[js] - both)]
+            if js.size:
+                yield i, js
+
+
+def _join_cell(t: pa.Table, percent: int, counted: bool) -> tuple:
+    """Columns of EDGES for a cell: for each document that links its local root and the weight of what it links to here."""
+    least, docs = t.column("least").to_numpy(), t.column("doc").to_numpy()
+    weight, sets = t.column("weight").to_numpy(), [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+    tests, m = [], docs.size
+    root, cells, grid = (t.column(c)[0].as_py() for c in ("root", "cells", "grid"))
+    # a pair that shares a smaller root meets there
+    before: dict[int, list[int]] = {}
+    roots = t.column("roots").to_pylist()
+    for i, mine in enumerate(roots):
+        for x in mine:
+            if x >= root:
+                break
+            before.setdefault(x, []).append(i)
+    others = {x: np.array(who) for x, who in before.items() if len(who) > 1}
+    if others:
+        def first_here(i, js):
+            met = np.zeros(m, bool)
+            for x in roots[i]:
+                if x in others:
+                    met[others[x]] = True
+            return ~met[js]
+
+        tests.append(first_here)
+    if cells:
+        parts = np.array(t.column("parts").to_pylist(), np.int64).reshape(m, -1)
+        for level, c in enumerate(cells):
+            tests.append(lambda i, js, p=parts[:, level], c=c: np.minimum(p[i], p[js]) == c)
+    if grid is not None:
+        chunk = t.column("chunk").to_numpy()
+        tests.append(lambda i, js: (np.minimum(chunk[i], chunk[js]) == grid[0]) & (np.maximum(chunk[i], chunk[js]) == grid[1]))
+    label, links, linked = np.arange(m), np.zeros(m, np.int64), np.zeros(m, bool)
+    for i, js in Space(sets, percent).pairs(np.arange(m), tests, None if counted else label):
+        links[i] += weight[js].sum()
+        links[js] += weight[i]
+        linked[i] = linked[js] = True
+        joined = np.unique(np.append(label[js], label[i]))
+        if joined.size > 1:
+            label[np.isin(label, joined)] = joined[0]
+    return tuple(x[linked] for x in (least, docs, least[label], docs[label], links))
+
+
+def _leaves(percent: int, counted: bool):
+    """Join the cells of a task, one after the other."""
 
     def run(t: pa.Table) -> pa.Table:
-        docs, weight = t.column("doc").to_numpy(), t.column("weight").to_numpy()
-        order = np.argsort(docs)
-        docs, weight = docs[order], weight[order]
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").take(pa.array(order)).to_pylist()]
-        cell = [c for c in t.column("cells")[0].as_py()]
-        parts = np.array(t.column("parts").take(pa.array(order)).to_pylist(), np.int64).reshape(len(docs), -1)
-        grid = t.column("grid")[0].as_py()
-        chunk = t.column("chunk").to_numpy()[order]
-
-        def allowed(i, js):
-            ok = np.ones(js.size, bool)
-            for level, c in enumerate(cell):
-                ok &= np.minimum(parts[i, level], parts[js, level]) == c
-            if grid is not None:
-                ok &= (np.minimum(chunk[i], chunk[js]) == grid[0]) & (np.maximum(chunk[i], chunk[js]) == grid[1])
-            return ok
-
-        a, b = linked_pairs(sets, allowed, percent)
-        links = np.bincount(a, weight[b], docs.size) + np.bincount(b, weight[a], docs.size)
-        root = list(range(docs.size))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for x, y in zip(a.tolist(), b.tolist()):
-            x, y = find(x), find(y)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-        top = docs[[find(i) for i in range(docs.size)]] if docs.size else docs
-        use = links > 0
-        return pa.table([pa.array(docs[use]), pa.array(top[use]), pa.array(links[use].astype(np.int64))], schema=EDGES)
+        t = t.sort_by([("cell", "ascending"), ("least", "ascending"), ("doc", "ascending")])
+        cell = t.column("cell").to_numpy()
+        edges = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), cell.size]
+        got = [_join_cell(t.slice(a, z - a), percent, counted) for a, z in zip(edges, edges[1:]) if z - a > 1]
+        columns = [np.concatenate(c) for c in zip(*got)] if got else [np.zeros(0, np.int64)] * len(EDGES)
+        return pa.table([pa.array(c.astype(np.int64)) for c in columns], schema=EDGES)
 
     return run
 
 
-def _apart(pivots: list[np.ndarray], least: float) -> list[np.ndarray]:
-    """Pivots more than ``least`` from those before them: nearer ones would have the same documents in their windows."""
-    kept: list[np.ndarray] = []
-    for p in pivots:
-        if kept:
-            common = overlaps(kept, [p])[:, 0]
-            size = np.array([x.size for x in kept])
-            if (1 - common / (size + p.size - common)).min() <= least:
-                continue
-        kept.append(p)
-    return kept
+MEMBERS = _fields(cell="l", root="l", least="l", doc="l", weight="l", roots="a", shingles="b", cells="a", parts="a", parent="l")
 
 
 def _assign(percent: int):
     """Give each document its home among the cell's pivots and the cells whose window it lies in."""
-    schema = pa.schema([("cell", pa.int64()), ("doc", pa.int64()), ("weight", pa.int64()), ("shingles", pa.binary()), ("cells", pa.list_(pa.int64())), ("parts", pa.list_(pa.int64())), ("parent", pa.int64())])
 
     def run(t: pa.Table, p: pa.Table) -> pa.Table:
-        out: dict[str, list] = {f.name: [] for f in schema}
-        if t.num_rows and p.num_rows:
-            p = p.sort_by("doc")
-            raw = t.column("shingles").to_pylist()
-            sets = [np.frombuffer(x, np.uint64) for x in raw]
-            pivots = _apart([np.frombuffer(x, np.uint64) for x in p.column("shingles").to_pylist()], 2 * (1 - percent / 100) + 1e-9)
-            common = overlaps(sets, pivots)
-            n, size = np.array([x.size for x in sets]), np.array([x.size for x in pivots])
-            distance = 1 - common / (n[:, None] + size[None, :] - common)
-            home = distance.argmin(1)
-            near = distance <= distance.min(1)[:, None] + 2 * (1 - percent / 100) + 1e-9
-            rows = zip(t.column("cell").to_pylist(), t.column("doc").to_pylist(), t.column("weight").to_pylist(), raw, t.column("cells").to_pylist(), t.column("parts").to_pylist(), t.column("size").to_pylist())
-            for i, (cell, doc, weight, data, cells, parts, many) in enumerate(rows):
-                for j in np.flatnonzero(near[i]).tolist():
-                    new = int.from_bytes(hashlib.blake2b(f"{cell}/{len(cells)}/{j}".encode(), digest_size=8).digest(), "little", signed=True)
-                    for name, x in zip(out, (new, doc, weight, data, cells + [j], parts + [int(home[i])], many)):
-                        out[name].append(x)
-        return _table(out, schema)
-
-    return run, "cell long, doc long, weight long, shingles binary, cells array<long>, parts array<long>, parent long"
+        if not t.num_rows or not p.num_rows:
+            return MEMBERS.empty_table()
+        p = p.sort_by("doc")
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist() + p.column("shingles").to_pylist()]
+        space, m = Space(sets, percent), t.num_rows
+        flat, at = space.flat(np.arange(len(sets)))
+        columns: list[np.ndarray] = []
+        for k in range(m, len(sets)):
+            if all(c[k] > 2 * space.r for c in columns):
+                both = space.common(k, flat, at)
+                columns.append(1 - both / (space.size + space.size[k] - both))
+        distance = np.stack(columns, 1)[:m]
+        home = distance.argmin(1)
+        who, where = np.nonzero(distance <= distance.min(1)[:, None] + 2 * space.r)
+        cells, parts, cell = t.column("cells")[0].as_py(), t.column("parts").to_pylist(), t.column("cell")[0].as_py()
+        name = [int.from_bytes(hashlib.blake2b(f"{cell}/{len(cells)}/{j}".encode(), digest_size=8).digest(), "little", signed=True) for j in range(distance.shape[1])]
+        out = t.take(pa.array(who))
+        new = {
+            "cell": pa.array([name[j] for j in where], pa.int64()), "cells": pa.array([cells + [int(j)] for j in where], pa.list_(pa.int64())),
+            "parts": pa.array([parts[i] + [int(home[i])] for i in who], pa.list_(pa.int64())), "parent": out.column("size"),
+        }
+        return pa.table([new[c] if c in new else out.column(c) for c in MEMBERS.names], MEMBERS.names).cast(MEMBERS)
+
+    return run
 
 
 def split_cells(members: DataFrame, percent: int, cell: int = CELL, pivots: int = PIVOTS, rounds: int = ROUNDS) -> DataFrame:
-    """Members (cell, doc, weight, shingles) with cells, parts, grid, chunk: no leaf has more than about 2 * ``cell`` documents."""
+    """Members (cell, root, least, doc, weight, roots, shingles) with cells, parts, grid, chunk: no cell has more than about 2 * ``cell`` documents or CELL_BYTES."""
     now = members.withColumns({"cells": F.array().cast("array<long>"), "parts": F.array().cast("array<long>"), "parent": F.lit(None).cast("long")})
     done = []
-    columns = ["cell", "doc", "weight", "shingles", "cells", "parts"]
+    columns = ["cell", "root", "least", "doc", "weight", "roots", "shingles", "cells", "parts"]
     whole = {"grid": F.lit(None).cast("array<long>"), "chunk": F.lit(0).cast("long")}
     for level in range(rounds + 1):
-        sizes = cut(now.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > cell))
+        sizes = now.groupBy("cell").agg(F.count("*").alias("size"), F.sum(F.octet_length("shingles")).alias("bytes"))
+        sizes = sizes.withColumn("of", F.greatest(F.ceil(F.col("size") / cell), F.ceil(F.col("bytes") / CELL_BYTES)))
+        sizes = cut(sizes.where("of > 1").drop("bytes"))
         n = sizes.count()
         if not n:
             done.append(now.select(*columns).withColumns(whole))
@@ -383,36 +448,68 @@ def split_cells(members: DataFrame, percent: int, cell: int = CELL, pivots: int
         done.append(sized.where(~large).select(*columns).withColumns(whole))
         # stuck: the windows took in nearly everything; then pairs of chunks
         stuck = F.lit(True) if level == rounds else F.col("size") > 0.7 * F.coalesce("parent", F.col("size") * 2)
-        grid = sized.where(large & stuck).withColumn("of", F.ceil(F.col("size") / cell))
+        grid = sized.where(large & stuck)
         grid = grid.withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "doc"), "of")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
         grid = grid.withColumn("grid", F.array(F.least("chunk", "other"), F.greatest("chunk", "other")))
         done.append(grid.withColumn("cell", F.xxhash64("cell", "grid")).select(*columns, "grid", "chunk"))
         if level == rounds:
             break
-        rest = sized.where(large & ~stuck).drop("parent").withColumn("of", F.ceil(F.col("size") / cell))
+        rest = sized.where(large & ~stuck).drop("parent")
         order = F.xxhash64(F.lit("pivot"), F.lit(level), "doc")
         found = rest.groupBy("cell", F.pmod(order, F.lit(pivots)).alias("slot")).agg(F.min(F.struct(order.alias("o"), "doc", "shingles")).alias("p"), F.max("of").alias("of"))
         found = found.select(F.col("cell").alias("pivot_cell"), F.col("p.doc").alias("doc"), F.col("p.shingles").alias("shingles"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("pivot_chunk"))
         rest = rest.withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "doc"), "of"))
-        run, ddl = _assign(percent)
-        now = cut(rest.groupBy("cell", "chunk").cogroup(found.groupBy("pivot_cell", "pivot_chunk")).applyInArrow(run, ddl))
+        now = cut(rest.groupBy("cell", "chunk").cogroup(found.groupBy("pivot_cell", "pivot_chunk")).applyInArrow(_assign(percent), _ddl(MEMBERS)))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return out
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without those that a smaller doc_id of their component stands for.
+def _classes(docs: DataFrame, key: str, text: str, k: int, percent: int, cell: int, counted: bool) -> DataFrame:
+    """SETS without tokens and shingles, and for each row: component (its smallest id), head (its first row), links."""
+    sets = cut(document_sets(docs, key, text, k, percent))
+    able = sets.where("shingles is not null").select("least", F.col("row").alias("doc"), "weight", "tokens", "shingles")
+    members = cut(able.drop("tokens").join(regions(able), "doc"))
+    total = members.agg(F.sum(F.octet_length("shingles") * F.size("roots"))).first()[0]
+    placed = members.withColumn("root", F.explode("roots")).withColumn("cell", F.col("root"))
+    tasks = n_parts(total, TASK_BYTES, 8)
+    leaves = split_cells(placed, percent, cell).withColumn("task", F.pmod(F.xxhash64(F.lit("task"), "cell"), F.lit(tasks)))
+    found = cut(leaves.groupBy("task").applyInArrow(_leaves(percent, counted), _ddl(EDGES)))
+    links = found.groupBy("doc").agg(F.sum("links").alias("links"))
+    # nodes go by their smallest id, so a component's root has the smallest of all
+    roots = components(found.select(F.struct("least", "doc").alias("u"), F.struct(F.col("root_least").alias("least"), F.col("root").alias("doc")).alias("v")))
+    classes = roots.select(F.col("node.doc").alias("doc"), F.col("root.least").alias("component"), F.col("root.doc").alias("head")).join(links, "doc").withColumnRenamed("doc", "rep")
+    # a class is asked for once by each block, and told by block: copies of one text don't meet in a task
+    rows = sets.drop("tokens", "shingles")
+    asked = rows.select("block", "rep").distinct().join(classes, "rep")
+    return rows.join(asked, ["block", "rep"], "left").withColumns({"component": F.coalesce("component", "least"), "head": F.coalesce("head", "rep"), "links": F.coalesce("links", F.lit(0).cast("long"))})
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, cell: int = CELL) -> DataFrame:
+    """The rows of docs without those that another row of their component stands for: the one with the smallest doc_id.
 
-    Of rows that are wholly equal one stays. Rows without words are in no group and stay.
+    Links are between rows, so rows that share a doc_id are judged by their texts. A null id counts as
+    the smallest. Rows without words are in no group and all stay. Columns of docs may have any names.
     """
-    got = cut(join(docs, key, text, k, percent).select("doc_id", "component_id"))
-    gone = got.where("component_id is null or doc_id != component_id").where("doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
-    if got.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.distinct()
+    got = _classes(docs, key, text, k, percent, cell, False)
+    got = got.withColumn("stays", (F.col("n") == 0) | (F.col("row") == F.col("head")))
+    texts = cut(got.groupBy("doc_id", "h").agg(F.max("stays").alias("stays"), F.count_if(F.col("n") > 0).alias("copies")).where("not stays or copies > 1"))
+    a, b = _free(docs, "_near_id"), _free(docs, "_near_hash")
+    rows = docs.withColumns({a: F.coalesce(F.col(key).cast("long"), F.lit(LOW)), b: F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))})
+    named = texts.toDF(a, b, "stays", "copies").select(a, b, "stays")
+    # rows of one id and one text, of which one stays, are few; the others need no grouping
+    kept = rows.join(named.select(a, b), [a, b], "left_anti")
+    if not named.where("stays").isEmpty():
+        kept = kept.unionByName(rows.join(named.where("stays").select(a, b), [a, b], "left_semi").dropDuplicates([a, b]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, cell: int = CELL) -> DataFrame:
@@ -421,27 +518,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p
     Two rows link when ``100 * |A and B| >= percent * |A or B|`` for their sets of k-word shingles.
     component_id is the smallest doc_id reachable by links; n_links counts the rows a row links
     to. Rows without words or text have an empty set and no links. Rows that share a doc_id are
-    linked like others, and a null id counts as the smallest but comes back as null (as component too). An empty table gives an
+    different rows, and are linked by their texts like others. A null id counts as the smallest but comes back as null (as component too). An empty table gives an
     empty result. Other columns of docs take no part.
     """
-    sets = cut(document_sets(docs, key, text, k, percent))
-    able = sets.where("shingles is not null").select(F.col("doc_id").alias("doc"), "weight", "tokens", "shingles")
-    tokens = able.select("doc", "tokens").mapInArrow(lambda it: _explode_tokens(b for b in it), "token long, doc long")
-    heads = tokens.groupBy("token").agg(F.min("doc").alias("head"), F.count("*").alias("n")).where("n > 1")
-    met = tokens.join(heads, "token").select(F.col("doc").alias("u"), F.col("head").alias("v")).distinct()
-    regions = components(cut(met))
-    members = able.join(regions.withColumnRenamed("node", "doc"), "doc").select(F.col("root").alias("cell"), "doc", "weight", "shingles")
-    leaves = split_cells(cut(members), percent, cell)
-    found = cut(leaves.groupBy("cell").applyInArrow(_leaf(percent), _ddl(EDGES)))
-    links = found.groupBy("doc").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("doc").alias("u"), F.col("root").alias("v")))
-    classes = links.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumnRenamed("doc", "rep")
-    low = F.lit(np.iinfo(np.int64).min)
-    out = sets.select("doc_id", "n", "rep", "weight").join(classes, "rep", "left")
-    ident = lambda c: F.when(c != low, c)
+    out = _classes(docs, key, text, k, percent, cell, True)
+    ident = lambda c: F.when(F.col(c) != F.lit(LOW), F.col(c))
     alone = F.col("n") == 0
     return out.select(
-        ident(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"),
-        ident(F.when(alone, F.col("doc_id")).otherwise(F.coalesce("root", "rep"))).alias("component_id"),
-        F.when(alone, F.lit(0)).otherwise(F.col("weight") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
+        ident("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), ident("component").alias("component_id"),
+        F.when(alone, F.lit(0)).otherwise(F.col("weight") - 1 + F.col("links")).cast("long").alias("n_links"),
     )

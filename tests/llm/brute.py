@@ -53,10 +53,12 @@ def shingles(text, k):
 
 
 def jaccard(rows, k, percent):
+    """Rows are the nodes; (id, set size, smallest id of the component, links, place of the component's first row)."""
     low = float("-inf")
-    ids = [low if i is None else i for i, _ in rows]
+    order = sorted(range(len(rows)), key=lambda a: (low if rows[a][0] is None else rows[a][0], rows[a][1]))
+    rows = [rows[a] for a in order]
     sets = [shingles(t, k) for _, t in rows]
-    root = {i: i for i in ids}
+    root = list(range(len(rows)))
     links = collections.Counter()
 
     def find(x):
@@ -69,10 +71,9 @@ def jaccard(rows, k, percent):
             if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 links[a] += 1
                 links[b] += 1
-                x, y = find(ids[a]), find(ids[b])
+                x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    name = lambda i: None if i == low else i
-    return sorted(((name(ids[a]), len(sets[a]), name(find(ids[a])) if sets[a] else name(ids[a]), links[a]) for a in range(len(rows))), key=str)
+    return sorted(((rows[a][0], len(sets[a]), rows[find(a)][0], links[a]) for a in range(len(rows))), key=str), [rows[a] for a in range(len(rows)) if find(a) == a]
 
 
 def plain(df):

@@ -471,7 +471,7 @@ def test_mix_takes_prefixes(spark, odd, none):
 @pytest.mark.parametrize("cell", [3, 1500])
 def test_jaccard(spark, odd, none, cell):
     got = jaccard.join(odd, k=4, percent=85, cell=cell)
-    assert brute.plain(got) == brute.jaccard(brute.rows_of(odd), 4, 85)
+    assert brute.plain(got) == brute.jaccard(brute.rows_of(odd), 4, 85)[0]
     assert jaccard.join(none).count() == 0
     rng = random.Random(8)
     base = [rng.choice("abcdefghijklmnop") + str(rng.randrange(60)) for _ in range(70)]
@@ -482,12 +482,58 @@ def test_jaccard(spark, odd, none, cell):
             words[rng.randrange(70)] = f"n{rng.randrange(10**6)}"
         rows.append((i, " ".join(words)))
     near = spark.createDataFrame(rows, "doc_id long, text string")
-    assert brute.plain(jaccard.join(near, k=4, percent=60, cell=cell)) == brute.jaccard(rows, 4, 60)
+    assert brute.plain(jaccard.join(near, k=4, percent=60, cell=cell)) == brute.jaccard(rows, 4, 60)[0]
+
+
+def families(seed, groups, each, words=60):
+    """Texts in families that share a common beginning, so that regions hold several families."""
+    rng = random.Random(seed)
+    head, rows = [f"h{i}" for i in range(12)], []
+    for g in range(groups):
+        base = head + [f"w{rng.randrange(4000)}" for _ in range(words)]
+        for _ in range(each):
+            text = list(base)
+            for _ in range(rng.randrange(5)):
+                text[rng.randrange(len(text))] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(text)))
+    return rows
+
+
+def test_regions_split_into_voronoi_cells(spark, monkeypatch):
+    """Pairs of a space of some families, joined through pivots, windows and homes, are those of brute force."""
+    rows = families(31, 12, 9)
+    sets = [np.unique(x) for x in jaccard.shingle_sets(*jaccard.utf8(__import__("pyarrow").array([t for _, t in rows])), 4)]
+    depths = []
+    whole = jaccard.Space.pairs
+
+    def watched(self, index, tests, label, depth=0):
+        depths.append(depth)
+        return whole(self, index, tests, label, depth)
+
+    monkeypatch.setattr(jaccard.Space, "pairs", watched)
+    for percent in (60, 85):
+        want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * np.intersect1d(sets[a], sets[b]).size >= percent * np.union1d(sets[a], sets[b]).size}
+        got = [tuple(sorted((i, j))) for i, js in jaccard.Space(sets, percent).pairs(np.arange(len(sets)), [], None) for j in js.tolist()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+    assert max(depths) >= 1
+
+
+def test_jaccard_of_families(spark):
+    rows = families(32, 10, 8) + [(900, "h0 h1 h2 h3 h4 h5 h6 h7 h8 h9"), (901, "h0 h1 h2 h3 h4 h5 h6 h7 h8 h9")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for cell in (5, 1500):
+        assert brute.plain(jaccard.join(df, k=4, percent=70, cell=cell)) == brute.jaccard(rows, 4, 70)[0]
 
 
 def test_one_of_each(spark, odd):
-    got = sorted((r["doc_id"] or 0) for r in jaccard.one_of_each(odd).collect())
-    assert 1 in got and 2 not in got and 4 not in got and got.count(15) == 0 and {5, 6, 8, 14} <= set(got)
+    want = brute.jaccard(brute.rows_of(odd), 5, 80)[1]
+    got = [(r["doc_id"], r["text"] or "") for r in jaccard.one_of_each(odd).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(i == 15 for i, _ in got) == 0
+    rows = [(1, "a b c d e f"), (15, "a b c d e f"), (15, "p q r s t u"), (15, "p q r s t u"), (16, "p q r s t u v"), (7, ""), (7, ""), (None, "x y z x y"), (3, "x y z x y")]
+    df = spark.createDataFrame([(*r, 0, "g") for r in rows], "doc_id long, text string, _near_id int, _gone string")
+    got = jaccard.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, "a b c d e f"), (15, "p q r s t u"), (16, "p q r s t u v"), (7, ""), (7, ""), (None, "x y z x y")], key=str)
 
 
 @settings(max_examples=15, deadline=None)
@@ -523,7 +569,7 @@ def test_pipeline(spark):
         docs = spark.read.parquet(at)
         assert 0 < docs.count() <= before.count()
         if name == "near_duplicates":
-            want = sorted(r[0] for r in brute.jaccard(brute.rows_of(before), 5, 80) if r[0] == r[2])
+            want = sorted(i for i, _ in brute.jaccard(brute.rows_of(before), 5, 80)[1])
             assert sorted(r["doc_id"] for r in docs.collect()) == want
         if name == "repeats":
             plain = {r[0]: r[4] for r in brute.repeats(brute.rows_of(before))}
