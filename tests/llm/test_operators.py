@@ -144,13 +144,32 @@ def test_topk(spark):
     assert topk.top_k(few, few.where("vec_id = 50")).count() == 2 and topk.top_k(few.limit(0), few).count() == 0
 
 
+def test_topk_of_large_repeated_and_long_vectors(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.round(rng.normal(size=(60, 4)) * 4e5))]
+    rows += [(50, [3e5, -1e5, 2e5, 1.0]), (50, [3e5, -1e5, 2e5, 1.0]), (51, rows[51][1]), (70, rng.normal(size=3000).tolist())]
+    good = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(good, good.where("vec_id % 50 = 0")).collect()]
+    whole = [(i, [math.floor(256 * c) for c in v]) for i, v in rows]
+    want = []
+    for a, q in ((a, q) for a, q in whole if a % 50 == 0):
+        best = sorted((-sum(x * y for x, y in zip(q, v)), b) for b, v in whole if b != a)[:5]
+        want += [(a, k, b, -s) for k, (s, b) in enumerate(best, 1)]
+    assert sorted(got) == sorted(want) and max(s for *_, s in want) > 2**53 / 256
+    huge = spark.createDataFrame([(0, [1e12] * 8), (1, [1e12] * 8)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        x = topk.quantised(huge)
+        topk.top_k(x, x.where("vec_id = 0")).collect()
+
+
 def test_search_stops_before_the_end_and_is_exact():
     rng = np.random.default_rng(4)
-    x = np.floor(rng.standard_t(2, size=(3000, 16)) * 100)
-    s, q = topk.Segments(x), x[:20]
+    x = np.floor(rng.standard_t(3, size=(3000, 16)) * 100).astype(np.int64)
+    s, q = topk.Segments(x.ravel(), np.arange(3001) * 16), x[:20]
     for (ids, scores), v, own in zip(s.search(q, np.arange(20), np.arange(3000), 5), q, range(20)):
         want = sorted((-int(p), i) for i, p in enumerate(x @ v) if i != own)[:5]
         assert list(zip(-scores, ids)) == want
+    assert sum(left > 0 for left in s.stopped) >= 10  # most queries stop on proof
 
 
 # packing
