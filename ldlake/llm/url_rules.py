@@ -2,13 +2,17 @@
 
 FP-growth mines combinations of URL tokens that go with a ``block`` label. Rules are pruned by
 support and confidence, and a rule is dropped when a shorter one over part of its tokens is at least
-as confident. An inverted index (rarest token of a rule -> rule) finds the rules that fit a URL.
+as confident. FP-growth knows no longest itemset, so it mines short baskets; long ones (URLs of many words, whose
+itemsets grow beyond all bounds) are mined level by level up to the length of a rule. What is frequent
+in all baskets is frequent in one of the two parts, so each part's finds are counted again over all. An inverted index (rarest token of a rule -> rule) finds the rules that fit a URL.
 Explicit allow and block rules by host and path prefix come first; the longest decides.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,6 +27,7 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 TOKEN = re.compile(r"[^\W_]+")
 LABEL = "=block"
 MOST_RULES = 50_000
+LONG = 12  # tokens: FP-growth makes at most 2^LONG itemsets of a basket
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -50,44 +55,112 @@ def host_rule(host: str, path: str, rules=RULES) -> tuple[str, str] | None:
     return max(fits)[1:] if fits else None
 
 
+def baskets_of(rows: DataFrame, least: int) -> DataFrame:
+    """(items, bad): the tokens of each URL that are in at least ``least`` of them; of tokens that always come together the last by name."""
+
+    @F.pandas_udf("array<string>")
+    def items(urls: pd.Series) -> pd.Series:
+        return urls.map(lambda u: tokens(*split_url(u)))
+
+    rows = cut(rows.select(items("url").alias("items"), "bad").where(F.size("items") > 0).withColumn("row", F.monotonically_increasing_id()))
+    every = rows.select("row", "bad", F.explode("items").alias("token"))
+    place = F.xxhash64("row")
+    count = every.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(place).alias("x"), F.sum(F.pmod(place, F.lit(1 << 40))).alias("s"))
+    kept = count.where(F.col("n") >= least).groupBy("n", "x", "s").agg(F.max("token").alias("token")).select("token")
+    return cut(every.join(kept, "token").groupBy("row").agg(F.max("bad").alias("bad"), F.array_sort(F.collect_list("token")).alias("items")).drop("row"))
+
+
+def _collected(sets: DataFrame) -> set[frozenset]:
+    """Itemsets (column ``items``) as sets; more than a bound is an error."""
+    got = sets.limit(4 * MOST_RULES + 1).collect()
+    if len(got) > 4 * MOST_RULES:
+        raise ValueError("too many frequent token sets: raise the support")
+    return {frozenset(r["items"]) for r in got}
+
+
+def frequent_by_levels(baskets: DataFrame, least: int, max_len: int) -> set[frozenset]:
+    """Sets of up to ``max_len`` items that are in at least ``least`` baskets, each level out of the one before."""
+    found: set[frozenset] = set()
+    known: set[frozenset] = set()
+    for size in range(1, max_len + 1):
+        held = baskets.sparkSession.sparkContext.broadcast(known)
+
+        def grow(frames, size=size, held=held):
+            known = held.value
+            single = {next(iter(k)) for k in known} if size == 2 else {t for k in known for t in k}
+            for frame in frames:
+                count: Counter = Counter()
+                for items in frame["items"]:
+                    mine = items if size == 1 else [t for t in items if t in single]
+                    for c in combinations(mine, size):
+                        if size < 3 or all(frozenset(part) in known for part in combinations(c, size - 1)):
+                            count[c] += 1
+                yield pd.DataFrame({"items": [list(c) for c in count], "n": list(count.values())})
+
+        sums = baskets.select("items").mapInPandas(grow, "items array<string>, n long").groupBy("items").agg(F.sum("n").alias("n"))
+        known = _collected(sums.where(F.col("n") >= least).select("items"))
+        found |= known
+        if not known:
+            break
+    return found
+
+
 def mine(labelled: DataFrame, url: str = "url", block: str = "block", support: float = 0.002, confidence: float = 0.5, least: int = 20, max_rows: int = 100_000, max_len: int = 3) -> list[tuple[tuple[str, ...], float, float]]:
-    """Rules (tokens, confidence, support): token combinations that imply a block label.
+    """Rules (tokens, confidence, support): combinations of up to ``max_len`` tokens that imply a block label.
 
-    Learns from at most about ``max_rows`` labelled rows, drawn evenly by a seeded hash of the URL.
-    Null URLs and labels take no part. The number of rules is bounded: an itemset of support s is in
-    s * rows of them (and in ``least`` rows), so there are at most (combinations of up to max_len tokens of a URL) / s; more
-    than MOST_RULES is an error that asks for a larger support.
+    A rule's tokens are in at least ``least`` and ``support`` of the rows with the label. Learns from at most about ``max_rows``
+    labelled rows, drawn evenly by a seeded hash of the URL. Null URLs and labels take no part. Of
+    tokens that are in the same rows one speaks for all, so repeated long URLs add few sets. More
+    than MOST_RULES rules, or four times as many sets, are an error that asks for a larger support.
     """
     from pyspark.ml.fpm import FPGrowth
 
-    @F.pandas_udf("array<string>")
-    def items(urls: pd.Series, bad: pd.Series) -> pd.Series:
-        return pd.Series([tokens(*split_url(u)) + [LABEL] * bool(b) for u, b in zip(urls, bad)])
-
     rows = labelled.where(F.col(url).isNotNull() & F.col(block).isNotNull()).select(F.col(url).alias("url"), F.col(block).cast("boolean").alias("bad"))
     n = rows.count()
     if n > max_rows:
         rows = rows.where(F.pmod(F.xxhash64(F.lit("fp"), "url"), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
-    baskets = cut(rows.select(items("url", "bad").alias("items")).where(F.size("items") > 0))
+        n = max_rows
+    baskets = baskets_of(rows, min(least, n))
     total = baskets.count()
     if not total:
         return []
-    # what FP-growth must know: itemsets with the label, and the same sets without it
-    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / total)), minConfidence=confidence).fit(baskets).freqItemsets
-    got = sets.where(F.size("items") <= max_len + 1)
-    if got.limit(4 * MOST_RULES).count() >= 4 * MOST_RULES:
-        raise ValueError("too many frequent token sets: raise the support")
-    freq = {frozenset(r["items"]): r["freq"] for r in got.collect()}
+    share = min(1.0, max(support, least / total))
+    short, long = baskets.where(F.size("items") <= LONG), baskets.where((F.size("items") > LONG) & F.col("bad"))
+    marked = short.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(LABEL)))).otherwise(F.col("items")).alias("items"))
+    sets = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(marked).freqItemsets
+    found = {x - {LABEL} for x in _collected(sets.where(F.array_contains("items", LABEL) & F.size("items").between(2, max_len + 1)))}
+    n_long = baskets.where(F.size("items") > LONG).count()
+    if n_long:
+        found |= frequent_by_levels(long, max(1, math.ceil(share * n_long - 1e-9)), max_len)
     rules = {}
-    for whole, f in freq.items():
-        if LABEL in whole and len(whole) > 1:
-            left = whole - {LABEL}
-            if f / freq[left] >= confidence:
-                rules[left] = (f / freq[left], f / total)
+    for left, (f, both) in counted(baskets, found).items():
+        if both >= share * total - 1e-9 and both / f >= confidence:
+            rules[left] = (both / f, both / total)
     kept = without_implied(rules)
+    if len(kept) > MOST_RULES:
+        raise ValueError("too many rules: raise the support")
     return sorted((tuple(sorted(k)), *rules[k]) for k in kept)
 
 
+def counted(baskets: DataFrame, sets: set[frozenset]) -> dict[frozenset, tuple[int, int]]:
+    """For each set the baskets that hold it, and those of them with the label."""
+    every = sorted(tuple(sorted(s)) for s in sets)
+    held = baskets.sparkSession.sparkContext.broadcast(every)
+
+    def count(frames):
+        index = Index([(s, i) for i, s in enumerate(held.value)])
+        for frame in frames:
+            total, bad = Counter(), Counter()
+            for items, label in zip(frame["items"], frame["bad"]):
+                for _, i in index.fitting(items):
+                    total[i] += 1
+                    bad[i] += bool(label)
+            yield pd.DataFrame({"i": list(total), "n": list(total.values()), "m": [bad[i] for i in total]})
+
+    sums = baskets.select("items", "bad").mapInPandas(count, "i long, n long, m long").groupBy("i").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    return {frozenset(every[r["i"]]): (r["n"], r["m"]) for r in sums.collect()}  # a row for each set, whose number is bounded
+
+
 def without_implied(rules: dict[frozenset, tuple[float, float]]) -> list[frozenset]:
     """The rules that have no shorter one over part of their tokens that is at least as confident."""
     parts = lambda k: (frozenset(o) for n in range(1, len(k)) for o in combinations(k, n))
@@ -107,10 +180,14 @@ class Index:
         for k, (left, *_) in enumerate(rules):
             self.by_token.setdefault(min(left, key=lambda t: (count[t], t)), []).append(k)
 
+    def fitting(self, found) -> list[tuple]:
+        """The rules all of whose tokens are there."""
+        have = set(found)
+        return [self.rules[k] for t in found for k in self.by_token.get(t, ()) if have.issuperset(self.rules[k][0])]
+
     def best(self, found: list[str]) -> tuple[tuple[str, ...], float, float] | None:
         """The most confident rule all of whose tokens are there (ties: larger support, then token order)."""
-        have = set(found)
-        fits = [self.rules[k] for t in found for k in self.by_token.get(t, ()) if have.issuperset(self.rules[k][0])]
+        fits = self.fitting(found)
         return min(fits, key=lambda r: (-r[1], -r[2], r[0])) if fits else None
 
 

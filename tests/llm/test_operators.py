@@ -72,6 +72,60 @@ def test_mined_rules(spark):
     assert url_rules.mine(df.limit(0)) == [] and url_rules.judge(pages.limit(0), []).count() == 0
 
 
+def test_mined_rules_are_complete_and_long_urls_end(spark, monkeypatch):
+    """All rules up to three tokens, against counting every combination; short and long baskets."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(9)]
+    rows = []
+    for i in range(300):
+        path = "/".join(rng.sample(words, rng.randint(1, 5)))
+        rows.append((f"http://s{i % 3}.net/{path}", "w1" in path or rng.random() < 0.2))
+    rows += [("http://long.net/" + "/".join(f"v{j}" for j in range(26)), True)] * 25 + [("http://x.net/" + "/".join(rng.sample([f"u{j}" for j in range(30)], 20)), True) for _ in range(25)]
+    for long in (url_rules.LONG, 4):
+        monkeypatch.setattr(url_rules, "LONG", long)
+        mined = url_rules.mine(spark.createDataFrame(rows, "url string, block boolean"), support=0.05, confidence=0.6)
+        every = [(frozenset(url_rules.tokens(*url_rules.split_url(u))), b) for u, b in rows]
+        where = {}
+        for k, (t, _) in enumerate(every):
+            for x in t:
+                where.setdefault(x, set()).add(k)
+        names = {}
+        for x, rows_of in where.items():
+            key = frozenset(rows_of)
+            names[key] = max(x, names.get(key, ""))
+        use, bad = sorted(names.values()), {k for k, (_, b) in enumerate(every) if b}
+        want = {}
+        for size in (1, 2, 3):
+            for c in __import__("itertools").combinations(use, size):
+                hits = set.intersection(*(where[x] for x in c))
+                if len(hits & bad) >= max(20, 0.05 * len(every)) and len(hits & bad) / len(hits) >= 0.6:
+                    want[frozenset(c)] = (len(hits & bad) / len(hits), len(hits & bad) / len(every))
+        kept = [k for k, (c, _) in want.items() if not any(o < k and want[o][0] >= c for o in want)]
+        assert mined == sorted((tuple(sorted(k)), *want[k]) for k in kept) and mined
+
+
+def test_query_verdicts_of_urls(spark):
+    """The registered query against plain rules: the mined ones are given as values."""
+    pages, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("pages", "labels"))
+    bad = {}
+    for r in labels.collect():
+        bad[r["doc_id"]] = bad.get(r["doc_id"], False) or r["toxic"] == 1 or r["quality"] == 0
+    known = spark.createDataFrame([(r["url"], bad[r["page_id"]]) for r in pages.collect() if r["page_id"] in bad], "url string, block boolean")
+    mined = url_rules.mine(known)
+    for r in queries.op1_url_rules(spark, SMALL).join(pages.select("page_id", "url"), "page_id").collect():
+        url = r["url"] or ""
+        host, path = "", ""
+        if "://" in url:
+            rest = url[url.index("://") + 3 :]
+            end = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+            host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:end])
+            path = rest[end:].split("?")[0].split("#")[0]
+        fits = [(len(h + p), h + p, v) for h, p, v in url_rules.RULES if ("." + host).endswith("." + h) and path.startswith(p)]
+        have = set(url_rules.tokens(host, path))
+        verdict = max(fits)[2] if fits else "block" if any(have >= set(m[0]) for m in mined) else "allow"
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, max(fits)[1] if fits else None, verdict)
+
+
 def test_implied_rules_go_at_every_size():
     rng = random.Random(14)
     for n in (200, 3500):
