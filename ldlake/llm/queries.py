@@ -84,8 +84,8 @@ ORACLE = {
         results AS (SELECT *, row_number() OVER (PARTITION BY conv, turn ORDER BY text) AS r, count(*) OVER (PARTITION BY conv, turn) AS n FROM rows WHERE role = 'assistant'),
         met AS (SELECT coalesce(c.conv, a.conv) AS conv, coalesce(c.turn, a.turn - 1) AS slot, coalesce(c.turn, a.turn) AS turn, c.role AS name, c.text AS ask, a.text AS answer,
             coalesce(c.n, 0) AS n_calls, coalesce(a.n, 0) AS n_results,
-            CASE WHEN c.conv IS NULL THEN NULL WHEN c.turn > 0 AND EXISTS (SELECT 1 FROM calls z WHERE z.conv = c.conv AND z.turn = 0) THEN 1 ELSE 0 END AS level
-            FROM (SELECT * FROM calls WHERE r = 1) c FULL JOIN (SELECT * FROM results WHERE r = 1) a ON c.conv = a.conv AND c.turn = a.turn - 1)
+            CASE WHEN c.r IS NULL THEN NULL WHEN c.turn > 0 AND EXISTS (SELECT 1 FROM calls z WHERE z.conv IS NOT DISTINCT FROM c.conv AND z.turn = 0) THEN 1 ELSE 0 END AS level
+            FROM (SELECT * FROM calls WHERE r = 1) c FULL JOIN (SELECT * FROM results WHERE r = 1) a ON c.conv IS NOT DISTINCT FROM a.conv AND c.turn IS NOT DISTINCT FROM a.turn - 1)
         SELECT conv, 'turn' || slot AS call_id, turn, name, CAST(level AS INTEGER) AS level, n_calls, n_results,
             CASE WHEN name IS NULL THEN 'orphan' WHEN answer IS NULL THEN 'no_result' ELSE 'linked' END AS status,
             name IS NULL OR ask IS NOT NULL AS valid, CASE WHEN name IS NOT NULL AND ask IS NULL THEN 'missing text' ELSE '' END AS errors,

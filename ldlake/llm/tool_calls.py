@@ -42,21 +42,44 @@ def levels(calls: DataFrame) -> DataFrame:
     """(conv, call_id, level) of calls (conv, call_id, depends_on), identifiers being unique in a conversation.
 
     Level 0 depends on nothing that exists; others come one level after the last they depend on.
-    Calls on a cycle, or after one, have level -1. A round for each level.
+    Calls on a cycle, or after one, have level -1. A null conversation or identifier is a value like
+    others, but a null among the dependencies is none. A round for each level, over
+    the edges that are still open and what was ready in the round before.
     """
     nodes = calls.select("conv", "call_id")
-    edges = calls.select("conv", "call_id", F.explode("depends_on").alias("dep")).where("dep is not null").distinct()
-    edges = cut(edges.join(nodes.withColumnRenamed("call_id", "dep"), ["conv", "dep"], "left_semi"))
-    done = cut(nodes.join(edges, ["conv", "call_id"], "left_anti").withColumn("level", F.lit(0)))
+    edges = calls.select("conv", "call_id", F.explode("depends_on").alias("dep")).where("dep is not null").distinct().alias("e")
+    here = nodes.select(F.col("conv").alias("_c"), F.col("call_id").alias("_d"))
+    edges = cut(edges.join(here, F.col("conv").eqNullSafe(F.col("_c")) & (F.col("dep") == F.col("_d")), "left_semi").withColumn("at", F.lit(None).cast("int")))
+    target = edges.select(F.col("conv").alias("_c"), F.col("call_id").alias("_d"))
+    same = F.col("conv").eqNullSafe(F.col("_c")) & F.col("call_id").eqNullSafe(F.col("_d"))
+    ready = cut(nodes.join(target, same, "left_anti").withColumn("level", F.lit(0)))
+    done = [ready]
     while not edges.isEmpty():
-        known = done.withColumnRenamed("call_id", "dep")
-        ready = edges.join(known, ["conv", "dep"], "left").groupBy("conv", "call_id").agg(F.count("*").alias("n"), F.count("level").alias("k"), (F.max("level") + 1).alias("level")).where("n = k").select("conv", "call_id", "level")
-        ready = cut(ready)
+        new = ready.select(F.col("conv").alias("_c"), F.col("call_id").alias("_d"), "level")
+        edges = edges.join(new, F.col("conv").eqNullSafe(F.col("_c")) & (F.col("dep") == F.col("_d")), "left").select("conv", "call_id", "dep", F.coalesce("at", F.col("level") + 1).alias("at"))
+        edges = cut(edges)
+        ready = cut(edges.groupBy("conv", "call_id").agg(F.count("*").alias("n"), F.count("at").alias("k"), F.max("at").alias("level")).where("n = k").select("conv", "call_id", "level"))
         if ready.isEmpty():
             break
-        done = done.unionByName(ready)
-        edges = cut(edges.join(ready, ["conv", "call_id"], "left_anti"))
-    return done.unionByName(edges.select("conv", "call_id", F.lit(-1).alias("level")).distinct())
+        done.append(ready)
+        edges = cut(edges.join(ready.select(F.col("conv").alias("_c"), F.col("call_id").alias("_d")), same, "left_anti"))
+    done.append(edges.select("conv", "call_id", F.lit(-1).alias("level")).distinct())
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+#: A string, or a number written with needless zeros: 100.0 and 1.50 (strings stay as they are).
+_NUMBERS = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|(-?\d++)\.0++(?![\dEe])|(-?\d++\.\d*?[1-9])0++(?![\dEe])'
+
+
+def canonical(value: Column) -> Column:
+    """A variant as JSON: keys sorted, no white space, numbers without needless zeros (1e2, 100 and 100.00 are 100).
+
+    Numbers that are printed with an exponent (from 1e7 if written so) keep it.
+    """
+    return F.regexp_replace(F.to_json(value), _NUMBERS, "$1$2$3")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -68,6 +91,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     orphan (a result without a call). Rows whose conversation or identifier is null are kept as one
     row for each such pair. ``level`` is null for orphans. (level, turn, call_id) is a topological
     order of a conversation. ``errors`` has what the schemas object to; valid is true if nothing.
+    Arguments that repeat a key are no JSON object. Other columns take no part, whatever their names.
     Empty tables give an empty result.
     """
     none = F.lit(None)
@@ -77,7 +101,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     two = results.select("conv", "call_id", none.cast(one.schema["call"].dataType).alias("call"), answer.alias("result"))
     both = one.unionByName(two).groupBy("conv", "call_id").agg(F.min("call").alias("call"), F.min("result").alias("result"), F.count("call").alias("n_calls"), F.count("result").alias("n_results"))
     ids = both.where("call is not null").select("conv", "call_id", F.col("call.depends_on").alias("depends_on"))
-    both = both.join(levels(ids), ["conv", "call_id"], "left")
+    found = levels(ids).select(F.col("conv").alias("_c"), F.col("call_id").alias("_d"), "level")
+    both = both.join(found, F.col("conv").eqNullSafe(F.col("_c")) & F.col("call_id").eqNullSafe(F.col("_d")), "left").drop("_c", "_d")
     arguments = F.col("call.arguments")
     out = both.select(
         "conv", "call_id", F.coalesce("call.turn", "result.turn").alias("turn"), F.col("call.name").alias("name"), "level", "n_calls", "n_results",
@@ -87,7 +112,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     )
     text = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}), r"(?s)^\{\"v\":(.*)\}$", 1)  # noqa: E731  a value as JSON
     record = F.concat(
-        F.lit('{"arguments":'), F.coalesce(F.to_json("a"), F.lit("null")), F.lit(',"call_id":'), text(F.col("call_id")),
+        F.lit('{"arguments":'), F.coalesce(canonical(F.col("a")), F.lit("null")), F.lit(',"call_id":'), text(F.col("call_id")),
         F.lit(',"depends_on":'), text(F.array_sort(F.coalesce("d", F.array().cast("array<string>")))), F.lit(',"level":'), F.coalesce(F.col("level").cast("string"), F.lit("null")),
         F.lit(',"name":'), text(F.col("name")), F.lit(',"result":'), text(F.col("c")), F.lit("}"),
     )

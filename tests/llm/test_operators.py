@@ -158,11 +158,24 @@ def test_tool_calls(spark):
     assert tool_calls.link(calls.limit(0), results.limit(0), schemas).count() == 0
 
 
+def test_numbers_are_canonical(spark):
+    texts = ['{"b":1e2,"a":100,"c":100.00,"d":1.50,"e":-0.5,"f":"1.50 \\"2.0\\" x"}', '{"x":[1.0,{"y":10.10}]}', json.dumps({"t": "\n\"" * 60_000 + "3.0"})]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tool_calls.canonical(F.try_parse_json("t"))).collect()]
+    assert got[0] == '{"a":100,"b":100,"c":100,"d":1.5,"e":-0.5,"f":"1.50 \\"2.0\\" x"}' and got[1] == '{"x":[1,{"y":10.1}]}'
+    assert json.loads(got[2]) == json.loads(texts[2])
+
+
+def test_levels_of_null_conversations_and_chains(spark):
+    rows = [(None, "a", []), (None, "b", ["a"]), (None, None, ["b"]), ("c", "a", ["zz", None]), ("c", "b", ["b"])] + [("d", f"k{i}", [f"k{i - 1}"] if i else None) for i in range(6)]
+    got = {(r["conv"], r["call_id"]): r["level"] for r in tool_calls.levels(spark.createDataFrame(rows, "conv string, call_id string, depends_on array<string>")).collect()}
+    assert got == {(None, "a"): 0, (None, "b"): 1, (None, None): 2, ("c", "a"): 0, ("c", "b"): -1} | {("d", f"k{i}"): i for i in range(6)}
+
+
 def test_conversations_with_nulls(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "assistant", None), (1, 2, "user", None), (1, 2, "user", "b"), (None, 0, "user", "x"), (None, None, None, None), (2, 0, "user", "q"), (2, 1, "assistant", "r"), (2, 1, "assistant", "r")]
     got = {(r["conv"], r["call_id"]): r for r in tool_calls.conversation_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert got["1", "turn2"]["n_calls"] == 2 and got["1", "turn2"]["level"] == 1 and got["2", "turn0"]["n_results"] == 2
-    assert got["1", "turn0"]["status"] == "linked" and len(got) == 4
+    assert got["1", "turn0"]["status"] == "linked" and len(got) == 4 and got[None, "turn0"]["level"] == 0
 
 
 def test_conversations_with_real_tool_calls(spark):
