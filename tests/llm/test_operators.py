@@ -529,28 +529,46 @@ def test_budgets_redistribute_among_siblings_first():
     assert sum(mixing.budgets(leaves, 5000, {}, 2).values()) == 2 * 1210
 
 
+def plain_mix(rows, hashes, total, weights, epochs):
+    """(row, epoch) by walking each leaf's last epoch in its order; rows: (leaf, tokens)."""
+    leaves, want = {}, []
+    for i, (leaf, n) in enumerate(rows):
+        leaves.setdefault(leaf, []).append((i, n))
+    for leaf, budget in mixing.budgets({k: sum(n for _, n in v) for k, v in leaves.items()}, total, weights, epochs).items():
+        size = sum(n for _, n in leaves[leaf])
+        whole, at = int(budget // size) if size else 0, 0
+        rest = budget - whole * size
+        for i, n in sorted(leaves[leaf], key=lambda r: hashes[whole][r[0]]):
+            want += [(i, e) for e in range(whole + (at < rest))]
+            at += n
+    return sorted(want)
+
+
 def test_mix_takes_prefixes(spark, odd, none):
     rows = [(i, f"s{i % 3}", 1 + i % 7) for i in range(500)]
     df = spark.createDataFrame(rows, "doc_id long, source string, size long")
-    got = mixing.mix(df, [F.lit("d"), F.col("source")], F.col("size"), F.col("doc_id"), total=2600, weights={("d", "s0"): 3.0}, epochs=2)
-    order = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.xxhash64(F.lit(11), "doc_id").alias("h")).collect()}
-    leaves = {}
-    for i, s, n in rows:
-        leaves.setdefault(("d", s), []).append((order[i] & (2**64 - 1), i, n))
-    want = []
-    for leaf, budget in mixing.budgets({k: sum(n for *_, n in v) for k, v in leaves.items()}, 2600, {("d", "s0"): 3.0}, 2).items():
-        total = sum(n for *_, n in leaves[leaf])
-        whole, at = int(budget // total), 0.0
-        rest = budget - whole * total
-        for _, i, n in sorted(leaves[leaf]):
-            want += [(i, e) for e in range(whole + (at < rest))]
-            at += n
-    assert sorted((r["doc_id"], r["mix_epoch"]) for r in got.collect()) == sorted(want)
-    clash = odd.withColumn("mix_epoch", F.lit(9))
-    assert mixing.mix(clash, [F.col("lang"), F.col("source")], F.length("text"), F.col("doc_id"), share=1.0).count() == 17  # two leaves have no tokens
+    weights = {("d", "s0"): 3.0}
+    key = df.select("doc_id", F.xxhash64(F.lit(11), "doc_id", "doc_id", "source", "size").alias("k"))
+    hashes = [{r["doc_id"]: r["h"] for r in key.select("doc_id", F.xxhash64(F.lit(11), F.lit(e), "k").alias("h")).collect()} for e in (0, 1, 2)]
+    assert sorted(hashes[0], key=hashes[0].get) != sorted(hashes[1], key=hashes[1].get)  # epochs have orders of their own
+    for total in (2600, 900, 10):
+        got = mixing.mix(df, [F.lit("d"), F.col("source")], F.col("size"), F.col("doc_id"), total=total, weights=weights, epochs=2)
+        assert sorted((r["doc_id"], r["mix_epoch"]) for r in got.collect()) == plain_mix([(("d", s), n) for _, s, n in rows], hashes, total, weights, 2)
+    clash = odd.withColumn("mix_epoch", F.lit(9)).withColumn("_mix_x", F.lit(1)).withColumn("rest", F.lit(2))
+    got = mixing.mix(clash, [F.col("lang"), F.col("source")], F.length("text"), F.col("doc_id"), share=1.0)
+    assert got.count() == 17 and set(clash.columns) <= set(got.columns)  # two leaves have no tokens
     assert mixing.mix(none, [F.col("lang")], F.length("text"), F.col("doc_id")).count() == 0
 
 
+def test_mix_of_ties(spark):
+    same = spark.createDataFrame([(None, "s", 1, "same")] * 200, "doc_id long, source string, size long, o string")
+    for share, epochs, want in ((0.5, 1, 100), (0.3, 1, 60), (1.25, 2, 250), (1.0, 1, 200)):
+        assert mixing.mix(same, [F.col("source")], F.col("size"), F.col("doc_id"), share=share, epochs=epochs).count() == want
+    unlike = same.withColumn("o", F.monotonically_increasing_id().cast("string"))
+    got = mixing.mix(cut(unlike), [F.col("source")], F.col("size"), F.col("doc_id"), share=0.5)
+    assert got.count() == got.select("o").distinct().count() == 100
+
+
 # Jaccard
 
 
