@@ -33,6 +33,7 @@ from .common import cut
 SIZE = 2048
 SHARD = 12_000  # pieces
 ISLANDS, EPOCHS, POPULATION, GENERATIONS = 3, 2, 5, 6
+MOST_TASKS = 20_000  # an epoch is cut into; each takes as many islands as there are then
 #: Characters for which the standard library's classes split as the tokenizer's pattern does.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = re.compile(rf"[\t\n\r -~{LETTERS}¡¿«»°€‘’“”–—…]*")
@@ -240,7 +241,7 @@ def _epoch(epoch: int, islands: int, size: int, seed: int, population: int, gene
     return run
 
 
-def evolved(pieces: DataFrame, size: int = SIZE, islands: int = ISLANDS, epochs: int = EPOCHS, population: int = POPULATION, generations: int = GENERATIONS, seed: int = 7) -> DataFrame:
+def evolved(pieces: DataFrame, size: int = SIZE, islands: int = ISLANDS, epochs: int = EPOCHS, population: int = POPULATION, generations: int = GENERATIONS, seed: int = 7, tasks: int | None = None) -> DataFrame:
     """The islands' last states (STATE; the best chromosome comes first in ``pool``) for pieces (shard, row, piece, length) shorter than ``size``."""
 
     def start(frame: pd.DataFrame) -> pd.DataFrame:
@@ -253,6 +254,8 @@ def evolved(pieces: DataFrame, size: int = SIZE, islands: int = ISLANDS, epochs:
         F.lit(0).alias("bins"), F.lit(0.0).alias("fill"), F.lit(0).alias("generations"), F.lit(0).alias("migrants"),
     )
     for epoch in range(epochs):
+        if tasks:  # states are small but their work isn't, so they mustn't be put together by size
+            state = state.repartition(tasks, "shard", "island")
         state = state.groupBy("shard", "island").applyInPandas(_epoch(epoch, islands, size, seed, population, generations), STATE)
     return state.where("not elite")
 
@@ -298,7 +301,8 @@ def pack(pieces: DataFrame, size: int = SIZE, shard: int = SHARD, levels: int =
         shards = -(-n // shard)
         last = level == levels - 1 or shards == 1
         dealt = rest.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + level), "row", "piece"), F.lit(shards)))
-        islands = evolved(dealt.where(F.col("length") < size), size, seed=seed + level)
+        tasks = min(MOST_TASKS, -(-shards * ISLANDS // 2))
+        islands = evolved(dealt.where(F.col("length") < size), size, seed=seed + level, tasks=tasks)
         best = islands.groupBy("shard").agg(F.max_by(F.element_at("pool", 1), F.struct(-F.col("bins"), "fill", -F.col("island"))).alias("best"))
         done = cut(dealt.groupBy("shard").cogroup(best.groupBy("shard")).applyInPandas(_place(level, last, size, full), schema))
         settled.append(done.where("sequence_id >= 0"))
