@@ -25,6 +25,7 @@ PAD = 10  # the context before a text: line feeds
 UNIT = 1024
 SEGMENT = 1 << 16
 LEAST_ROWS = 50
+MOST_LANGUAGES = 200  # the model, which is sent to all executors, grows with their number
 LETTER = re.compile("[A-Za-z]")
 
 
@@ -164,16 +165,18 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     """Learn from labelled rows; at most about ``max_bytes`` of text a language are used.
 
     The bound is kept by a seeded hash of the key: a language with more text gives a share of its
-    rows, evenly over the table, but of about LEAST_ROWS rows at least, so that none is left out. Returns what ``ContextTrees`` needs, or None without any row.
+    rows, evenly over the table, but of about LEAST_ROWS rows at least, so that none is left out. More than
+    MOST_LANGUAGES labels are an error. Other columns take no part, whatever their names. Returns what ``ContextTrees`` needs, or None without any row.
     """
     rows = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0))
-    sizes = rows.groupBy(F.col(lang).cast("string")).agg(F.sum(F.octet_length(text)), F.count("*")).collect()  # a row for each language
+    sums = rows.groupBy(F.col(lang).cast("string")).agg(F.sum(F.octet_length(text)), F.count("*"))
+    sizes = sums.limit(MOST_LANGUAGES + 1).collect()
     if not sizes:
         return None
-    rate = F.lit(0.0)
-    for value, size, n in sizes:
-        rate = F.when(F.col(lang).cast("string") == value, F.lit(min(1.0, max(max_bytes / size, LEAST_ROWS / n)))).otherwise(rate)
-    sample = rows.where(F.pmod(F.xxhash64(F.lit("ppm"), F.col(key)), F.lit(1 << 30)) < rate * (1 << 30))
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError("too many languages")
+    rates = F.create_map(*[F.lit(x) for value, size, n in sizes for x in (value, min(1.0, max(max_bytes / size, LEAST_ROWS / n)))])
+    sample = rows.where(F.pmod(F.xxhash64(F.lit("ppm"), F.col(key)), F.lit(1 << 30)) < rates[F.col(lang).cast("string")] * (1 << 30))
     got = count_grams(sample, lang, text).toPandas()
     langs = sorted(set(got["lang"]))
     index = {v: i for i, v in enumerate(langs)}

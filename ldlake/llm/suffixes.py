@@ -6,7 +6,7 @@ place, so they are split into classes that are sure to hold equal 50-byte string
 class of a string is the smallest hash among its 24-byte substrings (a minimiser). Neighbouring
 strings share a minimiser, so a class holds short fragments of text rather than single strings.
 
-1. Texts are dealt into blocks. A block names its minimisers; a minimiser in one document only is
+1. Texts are dealt into blocks, by id and text, so that rows of one id or without one don't gather in one. A block names its minimisers; a minimiser in one document only is
    dropped. That answer is one bit for each.
 2. A block sends the distinct fragments of the other minimisers, each with the smallest document
    that has it. Where a minimiser has several fragments, their suffixes are sorted (prefix doubling,
@@ -316,7 +316,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text:
     src = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(low)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     total = src.agg(F.sum(F.octet_length("text"))).first()[0]
     blocks, buckets = n_parts(total, part_bytes(total, BLOCK)), n_parts(total, part_bytes(total, BUCKET))
-    src = src.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.lit(blocks)).cast("int"))
+    src = src.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def name(t: pa.Table) -> pa.Table:
         out: dict[str, list] = {f.name: [] for f in NAMED}
