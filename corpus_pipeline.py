@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ldlake.llm import jaccard, language, packing, suffixes
-from ldlake.llm.common import fresh_dir, table
+from ldlake.llm.common import fresh_dir, remove, table
 from ldlake.llm.queries import mix_documents, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -19,7 +19,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that links join (five words, 0.8), the one with the smallest doc_id stays."""
+    """Of the rows that links join (shingles of five words, 0.8 or more), the one with the smallest doc_id stays; rows without words stay."""
     return jaccard.one_of_each(docs).select(*COLUMNS)
 
 
@@ -52,10 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each result written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each result written to the shared folder and read again; a result goes when its successor is there."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         at = fresh_dir(spark, name)
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if last:
+            remove(spark, last)
+        last = at
+    # the last stage's pieces are a checkpoint, but what it returns may be read from its input too, so that stays
     return STAGES[-1][1](spark, docs, sf_dir)
