@@ -5,31 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_IN_BUCKET = 1_000_000
+from ..sources.shared import cut
 
 
-def numbered(df: DataFrame, order: list[Column], name: str = "_i", within: list[str] | None = None, rows: int = ROWS_IN_BUCKET) -> DataFrame:
-    """Add the 0-based position of each row in the given order (of each group, if ``within``).
+def numbered(df: DataFrame, order: list[Column], name: str = "_i", within: list[str] | None = None, total: str | None = None, parts: int | None = None) -> DataFrame:
+    """Add the 0-based position of each row in the given order (of each group, if ``within``), and the number of all rows as ``total``.
 
-    A global order is built from buckets of about ``rows`` rows, cut at quantiles of the first order
-    column, which must be numeric then: a row's number is its rank in the bucket plus the rows before
-    the bucket. So no task sorts more than a bucket.
+    A global order is a range shuffle and a sort of each range; a row's number is its place in the
+    range plus the rows of the ranges before. The order may be of any sortable type. Ranges are drawn by sampling, so the
+    sorted table is checkpointed before they are counted; the counts, a row for each range, are broadcast.
+    ``parts`` is the number of ranges, else that of shuffle partitions. A column named _m is the operator's own.
     """
     if within:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("long") - 1)
-    n = df.count()
-    if n <= rows:
-        return df.withColumn("_bucket", F.lit(0)).withColumn(name, F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)).cast("long") - 1).drop("_bucket")
-    parts = -(-n // rows)
-    cuts = sorted(set(df.agg(F.percentile_approx(order[0], [i / parts for i in range(1, parts)], 100 * parts)).first()[0]))
-    kept = df.withColumn("_bucket", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= order[0])))
-    size = {r["_bucket"]: r["count"] for r in kept.groupBy("_bucket").count().collect()}
-    before, offset = 0, []
-    for b in range(len(cuts) + 1):
-        offset.append(before)
-        before += size.get(b, 0)
-    start = F.element_at(F.array(*[F.lit(x).cast("long") for x in offset]), F.col("_bucket") + 1)
-    return kept.withColumn(name, F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1 + start).drop("_bucket")
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33).cast("int")
+    before, counts = 0, []
+    for r in rows.groupBy(part.alias("p")).count().orderBy("p").collect():  # a row for each range
+        counts.append((r["p"], before))
+        before += r["count"]
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(counts, "_part int, _before long"))
+    out = rows.withColumn("_part", part).join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    return (out.withColumn(total, F.lit(before).cast("long")) if total else out).drop("_m", "_part", "_before")
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

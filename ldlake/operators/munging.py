@@ -5,29 +5,29 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import number, probit, same_or_flipped, valid_alleles
+from ..functions.columns import numeric, same_or_flipped, valid_alleles, with_probit
 from .frames import first_of, join_first, rename, select
 
 #: Accepted header names for each canonical column.
 SYNONYMS = {
-    "SNP": "SNP MARKERNAME SNPID RS RSID RS_NUMBER RS_NUMBERS",
-    "P": "P PVALUE P_VALUE PVAL P_VAL GC_PVALUE",
-    "A1": "A1 ALLELE1 ALLELE_1 EFFECT_ALLELE REFERENCE_ALLELE INC_ALLELE EA",
-    "A2": "A2 ALLELE2 ALLELE_2 OTHER_ALLELE NON_EFFECT_ALLELE DEC_ALLELE NEA",
-    "N": "N WEIGHT",
-    "Z": "Z ZSCORE Z-SCORE GC_ZSCORE",
-    "BETA": "BETA B EFFECT EFFECTS",
-    "OR": "OR",
-    "LOG_ODDS": "LOG_ODDS",
-    "SIGNED_SUMSTAT": "SIGNED_SUMSTAT",
-    "SE": "SE STDERR STDERROR SE_BETA",
-    "FRQ": "FRQ MAF EAF FRQ_U F_U",
-    "INFO": "INFO IMPINFO",
+    "SNP": ("SNP", "MARKERNAME", "SNPID", "RS", "RSID", "RS_NUMBER", "RS_NUMBERS"),
+    "P": ("P", "PVALUE", "P_VALUE", "PVAL", "P_VAL", "GC_PVALUE"),
+    "A1": ("A1", "ALLELE1", "ALLELE_1", "EFFECT_ALLELE", "REFERENCE_ALLELE", "INC_ALLELE", "EA"),
+    "A2": ("A2", "ALLELE2", "ALLELE_2", "OTHER_ALLELE", "NON_EFFECT_ALLELE", "DEC_ALLELE", "NEA"),
+    "N": ("N", "WEIGHT"),
+    "Z": ("Z", "ZSCORE", "Z-SCORE", "GC_ZSCORE"),
+    "BETA": ("BETA", "B", "EFFECT", "EFFECTS"),
+    "OR": ("OR",),
+    "LOG_ODDS": ("LOG_ODDS",),
+    "SIGNED_SUMSTAT": ("SIGNED_SUMSTAT",),
+    "SE": ("SE", "STDERR", "STDERROR", "SE_BETA"),
+    "FRQ": ("FRQ", "MAF", "EAF", "FRQ_U", "F_U"),
+    "INFO": ("INFO", "IMPINFO"),
 }
-CANONICAL = {name: to for to, names in SYNONYMS.items() for name in names.split()}
+CANONICAL = {name: to for to, names in SYNONYMS.items() for name in names}
 NUMERIC = ("P", "N", "Z", "BETA", "OR", "LOG_ODDS", "SIGNED_SUMSTAT", "SE", "FRQ", "INFO", "N_CAS", "N_CON", "NSTUDY")
 #: Columns that tell the sign, and the value that stands for no effect.
 SIGNED = (("BETA", 0.0), ("LOG_ODDS", 0.0), ("OR", 1.0))
@@ -99,7 +99,7 @@ def info_mean(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
     if not names:
         return df
     have = {c.upper(): c for c in df.columns}
-    parts = [number(F.col(have[x.upper()])) for x in names]
+    parts = [numeric(df, have[x.upper()]) for x in names]
     total = parts[0]
     for p in parts[1:]:
         total = total + p
@@ -124,21 +124,38 @@ def p_in_range(df: DataFrame) -> DataFrame:
     return df.where("P > 0 AND P <= 1") if "P" in df.columns else df
 
 
+def _effect(df: DataFrame, signed: str | None) -> Column | None:
+    """The signed column that tells the direction of Z, less the value of no effect."""
+    have, choice = df.columns, None
+    if signed:
+        name, _, null = signed.partition(",")
+        found = [c for c in have if c.upper() == name.strip().upper() or c == CANONICAL.get(name.strip().upper())]
+        choice = (found[0], float(null)) if found else None
+    choice = choice or next(((c, x) for c, x in SIGNED if c in have), None)
+    return numeric(df, choice[0]) - choice[1] if choice else None
+
+
+def has_z(df: DataFrame, signed: str | None = None, a1_inc: bool = False) -> Column:
+    """Whether ``derive_z`` gives a Z, without computing it: filters on Z itself would repeat its formula."""
+    have = df.columns
+    if "P" in have:
+        effect = _effect(df, signed)
+        if a1_inc or effect is not None:
+            known = F.col("P").isNotNull() & ~F.isnan("P")
+            return known if a1_inc else known & F.coalesce(effect != 0, F.lit(False))
+    if "Z" in have:
+        return F.col("Z").isNotNull()
+    return F.col("BETA").isNotNull() & F.coalesce(F.col("SE") != 0, F.lit(False))
+
+
 def derive_z(df: DataFrame, signed: str | None = None, a1_inc: bool = False) -> DataFrame:
     """Z from P and a signed column, else as it is, else from BETA and SE. A value of no effect gives a missing Z."""
     have = df.columns
     if "P" in have and a1_inc:
-        return df.withColumn("Z", probit("P"))
-    if "P" in have:
-        choice = None
-        if signed:
-            name, _, null = signed.partition(",")
-            found = [c for c in have if c.upper() == name.strip().upper() or c == CANONICAL.get(name.strip().upper())]
-            choice = (found[0], float(null)) if found else None
-        choice = choice or next(((c, x) for c, x in SIGNED if c in have), None)
-        if choice:
-            effect = number(F.col(choice[0])) - choice[1]
-            return df.withColumn("Z", F.when(effect > 0, probit("P")).when(effect < 0, -probit("P")))
+        return with_probit(df, "P", "Z")
+    if "P" in have and (effect := _effect(df, signed)) is not None:
+        size = with_probit(df, "P", "_size")
+        return size.withColumn("Z", F.when(effect > 0, F.col("_size")).when(effect < 0, -F.col("_size"))).drop("_size")
     if "Z" in have:
         return df
     if "BETA" in have and "SE" in have:
@@ -170,7 +187,7 @@ def alleles_valid(df: DataFrame) -> DataFrame:
 
 def studies_at_least(df: DataFrame, name: str | None, least: float | None) -> DataFrame:
     found = [c for c in df.columns if name and c.upper() == name.upper()]
-    return df.where(number(F.col(found[0])) >= least) if found and least is not None else df
+    return df.where(numeric(df, found[0]) >= least) if found and least is not None else df
 
 
 def merge_alleles(df: DataFrame, reference: DataFrame) -> DataFrame:
@@ -192,27 +209,64 @@ def drop_missing(df: DataFrame, but: tuple[str, ...] = ("INFO", "_row")) -> Data
     return df.where(keep)
 
 
-def munge(raw: DataFrame, opts: MungeOptions = MungeOptions(), reference: DataFrame | None = None) -> DataFrame:
-    """SNP[, A1, A2], Z, N[, FRQ] in one lazy plan; ``_row`` tells the order for which the first of a SNP stays.
+def typed_once(df: DataFrame) -> DataFrame:
+    """Canonical columns as numbers and trimmed text, each cell parsed once.
 
-    Stages run in a fixed order, which is visible in results: the percentile behind the default n_min
-    is taken after the P filter and before all others.
+    Filters that follow would be pushed below this projection and parse the cells again in each test. A projection
+    with a number that isn't deterministic stays where it is, and so do they.
+    """
+    numbers = {c: numeric(df, c) for c in df.columns if c in NUMERIC}
+    texts = {c: F.trim(F.col(c).cast("string")) for c in df.columns if c == "SNP"} | {c: F.upper(F.trim(F.col(c).cast("string"))) for c in df.columns if c in ("A1", "A2")}
+    return df.withColumns(numbers | texts | {"_once": F.monotonically_increasing_id()}).where("_once >= 0").drop("_once")
+
+
+def stages(raw: DataFrame, opts: MungeOptions = MungeOptions(), reference: DataFrame | None = None):
+    """Yield (name, table) after each stage that can lose rows, in their fixed order; the last has the result's columns and _row.
+
+    The order is visible in results: the percentile behind the default n_min is taken after the P
+    filter and before all others. Z comes last, as no other stage reads it and rows without one are known before.
     """
     if opts.no_alleles and reference is not None:
         raise ValueError("no-alleles and merge-alleles are not compatible")
     df = without(raw, opts.ignore)
     df, n_cas, n_con = daner_columns(df, opts)
     df = canonical_columns(df, opts.columns)
-    df = df.withColumns({c: number(F.col(c)) for c in df.columns if c in NUMERIC} | {c: F.trim(F.col(c).cast("string")) for c in df.columns if c in ("SNP", "A1", "A2")})
-    df = info_mean(df, opts.info_list)
-    df = sample_size(df, opts.n, n_cas, n_con)
-    df = derive_z(p_in_range(df), opts.signed_sumstats, opts.a1_inc)
-    df = info_at_least(frequency_above(n_at_least(df, opts.n_min), opts.maf_min), opts.info_min)
+    df = info_mean(typed_once(df), opts.info_list)
+    yield "read", df
+    df = p_in_range(sample_size(df, opts.n, n_cas, n_con))
+    yield "P out of range", df
+    derive_z(df, opts.signed_sumstats, opts.a1_inc)  # says what is missing, if there is no way
+    for name, step in (("N", lambda d: n_at_least(d, opts.n_min)), ("FRQ", lambda d: frequency_above(d, opts.maf_min)), ("INFO", lambda d: info_at_least(d, opts.info_min))):
+        df = step(df)
+        yield name, df
     if not opts.no_alleles:
         df = alleles_valid(df)
+        yield "alleles", df
     df = studies_at_least(df, opts.nstudy, opts.nstudy_min)
+    yield "studies", df
     if reference is not None:
         df = merge_alleles(df, reference)
-    df = drop_missing(df)
-    out = ["SNP", *([] if opts.no_alleles else ["A1", "A2"]), "Z", "N", *(["FRQ"] if opts.keep_maf else [])]
-    return first_of(select(df, [*out, "_row"]), ["SNP"], [F.col("_row")])
+        yield "merge-alleles", df
+    replaced = ("Z",) if "P" in df.columns else ()  # what P and the sign stand for
+    df = drop_missing(df.where(has_z(df, opts.signed_sumstats, opts.a1_inc)), ("INFO", "_row", *replaced))
+    out = ["SNP", *([] if opts.no_alleles else ["A1", "A2"]), "Z", "N", *(["FRQ"] if opts.keep_maf else []), "_row"]
+    select(derive_z(df, opts.signed_sumstats, opts.a1_inc), out)  # a missing column is told before anything runs
+    told = (opts.signed_sumstats or "").partition(",")[0].strip().upper()
+    sources = [c for c in df.columns if c in ("P", "Z", "BETA", "SE", "OR", "LOG_ODDS", "SIGNED_SUMSTAT") or c.upper() == told]
+    df = df.select(*dict.fromkeys([*(c for c in out if c != "Z"), *sources]))
+    yield "missing values", df
+    # Z is made of what a row has, so only rows that stay need one
+    yield "duplicates", derive_z(first_of(df, ["SNP"], [F.col("_row")]), opts.signed_sumstats, opts.a1_inc).select(*out)
+
+
+def munge(raw: DataFrame, opts: MungeOptions = MungeOptions(), reference: DataFrame | None = None) -> DataFrame:
+    """SNP[, A1, A2], Z, N[, FRQ] in one lazy plan; ``_row`` tells the order for which the first of a SNP stays."""
+    for _, df in stages(raw, opts, reference):
+        pass
+    return df
+
+
+def removed(raw: DataFrame, opts: MungeOptions = MungeOptions(), reference: DataFrame | None = None) -> list[tuple[str, int]]:
+    """(stage, rows it removed), in order; the first counts what was read. A count for each stage."""
+    sizes = [(name, df.count()) for name, df in stages(raw, opts, reference)]
+    return [sizes[0], *[(name, before - n) for (_, before), (name, n) in zip(sizes, sizes[1:])]]

@@ -62,7 +62,7 @@ def munge_filters(v: Views) -> DataFrame:
 
 @query(f"{_FILTERED}, z AS (SELECT SNP, A1, A2, {_Z} AS Z, N, _row FROM ok), first AS (SELECT *, row_number() OVER (PARTITION BY SNP ORDER BY _row) AS k FROM z WHERE Z IS NOT NULL) SELECT SNP, A1, A2, round(Z, 6) AS Z, round(N, 6) AS N FROM first WHERE k = 1", "v_sumstats")
 def munge_z(v: Views) -> DataFrame:
-    raw = v.sumstats.drop("N_CAS", "N_CON", "NSTUDY")
+    raw = v.ordered.drop("N_CAS", "N_CON", "NSTUDY")
     return munging.munge(raw).select("SNP", "A1", "A2", r("Z").alias("Z"), r("N").alias("N"))
 
 
@@ -132,11 +132,21 @@ _REG = f"""WITH z AS (SELECT SNP, {_Z} AS Z, N, _row FROM v_sumstats WHERE P > 0
 
 
 def _reg(v: Views) -> DataFrame:
-    """One row for each SNP in file order: Z, chi2, N, LD scores, weight, position."""
-    z = munging.derive_z(munging.p_in_range(v.sumstats)).where("Z IS NOT NULL").select("SNP", "Z", "N", "_row")
-    first = frames.first_of(z, ["SNP"], [F.col("_row")])
+    """One row for each SNP in file order: Z, chi2, N, LD scores, weight, position, number of all."""
+    sumstats = munging.p_in_range(v.ordered)
+    first = frames.first_of(sumstats.where(munging.has_z(sumstats)).select("SNP", "BETA", "P", "N", "_row"), ["SNP"], [F.col("_row")])
     joined = frames.join_first(first, v.ld.select("SNP", "L2", "codingL2", "w_l2"), "SNP", [F.struct("L2", "w_l2")])
-    return frames.numbered(joined.withColumn("chi2", C.chi_square(F.col("Z"))), [F.col("_row")], "_i")
+    rows = frames.numbered(joined, [F.col("_row")], "_i", total="_n").drop("_row")
+    return munging.derive_z(rows).withColumn("chi2", C.chi_square(F.col("Z"))).drop("BETA", "P")
+
+
+def regressed(v: Views, fit, prepare=lambda df: df):
+    """``fit`` of the regression table, which is read in several passes and so kept for them."""
+    reg = prepare(_reg(v)).persist()
+    try:
+        return fit(reg)
+    finally:
+        reg.unpersist()
 
 
 @query(f"{_REG} SELECT SNP, round(chi2, 5) AS chi2, N, round(L2, 6) AS L2, round(w_l2, 6) AS w_l2, _i FROM reg", "v_sumstats", "v_ld")
@@ -149,8 +159,7 @@ _N, _B = "(SELECT count(*) FROM reg)", 50
 
 @query(f"{_REG} SELECT SNP, CAST(((_i + 1) * {_B} - 1) // {_N} AS BIGINT) AS block FROM reg", "v_sumstats", "v_ld")
 def jackknife_blocks(v: Views) -> DataFrame:
-    reg = _reg(v)
-    return reg.select("SNP", regression.block_of(F.col("_i"), reg.count(), _B).alias("block"))
+    return _reg(v).select("SNP", regression.block_of(F.col("_i"), F.col("_n"), _B).alias("block"))
 
 
 _W = "1 / (2 * power(1 + 0.5 * N / 1000 * greatest(L2, 1), 2)) / greatest(w_l2, 1)"
@@ -189,7 +198,7 @@ def chisq_max(v: Views) -> DataFrame:
 def block_gram(v: Views) -> DataFrame:
     reg = _reg(v)
     w = C.regression_weight(F.col("L2"), F.col("w_l2"), F.col("N"), 1000, 0.5, 1)
-    sums = regression.block_sums(reg, [F.col("L2"), F.lit(1.0)], F.col("chi2"), w, regression.block_of(F.col("_i"), reg.count(), _B))
+    sums = regression.block_sums(reg, [F.col("L2"), F.lit(1.0)], F.col("chi2"), w, regression.block_of(F.col("_i"), F.col("_n"), _B))
     return sums.select("block", "n", r("xx_0_0", 5).alias("xx"), r("xx_0_1").alias("x1"), r("xx_1_1", 7).alias("s"), r("xy_0", 5).alias("xy"))
 
 
@@ -214,25 +223,25 @@ def _row(v: Views, **values: float) -> DataFrame:
 
 @query(_one_step(False), "v_sumstats", "v_ld")
 def h2_one_step(v: Views) -> DataFrame:
-    h = regression.heritability(_reg(v).cache(), ["L2"], [1000.0])
+    h = regressed(v, lambda reg: regression.heritability(reg, ["L2"], [1000.0]))
     return _row(v, h2=round(h.h2, 5), intercept=round(h.intercept, 5))
 
 
 @query(_one_step(True), "v_sumstats", "v_ld")
 def h2_fixed_intercept(v: Views) -> DataFrame:
-    h = regression.heritability(_reg(v).cache(), ["L2"], [1000.0], intercept=1.0)
+    h = regressed(v, lambda reg: regression.heritability(reg, ["L2"], [1000.0], intercept=1.0))
     return _row(v, h2=round(h.h2, 5), intercept=1.0)
 
 
 @query()
 def h2_two_step(v: Views) -> DataFrame:
-    h = regression.heritability(_reg(v).cache(), ["L2"], [1000.0], step=30.0)
+    h = regressed(v, lambda reg: regression.heritability(reg, ["L2"], [1000.0], step=30.0))
     return _row(v, h2=h.h2, h2_se=h.se, intercept=h.intercept, intercept_se=h.intercept_se, mean_chi2=h.mean_chi2, lambda_gc=h.lambda_gc, ratio=h.ratio, ratio_se=h.ratio_se)
 
 
 @query()
 def h2_partitioned(v: Views) -> DataFrame:
-    fit = regression.partitioned(_reg(v).cache(), ["L2", "codingL2"], [1000.0, 400.0])
+    fit = regressed(v, lambda reg: regression.partitioned(reg, ["L2", "codingL2"], [1000.0, 400.0]))
     rows = [(n, float(a), float(b), float(c), float(d)) for n, a, b, c, d in zip(fit.names, fit.prop, fit.enrichment(), fit.coef, fit.coef_se)]
     return v.spark.createDataFrame(rows, "category string, prop_h2 double, enrichment double, coefficient double, coefficient_se double")
 
@@ -242,23 +251,28 @@ def h2_overlap(v: Views) -> DataFrame:
     got = {(x["a"], x["b"]): x["value"] for x in annotations.overlap(v.annot, ["base", "coding"]).collect()}
     matrix = np.array([[got[a, b] for b in ("base", "coding")] for a in ("base", "coding")])
     total = v.annot.count()
-    fit = regression.partitioned(_reg(v).cache(), ["L2", "codingL2"], [float(matrix[0, 0]), float(matrix[1, 1])])
+    fit = regressed(v, lambda reg: regression.partitioned(reg, ["L2", "codingL2"], [float(matrix[0, 0]), float(matrix[1, 1])]))
     rows = regression.overlap_results(fit, matrix, total)
     return v.spark.createDataFrame([tuple(x.values()) for x in rows], "category string, prop_snps double, prop_h2 double, prop_h2_se double, enrichment double, enrichment_se double, enrichment_p double, coefficient double, coefficient_se double, coefficient_z double")
 
 
 @query()
 def h2_cell_type(v: Views) -> DataFrame:
-    reg = _reg(v).withColumn("tissueL2", F.col("codingL2") * F.pmod("_i", F.lit(3))).cache()
-    rows = regression.cell_types(reg, [("coding", ["codingL2"], [400.0]), ("tissue", ["tissueL2"], [300.0])], ["L2"], [1000.0])
+    tissue = lambda reg: reg.withColumn("tissueL2", F.col("codingL2") * F.pmod("_i", F.lit(3)))
+    sets = [("coding", ["codingL2"], [400.0]), ("tissue", ["tissueL2"], [300.0])]
+    rows = regressed(v, lambda reg: regression.cell_types(reg, sets, ["L2"], [1000.0]), tissue)
     return v.spark.createDataFrame([tuple(x.values()) for x in rows], "name string, coefficient double, coefficient_se double, p double")
 
 
+def _two_traits(reg: DataFrame) -> DataFrame:
+    """A second trait that keeps part of the first one's signal."""
+    second = (0.6 * F.col("Z") + F.sin(F.col("_i"))).alias("Z2")
+    return reg.select("_i", F.col("Z").alias("Z1"), second, F.col("N").alias("N1"), (F.col("N") + 100).alias("N2"), "L2", "w_l2")
+
+
 @query()
 def rg_pair(v: Views) -> DataFrame:
-    """A trait against a second one that keeps part of its signal."""
-    reg = _reg(v).select("_i", F.col("Z").alias("Z1"), (0.6 * F.col("Z") + F.sin(F.col("_i"))).alias("Z2"), F.col("N").alias("N1"), (F.col("N") + 100).alias("N2"), "L2", "w_l2").cache()
-    c = regression.correlation(reg, ["L2"], [1000.0])
+    c = regressed(v, lambda reg: regression.correlation(reg, ["L2"], [1000.0]), _two_traits)
     return _row(v, rg=c.rg, se=c.se, z=c.z, p=c.p, h2_1=c.h1.h2, h2_2=c.h2.h2, gcov=c.gencov.rho, gcov_int=c.gencov.intercept, mean_z1z2=c.gencov.mean_z1z2)
 
 

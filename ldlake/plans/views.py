@@ -71,6 +71,12 @@ class Views:
         order = [F.col(c.strip()) for c in LINEITEM.split(",")]
         return numbered(self._view("v_sumstats"), order, "_row").drop(*[c.strip() for c in LINEITEM.split(",")])
 
+    @property
+    def ordered(self) -> DataFrame:
+        """The sumstats in the same order, ``_row`` being what the order goes by: no row numbers are made."""
+        names = [c.strip() for c in LINEITEM.split(",")]
+        return self._view("v_sumstats").withColumn("_row", F.struct(*names)).drop(*names)
+
     @property
     def bim(self) -> DataFrame:
         return numbered(self._view("v_bim"), [F.col("num")], "pos", ["CHR"])

@@ -22,10 +22,11 @@ from .jackknife import Jackknife, from_block_sums, ratio, two_step
 MEDIAN_CHI2 = 0.4549  # as a fixed value: median of chi-square with one degree of freedom
 
 
-def block_of(i: Column, n: int, blocks: int) -> Column:
+def block_of(i: Column, n: int | Column, blocks: int) -> Column:
     """Contiguous blocks that begin at floor(k n / blocks)."""
+    n = n if isinstance(n, Column) else F.lit(n)
     top = (i + 1) * F.lit(blocks) - 1
-    return ((top - F.pmod(top, F.lit(n))) / F.lit(n)).cast("long")  # whole division
+    return ((top - F.pmod(top, n)) / n).cast("long")  # whole division
 
 
 def block_sums(df: DataFrame, xs: list[Column], y: Column, w: Column, block: Column) -> DataFrame:
