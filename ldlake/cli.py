@@ -7,6 +7,7 @@ import sys
 
 from .operators.munging import MungeOptions
 from .plans import commands
+from .sources import writers
 
 
 def parser() -> argparse.ArgumentParser:
@@ -40,7 +41,8 @@ def parser() -> argparse.ArgumentParser:
     l2.add_argument("--chunk-size", type=int, default=200, dest="chunk")
     l2.add_argument("--sketch", type=int)
     l2.add_argument("--sketch-maf-aware", action="store_true")
-    for flag in ("mmap", "fast-f32", "gpu", "verbose-timing", "maf-pre"):  # taken, without effect on results here
+    l2.add_argument("--fast-f32", action="store_true")
+    for flag in ("mmap", "gpu", "verbose-timing", "maf-pre"):  # taken, without effect on results here
         l2.add_argument(f"--{flag}", action="store_true")
 
     for name in ("h2", "rg"):
@@ -113,12 +115,13 @@ def main(argv: list[str] | None = None) -> int:
         parts = lambda x: tuple(p.strip() for p in x.split(",")) if x else ()
         opts = MungeOptions(args.daner, args.daner_n, args.n_min, args.maf_min, args.info_min, args.N, args.N_cas, args.N_con, {k: v for k, v in names.items() if v}, args.signed_sumstats, parts(args.ignore), args.keep_maf, args.a1_inc, args.no_alleles, parts(args.info_list), args.nstudy, args.nstudy_min)
         done = commands.run_munge(spark, args.sumstats, args.out, opts, args.merge_alleles)
-        print(f"Munging complete: {done.count()} SNPs -> {args.out}.sumstats")
+        for name, n in commands.munge_counts(spark, args.sumstats, opts, args.merge_alleles):
+            print(f"  Read {n} rows" if name == "read" else f"  Removed {n} SNPs: {name}")
+        print(f"Munging complete: {done.count()} SNPs -> {args.out}.sumstats.gz")
     elif args.command == "l2":
         keys = commands.LdOptions.__dataclass_fields__
         got = commands.run_l2(spark, args.bfile, args.out, commands.LdOptions(**{k: v for k, v in vars(args).items() if k in keys}))
-        got["summary"].show(truncate=False)
-        got["correlations"].show(truncate=False)
+        print(writers.ld_summary(got["summary"].collect(), got["correlations"].collect(), got["columns"], f"{args.out}.l2.ldscore.gz"), end="")
     elif args.command in ("h2", "rg"):
         split = args.ref_ld_chr is not None
         ref, weights = args.ref_ld_chr or args.ref_ld, args.w_ld_chr or args.w_ld
@@ -126,7 +129,7 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "rg":
             _, text = commands.run_rg(spark, args.rg.split(","), ref, weights, commands.RegressionOptions(**common), split, _list(args.intercept_h2), _list(args.intercept_gencov), args.no_check_alleles)
         else:
-            opts = commands.RegressionOptions(**common, intercept=args.intercept_h2, samp_prev=args.samp_prev, pop_prev=args.pop_prev, overlap_annot=args.overlap_annot, frqfile=args.frqfile_chr or args.frqfile, print_coefficients=args.print_coefficients, print_all_cts=args.print_all_cts)
+            opts = commands.RegressionOptions(**common, intercept=args.intercept_h2, samp_prev=args.samp_prev, pop_prev=args.pop_prev, overlap_annot=args.overlap_annot, frqfile=args.frqfile, frqfile_chr=args.frqfile_chr, print_coefficients=args.print_coefficients, print_all_cts=args.print_all_cts)
             if args.h2_cts:
                 _, text = commands.run_cell_types(spark, args.h2_cts, ref, weights, args.ref_ld_chr_cts, opts, args.out)
             else:

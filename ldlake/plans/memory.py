@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import number
 from ..operators import frames, ldscore, windows
 from ..sources import plink, readers
+from ..sources.shared import cut
 from ..stats import regression
 
 LEAST_ROWS = 200
@@ -39,9 +42,20 @@ def balanced(counts: dict[int, int], workers: int) -> list[list[int]]:
     return out
 
 
-def l2_from_bytes(spark: SparkSession, bed: bytes, bim: str, people: int, kb: float | None = None, cm: float | None = None, snps: int | None = None, chunk: int | None = 200, chromosomes: list[int] | None = None) -> DataFrame:
-    """CHR, SNP, BP, bed_idx, maf, L2; of some chromosomes, if they are given."""
+def l2_from_bytes(spark: SparkSession, bed: bytes, bim: str, people: int, kb: float | None = None, cm: float | None = None, snps: int | None = None, chunk: int | None = 200, chromosomes: list[int] | None = None, progress: Callable[[int, int], None] | None = None) -> DataFrame:
+    """CHR, SNP, BP, bed_idx, maf, L2; of some chromosomes, if they are given.
+
+    With ``progress`` chromosomes are computed one after the other, and it is told how many of how many SNPs are done.
+    """
     table = bim_table(spark, bim)
+    if progress:
+        sizes = {r["CHR"]: r["n"] for r in chromosome_counts(table).collect() if not chromosomes or r["CHR"] in chromosomes}
+        out, done = None, 0
+        for c, n in sorted(sizes.items()):
+            part = cut(l2_from_bytes(spark, bed, bim, people, kb, cm, snps, chunk, [c]))
+            out, done = part if out is None else out.unionByName(part), done + n
+            progress(done, sum(sizes.values()))
+        return out
     geno = plink.from_bytes(spark, bed, people, table.count())
     if chromosomes:
         table = table.where(F.col("CHR").isin(*chromosomes))

@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import integer_or_zero, number
+from ..functions.columns import NA_TOKENS, integer_or_zero, number
 
 CHROMOSOMES = range(1, 23)
 SUFFIXES = (".gz", ".bz2", "")
@@ -26,10 +26,16 @@ def chromosome_path(prefix: str, chromosome: int, suffix: str = "") -> str:
     return (prefix.replace("@", str(chromosome)) if "@" in prefix else f"{prefix}{chromosome}") + suffix
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of a path, as the cluster sees it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, p.makeQualified(fs.getUri(), fs.getWorkingDirectory())
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
 
 
 def present(spark: SparkSession, prefix: str, suffix: str) -> list[int]:
@@ -37,28 +43,93 @@ def present(spark: SparkSession, prefix: str, suffix: str) -> list[int]:
     return [c for c in CHROMOSOMES if exists(spark, chromosome_path(prefix, c, suffix))]
 
 
-def _ordered(df: DataFrame, files: list[str]) -> DataFrame:
-    """Add ``_row``: file by the order given, then place in it (block start, then line of the block)."""
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
-    part = F.lit(len(files))
-    for i, f in reversed(list(enumerate(files))):
-        part = F.when(name == f.rsplit("/", 1)[-1], F.lit(i)).otherwise(part)
-    return df.withColumn("_row", F.struct(part.alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m")))
+def _bare(path: str) -> str:
+    """A path without the ways in which a local scheme is written."""
+    return re.sub(r"^file:/+", "/", path)
+
+
+def _ordered(df: DataFrame, names: list[str]) -> DataFrame:
+    """Add ``_row``: file by the order given (whole paths), part of it if it is a folder, place in that (block start, then line of the block)."""
+    at = F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
+    file, part = F.lit(len(names)), F.lit("")
+    for i, name in reversed(list(enumerate(names))):
+        inside = F.startswith(at, F.lit(name + "/"))
+        file = F.when((at == name) | inside, F.lit(i)).otherwise(file)
+        part = F.when(inside, F.substring(at, len(name) + 2, 1 << 20)).otherwise(part)
+    return df.withColumn("_row", F.struct(file.alias("f"), part.alias("p"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m")))
+
+
+def _unpacked_lines(spark: SparkSession, files: list[tuple[int, str]], skip: int) -> DataFrame:
+    """Lines of block-gzip files, which are gzip files of many members: a task streams a file."""
+
+    def read(batches):
+        import io
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for i, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                store, at = fs.FileSystem.from_uri(path)
+                with store.open_input_stream(at, compression="gzip") as f:
+                    text, left = io.TextIOWrapper(io.BufferedReader(f), encoding="utf-8", newline=None), skip
+                    number, values = 0, []
+                    for line in text:
+                        number += 1
+                        line = line.rstrip("\n")
+                        if left and line.strip():
+                            left -= 1
+                            continue
+                        values.append((line, {"f": i, "p": "", "b": 0, "m": number}))
+                        if len(values) == 10_000:
+                            yield pa.RecordBatch.from_pylist([{"value": v, "_row": r} for v, r in values], schema)
+                            values = []
+                    if values:
+                        yield pa.RecordBatch.from_pylist([{"value": v, "_row": r} for v, r in values], schema)
+
+    import pyarrow as pa
 
+    schema = pa.schema([("value", pa.string()), ("_row", pa.struct([("f", pa.int32()), ("p", pa.string()), ("b", pa.int64()), ("m", pa.int64())]))])
+    table = spark.createDataFrame(files, "i int, path string").repartition(len(files), "path")
+    return table.mapInArrow(read, "value string, _row struct<f:int,p:string,b:bigint,m:bigint>")
 
-def lines(spark: SparkSession, files: str | list[str]) -> DataFrame:
-    """(value, _row) of non-blank lines; .gz, .bgz and .bz2 are unpacked."""
+
+def lines(spark: SparkSession, files: str | list[str], header: bool = False) -> DataFrame:
+    """(value, _row) of non-blank lines, without the first of each file if it is a ``header``; .gz, .bgz and .bz2 are unpacked."""
     files = [files] if isinstance(files, str) else files
-    if any(f.endswith(".bgz") for f in files):  # block gzip is multi-member gzip
-        spark.sparkContext._jsc.hadoopConfiguration().set("io.compression.codecs", "org.apache.hadoop.io.compress.GzipCodec,org.apache.hadoop.io.compress.BZip2Codec,org.apache.hadoop.io.compress.DefaultCodec")
-    return _ordered(spark.read.text(files), files).where(F.trim("value") != "")
+    names = [_hadoop(spark, f)[1].toString() for f in files]
+    blocked = [(i, "file://" + _bare(n) if n.startswith("file:") else n) for i, n in enumerate(names) if n.endswith(".bgz")]
+    plain = [f for f in files if not f.endswith(".bgz")]
+    out = None
+    if plain:
+        # one column up to a character that no table has; this reader leaves out each file's first line
+        rows = spark.read.schema("value string").csv(plain, sep="\x01", header=header, quote="", escape="", comment="", nullValue="\x01", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, maxCharsPerColumn=-1) if header else spark.read.text(plain)
+        out = _ordered(rows, [_bare(n) for n in names]).select("value", "_row")
+    if blocked:
+        more = _unpacked_lines(spark, blocked, int(header))
+        out = more if out is None else out.unionByName(more)
+    return out.where(F.trim("value") != "")
 
 
 def first_line(spark: SparkSession, path: str) -> str:
-    got = lines(spark, path).orderBy("_row").select("value").first()
-    if got is None:
-        raise ValueError(f"{path} is empty")
-    return got[0]
+    """The first non-blank line, read in the driver; of a folder, that of its first part."""
+    jvm, (fs, p) = spark.sparkContext._jvm, _hadoop(spark, path)
+    if fs.getFileStatus(p).isDirectory():
+        parts = sorted(x.getPath().toString() for x in fs.listStatus(p) if x.isFile() and x.getPath().getName()[0] not in "._")
+        p = jvm.org.apache.hadoop.fs.Path(parts[0]) if parts else p
+    conf, stream = spark.sparkContext._jsc.hadoopConfiguration(), fs.open(p)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p)
+    if codec is None and path.endswith(".bgz"):
+        codec = jvm.org.apache.hadoop.io.compress.GzipCodec()
+        codec.setConf(conf)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+    try:
+        while (line := reader.readLine()) is not None:
+            if line.strip():
+                return line
+    finally:
+        reader.close()
+    raise ValueError(f"{path} is empty")
 
 
 def _cells(header: str) -> Column:
@@ -70,12 +141,25 @@ def names_of(header: str) -> list[str]:
     return header.rstrip("\r\n").split("\t") if "\t" in header else header.split()
 
 
+def cell(c: Column) -> Column:
+    """A cell as trimmed text; what stands for a missing value (empty, NA, a dot, NaN) is null."""
+    text = F.trim(c)
+    return F.when(~F.lower(text).isin(*NA_TOKENS), text)
+
+
 def read_table(spark: SparkSession, files: str | list[str]) -> DataFrame:
-    """A table with a header, as strings; short rows are filled with nulls; no quoting. All files share the first one's header."""
+    """A table with a header, as strings, missing cells null; short rows are filled with nulls; no quoting.
+
+    Several files must have the same columns; each one's first line is its header.
+    """
     files = [files] if isinstance(files, str) else files
     header = first_line(spark, files[0])
-    rows = lines(spark, files).where(F.col("value") != header).select(_cells(header).alias("c"), "_row")
-    return rows.select(*[F.trim(F.get("c", F.lit(i))).alias(n.strip()) for i, n in enumerate(names_of(header))], "_row")
+    names = [n.strip() for n in names_of(header)]
+    for f in files[1:]:
+        if [n.strip() for n in names_of(first_line(spark, f))] != names:
+            raise ValueError(f"{f} has other columns than {files[0]}")
+    rows = lines(spark, files, True).select(_cells(header).alias("c"), "_row")
+    return rows.select(*[cell(F.get("c", F.lit(i))).alias(n) for i, n in enumerate(names)], "_row")
 
 
 read_sumstats = read_ld = read_table
@@ -84,7 +168,7 @@ read_sumstats = read_ld = read_table
 def typed(df: DataFrame) -> DataFrame:
     """Columns as doubles where every cell that isn't missing is a number; one aggregation over the table."""
     names = [c for c in df.columns if c != "_row"]
-    bad = df.agg(*[F.count_if(number(F.col(f"`{c}`")).isNull() & ~F.lower(F.trim(f"`{c}`")).isin("", "na", ".", "nan")).alias(f"b{i}") for i, c in enumerate(names)]).first()
+    bad = df.agg(*[F.count_if(number(F.col(f"`{c}`")).isNull() & F.col(f"`{c}`").isNotNull()).alias(f"b{i}") for i, c in enumerate(names)]).first()
     return df.withColumns({c: number(F.col(f"`{c}`")) for i, c in enumerate(names) if bad[i] == 0})
 
 
@@ -108,8 +192,10 @@ def m_vector(spark: SparkSession, prefixes: list[str], split: bool, common: bool
     for prefix in prefixes:
         files = [chromosome_path(prefix, c, suffix) for c in present(spark, prefix, suffix)] if split else [prefix + suffix]
         values = [_numbers(spark, f) for f in files]
-        if not values or len({len(v) for v in values}) != 1:
-            raise ValueError(f"M files of {prefix} are missing or differ in length")
+        if not values:
+            raise FileNotFoundError(f"no M files of {prefix}")
+        if len({len(v) for v in values}) != 1:
+            raise ValueError(f"M files of {prefix} differ in length")
         out += [sum(v) for v in zip(*values)]
     return out
 
@@ -129,8 +215,8 @@ def annotation_path(spark: SparkSession, prefix: str) -> str:
     raise FileNotFoundError(f"no annotation for {prefix}")
 
 
-def read_annotation(spark: SparkSession, path: str, thin: bool = False) -> tuple[DataFrame, list[str]]:
-    """Annotation columns as doubles, missing as 0; a full file's first four columns are skipped by place."""
+def read_annotation(spark: SparkSession, path: str | list[str], thin: bool = False) -> tuple[DataFrame, list[str]]:
+    """Annotation columns as doubles, missing as 0; a full file's first four columns are skipped by place. Several files follow one another."""
     df = read_table(spark, path)
     names = [c for c in df.columns if c != "_row"][0 if thin else 4 :]
     return df.select(*[F.coalesce(number(F.col(f"`{c}`")), F.lit(0.0)).alias(c) for c in names], "_row"), names
@@ -153,7 +239,7 @@ def read_bim(spark: SparkSession, path: str, chromosomes: list[int] | None = Non
     c = F.split("value", "\t", -1)
     rows = lines(spark, path).select(integer_or_zero(c[0], "int").alias("CHR"), F.get(c, F.lit(1)).alias("SNP"), F.coalesce(F.get(c, F.lit(2)).try_cast("double"), F.lit(0.0)).alias("CM"), integer_or_zero(F.get(c, F.lit(3))).alias("BP"), F.size(c).alias("_n"), "_row")
     rows = rows.where(F.assert_true(F.col("_n") >= 6, "a BIM line needs six tab-separated fields").isNull()).drop("_n")
-    rows = numbered(rows.withColumn("_b", F.col("_row.b")), [F.col("_b"), F.col("_row.m")], "bed_idx").drop("_b")
+    rows = numbered(rows, [F.col("_row")], "bed_idx")
     return rows.where(F.col("CHR").isin(*chromosomes)) if chromosomes else rows
 
 
@@ -163,7 +249,7 @@ def read_fam(spark: SparkSession, path: str) -> DataFrame:
 
     c = F.split(F.trim("value"), r"\s+")
     rows = lines(spark, path).select(F.get(c, F.lit(0)).alias("FID"), F.get(c, F.lit(1)).alias("IID"), "_row")
-    return numbered(rows.withColumn("_b", F.col("_row.b")), [F.col("_b"), F.col("_row.m")], "iid_idx").drop("_b", "_row")
+    return numbered(rows, [F.col("_row")], "iid_idx").drop("_row")
 
 
 def keep_people(fam: DataFrame, listed: DataFrame) -> list[int]:
@@ -204,28 +290,42 @@ def read_cts(spark: SparkSession, path: str, bim: DataFrame) -> DataFrame:
     from ..operators.frames import numbered
 
     c = F.split(F.trim("value"), r"\s+")
-    rows = lines(spark, path).select(c[0].alias("_snp"), number(F.get(c, F.lit(1))).alias("value"), F.col("_row.b").alias("_b"), F.col("_row.m").alias("_m"))
-    rows = numbered(rows, [F.col("_b"), F.col("_m")], "bed_idx").drop("_b", "_m")
+    rows = lines(spark, path).select(c[0].alias("_snp"), number(F.get(c, F.lit(1))).alias("value"), "_row")
+    rows = numbered(rows, [F.col("_row")], "bed_idx").drop("_row")
     met = bim.join(rows, "bed_idx", "full")
     return met.where(F.assert_true(F.col("SNP").eqNullSafe(F.col("_snp")), "ids of values and BIM differ").isNull()).drop("_snp")
 
 
+def _chromosome(c: Column) -> Column:
+    """The number of a chromosome as PLINK writes it, without ``chr`` before it; X, Y, MT and other names are null and meet no SNP."""
+    name = F.regexp_replace(c, "^(chr)+", "")
+    return F.when(name.rlike("^(0|[1-9][0-9]{0,2})$"), name.try_cast("int"))
+
+
+def _whole(c: Column, what: str) -> Column:
+    """A whole number; anything else is an error when it is read."""
+    return F.coalesce(c.try_cast("long"), F.raise_error(F.concat(F.lit(f"{what} isn't a whole number: "), F.coalesce(c, F.lit("missing")))).cast("long"))
+
+
 def read_regions(spark: SparkSession, path: str) -> DataFrame:
-    """(CHR, s, e) of a BED region file: headers skipped, ``chr`` prefixes stripped, bad numbers are errors."""
-    c = F.split("value", "\t", -1)
-    rows = lines(spark, path).where(~F.col("value").rlike(r"^(#|track|browser)"))
-    return rows.select(F.regexp_replace(c[0], "^(chr)+", "").cast("int").alias("CHR"), c[1].cast("long").alias("s"), c[2].cast("long").alias("e"))
+    """(CHR, s, e) of a BED region file: headers skipped, ``chr`` prefixes stripped, bad numbers are errors; CHR is null for X and the like."""
+    c = F.split(F.trim("value"), "\t", -1)
+    rows = lines(spark, path).where(~F.trim("value").rlike(r"^(#|track|browser)"))
+    return rows.select(_chromosome(c[0]).alias("CHR"), _whole(F.get(c, F.lit(1)), "start").alias("s"), _whole(F.get(c, F.lit(2)), "end").alias("e"))
 
 
 def read_genes(spark: SparkSession, path: str) -> DataFrame:
-    return lines(spark, path).select(F.trim("value").alias("GENE")).distinct()
+    return lines(spark, path).where(~F.trim("value").startswith("#")).select(F.trim("value").alias("GENE")).distinct()
 
 
-def read_gene_coordinates(spark: SparkSession, path: str) -> DataFrame:
-    """GENE, CHR, START, END; a header line and what has no numbers is left out."""
+def read_gene_coordinates(spark: SparkSession, path: str, genes: DataFrame | None = None) -> DataFrame:
+    """GENE, CHR, START, END, of some ``genes`` if they are given; lines that begin with # and a header line are left out, other bad numbers are errors."""
     c = F.split(F.trim("value"), r"\s+")
-    rows = lines(spark, path).select(c[0].alias("GENE"), F.regexp_replace(F.get(c, F.lit(1)), "^(chr)+", "").try_cast("int").alias("CHR"), F.get(c, F.lit(2)).try_cast("long").alias("START"), F.get(c, F.lit(3)).try_cast("long").alias("END"))
-    return rows.where("CHR is not null and START is not null and END is not null")
+    rows = lines(spark, path).where(~F.trim("value").startswith("#")).where(~F.coalesce(F.upper(F.get(c, F.lit(2))) == "START", F.lit(False)))
+    rows = rows.select(c[0].alias("GENE"), F.get(c, F.lit(1)).alias("c"), F.get(c, F.lit(2)).alias("s"), F.get(c, F.lit(3)).alias("e"))
+    if genes is not None:
+        rows = rows.join(genes, "GENE", "left_semi")
+    return rows.select("GENE", _chromosome(F.col("c")).alias("CHR"), _whole(F.col("s"), "START").alias("START"), _whole(F.col("e"), "END").alias("END"))
 
 
 def biobank_sumstats(df: DataFrame, population: str, p_scale: str = "neglog10") -> DataFrame:

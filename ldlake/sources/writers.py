@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import gzip
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import float_text
+from .shared import remove
 
 
 def _text(df: DataFrame, formats: dict[str, str]) -> list[Column]:
@@ -23,62 +25,79 @@ def _text(df: DataFrame, formats: dict[str, str]) -> list[Column]:
     return out
 
 
-def write_table(df: DataFrame, path: str, order: list[Column] | None = None, formats: dict[str, str] | None = None, single: bool = True, compress: bool = True) -> None:
-    """A tab-separated table with a header below ``path``; one file if ``single``, else one a partition, in order."""
-    rows = df.orderBy(*order) if order else df
-    rows = rows.select(*_text(rows, formats or {}))
-    (rows.coalesce(1) if single else rows).write.mode("overwrite").csv(path, sep="\t", header=True, compression="gzip" if compress else "none", quote="", emptyValue="", escape="")
+def _parts(spark: SparkSession, folder: str) -> list:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/part-*")) or []
+    return sorted((x.getPath() for x in found), key=lambda p: p.getName())
 
 
-def _move_part(spark: SparkSession, folder: str, path: str) -> bool:
-    """Put the only part file of a folder in the place of ``path``; false if there is none."""
+def _join_parts(spark: SparkSession, parts: list, head: str, path: str) -> None:
+    """One file of a header line and the parts in order; gzip files of several members are gzip files too."""
     jvm = spark.sparkContext._jvm
     to = jvm.org.apache.hadoop.fs.Path(path)
     fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/part-*")) or []
-    if len(found) > 1:
-        raise ValueError(f"{folder} has several parts")
-    for part in found:
-        fs.delete(to, True)
-        if not fs.rename(part.getPath(), to):
-            raise OSError(f"{path} can't be written")
-    return bool(found)
+    out = fs.create(to, True)
+    try:
+        first = (head + "\n").encode()
+        out.write(bytearray(gzip.compress(first, mtime=0) if path.endswith(".gz") else first))
+        for part in parts:
+            stream = fs.open(part)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+            stream.close()
+    finally:
+        out.close()
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def _csv(writer, path: str, packed: bool) -> None:
+    writer.mode("overwrite").option("maxRecordsPerFile", 0).csv(path, sep="\t", header=False, compression="gzip" if packed else "none", quote="", emptyValue="", escape="")
 
 
-def write_file(df: DataFrame, path: str, order: str) -> None:
-    """A table like that of ``write_table``, sorted by a column that isn't written, as one gzip file and not a folder."""
-    write_table(df.orderBy(order).drop(order), f"{path}.parts")
-    _move_part(df.sparkSession, f"{path}.parts", path)
-    _remove(df.sparkSession, f"{path}.parts")
+def write_table(df: DataFrame, path: str, order: list[Column] | None = None, formats: dict[str, str] | None = None) -> None:
+    """A tab-separated table with a header as one file, in the order given; gzip if the name ends so.
+
+    Ranges of rows are sorted, written and compressed by their tasks; the file is these put one after the other.
+    """
+    spark, names = df.sparkSession, [c for c in df.columns if c != "_row"]
+    rows = df.orderBy(*order) if order else df
+    _csv(rows.select(*_text(rows.select(*[F.col(f"`{c}`") for c in names]), formats or {})).write, f"{path}.parts", path.endswith(".gz"))
+    _join_parts(spark, _parts(spark, f"{path}.parts"), "\t".join(names), path)
+    remove(spark, f"{path}.parts")
 
 
 def write_by_chromosome(df: DataFrame, prefix: str, suffix: str, order: str, chromosomes: list[int]) -> None:
-    """The same for each chromosome, one gzip file (prefix, number, suffix), sorted inside; without rows just the header."""
+    """The same for each chromosome, one gzip file (prefix, number, suffix), sorted by a column that isn't written; without rows just the header."""
     spark, folder = df.sparkSession, f"{prefix}.parts{suffix}"
     table = df.drop(order)
     rows = df.select(F.col("CHR").alias("chromosome"), *_text(table, {}), F.col(order).alias("_o"))
     rows = rows.repartition("chromosome").sortWithinPartitions("chromosome", "_o").drop("_o")
-    rows.write.mode("overwrite").option("maxRecordsPerFile", 0).partitionBy("chromosome").csv(folder, sep="\t", header=True, compression="gzip", quote="", emptyValue="", escape="")
+    _csv(rows.write.partitionBy("chromosome"), folder, True)
     for c in chromosomes:
-        if not _move_part(spark, f"{folder}/chromosome={c}", f"{prefix}{c}{suffix}"):
-            write_text(spark, gzip.compress(("\t".join(table.columns) + "\n").encode()), f"{prefix}{c}{suffix}")
-    _remove(spark, folder)
+        _join_parts(spark, _parts(spark, f"{folder}/chromosome={c}"), "\t".join(table.columns), f"{prefix}{c}{suffix}")
+    remove(spark, folder)
+
+
+def plain_number(x: float) -> str:
+    """The shortest text of a number, without an exponent; whole numbers without a fraction."""
+    if not math.isfinite(x):
+        return {math.inf: "inf", -math.inf: "-inf"}.get(x, "NaN")
+    text = format(Decimal(repr(float(x))), "f")
+    return text[:-2] if text.endswith(".0") else text
+
+
+def _m_line(row, names: list[str]) -> str:
+    return "\t".join(plain_number(float(row[n] or 0.0)) for n in names) + "\n"
 
 
 def write_m_by_chromosome(df: DataFrame, names: list[str], prefix: str, suffix: str) -> None:
     """A file for each row (prefix, CHR, suffix) with one line of tab-joined values."""
-    for r in df.select("CHR", F.concat_ws("\t", *[F.col(f"`{n}`").cast("string") for n in names]).alias("value")).collect():  # rows are chromosomes
-        write_text(df.sparkSession, r["value"] + "\n", f"{prefix}{r['CHR']}{suffix}")
+    for r in df.collect():  # rows are chromosomes
+        write_text(df.sparkSession, _m_line(r, names), f"{prefix}{r['CHR']}{suffix}")
 
 
 def write_m(df: DataFrame, names: list[str], path: str) -> None:
     """One line of tab-joined values out of a one-row table."""
-    df.select(F.concat_ws("\t", *[F.col(f"`{n}`").cast("string") for n in names]).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    write_text(df.sparkSession, _m_line(df.first(), names), path)
 
 
 def write_text(spark: SparkSession, text: str | bytes, path: str) -> None:
@@ -129,6 +148,21 @@ def correlation_table(traits: list[str], found: list) -> str:
     return "\nSummary of Genetic Correlation Results\n" + "\n".join(out) + "\n"
 
 
+def ld_summary(summary: list, correlations: list, names: list[str], path: str) -> str:
+    """Statistics of minor allele frequencies and LD scores, and their correlations, as tools that read them expect."""
+    line = lambda label, cells: f"{label:>8}" + "".join(f"{c:>8}" if isinstance(c, str) else f"{c:>8.4f}" for c in cells)
+    value = lambda x: math.nan if x is None else float(x)
+    by = {r["column"]: r for r in summary}
+    heads = ["MAF" if n == "maf" else n for n in names]
+    out = ["", f"Summary of LD Scores in {path}", line("", heads)]
+    for label, field in (("mean", "mean"), ("std", "sd"), ("min", "min"), ("25%", "q25"), ("50%", "median"), ("75%", "q75"), ("max", "max")):
+        out.append(line(label, [value(by[n][field]) for n in names]))
+    r = {(x["a"], x["b"]): value(x["r"]) for x in correlations}
+    out += ["", "MAF/LD Score Correlation Matrix", line("", heads)]
+    out += [line(head, [1.0 if a == b else r.get((a, b), r.get((b, a))) for b in names]) for head, a in zip(heads, names)]
+    return "\n".join(out) + "\n"
+
+
 def heritability_summary(h, fixed: bool, liability: float | None = None) -> str:
     """The lines that downstream tools parse."""
     out = [f"Total Observed scale h2: {h.h2:.4f} ({h.se:.4f})", f"Lambda GC: {h.lambda_gc:.4f}", f"Mean Chi^2: {h.mean_chi2:.4f}"]

@@ -20,9 +20,9 @@ def test_munge_and_h2_by_command_line(spark, tmp_path, capsys):
     ld.write_text("CHR SNP BP L2\n" + "".join(f"1 rs{i} {i} {1 + i % 20}\n" for i in range(150)))
     assert cli.main(["munge-sumstats", "--sumstats", str(raw), "--out", str(tmp_path / "o")]) == 0
     assert "150 SNPs" in capsys.readouterr().out
-    assert cli.main(["--h2", str(tmp_path / "o.sumstats"), "--ref-ld", str(ld), "--w-ld", str(ld), "--M", "1000", "--n-blocks", "20"]) == 0
+    assert cli.main(["--h2", str(tmp_path / "o.sumstats.gz"), "--ref-ld", str(ld), "--w-ld", str(ld), "--M", "1000", "--n-blocks", "20"]) == 0
     assert "Total Observed scale h2" in capsys.readouterr().out
-    assert Path(tmp_path / "o.sumstats").is_dir()
+    assert Path(tmp_path / "o.sumstats.gz").is_file()
 
 
 def test_stream(spark, tmp_path):

@@ -11,37 +11,69 @@ from ldlake.plans import commands
 from ldlake.sources import plink, readers, writers
 
 
+#: Rows of the study: even ranks are kept, others fail one filter each.
+STUDY = 640
+
+
+def study_rows():
+    """(cells, kept) of a study whose every fifth row lacks something."""
+    rng = np.random.default_rng(41)
+    for i in range(STUDY):
+        effect, allele = rng.normal(0, 0.02), ("AG", "CA", "TC", "GA")[i % 4]
+        row = {"SNP": f"rs{7 * i + 3}", "A1": allele[0].lower(), "A2": allele[1], "BETA": f"{effect:.5f}", "P": f"{rng.uniform(0.001, 1):.4f}", "N": str(5000 + i % 4), "INFO": "0.97", "FRQ": f"{rng.uniform(0.1, 0.9):.3f}", "NOTE": "ok"}
+        fault = i % 5 == 4
+        if fault:
+            row |= ({"INFO": "0.2"}, {"FRQ": "0.003"}, {"A2": allele[0]}, {"NOTE": "NA"}, {"P": "1.5"}, {"BETA": "."}, {"N": "20"})[i // 5 % 7]
+        yield row, not fault
+
+
 @pytest.fixture()
 def sumstats(tmp_path):
-    path = tmp_path / "toy.txt"
-    lines = ["SNP\tA1\tA2\tBETA\tSE\tP\tN\tINFO\tFRQ"]
-    for i in range(1, 1001):
-        a = ("A", "C") if i % 2 == 0 else ("G", "T")
-        p = min(max(0.5 + (i % 9 - 4) * 0.05, 1e-6), 1)
-        lines.append(f"rs{i}\t{a[0]}\t{a[1]}\t{(i % 10 - 5) * 0.01:.4f}\t{0.05 + (i % 7) * 0.005}\t{p}\t{10000 + (i % 3) * 100}\t{0.5 if i % 13 == 0 else 0.95}\t{0.05 + (i % 20) * 0.01}")
-    path.write_text("\n".join(lines) + "\n")
+    rows = [r for r, _ in study_rows()]
+    path = tmp_path / "study.txt"
+    path.write_text("\t".join(rows[0]) + "\n" + "".join("\t".join(r.values()) + "\n" for r in rows))
     return str(path)
 
 
 def test_munge_and_h2(spark, sumstats, tmp_path):
     done = commands.run_munge(spark, sumstats, str(tmp_path / "out"))
-    want = sum(1 for i in range(1, 1001) if i % 13 and i % 10 != 5)
-    assert done.count() == want
-    again = readers.read_table(spark, str(tmp_path / "out.sumstats"))
-    assert again.columns == ["SNP", "A1", "A2", "Z", "N", "_row"] and again.count() == want
+    kept = [r["SNP"] for r, ok in study_rows() if ok]
+    assert done.count() == len(kept)
+    again = readers.read_table(spark, str(tmp_path / "out.sumstats.gz"))
+    assert again.columns == ["SNP", "A1", "A2", "Z", "N", "_row"] and [r["SNP"] for r in again.orderBy("_row").collect()] == kept
+    assert gzip.open(tmp_path / "out.sumstats.gz", "rt").readline() == "SNP\tA1\tA2\tZ\tN\n"
+    counts = commands.munge_counts(spark, sumstats)
+    assert counts[0] == ("read", STUDY) and sum(n for _, n in counts[1:]) == STUDY - len(kept) and dict(counts)["alleles"] > 0 and dict(counts)["missing values"] > 0
     with gzip.open(tmp_path / "ref.gz", "wt") as f:
-        f.write("CHR SNP BP L2\n" + "".join(f"1 rs{i} {i} {1 + i % 50}\n" for i in range(1, 1001)))
-    h, text = commands.run_h2(spark, str(tmp_path / "out.sumstats"), str(tmp_path / "ref.gz"), str(tmp_path / "ref.gz"), opts=commands.RegressionOptions(samp_prev=0.5, pop_prev=0.01))
+        f.write("CHR SNP BP L2\n" + "".join(f"1 {s} {i} {1 + i % 50}\n" for i, s in enumerate(kept)))
+    with pytest.warns(UserWarning, match="200k"):
+        h, text = commands.run_h2(spark, str(tmp_path / "out.sumstats.gz"), str(tmp_path / "ref.gz"), str(tmp_path / "ref.gz"), opts=commands.RegressionOptions(samp_prev=0.5, pop_prev=0.01))
     assert text.startswith("Total Observed scale h2:") and "Liability" in text and np.isfinite(h.h2)
-    pairs, text = commands.run_rg(spark, [sumstats.replace("toy.txt", "out.sumstats")] * 2, str(tmp_path / "ref.gz"), str(tmp_path / "ref.gz"))
+    pairs, text = commands.run_rg(spark, [str(tmp_path / "out.sumstats.gz")] * 2, str(tmp_path / "ref.gz"), str(tmp_path / "ref.gz"))
     assert len(pairs) == 1 and "Genetic Correlation" in text
+    with pytest.raises(ValueError, match="no SNPs"):
+        (tmp_path / "none.txt").write_text("SNP\tZ\tN\nzz\t1\t2\n")
+        commands.run_h2(spark, str(tmp_path / "none.txt"), str(tmp_path / "ref.gz"), str(tmp_path / "ref.gz"))
+
+
+def test_rows_are_numbered_by_file_order_at_every_size(spark, tmp_path):
+    for c in (1, 2):
+        (tmp_path / f"n{c}.txt").write_text("x\n" + "".join(f"{c}-{i}\n" for i in range(500)))
+    df = readers.read_table(spark, [str(tmp_path / "n2.txt"), str(tmp_path / "n1.txt")])
+    want = [f"{c}-{i}" for c in (2, 1) for i in range(500)]
+    for parts in (1, 10):
+        got = frames.numbered(df, [F.col("_row")], "_i", total="n", parts=parts).collect()
+        assert [r["x"] for r in sorted(got, key=lambda r: r["_i"])] == want and sorted(r["_i"] for r in got) == list(range(1000)) and {r["n"] for r in got} == {1000}
+    odd = spark.createDataFrame([(None, 1), ("b", 2), ("b", 3), ("a", 4)], "k string, v int")
+    assert [r["v"] for r in sorted(frames.numbered(odd, [F.col("k"), F.col("v").desc()]).collect(), key=lambda r: r["_i"])] == [1, 4, 3, 2]
+    assert frames.numbered(odd.limit(0), [F.col("k")]).count() == 0
 
 
 def test_table_rules(spark, tmp_path):
-    (tmp_path / "a.txt").write_text("x  y   z\n1 NA\n\n 2 .  3 \n")
+    (tmp_path / "a.txt").write_text("x  y   z\n1 NA\n\n 2 .  3 \nx y z\nnan na q\n")
     df = readers.read_table(spark, str(tmp_path / "a.txt"))
-    assert [tuple(r) for r in df.orderBy("_row").select("x", "y", "z").collect()] == [("1", "NA", None), ("2", ".", "3")]
-    assert dict(readers.typed(df).dtypes)["y"] == "double"
+    assert [tuple(r) for r in df.orderBy("_row").select("x", "y", "z").collect()] == [("1", None, None), ("2", None, "3"), ("x", "y", "z"), (None, None, "q")]
+    assert dict(readers.typed(df.where("x in ('1', '2')")).dtypes)["x"] == "double"
     with pytest.raises(ValueError):
         frames.rename(df, {"x": "y"})
     with pytest.raises(ValueError):
@@ -50,6 +82,23 @@ def test_table_rules(spark, tmp_path):
         frames.stacked([df, df.drop("x")])
     one, two = (spark.createDataFrame([(i, i) for i in range(3)], f"_row long, {c} long") for c in "ab")
     assert frames.side_by_side(one, two).columns == ["_row", "a", "b"]
+    (tmp_path / "b.txt").write_text("x y w\n1 2 3\n")
+    with pytest.raises(ValueError, match="other columns"):
+        readers.read_table(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")])
+
+
+def test_files_of_one_name_and_of_many_members(spark, tmp_path):
+    for c in (3, 1, 2):
+        (tmp_path / f"chr {c}+%41").mkdir()
+        (tmp_path / f"chr {c}+%41" / "ld.l2.ldscore").write_text("CHR SNP\n" + "".join(f"{c} rs{c}{i}\n" for i in range(3)))
+    got = readers.read_split(spark, str(tmp_path / "chr @+%41/ld"), ".l2.ldscore").orderBy("_row").collect()
+    assert [r["SNP"] for r in got] == [f"rs{c}{i}" for c in (1, 2, 3) for i in range(3)]
+    text = "SNP Z\n" + "".join(f"rs{i} {i}\n" for i in range(200))
+    (tmp_path / "x.txt.bgz").write_bytes(b"".join(gzip.compress(text[a : a + 400].encode()) for a in range(0, len(text), 400)))
+    got = readers.read_table(spark, str(tmp_path / "x.txt.bgz"))
+    assert got.columns == ["SNP", "Z", "_row"] and [r["Z"] for r in got.orderBy("_row").collect()] == [str(i) for i in range(200)]
+    writers.write_table(got, str(tmp_path / "y.txt.gz"), [F.col("_row")])
+    assert gzip.open(tmp_path / "y.txt.gz", "rt").read() == text.replace(" ", "\t") and readers.read_table(spark, str(tmp_path / "y.txt.gz")).count() == 200
 
 
 def test_number_format(spark):
@@ -114,7 +163,9 @@ def test_ld_scores(spark, tmp_path):
     start = at // 4 * 4
     left = np.maximum(start - 5, 0) // 4 * 4 + chromosome * 30
     assert np.allclose([r["L2"] for r in got["scores"].orderBy("bed_idx").collect()], literal_scores(g, chromosome, left))
-    assert readers.read_table(spark, str(tmp_path / "ld.l2.ldscore")).count() == 60
+    assert readers.read_table(spark, str(tmp_path / "ld.l2.ldscore.gz")).count() == 60
+    single = commands.run_l2(spark, path, None, commands.LdOptions(snps=5, snp_level_masking=True, fast_f32=True))
+    assert np.allclose([r["L2"] for r in single["scores"].orderBy("bed_idx").collect()], l2, atol=1e-5)
     for opts in (commands.LdOptions(kb=5, per_allele=True), commands.LdOptions(cm=0.1, maf=0.05, sketch=10), commands.LdOptions(snps=5, global_pass=True)):
         assert commands.run_l2(spark, path, None, opts)["scores"].count() > 0
     (tmp_path / "keep.txt").write_text("# some\n" + "".join(f"f{i} i{i}\n" for i in range(0, 23, 2)))
@@ -123,6 +174,65 @@ def test_ld_scores(spark, tmp_path):
     assert np.allclose([r["L2"] for r in got["scores"].orderBy("bed_idx").collect()], literal_scores(g[:, ::2], chromosome, left))
     with pytest.raises(ValueError):
         commands.LdOptions(kb=1, cm=1)
+    with pytest.raises(ValueError):
+        commands.LdOptions(cts_bin="x", cts_breaks="1", extract="y")
+    text = writers.ld_summary(got["summary"].collect(), got["correlations"].collect(), got["columns"], "ld.l2.ldscore.gz")
+    lines = text.splitlines()
+    assert lines[1] == "Summary of LD Scores in ld.l2.ldscore.gz" and lines[2].split() == ["MAF", "L2"] and [x.split()[0] for x in lines[3:10]] == ["mean", "std", "min", "25%", "50%", "75%", "max"]
+    assert lines[11] == "MAF/LD Score Correlation Matrix" and lines[13].split()[1] == "1.0000"
+
+
+def test_people_are_decoded_block_by_block(monkeypatch):
+    rng = np.random.default_rng(6)
+    g = rng.integers(-1, 3, (9, 45)).astype(np.int8)
+    width = -(-45 // 4)
+    raw = plink.encode_block(g)
+    rows = [raw[i * width : (i + 1) * width] for i in range(9)]
+    monkeypatch.setattr(ldscore, "PEOPLE", 8)
+    for keep in (None, (3, 44, 0, 17, 18, 40, 2, 1, 30, 31, -2)):
+        packed = ldscore.Packed(45, keep)
+        want = g if keep is None else g[:, list(keep)]
+        assert (np.hstack([x for _, x in packed.blocks(rows)]) == want).all()
+        seen = (want >= 0).sum(1)
+        _, n, mean, var = ldscore.moments(rows, packed)
+        assert (n == seen).all() and np.allclose(mean, np.where(want >= 0, want, 0).sum(1) / np.maximum(seen, 1))
+
+
+def test_runs_of_chromosomes_and_annotations_by_chromosome(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    g = rng.integers(0, 3, (30, 16)).astype(np.int8)
+    path = write_fileset(tmp_path, g)
+    chromosome = [1] * 10 + [2] * 10 + [1] * 10
+    (tmp_path / "x.bim").write_text("".join(f"{c}\trs{i}\t0\t{1000 * (i + 1)}\tA\tC\n" for i, c in enumerate(chromosome)))
+    got = commands.run_l2(spark, path, None, commands.LdOptions(snps=4, snp_level_masking=True))
+    run = np.repeat([0, 10, 20], 10)
+    assert np.allclose([r["L2"] for r in got["scores"].orderBy("bed_idx").collect()], literal_scores(g, run, np.maximum(np.arange(30) - 4, run)))
+    (tmp_path / "x.bim").write_text("".join(f"{1 + i // 15}\trs{i}\t0\t{1000 * (i + 1)}\tA\tC\n" for i in range(30)))
+    for c in (1, 2):
+        (tmp_path / f"an.{c}.annot").write_text("CHR BP SNP CM all odd\n" + "".join(f"{c} 0 rs{i} 0 1 {i % 2}\n" for i in range(15 * c - 15, 15 * c)))
+    whole = commands.run_l2(spark, path, None, commands.LdOptions(snps=4, annot=str(tmp_path / "an.")))
+    assert whole["m"].first()["odd_M"] == 15 and "oddL2" in whole["scores"].columns
+    (tmp_path / "an.2.annot").write_text("CHR BP SNP CM all odd\n2 0 rs15 0 1 1\n")
+    with pytest.raises(ValueError, match="16 rows for 30 SNPs"):
+        commands.run_l2(spark, path, None, commands.LdOptions(snps=4, annot=str(tmp_path / "an.")))
+    (tmp_path / "no.txt").write_text("zz\n")
+    with pytest.raises(ValueError, match="print-snps"):
+        commands.run_l2(spark, path, None, commands.LdOptions(snps=4, print_snps=str(tmp_path / "no.txt")))
+
+
+def test_regions_of_odd_chromosomes_and_numbers(spark, tmp_path):
+    (tmp_path / "r.bed").write_text("track a\nchrX\t1\t5\nchr2\t10\t20\nMT\t1\t2\nchr07\t1\t2\n")
+    assert [tuple(r) for r in readers.read_regions(spark, str(tmp_path / "r.bed")).orderBy("s", "e").collect()] == [(None, 1, 2), (None, 1, 2), (None, 1, 5), (2, 10, 20)]
+    (tmp_path / "bad.bed").write_text("chr1\tx\t5\n")
+    with pytest.raises(Exception, match="start isn't a whole number"):
+        readers.read_regions(spark, str(tmp_path / "bad.bed")).collect()
+    (tmp_path / "c.txt").write_text("GENE CHR START END\n# note\nG1 chr1 5 9\nG2 1 bad 9\n")
+    (tmp_path / "g.txt").write_text("# note\nG1\n")
+    genes = readers.read_genes(spark, str(tmp_path / "g.txt"))
+    assert [tuple(r) for r in readers.read_gene_coordinates(spark, str(tmp_path / "c.txt"), genes).collect()] == [("G1", 1, 5, 9)]
+    with pytest.raises(Exception, match="START isn't a whole number"):
+        readers.read_gene_coordinates(spark, str(tmp_path / "c.txt")).collect()
+    assert annotations.edges([1234567.25, 0.1], 0, 2e6)[1] == ["min_0.1", "0.1_1234567.25", "1234567.25_max"]
 
 
 def test_two_equal_snps(spark):
@@ -166,6 +276,11 @@ def test_sidecars(spark, tmp_path):
     (tmp_path / "k.ldcts").write_text("liver a.,b.\n")
     assert readers.read_ldcts(spark, str(tmp_path / "k.ldcts")) == [("liver", ["a.", "b."])]
     (tmp_path / "f.frq").write_text("SNP MAF\nrs1 0.04\nrs2 NA\nrs3 0.2\n")
+    (tmp_path / "p.2.l2.M_5_50").write_text("10\n")
+    with pytest.raises(ValueError, match="differ in length"):
+        readers.m_vector(spark, [str(tmp_path / "p.")], True)
+    with pytest.raises(ValueError, match="differ in length"):
+        commands._m(spark, str(tmp_path / "p."), True, commands.RegressionOptions(), 9, 1)
     assert [r["common"] for r in readers.read_frequencies(spark, str(tmp_path / "f.frq")).orderBy("_row").collect()] == [False, False, True]
 
 
@@ -180,7 +295,9 @@ def test_in_memory(spark):
     rng = np.random.default_rng(9)
     g = rng.integers(0, 3, (300, 40)).astype(np.int8)
     bim = "".join(f"{1 + i // 200}\trs{i}\t0\t{1000 * i}\tA\tC\n" for i in range(300))
-    got = memory.l2_from_bytes(spark, plink.MAGIC + plink.encode_block(g), bim, 40, snps=5, chunk=None).cache()
+    told = []
+    got = memory.l2_from_bytes(spark, plink.MAGIC + plink.encode_block(g), bim, 40, snps=5, chunk=None, progress=lambda done, all_: told.append((done, all_)))
+    assert told == [(200, 300), (300, 300)]
     assert got.count() == 300
     left = np.maximum(np.arange(300) - 5, (np.arange(300) // 200) * 200)
     assert np.allclose([r["L2"] for r in got.orderBy("bed_idx").collect()], literal_scores(g, np.arange(300) // 200, left))
@@ -253,7 +370,7 @@ def test_ld_scores_feed_h2(spark, tmp_path):
     path, out = write_fileset(tmp_path, g), str(tmp_path / "ld")
     (tmp_path / "print.txt").write_text("".join(f"rs{i}\n" for i in range(30)))
     got = commands.run_l2(spark, path, out, commands.LdOptions(snps=5))
-    assert [(tmp_path / f"ld{c}.l2.{m}").read_text() for c in (1, 2) for m in ("M", "M_5_50")] == ["30.0\n", "23.0\n", "30.0\n", "30.0\n"]
+    assert [(tmp_path / f"ld{c}.l2.{m}").read_text() for c in (1, 2) for m in ("M", "M_5_50")] == ["30\n", "23\n", "30\n", "30\n"]
     again = readers.read_split(spark, out, ".l2.ldscore").orderBy("_row").collect()
     assert [r["SNP"] for r in again] == [f"rs{i}" for i in range(60)] and [r["CHR"] for r in again] == ["1"] * 30 + ["2"] * 30
     assert np.allclose([float(r["L2"]) for r in again], [r["L2"] for r in got["scores"].orderBy("bed_idx").collect()], atol=6e-4)
@@ -268,7 +385,7 @@ def test_ld_scores_feed_h2(spark, tmp_path):
         assert (tmp_path / "cts.annot.gz").exists() != quiet
     lines = gzip.open(tmp_path / "cts.annot.gz", "rt").read().splitlines()
     assert lines[0] == "CHR\tSNP\tBP\tCM\tV_min_0.5L2\tV_0.5_maxL2" and lines[2] == "1\trs1\t2000\t0.01\t1\t0" and lines[-1].endswith("\t0\t1") and len(lines) == 61
-    assert (tmp_path / "cts2.l2.M").read_text() == "1.0\t29.0\n"
+    assert (tmp_path / "cts2.l2.M").read_text() == "1\t29\n"
     assert not list(tmp_path.glob("*.parts*"))
 
 
