@@ -5,41 +5,54 @@ and the pointer moves on if the bit that belongs to (i, class of the character)
 small edit distance fall back into step soon after each edit, so their outputs are at a small Hamming
 distance. A fingerprint keeps the output at random steps (bit sampling) of two scales, that of the
 text's own length and the next smaller one, so texts within about a factor of two can be compared.
+
+Near duplicates are found by banding: texts whose fingerprints agree in a band of samples are candidates, and
+are linked if the likeness of the whole fingerprints is high enough.
 """
 
 from __future__ import annotations
 
+import hashlib
 from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, n_parts
+from .components import components
+from .suffixes import _ddl, _expand, _squeeze, _table
 
 CLASSES, PERIOD, SAMPLES = 64, 1 << 16, 128
-TEXT_PARTITION = 24_000_000
+TEXT_PARTITION, MOST_PARTS = 24_000_000, 2_000_000  # bytes of text in a part; parts, whose sixteen bytes each are broadcast
+BUCKET = 50_000  # texts whose bands meet in a bucket, about
 CHUNK = 512  # fingerprints of a bucket that meet those of another chunk in a tile
+LEAST, BANDS, WIDTH = 0.5, 14, 7  # likeness of texts that have nothing in common stays below 0.3
+AT_ONCE, FEW = 1 << 22, 16  # characters that walk together; texts of a batch that are walked one by one
+LOW = np.iinfo(np.int64).min
 
 
-def _walk_table(seed: int) -> list[list[int]]:
+def _walk_table(seed: int) -> np.ndarray:
     """For each class and step (periodic), how far the output gets until the pointer moves."""
     bits = np.random.default_rng(20240229 + seed).integers(0, 2, (CLASSES, PERIOD), dtype=np.uint8)
-    jump = np.zeros((CLASSES, PERIOD), np.int64)
+    jump = np.zeros((CLASSES, PERIOD), np.uint8)
     for c in range(CLASSES):
         ones = np.flatnonzero(bits[c])
         nxt = np.append(ones, ones[0] + PERIOD)[np.searchsorted(ones, np.arange(PERIOD))]
         jump[c] = nxt - np.arange(PERIOD) + 1
-    return jump.tolist()
+    return jump
 
 
-_tables: dict[int, tuple[list[list[int]], np.ndarray]] = {}
+_tables: dict[int, tuple[np.ndarray, np.ndarray, list[bytes]]] = {}
 
 
-def _tables_of(seed: int) -> tuple[list[list[int]], np.ndarray]:
+def _tables_of(seed: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     if seed not in _tables:
-        _tables[seed] = _walk_table(seed), np.random.default_rng(7919 + seed).random(SAMPLES)
+        jump = _walk_table(seed)
+        _tables[seed] = jump.ravel(), np.random.default_rng(7919 + seed).random(SAMPLES), [row.tobytes() for row in jump]
     return _tables[seed]
 
 
@@ -47,24 +60,63 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-class Walk:
-    """Output steps at which each character of a text begins, resumable at any character."""
+def walks(texts: list[np.ndarray], starts: list[int], seed: int = 0) -> list[np.ndarray]:
+    """Output steps at which each character of each text begins, if the text begins at its start.
 
-    def __init__(self, points: np.ndarray, start: int = 0, seed: int = 0):
-        jump, _ = _tables_of(seed)
-        mask = PERIOD - 1
-        classes = ((points * np.uint32(2654435769)) >> np.uint32(26)).astype(np.uint8).tobytes()
-        self.points = points
-        self.begin = np.fromiter(accumulate(classes, lambda i, c: i + jump[c][i & mask], initial=start), np.int64, points.size + 1)
+    All texts take a step at a time, one character each; those few that are much longer go on alone.
+    """
+    jump, _, rows = _tables_of(seed)
+    m, mask = len(texts), PERIOD - 1
+    size = np.fromiter(map(len, texts), np.int64, m)
+    off = np.cumsum(size) - size
+    classes = ((np.concatenate([*texts, np.zeros(0, np.uint32)]) * np.uint32(2654435769)) >> np.uint32(26)).astype(np.int32) << 16
+    order = np.argsort(-size, kind="stable")
+    o, b, n = off[order], (off + np.arange(m))[order], size[order]
+    at = np.asarray(starts, np.int32)[order]
+    begin = np.zeros(int(size.sum()) + m, np.int32)
+    begin[b] = at
+    step, active = 0, int((n > 0).sum())
+    while active > FEW:
+        here, there, i = o[:active], b[:active], at[:active]
+        for step in range(step, int(n[active - 1])):
+            i += jump[classes[here + step] + (i & mask)]
+            begin[there + step + 1] = i
+        step = int(n[active - 1])
+        active = int((n > step).sum())
+    for k in range(active):
+        rest = (classes[o[k] + step : o[k] + n[k]] >> 16).astype(np.uint8).tobytes()
+        begin[b[k] + step : b[k] + n[k] + 1] = np.fromiter(accumulate(rest, lambda i, c: i + rows[c][i & mask], initial=int(at[k])), np.int32, len(rest) + 1)
+    ends = off + np.arange(m)
+    return [begin[e : e + k + 1] for e, k in zip(ends.tolist(), size.tolist())]
+
+
+def batches(sizes: list[int]):
+    """(begin, end) of texts that walk together."""
+    begin = total = 0
+    for k, n in enumerate(sizes):
+        if k > begin and total + n > AT_ONCE:
+            yield begin, k
+            begin, total = k, 0
+        total += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def fingerprints(texts: list[str], seed: int = 0) -> list[str]:
+    out: list[str] = []
+    for a, z in batches(list(map(len, texts))):
+        points = [code_points(t) for t in texts[a:z]]
+        out += [sampled(p, w, seed) for p, w in zip(points, walks(points, [0] * len(points), seed))]
+    return out
 
 
 def sampled(points: np.ndarray, begin: np.ndarray, seed: int = 0) -> str:
     """The fingerprint: scale, then one byte for each sampled step of that scale and of the next smaller."""
-    _, places = _tables_of(seed)
+    places = _tables_of(seed)[1]
     scale = max(6, int(2 * points.size).bit_length())
     out = bytes([scale])
     for s in (scale, scale - 1):
-        at = np.searchsorted(begin, (places * (1 << s)).astype(np.int64), side="right") - 1
+        at = np.searchsorted(begin, (places * (1 << s)).astype(begin.dtype), side="right") - 1
         inside = at < points.size
         value = np.zeros(SAMPLES, np.uint32)
         if points.size:
@@ -74,8 +126,7 @@ def sampled(points: np.ndarray, begin: np.ndarray, seed: int = 0) -> str:
 
 
 def fingerprint(text: str, seed: int = 0) -> str:
-    points = code_points(text)
-    return sampled(points, Walk(points, seed=seed).begin, seed)
+    return fingerprints([text], seed)[0]
 
 
 def likeness(one: str, two: str) -> float:
@@ -93,90 +144,255 @@ def likeness(one: str, two: str) -> float:
     return same / either if either else 0.0
 
 
-def ordered_with_successor(docs: DataFrame, key: str = "doc_id", text: str = "text", target: int = TEXT_PARTITION) -> DataFrame:
-    """(part, key, text, extra) in partitions of ascending keys, each followed by a copy of the next one's first row.
+def in_parts(docs: DataFrame, key: str, text: str, target: int) -> tuple[DataFrame, int]:
+    """(part, extra, doc_id, h, text) with parts of ascending (doc_id, hash of the text), and the number of parts.
 
-    Only boundary keys reach the driver (one for each ``target`` bytes of text), as elements of the
-    table from a quantile sketch. Rows of equal keys go by their text.
+    The row that begins a part comes once more, as ``extra``, with the part before it, which it follows (the
+    first of all with the last part). Parts are cut at keys that a range sort of ids alone gives; the cuts, sixteen bytes for each
+    ``target`` bytes of text, are broadcast.
     """
-    src = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    total, low, nulls = src.agg(F.sum(F.octet_length("text")), F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    n = n_parts(total, target)
-    heads = [] if n == 1 else src.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
-    heads = sorted({h for h in heads if h > low}) if low is not None else []
-    low = None if nulls else low
-    n = len(heads) + 1
-    bounds = F.array(*[F.lit(h).cast("long") for h in heads]) if heads else F.array().cast("array<long>")
-    part = F.size(F.filter(bounds, lambda b: b <= F.col("doc_id")))
-    first = F.array_contains(bounds, F.col("doc_id"))
-    # the first row of the table also closes the last part
-    also = F.when(first, F.array(part, part - 1)).when(F.col("doc_id").eqNullSafe(F.lit(low).cast("long")), F.array(part, F.lit(n - 1) + F.lit(n))).otherwise(F.array(part))
+    src = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LOW)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    src = src.withColumn("h", F.xxhash64("text"))
+    total = src.agg(F.sum(F.octet_length("text"))).first()[0]
+    n = min(MOST_PARTS, n_parts(total, target))
+    ids = src.select("doc_id", "h").repartitionByRange(n, "doc_id", "h")
+    firsts = ids.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("doc_id", "h")).alias("x")).select("x.*")
+    heads = sorted({(r["doc_id"], r["h"]) for r in firsts.collect()})  # at most MOST_PARTS
+    n = max(1, len(heads))
     if n == 1:
-        also = F.array(F.lit(0))
-    out = src.withColumn("p", F.explode(also))
-    out = out.withColumns({"part": F.pmod("p", F.lit(n)).cast("int"), "extra": (F.col("p") != part).cast("int")})
-    return out.drop("p").repartition(n, "part").sortWithinPartitions("part", "extra", F.col("doc_id").asc_nulls_first(), "text")
-
-
-def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of each text, of its edited text, and their likeness; one row for each row.
+        return src.select(F.lit(0).alias("part"), F.lit(0).alias("extra"), "doc_id", "h", "text"), 1
+    held = src.sparkSession.sparkContext.broadcast(np.array(heads, np.int64))
+
+    @F.pandas_udf("array<int>")
+    def place(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        first, second = held.value[:, 0], held.value[:, 1]
+        x, y = ids.to_numpy(np.int64), hashes.to_numpy(np.int64)
+        low, high = np.searchsorted(first, x, "left"), np.searchsorted(first, x, "right")
+        part = low - 1
+        for k in np.flatnonzero(low < high).tolist():  # a cut goes through this id
+            part[k] = low[k] - 1 + np.searchsorted(second[low[k] : high[k]], y[k], "right")
+        begins = (first[part] == x) & (second[part] == y)
+        return pd.Series([[p, p - 1 if p else n - 1] if b else [p] for p, b in zip(part.tolist(), begins.tolist())])
+
+    rows = src.select(F.posexplode(place("doc_id", "h")).alias("extra", "part"), "doc_id", "h", "text")
+    return rows.select("part", "extra", "doc_id", "h", "text"), n
+
+
+def _digest(fp: str) -> tuple[int, int]:
+    d = hashlib.blake2b(bytes.fromhex(fp), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def band_keys(fp: str, bands: int = BANDS, width: int = WIDTH) -> list[int]:
+    """64-bit names of a fingerprint's bands on both scales; a band wholly beyond the text says nothing and has none."""
+    raw, out = bytes.fromhex(fp), []
+    for s in (0, 1):
+        for b in range(bands):
+            part = raw[1 + SAMPLES * s + b * width :][:width]
+            if any(part):
+                out.append(int.from_bytes(hashlib.blake2b(bytes([raw[0] - s, b]) + part, digest_size=8).digest(), "little", signed=True))
+    return out
+
+
+NAMED = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+ANSWER = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("a", pa.binary())])
+CANDIDATES = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("high", pa.int64()), ("low", pa.int64()), ("least", pa.int64()), ("band", pa.int64()), ("fp", pa.string())])
+
+
+class Part:
+    """The texts of a part in order, and their different fingerprints with their bands."""
+
+    def __init__(self, t: pa.Table, buckets: int):
+        self.t = t = t.sort_by([("extra", "ascending"), ("doc_id", "ascending"), ("h", "ascending"), ("text", "ascending")])
+        own = t.filter(pc.equal(t.column("extra"), 0))
+        self.ids, self.texts = own.column("doc_id").to_pylist(), own.column("text").to_pylist()
+        self.prints = fingerprints(self.texts)
+        classes: dict[str, int] = {}
+        self.of = [classes.setdefault(f, len(classes)) for f in self.prints]
+        self.fps = list(classes)
+        digest = np.array([_digest(f) for f in self.fps], np.int64).reshape(-1, 2)
+        least = np.full(len(self.fps), np.iinfo(np.int64).max)
+        np.minimum.at(least, self.of, np.array(self.ids, np.int64))
+        keys = [band_keys(f) for f in self.fps]
+        band = np.array([k for ks in keys for k in ks], np.int64)
+        who = np.repeat(np.arange(len(keys)), [len(ks) for ks in keys])
+        self.digest, self.least, self.buckets = digest, least, buckets
+        order = np.argsort(digest[:, 0].view(np.uint64), kind="stable")
+        self.rank, self.fp_edges = order, self._edges(digest[order, 0])
+        order = np.argsort(band.view(np.uint64), kind="stable")
+        self.band, self.who = band[order], who[order]
+        self.band_edges = self._edges(self.band)
+
+    def _edges(self, x: np.ndarray) -> np.ndarray:
+        return np.searchsorted(((x.view(np.uint64) >> np.uint64(34)).astype(np.int64) * self.buckets) >> 30, np.arange(self.buckets + 1))
+
+    def named(self):
+        """(bucket, kind, n, arrays): bands with half a digest; digests with their smallest id."""
+        for b, (x, y) in enumerate(zip(self.band_edges, self.band_edges[1:])):
+            if x < y:
+                yield b, 0, y - x, (self.band[x:y], self.digest[self.who[x:y], 0], None)
+        for b, (x, y) in enumerate(zip(self.fp_edges, self.fp_edges[1:])):
+            if x < y:
+                at = self.rank[x:y]
+                yield b, 1, y - x, (self.digest[at, 0], self.digest[at, 1], self.least[at])
+
+    def answered(self, answers: list[dict]) -> np.ndarray:
+        """True for the bands that other fingerprints have too; the smallest ids of all parts replace the own."""
+        shared = np.zeros(self.band.size, bool)
+        for r in answers:
+            if r["kind"] == 0:
+                shared[self.band_edges[r["bucket"]] : self.band_edges[r["bucket"] + 1]] = _expand(r["a"], r["n"]).astype(bool)
+            elif r["kind"] == 1:
+                self.least[self.rank[self.fp_edges[r["bucket"]] : self.fp_edges[r["bucket"] + 1]]] = _expand(r["a"], r["n"])
+        return shared
+
+
+def _met(t: pa.Table) -> pa.Table:
+    """Of each bucket: which bands several fingerprints have; the smallest id of each digest."""
+    out: dict[str, list] = {f.name: [] for f in ANSWER}
+    for kind in (0, 1):
+        rows = t.filter(pc.equal(t.column("kind"), kind)).to_pylist()
+        if not rows:
+            continue
+        a, b = (np.concatenate([_expand(r[c], r["n"]) for r in rows]) for c in "ab")
+        if kind == 0:
+            value, of = np.unique(a, return_inverse=True)
+            first = np.zeros(value.size, np.int64)
+            first[of] = b
+            several = np.zeros(value.size, bool)
+            several[of[b != first[of]]] = True
+            answer = several[of].astype(np.int64)
+        else:
+            order = np.lexsort((b, a))
+            new = np.ones(order.size, bool)
+            new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+            of = np.zeros(order.size, np.int64)
+            of[order] = np.cumsum(new) - 1
+            least = np.full(int(new.sum()), np.iinfo(np.int64).max)
+            np.minimum.at(least, of, np.concatenate([_expand(r["c"], r["n"]) for r in rows]))
+            answer = least[of]
+        at = 0
+        for r in rows:
+            for name, x in zip(out, (r["part"], r["bucket"], kind, r["n"], _squeeze(answer[at : at + r["n"]]))):
+                out[name].append(x)
+            at += r["n"]
+    return _table(out, ANSWER)
+
+
+def _links_of(candidates: DataFrame, least: float) -> DataFrame:
+    """(u, v): linked fingerprints, enough of them for the components; nodes are (least, high, low).
+
+    Of each band the smallest fingerprint is the head, and a fingerprint meets all others of the regions of its heads. Regions
+    are cut to chunks, each two of which meet in a tile.
+    """
+    node = F.struct("least", "high", "low")
+    fps = candidates.where("kind = 2").groupBy("high", "low").agg(F.min("least").alias("least"), F.min("fp").alias("fp"))
+    bands = candidates.where("kind = 3").select("band", "high", "low").distinct()
+    heads = bands.groupBy("band").agg(F.min(F.struct("high", "low")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = bands.join(heads, "band").select("head", "high", "low").distinct()
+    sizes = met.groupBy("head").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("k"))
+    tiled = met.join(sizes, "head").withColumn("chunk", F.pmod(F.xxhash64("high", "low"), F.col("k")).cast("int"))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    tiled = tiled.select(F.xxhash64("head", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tile"), "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "high", "low")
+    tasks = n_parts(met.count() * 600, 8_000_000, 8)
+    tiled = tiled.join(fps, ["high", "low"]).withColumn("task", F.pmod(F.xxhash64(F.lit("task"), "tile"), F.lit(tasks)))
+    fields = ("least", "high", "low")
+
+    def compare(t: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, tile in t.groupby("tile", sort=False):
+            tile = tile.sort_values(["chunk", "least", "high", "low"])
+            raw = np.frombuffer(bytes.fromhex("".join(tile["fp"])), np.uint8).reshape(len(tile), -1)
+            names = list(zip(*(tile[c].tolist() for c in fields)))
+            i, j = tile[["i", "j"]].iloc[0]
+            n, label = int((tile["chunk"] == i).sum()), np.arange(len(tile))
+            for k in range(n):
+                to = np.arange(k + 1 if i == j else n, len(tile))
+                to = to[label[to] != label[k]]  # what is connected already needs no test
+                if not to.size:
+                    continue
+                to = to[_likeness_to(raw[k], raw[to]) >= least]
+                if to.size:
+                    joined = np.unique(np.append(label[to], label[k]))
+                    label[np.isin(label, joined)] = joined[0]
+            out += [(*names[k], *names[label[k]]) for k in range(len(tile)) if label[k] != k]
+        return pd.DataFrame(out, columns=["least", "high", "low", "x", "y", "z"]).astype("int64")
+
+    found = tiled.groupBy("task").applyInPandas(compare, "least long, high long, low long, x long, y long, z long")
+    return found.select(node.alias("u"), F.struct(F.col("x").alias("least"), F.col("y").alias("high"), F.col("z").alias("low")).alias("v"))
+
+
+def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", target: int = TEXT_PARTITION, least: float = LEAST) -> DataFrame:
+    """Fingerprints of each text, of its edited text, their likeness, and the text's near-duplicate class; one row for each row.
 
     The edited text has its last floor(n/4) code points replaced by the first as many (or all) of the
     next text by ascending key; the last is followed by the first. A single document follows itself.
-    Null text is empty, and two empty texts have likeness 1. Rows with a null key come first. One
-    shuffle of the text.
+    Null text is empty, and two empty texts have likeness 1. Rows with a null key come first; rows of equal keys go by
+    a hash of their text. ``class_id`` is the smallest key of the texts connected by links: equal fingerprints, or fingerprints
+    that meet in the region of a band and are alike by ``least`` or more. Texts are shuffled once; the three passes share it. Other columns of docs take no part.
     """
-    import hashlib
-
-    src = ordered_with_successor(docs, key, text)
-
-    def one(row, nxt):
-        doc, body, points, walk, print_ = row
-        n = points.size
-        cut_at = n - n // 4
-        lent = nxt[2][: n // 4]
-        edited = np.concatenate([points[:cut_at], lent])
-        if n // 4:
-            tail = Walk(lent, int(walk.begin[cut_at])).begin
-            edited_print = sampled(edited, np.concatenate([walk.begin[:cut_at], tail]))
-            sha = hashlib.sha256(body[:cut_at].encode() + nxt[1][: n // 4].encode()).hexdigest()
-        else:
-            edited_print, sha = print_, hashlib.sha256(body.encode()).hexdigest()
-        return doc, n, sha, print_, edited_print, likeness(print_, edited_print), likeness(print_, nxt[4])
-
-    def made(doc, body):
-        points = code_points(body)
-        walk = Walk(points)
-        return doc, body, points, walk, sampled(points, walk.begin)
-
-    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-
-    def run(frames):
-        out, held, first, part, alone = [], None, None, None, False
-        for frame in frames:
-            for p, extra, doc, body in zip(frame["part"], frame["extra"], frame["doc_id"], frame["text"]):
-                if held is not None and (p != part or alone):  # without a follower in the partition: there is one part only
-                    if not alone:
-                        out.append(one(held, first))
-                    held = None
-                if p != part:
-                    part, first, alone = p, None, False
-                if extra and alone:
-                    continue  # the follower's equal keys
-                row = made(None if pd.isna(doc) else int(doc), body)
-                if held is not None:
-                    out.append(one(held, row))
-                held, alone = row, bool(extra)
-                first = first or row
-            if out:
-                yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
-                out = []
-        if held is not None and not alone:
-            out.append(one(held, first))
-        if out:
-            yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
-
-    return src.select("part", "extra", "doc_id", "text").mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    rows, parts = in_parts(docs, key, text, target)
+    buckets = n_parts(docs.count(), BUCKET)
+
+    def name(t: pa.Table) -> pa.Table:
+        out: dict[str, list] = {f.name: [] for f in NAMED}
+        number = t.column("part")[0].as_py()
+        for b, kind, n, arrays in Part(t, buckets).named():
+            for c, x in zip(out, (b, number, kind, n, *[None if v is None else _squeeze(v) for v in arrays])):
+                out[c].append(x)
+        return _table(out, NAMED)
+
+    def send(t: pa.Table, answers: pa.Table) -> pa.Table:
+        out: dict[str, list] = {f.name: [] for f in CANDIDATES}
+        if t.num_rows:
+            number, part = t.column("part")[0].as_py(), Part(t, buckets)
+            shared = part.answered(answers.to_pylist())
+            some = np.unique(part.who[shared]).tolist()
+            found = [(number, 2, *part.digest[k].tolist(), int(part.least[k]), None, part.fps[k]) for k in some]
+            found += [(number, 3, *part.digest[k].tolist(), int(part.least[k]), b, None) for k, b in zip(part.who[shared].tolist(), part.band[shared].tolist())]
+            for c, x in zip(out, zip(*found)) if found else ():
+                out[c] += x
+        return _table(out, CANDIDATES)
+
+    result = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("class_id", pa.int64())])
+
+    def finish(t: pa.Table, answers: pa.Table) -> pa.Table:
+        out: dict[str, list] = {f.name: [] for f in result}
+        if t.num_rows:
+            part = Part(t, buckets)
+            answers = answers.to_pylist()
+            part.answered([r for r in answers if r["kind"] < 2])
+            known = {(r["high"], r["low"]): r["class_id"] for r in answers if r["kind"] == 2}
+            classes = [known.get(tuple(d), x) for d, x in zip(part.digest.tolist(), part.least.tolist())]
+            extra = t.filter(pc.equal(t.column("extra"), 1)).column("text").to_pylist() if parts > 1 else []
+            follower = extra[0] if extra else part.texts[0]
+            nexts = [*part.texts[1:], follower]
+            prints = [*part.prints[1:], fingerprint(follower) if extra else part.prints[0]]
+            for a, z in batches([len(x) + len(x) // 4 for x in part.texts]):
+                points = [code_points(x) for x in part.texts[a:z]]
+                own = walks(points, [0] * len(points))
+                lent = [code_points(y[: len(x) // 4]) for x, y in zip(part.texts[a:z], nexts[a:z])]
+                places = [x.size - x.size // 4 for x in points]
+                tails = walks(lent, [int(w[c]) for w, c in zip(own, places)])
+                for k, p, w, more, c, tail in zip(range(a, z), points, own, lent, places, tails):
+                    f = part.prints[k]
+                    edited = sampled(np.concatenate([p[:c], more]), np.concatenate([w[:c], tail])) if c < p.size else f
+                    body = part.texts[k][:c].encode() + nexts[k][: p.size // 4].encode()
+                    row = (part.ids[k], p.size, hashlib.sha256(body).hexdigest(), f, edited, likeness(f, edited), likeness(f, prints[k]), classes[part.of[k]])
+                    for column, x in zip(out, row):
+                        out[column].append(None if x == LOW else x)
+        return _table(out, result)
+
+    by_part = rows.groupBy("part")
+    answers = by_part.applyInArrow(name, _ddl(NAMED)).groupBy("bucket").applyInArrow(_met, _ddl(ANSWER))
+    candidates = cut(by_part.cogroup(answers.groupBy("part")).applyInArrow(send, _ddl(CANDIDATES)))
+    roots = components(cut(_links_of(candidates, least)))
+    classes = roots.select(F.col("node.high").alias("high"), F.col("node.low").alias("low"), F.col("root.least").alias("class_id"))
+    told = candidates.where("kind = 2").select("part", "high", "low").join(classes, ["high", "low"])
+    empty = {"bucket": "int", "n": "long", "a": "binary"}
+    told = told.select("part", F.lit(2).alias("kind"), "high", "low", "class_id", *[F.lit(None).cast(x).alias(c) for c, x in empty.items()])
+    all_answers = answers.where("kind = 1").withColumns({c: F.lit(None).cast("long") for c in ("high", "low", "class_id")}).unionByName(told)
+    return by_part.cogroup(all_answers.groupBy("part")).applyInArrow(finish, _ddl(result))
 
 
 def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = 16, width: int = 6, walks: int = 3) -> DataFrame:
@@ -208,7 +424,7 @@ def _likeness_to(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 def _pairs_of_walk(docs: DataFrame, key: str, text: str, least: float, bands: int, width: int, seed: int) -> DataFrame:
     @F.pandas_udf("string")
     def fp(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: fingerprint(t, seed))
+        return pd.Series(fingerprints(s.tolist(), seed))
 
     def compare(tile: pd.DataFrame) -> pd.DataFrame:
         tile = tile.sort_values(["chunk", "fp"])

@@ -217,7 +217,7 @@ class Block:
 NAMED = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("n", pa.int64()), ("hashes", pa.binary())])
 ANSWER = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("bits", pa.binary())])
 FRAGMENTS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("n", pa.int64()), ("size", pa.int64()), ("hashes", pa.binary()), ("lengths", pa.binary()), ("docs", pa.binary()), ("text", pa.binary())])
-_TYPES = {"int32": "int", "int64": "long", "list<item: int64>": "array<long>", "list<element: int64>": "array<long>"}
+_TYPES = {"int32": "int", "int64": "long", "double": "double", "list<item: int64>": "array<long>", "list<element: int64>": "array<long>"}
 _ddl = lambda s: ", ".join(f"{f.name} {_TYPES.get(str(f.type), str(f.type))}" for f in s)
 
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 
+import numpy as np
 import pandas as pd
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, block string, rep long, c0 string"
@@ -86,3 +87,24 @@ def bands(fp, n, width):
     scale, samples = int(fp[:2], 16), (len(fp) - 2) // 4
     parts = {(scale - s, b): fp[2 + 2 * (samples * s + b * width) :][: 2 * width] for s in (0, 1) for b in range(n)}
     return {(*k, v) for k, v in parts.items() if v.strip("0")}
+
+
+def fingerprint(text, seed=0, classes=64, period=1 << 16, samples=128):
+    """One step of the walk at a time: at output step i the character under the pointer is written, and a shared bit says whether the pointer moves on."""
+    if seed not in _bits:
+        _bits[seed] = np.random.default_rng(20240229 + seed).integers(0, 2, (classes, period), dtype=np.uint8).tolist(), np.random.default_rng(7919 + seed).random(samples)
+    bits, places = _bits[seed]
+    points, written, at = [ord(c) for c in text], [], 0
+    while at < len(points):
+        written.append(points[at])
+        at += bits[(points[at] * 2654435769 % 2**32) >> 26][(len(written) - 1) % period]
+    scale = max(6, (2 * len(points)).bit_length())
+    out = bytes([scale])
+    for s in (scale, scale - 1):
+        for place in places:
+            i = int(place * 2**s)
+            out += bytes([1 + ((written[i] * 2246822519 % 2**32) >> 16) % 255 if i < len(written) else 0])
+    return out.hex()
+
+
+_bits = {}

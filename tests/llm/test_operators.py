@@ -433,25 +433,83 @@ def test_longest_previous_factors(texts, length):
 
 
 def test_fingerprints(spark, odd, none):
-    rows = sorted(((i is not None, i or 0, t) for i, t in brute.rows_of(odd)))
-    for target in (fingerprints.TEXT_PARTITION, 700):
-        src = fingerprints.ordered_with_successor
-        try:
-            fingerprints.ordered_with_successor = lambda d, k, t, n=target: src(d, k, t, n)
-            got = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["edited_sha256"], r["n_chars"], r["fingerprint"], r["near_next"], r["near_edited"]) for r in fingerprints.edited_fingerprints(odd).collect()))
-        finally:
-            fingerprints.ordered_with_successor = src
+    hashes = {r["t"]: r["h"] for r in odd.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    rows = sorted((i is not None, i or 0, hashes[t], t) for i, t in brute.rows_of(odd))
+    for target in (fingerprints.TEXT_PARTITION, 700, 60):
+        got = fingerprints.edited_fingerprints(odd, target=target).collect()
+        got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["edited_sha256"], r["n_chars"], r["fingerprint"], r["near_next"], r["near_edited"], r["edited_fingerprint"]) for r in got)
         want = []
-        for k, (known, i, text) in enumerate(rows):
-            nxt = rows[(k + 1) % len(rows)][2]
+        for k, (known, i, _, text) in enumerate(rows):
+            nxt = rows[(k + 1) % len(rows)][3]
             n = len(text)
             edited = text[: n - n // 4] + nxt[: n // 4]
-            f, g, h = (fingerprints.fingerprint(x) for x in (text, edited, nxt))
-            want.append((known, i, hashlib.sha256(edited.encode()).hexdigest(), n, f, fingerprints.likeness(f, h), fingerprints.likeness(f, g)))
+            f, g, h = (brute.fingerprint(x) for x in (text, edited, nxt))
+            want.append((known, i, hashlib.sha256(edited.encode()).hexdigest(), n, f, fingerprints.likeness(f, h), fingerprints.likeness(f, g), g))
         assert got == sorted(want)
     assert fingerprints.edited_fingerprints(none).count() == 0
 
 
+def test_walks_of_texts_of_many_lengths():
+    rng = random.Random(16)
+    texts = ["".join(rng.choice("abcß漢 \U0001f600") for _ in range(n)) for n in [0, 1, 3, 3, 700, 70_000, *(rng.randrange(400) for _ in range(60))]]
+    for seed in (0, 3):
+        assert fingerprints.fingerprints(texts, seed) == [brute.fingerprint(t, seed) for t in texts]
+
+
+def edited_text(text, rate, rng):
+    x = list(text)
+    for _ in range(max(1, int(rate * len(x)))):
+        i, k = rng.randrange(len(x)), rng.randrange(3)
+        if k == 0:
+            x[i] = rng.choice("abcdefgh ")
+        elif k == 1:
+            x.insert(i, rng.choice("abcdefgh "))
+        else:
+            del x[i]
+    return "".join(x)
+
+
+def test_classes_of_near_duplicates(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "CHUNK", 4)
+    monkeypatch.setattr(fingerprints, "BUCKET", 25)
+    rng = random.Random(19)
+    bases = ["".join(rng.choice("abcdefghij ") for _ in range(rng.randrange(600, 2500))) for _ in range(12)]
+    texts = [edited_text(t, 0.004 * (k % 4), rng) if k else t for t in bases for k in range(7)] + [bases[0], bases[0], "", None, "short", "short"]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([*rows, (None, bases[3])], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in fingerprints.edited_fingerprints(df, target=9000).collect()}
+    prints = {i: brute.fingerprint(t or "") for i, t in [*rows, (None, bases[3])]}
+    alike = {(i, j) for i in prints for j in prints if prints[i] == prints[j] or fingerprints.likeness(prints[i], prints[j]) >= fingerprints.LEAST}
+    banded = {(i, j) for i, j in alike if prints[i] == prints[j] or set(fingerprints.band_keys(prints[i])) & set(fingerprints.band_keys(prints[j]))}
+
+    def classes(links):
+        low = lambda i: -1 if i is None else i
+        of = {i: low(i) for i in prints}
+        for _ in prints:
+            for i, j in links:
+                of[i] = of[j] = min(of[i], of[j])
+        return {i: None if c == -1 else c for i, c in of.items()}
+
+    least, most = classes(banded), classes(alike)
+    assert got == least or all(most[i] == most[j] for i in got for j in got if got[i] == got[j]) and all(got[i] == got[j] for i, j in banded)
+    assert len(set(got.values())) < len(set(prints.values()))
+
+
+def test_recall_of_near_duplicates(spark):
+    """Half a percent of the characters edited: nine tenths of the pairs are in one class, and no others."""
+    docs = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) between 500 and 6000").select("text").distinct().orderBy("text").collect()]
+    rng = random.Random(1)
+    docs = rng.sample(docs, 150)
+    rows = [(i, t) for i, t in enumerate(docs)] + [(1000 + i, edited_text(t, 0.005, rng)) for i, t in enumerate(docs)]
+    got = {r["doc_id"]: r["class_id"] for r in fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] == got[1000 + i] for i in range(150)) >= 0.9 * 150
+    prints = fingerprints.fingerprints(docs)
+    for i in range(150):
+        if got[i] != i:  # documents of the table that are alike themselves
+            assert max(fingerprints.likeness(prints[i], prints[j]) for j in range(150) if j != i) > 0.3
+
+
 def test_likeness_follows_edits():
     rng = random.Random(5)
     text = "".join(rng.choice("abcdefghij ") for _ in range(3000))
