@@ -12,6 +12,7 @@ from ..functions import columns as C
 from ..operators import annotations, frames, ldscore, munging, sketch, windows
 from ..sources import plink
 from ..stats import regression
+from . import regression_sql
 from .views import Views, oracle_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,35 +234,39 @@ def h2_fixed_intercept(v: Views) -> DataFrame:
     return _row(v, h2=round(h.h2, 5), intercept=1.0)
 
 
-@query()
+@query(regression_sql.two_step(_REG), "v_sumstats", "v_ld")
 def h2_two_step(v: Views) -> DataFrame:
     h = regressed(v, lambda reg: regression.heritability(reg, ["L2"], [1000.0], step=30.0))
-    return _row(v, h2=h.h2, h2_se=h.se, intercept=h.intercept, intercept_se=h.intercept_se, mean_chi2=h.mean_chi2, lambda_gc=h.lambda_gc, ratio=h.ratio, ratio_se=h.ratio_se)
+    found = {"h2": h.h2, "h2_se": h.se, "intercept": h.intercept, "intercept_se": h.intercept_se, "mean_chi2": h.mean_chi2, "lambda_gc": h.lambda_gc, "ratio": h.ratio, "ratio_se": h.ratio_se}
+    return _row(v, **{k: round(x, 5) for k, x in found.items()})
 
 
-@query()
+@query(regression_sql.categories(_REG), "v_sumstats", "v_ld")
 def h2_partitioned(v: Views) -> DataFrame:
     fit = regressed(v, lambda reg: regression.partitioned(reg, ["L2", "codingL2"], [1000.0, 400.0]))
-    rows = [(n, float(a), float(b), float(c), float(d)) for n, a, b, c, d in zip(fit.names, fit.prop, fit.enrichment(), fit.coef, fit.coef_se)]
-    return v.spark.createDataFrame(rows, "category string, prop_h2 double, enrichment double, coefficient double, coefficient_se double")
+    rows = [(n, round(float(a), 5), round(float(b), 5), round(1000 * float(c), 7), round(1000 * float(d), 7)) for n, a, b, c, d in zip(fit.names, fit.prop, fit.enrichment(), fit.coef, fit.coef_se)]
+    return v.spark.createDataFrame(rows, "category string, prop_h2 double, enrichment double, coefficient_1000 double, coefficient_se_1000 double")
 
 
-@query()
+@query(regression_sql.overlapping(_REG), "v_sumstats", "v_ld", "v_annot")
 def h2_overlap(v: Views) -> DataFrame:
+    """Without the P values, whose distribution has no SQL."""
     got = {(x["a"], x["b"]): x["value"] for x in annotations.overlap(v.annot, ["base", "coding"]).collect()}
     matrix = np.array([[got[a, b] for b in ("base", "coding")] for a in ("base", "coding")])
     total = v.annot.count()
     fit = regressed(v, lambda reg: regression.partitioned(reg, ["L2", "codingL2"], [float(matrix[0, 0]), float(matrix[1, 1])]))
-    rows = regression.overlap_results(fit, matrix, total)
-    return v.spark.createDataFrame([tuple(x.values()) for x in rows], "category string, prop_snps double, prop_h2 double, prop_h2_se double, enrichment double, enrichment_se double, enrichment_p double, coefficient double, coefficient_se double, coefficient_z double")
+    five = ("prop_h2", "prop_h2_se", "enrichment", "enrichment_se")
+    rows = [(x["category"], round(x["prop_snps"], 6), *(round(x[k], 5) for k in five), round(1000 * x["coefficient"], 7), round(1000 * x["coefficient_se"], 7), round(x["coefficient_z"], 5)) for x in regression.overlap_results(fit, matrix, total)]
+    return v.spark.createDataFrame(rows, "category string, prop_snps double, " + ", ".join(f"{c} double" for c in five) + ", coefficient_1000 double, coefficient_se_1000 double, coefficient_z double")
 
 
-@query()
+@query(regression_sql.cell_types(_REG), "v_sumstats", "v_ld")
 def h2_cell_type(v: Views) -> DataFrame:
+    """Without the P values, whose distribution has no SQL."""
     tissue = lambda reg: reg.withColumn("tissueL2", F.col("codingL2") * F.pmod("_i", F.lit(3)))
     sets = [("coding", ["codingL2"], [400.0]), ("tissue", ["tissueL2"], [300.0])]
     rows = regressed(v, lambda reg: regression.cell_types(reg, sets, ["L2"], [1000.0]), tissue)
-    return v.spark.createDataFrame([tuple(x.values()) for x in rows], "name string, coefficient double, coefficient_se double, p double")
+    return v.spark.createDataFrame([(x["name"], round(1000 * x["coefficient"], 7), round(1000 * x["coefficient_se"], 7)) for x in rows], "name string, coefficient_1000 double, coefficient_se_1000 double")
 
 
 def _two_traits(reg: DataFrame) -> DataFrame:
@@ -270,10 +275,12 @@ def _two_traits(reg: DataFrame) -> DataFrame:
     return reg.select("_i", F.col("Z").alias("Z1"), second, F.col("N").alias("N1"), (F.col("N") + 100).alias("N2"), "L2", "w_l2")
 
 
-@query()
+@query(regression_sql.correlation(_REG), "v_sumstats", "v_ld")
 def rg_pair(v: Views) -> DataFrame:
+    """Without the P value, whose distribution has no SQL."""
     c = regressed(v, lambda reg: regression.correlation(reg, ["L2"], [1000.0]), _two_traits)
-    return _row(v, rg=c.rg, se=c.se, z=c.z, p=c.p, h2_1=c.h1.h2, h2_2=c.h2.h2, gcov=c.gencov.rho, gcov_int=c.gencov.intercept, mean_z1z2=c.gencov.mean_z1z2)
+    found = {"rg": c.rg, "se": c.se, "h2_1": c.h1.h2, "h2_2": c.h2.h2, "gcov": c.gencov.rho, "gcov_int": c.gencov.intercept, "mean_z1z2": c.gencov.mean_z1z2}
+    return _row(v, **{k: round(x, 5) for k, x in found.items()}, z=round(c.z, 4))
 
 
 # --- LD scores ---------------------------------------------------------------------------------------------------
@@ -358,7 +365,14 @@ def ld_pairs(v: Views) -> DataFrame:
     return ldscore.pairs(left, 64).select("CHR", "i", "j", (r("r2") + 0.0).alias("r2"))
 
 
-@query()
+_GLOBAL = f"""{_LEFT}, g AS (SELECT (CHR - 1) * 125 + pos AS place, (CHR - 1) * 125 + block_left AS first, x FROM w),
+    c AS (SELECT *, first_value(first) OVER (PARTITION BY place // 50 ORDER BY place) // 50 * 50 AS lft FROM g),
+    q AS (SELECT a.place AS i, b.place AS j, power(list_inner_product(a.x, b.x) / 64, 2) - (1 - power(list_inner_product(a.x, b.x) / 64, 2)) / 62 AS r2 FROM c a JOIN c b ON a.place < b.place AND a.place >= b.lft),
+    u AS (SELECT i AS place, r2 FROM q UNION ALL SELECT j, r2 FROM q)
+    SELECT c.place AS pos, round(1 + coalesce(sum(r2), 0), 5) AS L2 FROM c LEFT JOIN u ON u.place = c.place GROUP BY c.place"""
+
+
+@query(_GLOBAL, "v_geno")
 def ld_score_global_pass(v: Views) -> DataFrame:
     """Positions run over the whole table, so pairs of a chunk may cross chromosomes."""
     df = windows.block_left_kb(ldscore.standardised(v.geno), 200)
