@@ -228,14 +228,14 @@ def munge_daner(v: Views) -> DataFrame:
 _TEXT = _MUNGED.replace("v_sumstats", "v_text").replace("WITH p AS", "WITH v_text AS (SELECT SNP, A1, A2, round(BETA, 3) AS BETA, round(SE, 3) AS SE, round(P, 3) AS P, N, round(INFO, 3) AS INFO, round(FRQ, 3) AS FRQ, _row FROM v_sumstats), p AS", 1)
 
 
-@query(f"{_TEXT} SELECT SNP, A1, A2, round(Z, 3) AS Z, N, row_number() OVER (ORDER BY _row) - 1 AS i FROM first WHERE k = 1", "v_sumstats")
+@query(f"{_TEXT} SELECT SNP, A1, A2, round(Z, 3) + 0.0 AS Z, N, row_number() OVER (ORDER BY _row) - 1 AS i FROM first WHERE k = 1", "v_sumstats")
 def munge_files(v: Views) -> DataFrame:
     """The command: a raw table is read, munged and written in its order; the written file is read again."""
     at = _at(v)
     writers.write_table(v.ordered.drop("N_CAS", "N_CON", "NSTUDY"), f"{at}.raw.gz", [F.col("_row")])
     commands.run_munge(v.spark, f"{at}.raw.gz", at)
     done = frames.numbered(readers.read_sumstats(v.spark, f"{at}.sumstats.gz"), [F.col("_row")], "i")
-    return done.select("SNP", "A1", "A2", F.col("Z").cast("double").alias("Z"), F.col("N").cast("double").alias("N"), "i")
+    return done.select("SNP", "A1", "A2", (F.col("Z").cast("double") + 0.0).alias("Z"), F.col("N").cast("double").alias("N"), "i")
 
 
 # --- commands --------------------------------------------------------------------------------------------------------

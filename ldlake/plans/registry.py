@@ -270,9 +270,10 @@ def h2_cell_type(v: Views) -> DataFrame:
 
 
 def _two_traits(reg: DataFrame) -> DataFrame:
-    """A second trait that keeps part of the first one's signal."""
-    second = (0.6 * F.col("Z") + F.sin(F.col("_i"))).alias("Z2")
-    return reg.select("_i", F.col("Z").alias("Z1"), second, F.col("N").alias("N1"), (F.col("N") + 100).alias("N2"), "L2", "w_l2")
+    """A trait that follows the LD scores, and a second one that keeps part of its signal."""
+    first = F.col("Z") * F.sqrt(1 + F.col("L2") / 5)
+    second = (0.6 * first + F.sin(F.col("_i"))).alias("Z2")
+    return reg.select("_i", first.alias("Z1"), second, F.col("N").alias("N1"), (F.col("N") + 100).alias("N2"), "L2", "w_l2")
 
 
 @query(regression_sql.correlation(_REG), "v_sumstats", "v_ld")

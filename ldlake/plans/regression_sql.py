@@ -120,8 +120,8 @@ def overlapping(reg: str) -> str:
     text += f", se AS (SELECT {spread(pseudo('f0 / nb', 'd0 / nb'))} AS e0, {spread(pseudo('f1 / nb', 'd1 / nb'))} AS e1 FROM qd, qf, given)"
     # coding lies inside base, so their overlap is coding's size
     text += ", o AS (SELECT 'L2' AS category, ma / tot AS prop_snps, ma / ma AS ra, mb / mb AS rb, f0 / nb AS f, e0 AS e FROM given, qf, se UNION ALL SELECT 'codingL2', mb / tot, mb / ma, mb / mb, f1 / nb, e1 FROM given, qf, se)"
-    return text + """ SELECT category, round(prop_snps, 6) AS prop_snps, round(ra * pa + rb * pb, 5) AS prop_h2, round(sqrt(ra * ra * vaa + 2 * ra * rb * vab + rb * rb * vbb), 5) AS prop_h2_se,
-        round((ra * pa + rb * pb) / prop_snps, 5) AS enrichment, round(sqrt(ra * ra * vaa + 2 * ra * rb * vab + rb * rb * vbb) / prop_snps, 5) AS enrichment_se,
+    return text + """ SELECT category, round(prop_snps, 6) AS prop_snps, round(ra * pa + rb * pb, 5) AS prop_h2, round(sqrt(greatest(ra * ra * vaa + 2 * ra * rb * vab + rb * rb * vbb, 0)), 5) AS prop_h2_se,
+        round((ra * pa + rb * pb) / prop_snps, 5) AS enrichment, round(sqrt(greatest(ra * ra * vaa + 2 * ra * rb * vab + rb * rb * vbb, 0)) / prop_snps, 5) AS enrichment_se,
         round(f * 1000, 7) AS coefficient_1000, round(e * 1000, 7) AS coefficient_se_1000, round(f / e, 5) AS coefficient_z FROM o, p, c"""
 
 
@@ -138,7 +138,7 @@ def cell_types(reg: str) -> str:
 
 def correlation(reg: str) -> str:
     """One-step regressions of both traits and of their product, and the jackknife of the ratio."""
-    text = reg + ", pair AS (SELECT _i, Z AS z1, 0.6 * Z + sin(_i) AS z2, N AS N1, N + 100 AS N2, L2, w_l2 FROM reg), two AS (SELECT *, z1 * z1 AS y1, z2 * z2 AS y2, z1 * z2 AS y3, sqrt(N1 * N2) AS N3 FROM pair)"
+    text = reg + ", pair AS (SELECT _i, Z * sqrt(1 + L2 / 5) AS z1, 0.6 * (Z * sqrt(1 + L2 / 5)) + sin(_i) AS z2, N AS N1, N + 100 AS N2, L2, w_l2 FROM reg), two AS (SELECT *, z1 * z1 AS y1, z2 * z2 AS y2, z1 * z2 AS y3, sqrt(N1 * N2) AS N3 FROM pair)"
     text += ", given AS (SELECT count(*) AS cnt, avg(N1) AS b1, avg(N2) AS b2, avg(N3) AS b3, 1000 * (avg(y1) - 1) / avg(L2 * N1) AS g1, 1000 * (avg(y2) - 1) / avg(L2 * N2) AS g2, 1000 * avg(y3) / avg(L2 * N3) AS g3, avg(y3) AS mean FROM two)"
     for t in "12":
         x, start, w = f"N{t} * L2 / b{t}", h2_weight(f"g{t}", "1", "L2", f"N{t}"), h2_weight(f"1000 * c0 / b{t}", "c1", "L2", f"N{t}")
