@@ -6,8 +6,8 @@ small edit distance fall back into step soon after each edit, so their outputs a
 distance. A fingerprint keeps the output at random steps (bit sampling) of two scales, that of the
 text's own length and the next smaller one, so texts within about a factor of two can be compared.
 
-Near duplicates are found by banding: texts whose fingerprints agree in a band of samples are candidates, and
-are linked if the likeness of the whole fingerprints is high enough.
+Near duplicates are found by banding: texts whose fingerprints agree in a band of samples are candidates, whose
+whole fingerprints are then compared.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, n_parts
-from .components import components
 from .suffixes import _ddl, _expand, _squeeze, _table
 
 CLASSES, PERIOD, SAMPLES = 64, 1 << 16, 128
@@ -32,7 +31,7 @@ BUCKET = 50_000  # texts whose bands meet in a bucket, about
 CHUNK = 512  # fingerprints of a bucket that meet those of another chunk in a tile
 LEAST, BANDS, WIDTH = 0.5, 14, 7  # likeness of texts that have nothing in common stays below 0.3
 AT_ONCE, FEW = 1 << 22, 16  # characters that walk together; texts of a batch that are walked one by one
-LOW = np.iinfo(np.int64).min
+LOW, NONE = np.iinfo(np.int64).min, 1 << 61  # stand for a null key, and for no key; keys lie between -NONE and NONE
 
 
 def _walk_table(seed: int) -> np.ndarray:
@@ -178,11 +177,6 @@ def in_parts(docs: DataFrame, key: str, text: str, target: int) -> tuple[DataFra
     return rows.select("part", "extra", "doc_id", "h", "text"), n
 
 
-def _digest(fp: str) -> tuple[int, int]:
-    d = hashlib.blake2b(bytes.fromhex(fp), digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
-
-
 def band_keys(fp: str, bands: int = BANDS, width: int = WIDTH) -> list[int]:
     """64-bit names of a fingerprint's bands on both scales; a band wholly beyond the text says nothing and has none."""
     raw, out = bytes.fromhex(fp), []
@@ -194,142 +188,84 @@ def band_keys(fp: str, bands: int = BANDS, width: int = WIDTH) -> list[int]:
     return out
 
 
-NAMED = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-ANSWER = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("a", pa.binary())])
-CANDIDATES = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("high", pa.int64()), ("low", pa.int64()), ("least", pa.int64()), ("band", pa.int64()), ("fp", pa.string())])
+NAMED = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("band", pa.binary()), ("first", pa.binary())])
+ANSWER = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("heads", pa.binary()), ("id", pa.int64()), ("fp", pa.string())])
+ASKED = pa.schema([("part", pa.int32()), ("id", pa.int64()), ("fp", pa.string())])
 
 
 class Part:
-    """The texts of a part in order, and their different fingerprints with their bands."""
+    """The texts of a part in order, and their different fingerprints with their bands; ``first`` is a fingerprint's smallest id here."""
 
     def __init__(self, t: pa.Table, buckets: int):
-        self.t = t = t.sort_by([("extra", "ascending"), ("doc_id", "ascending"), ("h", "ascending"), ("text", "ascending")])
+        t = t.sort_by([("extra", "ascending"), ("doc_id", "ascending"), ("h", "ascending"), ("text", "ascending")])
         own = t.filter(pc.equal(t.column("extra"), 0))
         self.ids, self.texts = own.column("doc_id").to_pylist(), own.column("text").to_pylist()
         self.prints = fingerprints(self.texts)
         classes: dict[str, int] = {}
         self.of = [classes.setdefault(f, len(classes)) for f in self.prints]
         self.fps = list(classes)
-        digest = np.array([_digest(f) for f in self.fps], np.int64).reshape(-1, 2)
-        least = np.full(len(self.fps), np.iinfo(np.int64).max)
-        np.minimum.at(least, self.of, np.array(self.ids, np.int64))
+        self.first = np.full(len(self.fps), NONE)
+        known = np.array(self.ids, np.int64) != LOW
+        np.minimum.at(self.first, np.array(self.of, np.int64)[known], np.array(self.ids, np.int64)[known])
         keys = [band_keys(f) for f in self.fps]
         band = np.array([k for ks in keys for k in ks], np.int64)
         who = np.repeat(np.arange(len(keys)), [len(ks) for ks in keys])
-        self.digest, self.least, self.buckets = digest, least, buckets
-        order = np.argsort(digest[:, 0].view(np.uint64), kind="stable")
-        self.rank, self.fp_edges = order, self._edges(digest[order, 0])
         order = np.argsort(band.view(np.uint64), kind="stable")
         self.band, self.who = band[order], who[order]
-        self.band_edges = self._edges(self.band)
-
-    def _edges(self, x: np.ndarray) -> np.ndarray:
-        return np.searchsorted(((x.view(np.uint64) >> np.uint64(34)).astype(np.int64) * self.buckets) >> 30, np.arange(self.buckets + 1))
+        self.edges = np.searchsorted(((self.band.view(np.uint64) >> np.uint64(34)).astype(np.int64) * buckets) >> 30, np.arange(buckets + 1))
 
     def named(self):
-        """(bucket, kind, n, arrays): bands with half a digest; digests with their smallest id."""
-        for b, (x, y) in enumerate(zip(self.band_edges, self.band_edges[1:])):
+        """(bucket, n, bands, smallest ids)."""
+        for b, (x, y) in enumerate(zip(self.edges, self.edges[1:])):
             if x < y:
-                yield b, 0, y - x, (self.band[x:y], self.digest[self.who[x:y], 0], None)
-        for b, (x, y) in enumerate(zip(self.fp_edges, self.fp_edges[1:])):
-            if x < y:
-                at = self.rank[x:y]
-                yield b, 1, y - x, (self.digest[at, 0], self.digest[at, 1], self.least[at])
+                yield b, y - x, self.band[x:y], self.first[self.who[x:y]]
 
-    def answered(self, answers: list[dict]) -> np.ndarray:
-        """True for the bands that other fingerprints have too; the smallest ids of all parts replace the own."""
-        shared = np.zeros(self.band.size, bool)
+    def heads(self, answers: list[dict]) -> tuple[dict[int, int], set[int]]:
+        """For each fingerprint the earlier head that it shares most bands with (ties: the smaller id), and the fingerprints that are heads themselves."""
+        head, shared = self.first[self.who], np.zeros(self.band.size, bool)
         for r in answers:
-            if r["kind"] == 0:
-                shared[self.band_edges[r["bucket"]] : self.band_edges[r["bucket"] + 1]] = _expand(r["a"], r["n"]).astype(bool)
-            elif r["kind"] == 1:
-                self.least[self.rank[self.fp_edges[r["bucket"]] : self.fp_edges[r["bucket"] + 1]]] = _expand(r["a"], r["n"])
-        return shared
+            if r["heads"] is not None:
+                at = slice(self.edges[r["bucket"]], self.edges[r["bucket"] + 1])
+                told = _expand(r["heads"], r["n"])
+                shared[at], head[at] = told & 1, head[at] - (told >> 1)
+        own = head == self.first[self.who]
+        best: dict[int, tuple] = {}
+        pairs, count = np.unique(np.stack([self.who[~own], head[~own]], 1), axis=0, return_counts=True)
+        for (k, h), n in zip(pairs.tolist(), count.tolist()):
+            best[k] = max(best.get(k, (0, 0)), (n, -h))
+        return {k: -h for k, (_, h) in best.items()}, set(self.who[own & shared].tolist())
 
 
 def _met(t: pa.Table) -> pa.Table:
-    """Of each bucket: which bands several fingerprints have; the smallest id of each digest."""
+    """Of each bucket, for each band of each part: how much smaller the smallest id of all is, doubled, and one if others have the band."""
     out: dict[str, list] = {f.name: [] for f in ANSWER}
-    for kind in (0, 1):
-        rows = t.filter(pc.equal(t.column("kind"), kind)).to_pylist()
-        if not rows:
-            continue
-        a, b = (np.concatenate([_expand(r[c], r["n"]) for r in rows]) for c in "ab")
-        if kind == 0:
-            value, of = np.unique(a, return_inverse=True)
-            first = np.zeros(value.size, np.int64)
-            first[of] = b
-            several = np.zeros(value.size, bool)
-            several[of[b != first[of]]] = True
-            answer = several[of].astype(np.int64)
-        else:
-            order = np.lexsort((b, a))
-            new = np.ones(order.size, bool)
-            new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-            of = np.zeros(order.size, np.int64)
-            of[order] = np.cumsum(new) - 1
-            least = np.full(int(new.sum()), np.iinfo(np.int64).max)
-            np.minimum.at(least, of, np.concatenate([_expand(r["c"], r["n"]) for r in rows]))
-            answer = least[of]
-        at = 0
-        for r in rows:
-            for name, x in zip(out, (r["part"], r["bucket"], kind, r["n"], _squeeze(answer[at : at + r["n"]]))):
-                out[name].append(x)
-            at += r["n"]
+    rows = t.to_pylist()
+    band, first = (np.concatenate([_expand(r[c], r["n"]) for r in rows]) for c in ("band", "first"))
+    value, of, count = np.unique(band, return_inverse=True, return_counts=True)
+    least = np.full(value.size, np.iinfo(np.int64).max)
+    np.minimum.at(least, of, first)
+    told = ((first - least[of]) << 1) | (count[of] > 1)
+    at = 0
+    for r in rows:
+        for name, x in zip(out, (r["part"], r["bucket"], r["n"], _squeeze(told[at : at + r["n"]]), None, None)):
+            out[name].append(x)
+        at += r["n"]
     return _table(out, ANSWER)
 
 
-def _links_of(candidates: DataFrame, least: float) -> DataFrame:
-    """(u, v): linked fingerprints, enough of them for the components; nodes are (least, high, low).
-
-    Of each band the smallest fingerprint is the head, and a fingerprint meets all others of the regions of its heads. Regions
-    are cut to chunks, each two of which meet in a tile.
-    """
-    node = F.struct("least", "high", "low")
-    fps = candidates.where("kind = 2").groupBy("high", "low").agg(F.min("least").alias("least"), F.min("fp").alias("fp"))
-    bands = candidates.where("kind = 3").select("band", "high", "low").distinct()
-    heads = bands.groupBy("band").agg(F.min(F.struct("high", "low")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = bands.join(heads, "band").select("head", "high", "low").distinct()
-    sizes = met.groupBy("head").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("k"))
-    tiled = met.join(sizes, "head").withColumn("chunk", F.pmod(F.xxhash64("high", "low"), F.col("k")).cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    tiled = tiled.select(F.xxhash64("head", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tile"), "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "high", "low")
-    tasks = n_parts(met.count() * 600, 8_000_000, 8)
-    tiled = tiled.join(fps, ["high", "low"]).withColumn("task", F.pmod(F.xxhash64(F.lit("task"), "tile"), F.lit(tasks)))
-    fields = ("least", "high", "low")
-
-    def compare(t: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, tile in t.groupby("tile", sort=False):
-            tile = tile.sort_values(["chunk", "least", "high", "low"])
-            raw = np.frombuffer(bytes.fromhex("".join(tile["fp"])), np.uint8).reshape(len(tile), -1)
-            names = list(zip(*(tile[c].tolist() for c in fields)))
-            i, j = tile[["i", "j"]].iloc[0]
-            n, label = int((tile["chunk"] == i).sum()), np.arange(len(tile))
-            for k in range(n):
-                to = np.arange(k + 1 if i == j else n, len(tile))
-                to = to[label[to] != label[k]]  # what is connected already needs no test
-                if not to.size:
-                    continue
-                to = to[_likeness_to(raw[k], raw[to]) >= least]
-                if to.size:
-                    joined = np.unique(np.append(label[to], label[k]))
-                    label[np.isin(label, joined)] = joined[0]
-            out += [(*names[k], *names[label[k]]) for k in range(len(tile)) if label[k] != k]
-        return pd.DataFrame(out, columns=["least", "high", "low", "x", "y", "z"]).astype("int64")
-
-    found = tiled.groupBy("task").applyInPandas(compare, "least long, high long, low long, x long, y long, z long")
-    return found.select(node.alias("u"), F.struct(F.col("x").alias("least"), F.col("y").alias("high"), F.col("z").alias("low")).alias("v"))
-
-
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", target: int = TEXT_PARTITION, least: float = LEAST) -> DataFrame:
-    """Fingerprints of each text, of its edited text, their likeness, and the text's near-duplicate class; one row for each row.
+    """Fingerprints of each text, of its edited text, their likeness, and an earlier near duplicate; one row for each row.
 
     The edited text has its last floor(n/4) code points replaced by the first as many (or all) of the
     next text by ascending key; the last is followed by the first. A single document follows itself.
     Null text is empty, and two empty texts have likeness 1. Rows with a null key come first; rows of equal keys go by
-    a hash of their text. ``class_id`` is the smallest key of the texts connected by links: equal fingerprints, or fingerprints
-    that meet in the region of a band and are alike by ``least`` or more. Texts are shuffled once; the three passes share it. Other columns of docs take no part.
+    a hash of their text.
+
+    A band's head is the smallest key whose text has the band. ``near_id`` is, of the heads of a text's bands that are smaller than its
+    own first copy's key, the one with most of its bands (ties: the smaller) if the likeness of its whole fingerprint,
+    ``near_likeness``, is ``least`` or more; else both are null. Of several texts of one key the smallest fingerprint speaks; texts without a key are no heads.
+    A text that is an exact copy gets what the first of its copies in its part gets, or that one's key.
+    Texts are shuffled once, which the three passes share; a part asks once for each head. Other columns of docs take no part.
     """
     rows, parts = in_parts(docs, key, text, target)
     buckets = n_parts(docs.count(), BUCKET)
@@ -337,33 +273,36 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     def name(t: pa.Table) -> pa.Table:
         out: dict[str, list] = {f.name: [] for f in NAMED}
         number = t.column("part")[0].as_py()
-        for b, kind, n, arrays in Part(t, buckets).named():
-            for c, x in zip(out, (b, number, kind, n, *[None if v is None else _squeeze(v) for v in arrays])):
+        for b, n, band, first in Part(t, buckets).named():
+            for c, x in zip(out, (b, number, n, _squeeze(band), _squeeze(first))):
                 out[c].append(x)
         return _table(out, NAMED)
 
-    def send(t: pa.Table, answers: pa.Table) -> pa.Table:
-        out: dict[str, list] = {f.name: [] for f in CANDIDATES}
+    def ask(t: pa.Table, answers: pa.Table) -> pa.Table:
+        out: dict[str, list] = {f.name: [] for f in ASKED}
         if t.num_rows:
             number, part = t.column("part")[0].as_py(), Part(t, buckets)
-            shared = part.answered(answers.to_pylist())
-            some = np.unique(part.who[shared]).tolist()
-            found = [(number, 2, *part.digest[k].tolist(), int(part.least[k]), None, part.fps[k]) for k in some]
-            found += [(number, 3, *part.digest[k].tolist(), int(part.least[k]), b, None) for k, b in zip(part.who[shared].tolist(), part.band[shared].tolist())]
+            best, heads = part.heads(answers.to_pylist())
+            found = [(number, h, None) for h in sorted(set(best.values()))] + [(number, int(part.first[k]), part.fps[k]) for k in sorted(heads)]
             for c, x in zip(out, zip(*found)) if found else ():
                 out[c] += x
-        return _table(out, CANDIDATES)
+        return _table(out, ASKED)
 
-    result = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("class_id", pa.int64())])
+    result = pa.schema([
+        ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
+        ("near_edited", pa.float64()), ("near_next", pa.float64()), ("near_id", pa.int64()), ("near_likeness", pa.float64()),
+    ])
 
     def finish(t: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[str, list] = {f.name: [] for f in result}
         if t.num_rows:
-            part = Part(t, buckets)
-            answers = answers.to_pylist()
-            part.answered([r for r in answers if r["kind"] < 2])
-            known = {(r["high"], r["low"]): r["class_id"] for r in answers if r["kind"] == 2}
-            classes = [known.get(tuple(d), x) for d, x in zip(part.digest.tolist(), part.least.tolist())]
+            part, answers = Part(t, buckets), answers.to_pylist()
+            prints_of = {r["id"]: r["fp"] for r in answers if r["fp"] is not None}
+            near: dict[int, tuple] = {}
+            for k, h in part.heads(answers)[0].items():
+                like = likeness(part.fps[k], prints_of[h]) if h in prints_of else 0.0
+                if like >= least:
+                    near[k] = (h, like)
             extra = t.filter(pc.equal(t.column("extra"), 1)).column("text").to_pylist() if parts > 1 else []
             follower = extra[0] if extra else part.texts[0]
             nexts = [*part.texts[1:], follower]
@@ -375,24 +314,23 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
                 places = [x.size - x.size // 4 for x in points]
                 tails = walks(lent, [int(w[c]) for w, c in zip(own, places)])
                 for k, p, w, more, c, tail in zip(range(a, z), points, own, lent, places, tails):
-                    f = part.prints[k]
+                    f, doc, kind = part.prints[k], part.ids[k], part.of[k]
                     edited = sampled(np.concatenate([p[:c], more]), np.concatenate([w[:c], tail])) if c < p.size else f
                     body = part.texts[k][:c].encode() + nexts[k][: p.size // 4].encode()
-                    row = (part.ids[k], p.size, hashlib.sha256(body).hexdigest(), f, edited, likeness(f, edited), likeness(f, prints[k]), classes[part.of[k]])
+                    first = int(part.first[kind])
+                    at = near.get(kind, (first, 1.0) if first < doc else (None, None))
+                    row = (None if doc == LOW else doc, p.size, hashlib.sha256(body).hexdigest(), f, edited, likeness(f, edited), likeness(f, prints[k]), *at)
                     for column, x in zip(out, row):
-                        out[column].append(None if x == LOW else x)
+                        out[column].append(x)
         return _table(out, result)
 
     by_part = rows.groupBy("part")
     answers = by_part.applyInArrow(name, _ddl(NAMED)).groupBy("bucket").applyInArrow(_met, _ddl(ANSWER))
-    candidates = cut(by_part.cogroup(answers.groupBy("part")).applyInArrow(send, _ddl(CANDIDATES)))
-    roots = components(cut(_links_of(candidates, least)))
-    classes = roots.select(F.col("node.high").alias("high"), F.col("node.low").alias("low"), F.col("root.least").alias("class_id"))
-    told = candidates.where("kind = 2").select("part", "high", "low").join(classes, ["high", "low"])
-    empty = {"bucket": "int", "n": "long", "a": "binary"}
-    told = told.select("part", F.lit(2).alias("kind"), "high", "low", "class_id", *[F.lit(None).cast(x).alias(c) for c, x in empty.items()])
-    all_answers = answers.where("kind = 1").withColumns({c: F.lit(None).cast("long") for c in ("high", "low", "class_id")}).unionByName(told)
-    return by_part.cogroup(all_answers.groupBy("part")).applyInArrow(finish, _ddl(result))
+    asked = cut(by_part.cogroup(answers.groupBy("part")).applyInArrow(ask, _ddl(ASKED)))
+    heads = asked.where("fp is not null").groupBy("id").agg(F.min("fp").alias("fp"))
+    told = asked.where("fp is null").select("part", "id").join(heads, "id")
+    told = told.select("part", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("heads"), "id", "fp")
+    return by_part.cogroup(answers.unionByName(told).groupBy("part")).applyInArrow(finish, _ddl(result))
 
 
 def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = 16, width: int = 6, walks: int = 3) -> DataFrame:
