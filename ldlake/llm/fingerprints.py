@@ -84,7 +84,9 @@ def walks(texts: list[np.ndarray], starts: list[int], seed: int = 0) -> list[np.
         active = int((n > step).sum())
     for k in range(active):
         rest = (classes[o[k] + step : o[k] + n[k]] >> 16).astype(np.uint8).tobytes()
-        begin[b[k] + step : b[k] + n[k] + 1] = np.fromiter(accumulate(rest, lambda i, c: i + rows[c][i & mask], initial=int(at[k])), np.int32, len(rest) + 1)
+        begin[b[k] + step : b[k] + n[k] + 1] = np.fromiter(
+            accumulate(rest, lambda i, c: i + rows[c][i & mask], initial=int(at[k])), np.int32, len(rest) + 1
+        )
     ends = off + np.arange(m)
     return [begin[e : e + k + 1] for e, k in zip(ends.tolist(), size.tolist())]
 
@@ -150,7 +152,9 @@ def in_parts(docs: DataFrame, key: str, text: str, target: int) -> tuple[DataFra
     first of all with the last part). Parts are cut at keys that a range sort of ids alone gives; the cuts, sixteen bytes for each
     ``target`` bytes of text, are broadcast.
     """
-    src = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LOW)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    src = docs.select(
+        F.coalesce(F.col(key).cast("long"), F.lit(LOW)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
+    )
     src = src.withColumn("h", F.xxhash64("text"))
     total = src.agg(F.sum(F.octet_length("text"))).first()[0]
     n = min(MOST_PARTS, n_parts(total, target))
@@ -319,7 +323,10 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
                     body = part.texts[k][:c].encode() + nexts[k][: p.size // 4].encode()
                     first = int(part.first[kind])
                     at = near.get(kind, (first, 1.0) if first < doc else (None, None))
-                    row = (None if doc == LOW else doc, p.size, hashlib.sha256(body).hexdigest(), f, edited, likeness(f, edited), likeness(f, prints[k]), *at)
+                    row = (
+                        None if doc == LOW else doc, p.size, hashlib.sha256(body).hexdigest(), f, edited, likeness(f, edited),
+                        likeness(f, prints[k]), *at
+                    )
                     for column, x in zip(out, row):
                         out[column].append(x)
         return _table(out, result)
@@ -329,11 +336,16 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     asked = cut(by_part.cogroup(answers.groupBy("part")).applyInArrow(ask, _ddl(ASKED)))
     heads = asked.where("fp is not null").groupBy("id").agg(F.min("fp").alias("fp"))
     told = asked.where("fp is null").select("part", "id").join(heads, "id")
-    told = told.select("part", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("heads"), "id", "fp")
+    told = told.select(
+        "part", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("heads"),
+        "id", "fp"
+    )
     return by_part.cogroup(answers.unionByName(told).groupBy("part")).applyInArrow(finish, _ddl(result))
 
 
-def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = 16, width: int = 6, walks: int = 3) -> DataFrame:
+def near_pairs(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = 16, width: int = 6, walks: int = 3
+) -> DataFrame:
     """(a, b, likeness), a < b: bit-sampled banding, then verification by the fingerprints; the best of several walks.
 
     An edit can throw one walk out of step for long, rarely several. A band is ``width`` samples of
@@ -380,7 +392,11 @@ def _pairs_of_walk(docs: DataFrame, key: str, text: str, least: float, bands: in
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).where("id is not null")
     prints = cut(rows.select("id", fp("t").alias("fp")).distinct())
     scale = F.conv(F.substring("fp", 1, 2), 16, 10).cast("int")
-    own = [F.concat(scale - F.lit(s), F.lit(f"/{b}/"), F.substring("fp", 3 + 2 * (SAMPLES * s + b * width), 2 * width)) for s in (0, 1) for b in range(bands)]
+    own = [
+        F.concat(
+            scale - F.lit(s), F.lit(f"/{b}/"), F.substring("fp", 3 + 2 * (SAMPLES * s + b * width), 2 * width)
+        ) for s in (0, 1) for b in range(bands)
+    ]
     classes = prints.groupBy("fp").agg(F.count("*").alias("copies"))
     banded = classes.withColumn("band", F.explode(F.array(*own))).where(~F.col("band").rlike("/0*$"))  # a band wholly beyond the text says nothing
     copies = banded.where("copies > 1").select(F.col("fp").alias("f"), F.col("fp").alias("g"), F.lit(1.0).alias("likeness")).distinct()
@@ -388,6 +404,10 @@ def _pairs_of_walk(docs: DataFrame, key: str, text: str, least: float, bands: in
     met = banded.select("fp", "band").join(sizes, "band").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     met = met.select("fp", "band", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    tiles = met.groupBy("band", "i", "j").applyInPandas(compare, "f string, g string, likeness double").groupBy("f", "g").agg(F.first("likeness").alias("likeness"))
+    tiles = met.groupBy("band", "i", "j").applyInPandas(
+        compare, "f string, g string, likeness double"
+    ).groupBy("f", "g").agg(F.first("likeness").alias("likeness"))
     links = tiles.unionByName(copies).join(prints.toDF("a", "f"), "f").join(prints.toDF("b", "g"), "g")
-    return links.where("f <> g and a <> b or f = g and a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness").distinct()
+    return links.where("f <> g and a <> b or f = g and a < b").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness"
+    ).distinct()

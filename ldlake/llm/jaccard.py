@@ -118,7 +118,9 @@ def _sets_of_piece(raw: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]
     return out
 
 
-_fields = lambda **f: pa.schema([(k, {"i": pa.int32(), "l": pa.int64(), "b": pa.binary(), "a": pa.list_(pa.int64())}[v]) for k, v in f.items()])
+_fields = lambda **f: pa.schema(
+    [(k, {"i": pa.int32(), "l": pa.int64(), "b": pa.binary(), "a": pa.list_(pa.int64())}[v]) for k, v in f.items()]
+)
 NAMED = _fields(bucket="i", block="i", kind="i", n="l", a="b", b="b", c="b", d="b", e="b")
 ANSWER = _fields(block="i", bucket="i", kind="i", n="l", a="b", b="b", c="b")
 SETS = _fields(block="i", row="l", doc_id="l", h="l", n="l", rep="l", least="l", weight="l", tokens="b", shingles="b")
@@ -194,7 +196,9 @@ def _least_common(n: np.ndarray, percent: int) -> np.ndarray:
 
 def document_sets(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     """SETS for each row: size, class (first row, smallest id, size); tokens and shingles for first rows that may link."""
-    src = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LOW)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    src = docs.select(
+        F.coalesce(F.col(key).cast("long"), F.lit(LOW)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
+    )
     total = src.agg(F.sum(F.octet_length("text"))).first()[0]
     blocks, buckets = n_parts(total, part_bytes(total, BLOCK)), n_parts(total, part_bytes(total, BUCKET))
     bits = min(56, max(34, int(total or 0).bit_length() + 5))  # keys only order shingles by their counts
@@ -222,7 +226,9 @@ def document_sets(docs: DataFrame, key: str, text: str, k: int, percent: int) ->
                 else:
                     at = slice(block.digest_edges[r["bucket"]], block.digest_edges[r["bucket"] + 1])
                     rep[at], least[at], weight[at] = (_expand(r[c], r["n"]) for c in "abc")
-            for i, (row, doc, h, n, c) in enumerate(zip(block.rows.tolist(), block.ids.tolist(), block.hashes.tolist(), block.sizes.tolist(), block.of.tolist())):
+            for i, (row, doc, h, n, c) in enumerate(
+                zip(block.rows.tolist(), block.ids.tolist(), block.hashes.tolist(), block.sizes.tolist(), block.of.tolist())
+            ):
                 tokens = shingles = None
                 first = rep[c] == row
                 if first and n:
@@ -417,7 +423,11 @@ def _assign(percent: int):
         home = distance.argmin(1)
         who, where = np.nonzero(distance <= distance.min(1)[:, None] + 2 * space.r)
         cells, parts, cell = t.column("cells")[0].as_py(), t.column("parts").to_pylist(), t.column("cell")[0].as_py()
-        name = [int.from_bytes(hashlib.blake2b(f"{cell}/{len(cells)}/{j}".encode(), digest_size=8).digest(), "little", signed=True) for j in range(distance.shape[1])]
+        name = [
+            int.from_bytes(
+                hashlib.blake2b(f"{cell}/{len(cells)}/{j}".encode(), digest_size=8).digest(), "little", signed=True
+            ) for j in range(distance.shape[1])
+        ]
         out = t.take(pa.array(who))
         new = {
             "cell": pa.array([name[j] for j in where], pa.int64()), "cells": pa.array([cells + [int(j)] for j in where], pa.list_(pa.int64())),
@@ -449,15 +459,22 @@ def split_cells(members: DataFrame, percent: int, cell: int = CELL, pivots: int
         # stuck: the windows took in nearly everything; then pairs of chunks
         stuck = F.lit(True) if level == rounds else F.col("size") > 0.7 * F.coalesce("parent", F.col("size") * 2)
         grid = sized.where(large & stuck)
-        grid = grid.withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "doc"), "of")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
+        grid = grid.withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "doc"), "of")).withColumn(
+            "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1))
+        )
         grid = grid.withColumn("grid", F.array(F.least("chunk", "other"), F.greatest("chunk", "other")))
         done.append(grid.withColumn("cell", F.xxhash64("cell", "grid")).select(*columns, "grid", "chunk"))
         if level == rounds:
             break
         rest = sized.where(large & ~stuck).drop("parent")
         order = F.xxhash64(F.lit("pivot"), F.lit(level), "doc")
-        found = rest.groupBy("cell", F.pmod(order, F.lit(pivots)).alias("slot")).agg(F.min(F.struct(order.alias("o"), "doc", "shingles")).alias("p"), F.max("of").alias("of"))
-        found = found.select(F.col("cell").alias("pivot_cell"), F.col("p.doc").alias("doc"), F.col("p.shingles").alias("shingles"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("pivot_chunk"))
+        found = rest.groupBy("cell", F.pmod(order, F.lit(pivots)).alias("slot")).agg(
+            F.min(F.struct(order.alias("o"), "doc", "shingles")).alias("p"), F.max("of").alias("of")
+        )
+        found = found.select(
+            F.col("cell").alias("pivot_cell"), F.col("p.doc").alias("doc"), F.col("p.shingles").alias("shingles"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("pivot_chunk")
+        )
         rest = rest.withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "doc"), "of"))
         now = cut(rest.groupBy("cell", "chunk").cogroup(found.groupBy("pivot_cell", "pivot_chunk")).applyInArrow(_assign(percent), _ddl(MEMBERS)))
     out = done[0]
@@ -478,12 +495,18 @@ def _classes(docs: DataFrame, key: str, text: str, k: int, percent: int, cell: i
     found = cut(leaves.groupBy("task").applyInArrow(_leaves(percent, counted), _ddl(EDGES)))
     links = found.groupBy("doc").agg(F.sum("links").alias("links"))
     # nodes go by their smallest id, so a component's root has the smallest of all
-    roots = components(found.select(F.struct("least", "doc").alias("u"), F.struct(F.col("root_least").alias("least"), F.col("root").alias("doc")).alias("v")))
-    classes = roots.select(F.col("node.doc").alias("doc"), F.col("root.least").alias("component"), F.col("root.doc").alias("head")).join(links, "doc").withColumnRenamed("doc", "rep")
+    roots = components(
+        found.select(F.struct("least", "doc").alias("u"), F.struct(F.col("root_least").alias("least"), F.col("root").alias("doc")).alias("v"))
+    )
+    classes = roots.select(
+        F.col("node.doc").alias("doc"), F.col("root.least").alias("component"), F.col("root.doc").alias("head")
+    ).join(links, "doc").withColumnRenamed("doc", "rep")
     # a class is asked for once by each block, and told by block: copies of one text don't meet in a task
     rows = sets.drop("tokens", "shingles")
     asked = rows.select("block", "rep").distinct().join(classes, "rep")
-    return rows.join(asked, ["block", "rep"], "left").withColumns({"component": F.coalesce("component", "least"), "head": F.coalesce("head", "rep"), "links": F.coalesce("links", F.lit(0).cast("long"))})
+    return rows.join(asked, ["block", "rep"], "left").withColumns(
+        {"component": F.coalesce("component", "least"), "head": F.coalesce("head", "rep"), "links": F.coalesce("links", F.lit(0).cast("long"))}
+    )
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -501,7 +524,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     """
     got = _classes(docs, key, text, k, percent, cell, False)
     got = got.withColumn("stays", (F.col("n") == 0) | (F.col("row") == F.col("head")))
-    texts = cut(got.groupBy("doc_id", "h").agg(F.max("stays").alias("stays"), F.count_if(F.col("n") > 0).alias("copies")).where("not stays or copies > 1"))
+    texts = cut(
+        got.groupBy("doc_id", "h").agg(F.max("stays").alias("stays"), F.count_if(F.col("n") > 0).alias("copies")).where("not stays or copies > 1")
+    )
     a, b = _free(docs, "_near_id"), _free(docs, "_near_hash")
     rows = docs.withColumns({a: F.coalesce(F.col(key).cast("long"), F.lit(LOW)), b: F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))})
     named = texts.toDF(a, b, "stays", "copies").select(a, b, "stays")

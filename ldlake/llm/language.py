@@ -52,7 +52,10 @@ def count_grams(docs: DataFrame, lang: str, text: str) -> DataFrame:
             for value in pc.unique(langs).to_pylist():
                 raw, off = utf8(batch.column(1).filter(pc.equal(langs, value)))
                 code, n = np.unique(_grams(raw, off), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([value] * code.size, pa.string()), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([value] * code.size, pa.string()), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))],
+                    ["lang", "code", "n"]
+                )
 
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     return rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
@@ -222,7 +225,10 @@ def identify(docs: DataFrame, model: tuple | None, text: str = "text", keep: tup
                     more = bits - bits[np.arange(len(said)), best][:, None]
                     prob = np.where(said, 1 / np.exp2(-np.minimum(more, 1000)).sum(1), 0.0)
                     pred = [trees.langs[k] if s else "und" for k, s in zip(best, said)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(prob)], [*[f"k{i}" for i in range(len(keep))], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(prob)],
+                    [*[f"k{i}" for i in range(len(keep))], "lang_pred", "score"]
+                )
 
     out = src.mapInArrow(score, schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")

@@ -77,17 +77,26 @@ def _partial_epochs(rows: DataFrame, names: list[str]) -> DataFrame:
     for level in range(1, LEVELS + 1):
         sums = here.groupBy(*names, "rest", "before", digits(level).alias("digits")).agg(F.sum("t").alias("s"))
         sums = sums.withColumn("before", F.col("before") + F.coalesce(F.sum("s").over(w), F.lit(0)))
-        cuts = cut(sums.where("before < rest").groupBy(*names).agg(F.max_by(F.struct("digits", "before"), "digits").alias("cut")).select(*names, F.col("cut.digits").alias("digits"), "cut.before"))
+        cuts = cut(
+            sums.where("before < rest").groupBy(*names).agg(
+                F.max_by(F.struct("digits", "before"), "digits").alias("cut")
+            ).select(*names, F.col("cut.digits").alias("digits"), "cut.before")
+        )
         here = rows.join(F.broadcast(cuts), names).where(digits(level) == F.col("digits")).drop("digits")  # a row for each leaf at most
     places = here.groupBy(*names, "rest", "before", "o").agg(F.count("*").alias("n"), F.sum("t").alias("s"))
     inside = Window.partitionBy(*names).orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
     places = places.withColumn("before", F.col("before") + F.coalesce(F.sum("s").over(inside), F.lit(0))).where("before < rest")
-    taken = F.when(F.col("s") == 0, F.col("n")).otherwise(F.least("n", F.ceil((F.col("rest") - F.col("before")) * F.col("n") / F.greatest("s", F.lit(1)))))
+    taken = F.when(F.col("s") == 0, F.col("n")).otherwise(
+        F.least("n", F.ceil((F.col("rest") - F.col("before")) * F.col("n") / F.greatest("s", F.lit(1))))
+    )
     last = F.max_by(F.struct("o", "n", taken.cast("long").alias("taken")), "o")
     return places.groupBy(*names).agg(last.alias("l")).select(*names, F.col("l.o").alias("at"), "l.n", "l.taken")
 
 
-def mix(docs: DataFrame, path: list[F.Column], tokens: F.Column, key: F.Column, total: float | None = None, share: float = 0.8, weights: dict | None = None, epochs: int = 1, seed: int = 11) -> DataFrame:
+def mix(
+    docs: DataFrame, path: list[F.Column], tokens: F.Column, key: F.Column, total: float | None = None, share: float = 0.8,
+    weights: dict | None = None, epochs: int = 1, seed: int = 11
+) -> DataFrame:
     """The rows that the budgets select, once for each epoch they are in, with columns mix_epoch and mix_path.
 
     ``path`` gives the levels of the tree (null is a node of its own), ``total`` the tokens wanted
@@ -99,9 +108,15 @@ def mix(docs: DataFrame, path: list[F.Column], tokens: F.Column, key: F.Column,
     """
     docs = docs.drop("mix_epoch", "mix_path")
     spark, own = docs.sparkSession, _prefix(docs)
-    names, t, k, whole, rest, at, n, taken = [f"{own}p{i}" for i in range(len(path))], *(f"{own}{x}" for x in ("t", "k", "whole", "rest", "at", "n", "taken"))
+    names, t, k, whole, rest, at, n, taken = [f"{own}p{i}" for i in range(len(path))], *(
+        f"{own}{x}" for x in ("t", "k", "whole", "rest", "at", "n", "taken")
+    )
     hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    rows = docs.withColumns({c: F.coalesce(p.cast("string"), F.lit("\0null")) for c, p in zip(names, path)} | {t: F.coalesce(tokens.cast("long"), F.lit(0).cast("long")), k: F.xxhash64(F.lit(seed), key, *hashed)})
+    rows = docs.withColumns(
+        {c: F.coalesce(p.cast("string"), F.lit("\0null")) for c, p in zip(names, path)} | {
+            t: F.coalesce(tokens.cast("long"), F.lit(0).cast("long")), k: F.xxhash64(F.lit(seed), key, *hashed)
+        }
+    )
     slim = cut(rows.select(*names, t, k))  # the passes over the order read these and no texts
     leaf_rows = slim.groupBy(*names).agg(F.sum(t).alias("s")).limit(MOST_LEAVES + 1).collect()
     if len(leaf_rows) > MOST_LEAVES:
@@ -124,4 +139,6 @@ def mix(docs: DataFrame, path: list[F.Column], tokens: F.Column, key: F.Column,
     one = rows.where(tied).groupBy(*names, whole, taken).agg(F.first(F.struct(*columns, F.lit(0).alias(f"{own}x"))).alias(f"{own}one"))
     one = one.withColumn(f"{own}i", F.explode(F.sequence(F.lit(1).cast("long"), F.col(taken)))).withColumn("mix_epoch", F.col(whole))
     path_text = F.concat_ws("/", *names).alias("mix_path")
-    return full.select(*columns, "mix_epoch", path_text).unionByName(one.select(*[F.col(f"`{own}one`.`{c}`") for c in docs.columns], "mix_epoch", path_text))
+    return full.select(*columns, "mix_epoch", path_text).unionByName(
+        one.select(*[F.col(f"`{own}one`.`{c}`") for c in docs.columns], "mix_epoch", path_text)
+    )

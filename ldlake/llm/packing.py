@@ -59,7 +59,9 @@ class Words(dict):
             parts = json.load(f)
         first = parts.get("pre_tokenizer") or {}
         #: Whether texts are split by the pattern of SPLIT and spelled byte by byte, and nothing else is done to them.
-        self.by_words = not parts.get("normalizer") and (first.get("type"), first.get("add_prefix_space"), first.get("use_regex", True)) == ("ByteLevel", False, True) and parts["model"].get("type", "BPE") == "BPE"
+        self.by_words = not parts.get("normalizer") and (
+            first.get("type"), first.get("add_prefix_space"), first.get("use_regex", True)
+        ) == ("ByteLevel", False, True) and parts["model"].get("type", "BPE") == "BPE"
         self.model = self.tokenizer.model
 
     def __missing__(self, word: str) -> bytes:
@@ -101,7 +103,10 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
                     for c, v in zip(out, (doc, row, piece, begin, end - begin, zlib.crc32(ids[4 * begin : 4 * end]))):
                         c.append(v)
                     begin, end, piece = end, end + size, piece + 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, batch.schema.field(0).type if i == 0 else pa.int64()) for i, c in enumerate(out)], ["doc_id", "row", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, batch.schema.field(0).type if i == 0 else pa.int64()) for i, c in enumerate(out)],
+                ["doc_id", "row", "piece", "start", "length", "ids_crc32"]
+            )
 
     src = docs.select(F.col(key).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("text"))
     return src.mapInArrow(pieces, f"doc_id {src.schema[0].dataType.simpleString()}, row long, piece long, start long, length long, ids_crc32 long")
@@ -184,7 +189,9 @@ def founders(lengths: list[int], size: int, rng: random.Random, population: int
     return pool
 
 
-def evolve(pool: list[list[list[int]]], lengths: list[int], size: int, rng: random.Random, generations: int = GENERATIONS) -> tuple[list[list[list[int]]], int]:
+def evolve(
+    pool: list[list[list[int]]], lengths: list[int], size: int, rng: random.Random, generations: int = GENERATIONS
+) -> tuple[list[list[list[int]]], int]:
     """The population after some generations, best first, and how many there were: one at least, less than asked for where the bound is met."""
     worth = lambda b: fitness(b, lengths, size)
     least, done = -(-sum(lengths) // size), 0
@@ -241,7 +248,10 @@ def _epoch(epoch: int, islands: int, size: int, seed: int, population: int, gene
     return run
 
 
-def evolved(pieces: DataFrame, size: int = SIZE, islands: int = ISLANDS, epochs: int = EPOCHS, population: int = POPULATION, generations: int = GENERATIONS, seed: int = 7, tasks: int | None = None) -> DataFrame:
+def evolved(
+    pieces: DataFrame, size: int = SIZE, islands: int = ISLANDS, epochs: int = EPOCHS, population: int = POPULATION,
+    generations: int = GENERATIONS, seed: int = 7, tasks: int | None = None
+) -> DataFrame:
     """The islands' last states (STATE; the best chromosome comes first in ``pool``) for pieces (shard, row, piece, length) shorter than ``size``."""
 
     def start(frame: pd.DataFrame) -> pd.DataFrame:

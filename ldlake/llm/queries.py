@@ -20,7 +20,9 @@ def tokenizer_path() -> str:
 def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels are joined by number: a page is to block if the row of ``labels`` with its id is toxic or of low quality."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
-    bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).alias("block"))
+    bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(
+        F.max((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).alias("block")
+    )
     mined = url_rules.mine(pages.select("page_id", "url").join(bad, "page_id"))
     return url_rules.judge(pages, mined)
 
@@ -57,13 +59,18 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Target weights of the query: by source number below ten or not, and by language.
-MIX_WEIGHTS = {("low",): 0.6, ("high",): 0.4} | {(d, lang): w for d in ("low", "high") for lang, w in (("en", 0.5), ("de", 0.2), ("fr", 0.2), ("es", 0.1))}
+MIX_WEIGHTS = {("low",): 0.6, ("high",): 0.4} | {
+    (d, lang): w for d in ("low", "high") for lang, w in (("en", 0.5), ("de", 0.2), ("fr", 0.2), ("es", 0.1))
+}
 
 
 def mix_documents(docs: DataFrame, share: float, epochs: int) -> DataFrame:
     """Domain (low or high source number), language, source; a token is four bytes."""
     domain = F.when(F.try_to_number(F.regexp_extract("source", r"^src(\d{1,9})$", 1), F.lit("999999999")) < 10, "low").otherwise("high")
-    return mixing.mix(docs, [domain, F.col("lang"), F.col("source")], F.ceil(F.octet_length("text") / 4), F.col("doc_id"), share=share, weights=MIX_WEIGHTS, epochs=epochs)
+    return mixing.mix(
+        docs, [domain, F.col("lang"), F.col("source")], F.ceil(F.octet_length("text") / 4), F.col("doc_id"), share=share,
+        weights=MIX_WEIGHTS, epochs=epochs
+    )
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +81,12 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_rules, op2_tool_calls, op3_topk, op4_packing, op5_language, op6_suffixes, op7_fingerprints, op8_warc, op9_mixing, op10_jaccard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (
+        op1_url_rules, op2_tool_calls, op3_topk, op4_packing, op5_language, op6_suffixes, op7_fingerprints, op8_warc, op9_mixing,
+        op10_jaccard
+    )
+}
 
 ORACLE = {
     "op2_tool_calls": """

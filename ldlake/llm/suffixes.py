@@ -187,7 +187,10 @@ class Block:
         use = use[np.argsort(self.of[use], kind="stable")]  # by hash, so by bucket
         self.first, self.last, self.doc, self.of = self.first[use], self.last[use], self.doc[use], self.of[use]
         data, number = self.raw.tobytes(), {}
-        self.fragment = np.fromiter((number.setdefault(data[s:e], len(number)) for s, e in zip(self.first.tolist(), (self.last + LENGTH).tolist())), np.int64, use.size)
+        self.fragment = np.fromiter(
+            (number.setdefault(data[s:e], len(number)) for s, e in zip(self.first.tolist(), (self.last + LENGTH).tolist())), np.int64,
+            use.size
+        )
         self.content = list(number)
         self.least = np.full(len(number), np.iinfo(np.int64).max)
         np.minimum.at(self.least, self.fragment, self.doc)
@@ -216,7 +219,12 @@ class Block:
 
 NAMED = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("n", pa.int64()), ("hashes", pa.binary())])
 ANSWER = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("bits", pa.binary())])
-FRAGMENTS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("n", pa.int64()), ("size", pa.int64()), ("hashes", pa.binary()), ("lengths", pa.binary()), ("docs", pa.binary()), ("text", pa.binary())])
+FRAGMENTS = pa.schema(
+    [
+        ("bucket", pa.int32()), ("block", pa.int32()), ("n", pa.int64()), ("size", pa.int64()), ("hashes", pa.binary()),
+        ("lengths", pa.binary()), ("docs", pa.binary()), ("text", pa.binary())
+    ]
+)
 _TYPES = {"int32": "int", "int64": "long", "double": "double", "list<item: int64>": "array<long>", "list<element: int64>": "array<long>"}
 _ddl = lambda s: ", ".join(f"{f.name} {_TYPES.get(str(f.type), str(f.type))}" for f in s)
 
@@ -313,7 +321,10 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text:
     The columns in ``carry`` come along under their names. An empty table gives an empty result.
     """
     low = np.iinfo(np.int64).min
-    src = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(low)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    src = docs.select(
+        F.coalesce(F.col(key).cast("long"), F.lit(low)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+        *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
+    )
     total = src.agg(F.sum(F.octet_length("text"))).first()[0]
     blocks, buckets = n_parts(total, part_bytes(total, BLOCK)), n_parts(total, part_bytes(total, BUCKET))
     src = src.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "doc_id", "text"), F.lit(blocks)).cast("int"))
@@ -337,11 +348,22 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text:
                 if x < y:
                     body = b"".join(block.content[x:y])
                     lengths = np.fromiter(map(len, block.content[x:y]), np.int64, y - x)
-                    for k, v in zip(out, (b, number, y - x, len(body), _squeeze(block.hash_of[x:y]), _squeeze(lengths), _squeeze(block.least[x:y]), pa.compress(body, codec="zstd", asbytes=True))):
+                    for k, v in zip(
+                        out,
+                        (
+                            b, number, y - x, len(body), _squeeze(block.hash_of[x:y]), _squeeze(lengths), _squeeze(block.least[x:y]),
+                            pa.compress(body, codec="zstd", asbytes=True)
+                        )
+                    ):
                         out[k].append(v)
         return _table(out, FRAGMENTS)
 
-    result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), *([("kept", pa.string())] if keep_text else [])])
+    result = pa.schema(
+        [
+            ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
+            ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), *([("kept", pa.string())] if keep_text else [])
+        ]
+    )
 
     def finish(t: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[str, list] = {f.name: [] for f in result}
@@ -355,7 +377,10 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text:
                 mine = gone[a:z]
                 turns = np.flatnonzero(np.diff(np.concatenate([[False], mine, [False]]).astype(np.int8)))
                 kept = (block.raw[a:z][~mine] if turns.size else block.raw[a:z]).tobytes()
-                row = (None if doc == low else doc, z - a, int(mine.sum()), turns.size // 2, hashlib.sha256(kept).hexdigest(), turns, kept.decode("utf-8", "ignore") if keep_text else None)
+                row = (
+                    None if doc == low else doc, z - a, int(mine.sum()), turns.size // 2, hashlib.sha256(kept).hexdigest(), turns,
+                    kept.decode("utf-8", "ignore") if keep_text else None
+                )
                 for k, v in zip(out, row):
                     out[k].append(v)
         done = _table(out, result)

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: JSON type names and how the schema of a variant reads.
-KINDS = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID"}
+KINDS = {
+    "string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "boolean": "BOOLEAN", "object": "OBJECT.*",
+    "array": "ARRAY.*", "null": "VOID"
+}
 
 
 def _errors(name: Column, arguments: Column, schemas: dict[str, dict]) -> Column:
@@ -31,9 +34,13 @@ def _errors(name: Column, arguments: Column, schemas: dict[str, dict]) -> Column
             wrong = part.isNotNull() & ~F.schema_of_variant(part).rlike(f"^({KINDS[kind]})$")
             checks.append(F.when(wrong, F.lit(f"not {kind}: {field}")))
         if not schema.get("additional", False):
-            keys = F.array_sort(F.array_except(F.json_object_keys(arguments), F.array(*map(F.lit, fields)) if fields else F.array().cast("array<string>")))
+            keys = F.array_sort(
+                F.array_except(F.json_object_keys(arguments), F.array(*map(F.lit, fields)) if fields else F.array().cast("array<string>"))
+            )
             checks.append(F.when(F.size(keys) > 0, F.concat(F.lit("unexpected "), F.array_join(keys, ","))))
-        mine = F.when(value.isNull() | ~F.schema_of_variant(value).startswith("OBJECT"), F.array(F.lit("arguments are no JSON object"))).otherwise(F.array_compact(F.array(*checks)))
+        mine = F.when(
+            value.isNull() | ~F.schema_of_variant(value).startswith("OBJECT"), F.array(F.lit("arguments are no JSON object"))
+        ).otherwise(F.array_compact(F.array(*checks)))
         out = F.when(name == tool, mine).otherwise(out)
     return out
 
@@ -49,16 +56,24 @@ def levels(calls: DataFrame) -> DataFrame:
     nodes = calls.select("conv", "call_id")
     edges = calls.select("conv", "call_id", F.explode("depends_on").alias("dep")).where("dep is not null").distinct().alias("e")
     here = nodes.select(F.col("conv").alias("_c"), F.col("call_id").alias("_d"))
-    edges = cut(edges.join(here, F.col("conv").eqNullSafe(F.col("_c")) & (F.col("dep") == F.col("_d")), "left_semi").withColumn("at", F.lit(None).cast("int")))
+    edges = cut(
+        edges.join(here, F.col("conv").eqNullSafe(F.col("_c")) & (F.col("dep") == F.col("_d")), "left_semi").withColumn("at", F.lit(None).cast("int"))
+    )
     target = edges.select(F.col("conv").alias("_c"), F.col("call_id").alias("_d"))
     same = F.col("conv").eqNullSafe(F.col("_c")) & F.col("call_id").eqNullSafe(F.col("_d"))
     ready = cut(nodes.join(target, same, "left_anti").withColumn("level", F.lit(0)))
     done = [ready]
     while not edges.isEmpty():
         new = ready.select(F.col("conv").alias("_c"), F.col("call_id").alias("_d"), "level")
-        edges = edges.join(new, F.col("conv").eqNullSafe(F.col("_c")) & (F.col("dep") == F.col("_d")), "left").select("conv", "call_id", "dep", F.coalesce("at", F.col("level") + 1).alias("at"))
+        edges = edges.join(
+            new, F.col("conv").eqNullSafe(F.col("_c")) & (F.col("dep") == F.col("_d")), "left"
+        ).select("conv", "call_id", "dep", F.coalesce("at", F.col("level") + 1).alias("at"))
         edges = cut(edges)
-        ready = cut(edges.groupBy("conv", "call_id").agg(F.count("*").alias("n"), F.count("at").alias("k"), F.max("at").alias("level")).where("n = k").select("conv", "call_id", "level"))
+        ready = cut(
+            edges.groupBy("conv", "call_id").agg(
+                F.count("*").alias("n"), F.count("at").alias("k"), F.max("at").alias("level")
+            ).where("n = k").select("conv", "call_id", "level")
+        )
         if ready.isEmpty():
             break
         done.append(ready)
@@ -99,7 +114,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     answer = F.struct("turn", "content")
     one = calls.select("conv", "call_id", head.alias("call"), none.cast("struct<turn:bigint,content:string>").alias("result"))
     two = results.select("conv", "call_id", none.cast(one.schema["call"].dataType).alias("call"), answer.alias("result"))
-    both = one.unionByName(two).groupBy("conv", "call_id").agg(F.min("call").alias("call"), F.min("result").alias("result"), F.count("call").alias("n_calls"), F.count("result").alias("n_results"))
+    both = one.unionByName(two).groupBy("conv", "call_id").agg(
+        F.min("call").alias("call"), F.min("result").alias("result"), F.count("call").alias("n_calls"), F.count("result").alias("n_results")
+    )
     ids = both.where("call is not null").select("conv", "call_id", F.col("call.depends_on").alias("depends_on"))
     found = levels(ids).select(F.col("conv").alias("_c"), F.col("call_id").alias("_d"), "level")
     both = both.join(found, F.col("conv").eqNullSafe(F.col("_c")) & F.col("call_id").eqNullSafe(F.col("_d")), "left").drop("_c", "_d")
@@ -110,13 +127,18 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
         F.when(F.col("call").isNull(), F.array().cast("array<string>")).otherwise(_errors(F.coalesce(F.col("call.name"), F.lit("")), arguments, schemas)).alias("errors"),
         F.try_parse_json(arguments).alias("a"), F.col("call.depends_on").alias("d"), F.col("result.content").alias("c"),
     )
-    text = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}), r"(?s)^\{\"v\":(.*)\}$", 1)  # noqa: E731  a value as JSON
+    text = lambda c: F.regexp_extract(
+        F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}), r"(?s)^\{\"v\":(.*)\}$", 1
+    )  # noqa: E731  a value as JSON
     record = F.concat(
         F.lit('{"arguments":'), F.coalesce(canonical(F.col("a")), F.lit("null")), F.lit(',"call_id":'), text(F.col("call_id")),
         F.lit(',"depends_on":'), text(F.array_sort(F.coalesce("d", F.array().cast("array<string>")))), F.lit(',"level":'), F.coalesce(F.col("level").cast("string"), F.lit("null")),
         F.lit(',"name":'), text(F.col("name")), F.lit(',"result":'), text(F.col("c")), F.lit("}"),
     )
-    return out.select("conv", "call_id", "turn", "name", "level", "n_calls", "n_results", "status", (F.size("errors") == 0).alias("valid"), F.array_join("errors", "; ").alias("errors"), record.alias("record"))
+    return out.select(
+        "conv", "call_id", "turn", "name", "level", "n_calls", "n_results", "status", (F.size("errors") == 0).alias("valid"),
+        F.array_join("errors", "; ").alias("errors"), record.alias("record")
+    )
 
 
 def from_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -130,7 +152,9 @@ def from_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     one = messages.where("role = 'assistant'").select("conv", "turn", F.explode(F.from_json("text", shape)["tool_calls"]).alias("c"))
     calls = one.select("conv", F.col("c.id").alias("call_id"), F.col("turn").cast("long").alias("turn"), "c.name", "c.arguments", "c.depends_on")
     got = messages.where("role = 'tool'").select("conv", "turn", F.from_json("text", "struct<tool_call_id:string,content:string>").alias("r"))
-    return calls, got.where("r.tool_call_id is not null").select("conv", F.col("r.tool_call_id").alias("call_id"), F.col("turn").cast("long").alias("turn"), "r.content")
+    return calls, got.where("r.tool_call_id is not null").select(
+        "conv", F.col("r.tool_call_id").alias("call_id"), F.col("turn").cast("long").alias("turn"), "r.content"
+    )
 
 
 #: What the turns of a conversation are as calls: a system turn configures, a user turn asks.
@@ -149,7 +173,10 @@ def conversation_calls(conversations: DataFrame) -> DataFrame:
     Other roles, null ones too, are no calls. A null text gives arguments without text, which is
     an error by the schema.
     """
-    rows = conversations.select(F.col("conv_id").cast("string").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    rows = conversations.select(
+        F.col("conv_id").cast("string").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"),
+        F.col("text").cast("string").alias("text")
+    )
     ident = lambda turn: F.concat(F.lit("turn"), turn.cast("string"))
     calls = rows.where("role in ('system', 'user')").select(
         "conv", ident(F.col("turn")).alias("call_id"), "turn", F.when(F.col("role") == "system", "configure").otherwise("ask").alias("name"),

@@ -145,7 +145,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 for i, (found, scores) in enumerate(segments.search(q, own[at : at + AT_ONCE], ids, k), at):
                     for part, x in zip(parts, (np.full(found.size, own[i]), np.full(found.size, number[i]), found, scores)):
                         part.append(x)
-        return pa.table([pa.array(np.concatenate(p).astype(np.int64) if p else np.zeros(0, np.int64)) for p in parts], ["query_id", "query_row", "vec_id", "score"])
+        return pa.table(
+            [pa.array(np.concatenate(p).astype(np.int64) if p else np.zeros(0, np.int64)) for p in parts],
+            ["query_id", "query_row", "vec_id", "score"]
+        )
 
     block = lambda c, n: F.pmod(F.xxhash64(F.lit("topk"), c), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

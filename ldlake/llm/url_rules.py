@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Fixed values of the query: (host, path, verdict).
-RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+RULES = (
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"),
+    ("com", "/de/", "block")
+)
 TOKEN = re.compile(r"[^\W_]+")
 LABEL = "=block"
 MOST_RULES = 50_000
@@ -67,7 +70,9 @@ def baskets_of(rows: DataFrame, least: int) -> DataFrame:
     place = F.xxhash64("row")
     count = every.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(place).alias("x"), F.sum(F.pmod(place, F.lit(1 << 40))).alias("s"))
     kept = count.where(F.col("n") >= least).groupBy("n", "x", "s").agg(F.max("token").alias("token")).select("token")
-    return cut(every.join(kept, "token").groupBy("row").agg(F.max("bad").alias("bad"), F.array_sort(F.collect_list("token")).alias("items")).drop("row"))
+    return cut(
+        every.join(kept, "token").groupBy("row").agg(F.max("bad").alias("bad"), F.array_sort(F.collect_list("token")).alias("items")).drop("row")
+    )
 
 
 def _collected(sets: DataFrame) -> set[frozenset]:
@@ -105,7 +110,10 @@ def frequent_by_levels(baskets: DataFrame, least: int, max_len: int) -> set[froz
     return found
 
 
-def mine(labelled: DataFrame, url: str = "url", block: str = "block", support: float = 0.002, confidence: float = 0.5, least: int = 20, max_rows: int = 100_000, max_len: int = 3) -> list[tuple[tuple[str, ...], float, float]]:
+def mine(
+    labelled: DataFrame, url: str = "url", block: str = "block", support: float = 0.002, confidence: float = 0.5, least: int = 20,
+    max_rows: int = 100_000, max_len: int = 3
+) -> list[tuple[tuple[str, ...], float, float]]:
     """Rules (tokens, confidence, support): combinations of up to ``max_len`` tokens that imply a block label.
 
     A rule's tokens are in at least ``least`` and ``support`` of the rows with the label. Learns from at most about ``max_rows``
@@ -115,7 +123,9 @@ def mine(labelled: DataFrame, url: str = "url", block: str = "block", support: f
     """
     from pyspark.ml.fpm import FPGrowth
 
-    rows = labelled.where(F.col(url).isNotNull() & F.col(block).isNotNull()).select(F.col(url).alias("url"), F.col(block).cast("boolean").alias("bad"))
+    rows = labelled.where(F.col(url).isNotNull() & F.col(block).isNotNull()).select(
+        F.col(url).alias("url"), F.col(block).cast("boolean").alias("bad")
+    )
     n = rows.count()
     if n > max_rows:
         rows = rows.where(F.pmod(F.xxhash64(F.lit("fp"), "url"), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
@@ -215,4 +225,7 @@ def judge(pages: DataFrame, mined: list, rules=RULES, key: str = "page_id", url:
             yield pd.DataFrame(out, columns=columns)
 
     src = pages.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"))
-    return src.mapInPandas(run, f"page_id {src.schema[0].dataType.simpleString()}, host string, path string, rule string, verdict string, mined_rule string, confidence double")
+    return src.mapInPandas(
+        run,
+        f"page_id {src.schema[0].dataType.simpleString()}, host string, path string, rule string, verdict string, mined_rule string, confidence double"
+    )

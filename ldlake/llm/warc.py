@@ -32,7 +32,10 @@ WHEN = "2024-01-01T00:00:00Z"
 def headers(pages: DataFrame, key: str = "page_id", payload: str = "html", url: str = "url") -> DataFrame:
     """page_id, url, payload_bytes, payload_digest (SHA-1, hex) of each row; null payload is empty."""
     body = F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary")
-    return pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.octet_length(body).cast("long").alias("payload_bytes"), F.sha1(body).alias("payload_digest"))
+    return pages.select(
+        F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
+        F.octet_length(body).cast("long").alias("payload_bytes"), F.sha1(body).alias("payload_digest")
+    )
 
 
 def resolve(heads: DataFrame, least: int = LEAST) -> DataFrame:
@@ -61,7 +64,10 @@ def _record(kind: str, page: int | None, url: str | None, digest: str, body: byt
     if _is_plain(url):
         lines.append(f"WARC-Target-URI: {url}")
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers, digest, refers_url)}", f"WARC-Refers-To-Date: {WHEN}", f"X-Refers-To-Page: {refers}"]
+        lines += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {_record_id(refers, digest, refers_url)}", f"WARC-Refers-To-Date: {WHEN}", f"X-Refers-To-Page: {refers}"
+        ]
         if _is_plain(refers_url):
             lines.append(f"WARC-Refers-To-Target-URI: {refers_url}")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -88,7 +94,10 @@ def parse_records(data: bytes):
         yield head, stream.read(int(head["content-length"]))
 
 
-def write(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST, partitions: int | None = None) -> DataFrame:
+def write(
+    pages: DataFrame, out: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST,
+    partitions: int | None = None
+) -> DataFrame:
     """Write the archives below ``out`` now; returns the manifest (file, records), one row a file.
 
     Of equal payloads of at least ``least`` bytes the largest page_id is the response, others revisit
@@ -101,11 +110,17 @@ def write(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", pa
     # the decision travels to the payload by the page's row: (page_id, digest) is all it depends on
     decided = heads.drop("url").join(winners, "payload_digest").where("page_id is null or page_id < response").where("response is not null")
     decided = decided.select("page_id", "payload_digest", "response", "response_url").distinct()
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary").alias("body"))
+    rows = pages.select(
+        F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
+        F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary").alias("body")
+    )
     rows = rows.withColumns({"payload_digest": F.sha1("body"), "id_key": F.coalesce(F.col("page_id").cast("string"), F.lit(""))})
     decided = decided.select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("id_key"), "payload_digest", "response", "response_url")
     rows = rows.join(decided, ["id_key", "payload_digest"], "left")
-    rows = rows.select("page_id", "url", F.when(F.col("response").isNull(), F.col("body")).alias("body"), F.octet_length("body").alias("size"), "payload_digest", "response", "response_url")
+    rows = rows.select(
+        "page_id", "url", F.when(F.col("response").isNull(), F.col("body")).alias("body"), F.octet_length("body").alias("size"),
+        "payload_digest", "response", "response_url"
+    )
     if partitions:
         rows = rows.repartition(partitions)
 
@@ -131,7 +146,9 @@ def write(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", pa
             for page, link, body, size, digest, response, address in frame.itertuples(index=False, name=None):
                 ids = [None if pd.isna(x) else int(x) for x in (page, response)]
                 kind = "response" if ids[1] is None else "revisit"
-                record = _record(kind, ids[0], link, digest, bytes(body or b""), size, ids[1], None if address is None or pd.isna(address) else address)
+                record = _record(
+                    kind, ids[0], link, digest, bytes(body or b""), size, ids[1], None if address is None or pd.isna(address) else address
+                )
                 buffer.write(gzip.compress(record, 1, mtime=0))
                 records += 1
                 if buffer.tell() >= FILE_BYTES:
@@ -179,7 +196,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     listed = spark.read.parquet(f"{folder}/{MANIFEST}")
     tasks = min(MOST_TASKS, max(1, -(-listed.count() // 2)))
-    return listed.repartition(tasks, "file").mapInPandas(parse, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    return listed.repartition(tasks, "file").mapInPandas(
+        parse, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+    )
 
 
 def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,12 +74,21 @@ def jaccard(rows, k, percent):
                 links[b] += 1
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    return sorted(((rows[a][0], len(sets[a]), rows[find(a)][0], links[a]) for a in range(len(rows))), key=str), [rows[a] for a in range(len(rows)) if find(a) == a]
+    return sorted(
+        ((rows[a][0], len(sets[a]), rows[find(a)][0], links[a]) for a in range(len(rows))), key=str
+    ), [rows[a] for a in range(len(rows)) if find(a) == a]
 
 
 def plain(df):
     pdf = df.toPandas()
-    return sorted((tuple(None if not isinstance(x, list) and pd.isna(x) else int(x) if isinstance(x, float) and x == int(x) else x for x in r) for r in pdf.itertuples(index=False, name=None)), key=str)
+    return sorted(
+        (
+            tuple(
+                None if not isinstance(x, list) and pd.isna(x) else int(x) if isinstance(x, float) and x == int(x) else x for x in r
+            ) for r in pdf.itertuples(index=False, name=None)
+        ),
+        key=str
+    )
 
 
 def bands(fp, n, width):
@@ -92,7 +101,9 @@ def bands(fp, n, width):
 def fingerprint(text, seed=0, classes=64, period=1 << 16, samples=128):
     """One step of the walk at a time: at output step i the character under the pointer is written, and a shared bit says whether the pointer moves on."""
     if seed not in _bits:
-        _bits[seed] = np.random.default_rng(20240229 + seed).integers(0, 2, (classes, period), dtype=np.uint8).tolist(), np.random.default_rng(7919 + seed).random(samples)
+        _bits[seed] = np.random.default_rng(20240229 + seed).integers(
+            0, 2, (classes, period), dtype=np.uint8
+        ).tolist(), np.random.default_rng(7919 + seed).random(samples)
     bits, places = _bits[seed]
     points, written, at = [ord(c) for c in text], [], 0
     while at < len(points):

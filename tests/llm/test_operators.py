@@ -53,7 +53,9 @@ def test_host_rule():
 def test_mined_rules(spark):
     rng = random.Random(1)
     rows = [(f"http://{rng.choice(['bad', 'good'])}.{rng.choice(['a', 'b'])}.net/{rng.choice(['en', 'fr'])}/{i}",) for i in range(600)]
-    df = spark.createDataFrame(rows, "url string").withColumn("block", F.col("url").contains("//bad.a.") | (F.pmod(F.xxhash64("url"), F.lit(20)) == 0)).unionByName(spark.createDataFrame([(None, True)], "url string, block boolean"))
+    df = spark.createDataFrame(rows, "url string").withColumn(
+        "block", F.col("url").contains("//bad.a.") | (F.pmod(F.xxhash64("url"), F.lit(20)) == 0)
+    ).unionByName(spark.createDataFrame([(None, True)], "url string, block boolean"))
     mined = url_rules.mine(df, support=0.05, confidence=0.8)
     every = [(set(url_rules.tokens(*url_rules.split_url(r["url"]))), r["block"]) for r in df.where("url is not null").collect()]
     assert ("h1:a", "h2:bad") in [m[0] for m in mined]
@@ -64,7 +66,10 @@ def test_mined_rules(spark):
     for t, _ in every[:200]:
         fits = [m for m in mined if t.issuperset(m[0])]
         assert (index.best(sorted(t)) is not None) == bool(fits)
-    pages = spark.createDataFrame([(1, "http://bad.a.net/en/1", "x"), (2, None, None), (2, None, None), (None, "https://bad.a.org/", "y")], "page_id long, url string, verdict string")
+    pages = spark.createDataFrame(
+        [(1, "http://bad.a.net/en/1", "x"), (2, None, None), (2, None, None), (None, "https://bad.a.org/", "y")],
+        "page_id long, url string, verdict string"
+    )
     got = {(r["page_id"], r["host"], r["rule"], r["verdict"]) for r in url_rules.judge(pages, mined).collect()}
     assert got == {(1, "bad.a.net", None, "block"), (2, "", None, "allow"), (None, "bad.a.org", "org/", "allow")}
     assert url_rules.mine(df.limit(0)) == [] and url_rules.judge(pages.limit(0), []).count() == 0
@@ -78,7 +83,9 @@ def test_mined_rules_are_complete_and_long_urls_end(spark, monkeypatch):
     for i in range(300):
         path = "/".join(rng.sample(words, rng.randint(1, 5)))
         rows.append((f"http://s{i % 3}.net/{path}", "w1" in path or rng.random() < 0.2))
-    rows += [("http://long.net/" + "/".join(f"v{j}" for j in range(26)), True)] * 25 + [("http://x.net/" + "/".join(rng.sample([f"u{j}" for j in range(30)], 20)), True) for _ in range(25)]
+    rows += [("http://long.net/" + "/".join(f"v{j}" for j in range(26)), True)] * 25 + [
+        ("http://x.net/" + "/".join(rng.sample([f"u{j}" for j in range(30)], 20)), True) for _ in range(25)
+    ]
     for long in (url_rules.LONG, 4):
         monkeypatch.setattr(url_rules, "LONG", long)
         mined = url_rules.mine(spark.createDataFrame(rows, "url string, block boolean"), support=0.05, confidence=0.6)
@@ -148,7 +155,10 @@ def test_tool_calls(spark):
     schemas = {"sum": {"properties": {"x": "array", "y": "integer"}, "required": ["x"]}}
     calls, results = tool_calls.from_messages(spark.createDataFrame(messages, "conv string, turn int, role string, text string"))
     got = {r["call_id"]: r for r in tool_calls.link(calls, results, schemas).collect()}
-    assert {k: (r["level"], r["status"], r["valid"]) for k, r in got.items()} == {"a": (0, "linked", True), "b": (1, "no_result", False), "d": (2, "no_result", False), "e": (-1, "no_result", False), "f": (-1, "no_result", False), "q": (None, "orphan", True)}
+    assert {k: (r["level"], r["status"], r["valid"]) for k, r in got.items()} == {
+        "a": (0, "linked", True), "b": (1, "no_result", False), "d": (2, "no_result", False), "e": (-1, "no_result", False),
+        "f": (-1, "no_result", False), "q": (None, "orphan", True)
+    }
     assert got["b"]["errors"] == "not array: x" and got["d"]["errors"] == "unknown tool" and got["e"]["errors"] == "arguments are no JSON object" and got["f"]["errors"] == "unexpected z"
     assert got["a"]["record"] == '{"arguments":{"x":[1,{"k":"ü\\n"}],"y":2},"call_id":"a","depends_on":[],"level":0,"name":"sum","result":"said \\"x\\""}' and got["a"]["n_results"] == 2
     for r in got.values():
@@ -157,21 +167,37 @@ def test_tool_calls(spark):
 
 
 def test_numbers_are_canonical(spark):
-    texts = ['{"b":1e2,"a":100,"c":100.00,"d":1.50,"e":-0.5,"f":"1.50 \\"2.0\\" x"}', '{"x":[1.0,{"y":10.10}]}', json.dumps({"t": "\n\"" * 60_000 + "3.0"})]
+    texts = [
+        '{"b":1e2,"a":100,"c":100.00,"d":1.50,"e":-0.5,"f":"1.50 \\"2.0\\" x"}', '{"x":[1.0,{"y":10.10}]}',
+        json.dumps({"t": "\n\"" * 60_000 + "3.0"})
+    ]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tool_calls.canonical(F.try_parse_json("t"))).collect()]
     assert got[0] == '{"a":100,"b":100,"c":100,"d":1.5,"e":-0.5,"f":"1.50 \\"2.0\\" x"}' and got[1] == '{"x":[1,{"y":10.1}]}'
     assert json.loads(got[2]) == json.loads(texts[2])
 
 
 def test_levels_of_null_conversations_and_chains(spark):
-    rows = [(None, "a", []), (None, "b", ["a"]), (None, None, ["b"]), ("c", "a", ["zz", None]), ("c", "b", ["b"])] + [("d", f"k{i}", [f"k{i - 1}"] if i else None) for i in range(6)]
-    got = {(r["conv"], r["call_id"]): r["level"] for r in tool_calls.levels(spark.createDataFrame(rows, "conv string, call_id string, depends_on array<string>")).collect()}
+    rows = [
+        (None, "a", []), (None, "b", ["a"]), (None, None, ["b"]), ("c", "a", ["zz", None]), ("c", "b", ["b"])
+    ] + [("d", f"k{i}", [f"k{i - 1}"] if i else None) for i in range(6)]
+    got = {
+        (r["conv"], r["call_id"]): r["level"] for r in tool_calls.levels(
+            spark.createDataFrame(rows, "conv string, call_id string, depends_on array<string>")
+        ).collect()
+    }
     assert got == {(None, "a"): 0, (None, "b"): 1, (None, None): 2, ("c", "a"): 0, ("c", "b"): -1} | {("d", f"k{i}"): i for i in range(6)}
 
 
 def test_conversations_with_nulls(spark):
-    rows = [(1, 0, "system", "s"), (1, 1, "assistant", None), (1, 2, "user", None), (1, 2, "user", "b"), (None, 0, "user", "x"), (None, None, None, None), (2, 0, "user", "q"), (2, 1, "assistant", "r"), (2, 1, "assistant", "r")]
-    got = {(r["conv"], r["call_id"]): r for r in tool_calls.conversation_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    rows = [
+        (1, 0, "system", "s"), (1, 1, "assistant", None), (1, 2, "user", None), (1, 2, "user", "b"), (None, 0, "user", "x"),
+        (None, None, None, None), (2, 0, "user", "q"), (2, 1, "assistant", "r"), (2, 1, "assistant", "r")
+    ]
+    got = {
+        (r["conv"], r["call_id"]): r for r in tool_calls.conversation_calls(
+            spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        ).collect()
+    }
     assert got["1", "turn2"]["n_calls"] == 2 and got["1", "turn2"]["level"] == 1 and got["2", "turn0"]["n_results"] == 2
     assert got["1", "turn0"]["status"] == "linked" and len(got) == 4 and got[None, "turn0"]["level"] == 0
 
@@ -182,7 +208,11 @@ def test_conversations_with_real_tool_calls(spark):
         (1, 0, "user", "q"), (1, 1, "assistant", json.dumps({"tool_calls": [call("a", []), call("b", ["a"]), call("c", ["b"])]})), (1, 2, "tool", json.dumps({"tool_call_id": "a", "content": "one"})),
         (1, 3, "tool", json.dumps({"tool_call_id": "z", "content": "?"})), (1, 4, "assistant", '{"tool_calls": 3'), (2, 0, "user", "q"), (2, 1, "tool", None),
     ]
-    got = {(r["conv"], r["call_id"]): r for r in tool_calls.conversation_calls(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    got = {
+        (r["conv"], r["call_id"]): r for r in tool_calls.conversation_calls(
+            spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+        ).collect()
+    }
     assert {k: (r["level"], r["status"]) for k, r in got.items()} == {
         ("1", "turn0"): (0, "linked"), ("1", "turn3"): (None, "orphan"), ("2", "turn0"): (0, "no_result"),
         ("1", "a"): (0, "linked"), ("1", "b"): (1, "no_result"), ("1", "c"): (2, "no_result"), ("1", "z"): (None, "orphan"),
@@ -197,11 +227,17 @@ def test_topk(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 8)).astype(np.float32)
     x[100:160] = x[0]
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(900, None, 1), (901, [1.0, None], 1), (902, [float("nan")] * 8, 1), (903, [float("inf")] * 8, 1), (904, [], 1), (905, [0.5, -0.5], 2)]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [
+        (900, None, 1), (901, [1.0, None], 1), (902, [float("nan")] * 8, 1), (903, [float("inf")] * 8, 1), (904, [], 1),
+        (905, [0.5, -0.5], 2)
+    ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
     good = topk.quantised(df)
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(good, good.where("vec_id % 50 = 0")).collect()}
-    q = {i: np.pad(np.floor(256 * np.array(v, float)), (0, 8 - len(v))) for i, v, _ in rows if v is not None and all(c is not None and math.isfinite(c) for c in v)}
+    q = {
+        i: np.pad(np.floor(256 * np.array(v, float)), (0, 8 - len(v))) for i, v,
+        _ in rows if v is not None and all(c is not None and math.isfinite(c) for c in v)
+    }
     for a in (i for i in q if i % 50 == 0):
         best = sorted(((-int(q[a] @ v), b) for b, v in q.items() if b != a))[:5]
         assert [(b, -s) for s, b in best] == [got[a, k] for k in range(1, 6)]
@@ -433,11 +469,18 @@ def test_longest_previous_factors(texts, length):
 
 
 def test_fingerprints(spark, odd, none):
-    hashes = {r["t"]: r["h"] for r in odd.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    hashes = {
+        r["t"]: r["h"] for r in odd.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    }
     rows = sorted((i is not None, i or 0, hashes[t], t) for i, t in brute.rows_of(odd))
     for target in (fingerprints.TEXT_PARTITION, 700, 60):
         got = fingerprints.edited_fingerprints(odd, target=target).collect()
-        got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["edited_sha256"], r["n_chars"], r["fingerprint"], r["near_next"], r["near_edited"], r["edited_fingerprint"]) for r in got)
+        got = sorted(
+            (
+                r["doc_id"] is not None, r["doc_id"] or 0, r["edited_sha256"], r["n_chars"], r["fingerprint"], r["near_next"],
+                r["near_edited"], r["edited_fingerprint"]
+            ) for r in got
+        )
         want = []
         for k, (known, i, _, text) in enumerate(rows):
             nxt = rows[(k + 1) % len(rows)][3]
@@ -477,7 +520,11 @@ def test_earlier_near_duplicates(spark, monkeypatch):
     rng.shuffle(texts)
     rows = list(enumerate(texts))
     for target in (9000, fingerprints.TEXT_PARTITION):
-        got = {r["doc_id"]: (r["near_id"], r["near_likeness"]) for r in fingerprints.edited_fingerprints(spark.createDataFrame([*rows, (None, bases[2]), (None, "z" * 700)], "doc_id long, text string"), target=target).where("doc_id is not null").collect()}
+        got = {
+            r["doc_id"]: (r["near_id"], r["near_likeness"]) for r in fingerprints.edited_fingerprints(
+                spark.createDataFrame([*rows, (None, bases[2]), (None, "z" * 700)], "doc_id long, text string"), target=target
+            ).where("doc_id is not null").collect()
+        }
         prints = {i: brute.fingerprint(t or "") for i, t in rows}
         heads = {}
         for i in sorted(prints):
@@ -505,7 +552,11 @@ def test_earlier_near_duplicates(spark, monkeypatch):
 
 def test_recall_of_near_duplicates(spark):
     """Half a percent of the characters edited: nine tenths of the copies name their original, or one like it, and no others do."""
-    docs = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) between 500 and 6000").select("text").distinct().orderBy("text").collect()]
+    docs = [
+        r["text"] for r in spark.read.parquet(
+            "/root/testdata/sf0.01/documents.parquet"
+        ).where("length(text) between 500 and 6000").select("text").distinct().orderBy("text").collect()
+    ]
     rng = random.Random(1)
     docs = rng.sample(docs, 150)
     rows = [(i, t) for i, t in enumerate(docs)] + [(1000 + i, edited_text(t, 0.005, rng)) for i, t in enumerate(docs)]
@@ -552,7 +603,9 @@ def test_near_pairs_keeps_links_beside_the_smallest_key(spark, monkeypatch):
                 like = fingerprints.likeness(f, g)
                 if a < b and like >= 0.8 and bands[a] & bands[b]:
                     want[a, b] = max(like, want.get((a, b), 0))
-    missed = [(h, a, b) for h in range(12) for a in range(h + 1, 12) for b in range(a + 1, 12) if (h, a) in want and (a, b) in want and (h, b) not in want]
+    missed = [
+        (h, a, b) for h in range(12) for a in range(h + 1, 12) for b in range(a + 1, 12) if (h, a) in want and (a, b) in want and (h, b) not in want
+    ]
     assert missed and (20, 21) in want  # the first is near the second and the second near the third only
     got = fingerprints.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(want) and {(r["a"], r["b"]): r["likeness"] for r in got} == want
@@ -563,10 +616,19 @@ def test_near_pairs_keeps_links_beside_the_smallest_key(spark, monkeypatch):
 
 def test_warc(spark):
     big = "ä" * 600
-    rows = [(1, "http://a", big), (2, "http://b\r\nX: y", big), (2, "again", big), (3, None, "small"), (4, "c", "small"), (5, "d", None), (6, "e", ""), (None, "f", big), (7, "g", "z" * 999), (8, "h", "z" * 999), (9, "i", "y" * 1000), (10, "j", "y" * 1000)]
+    rows = [
+        (1, "http://a", big), (2, "http://b\r\nX: y", big), (2, "again", big), (3, None, "small"), (4, "c", "small"), (5, "d", None),
+        (6, "e", ""), (None, "f", big), (7, "g", "z" * 999), (8, "h", "z" * 999), (9, "i", "y" * 1000), (10, "j", "y" * 1000)
+    ]
     out = fresh_dir(spark, "warc")
     warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), out).count()
-    got = sorted(((r["page_id"] or 0, r["url"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in warc.read(spark, out).collect()))
+    got = sorted(
+        (
+            (
+                r["page_id"] or 0, r["url"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]
+            ) for r in warc.read(spark, out).collect()
+        )
+    )
     sha = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
     want = []
     for i, u, t in rows:
@@ -634,7 +696,9 @@ def test_mix_takes_prefixes(spark, odd, none):
     assert sorted(hashes[0], key=hashes[0].get) != sorted(hashes[1], key=hashes[1].get)  # epochs have orders of their own
     for total in (2600, 900, 10):
         got = mixing.mix(df, [F.lit("d"), F.col("source")], F.col("size"), F.col("doc_id"), total=total, weights=weights, epochs=2)
-        assert sorted((r["doc_id"], r["mix_epoch"]) for r in got.collect()) == plain_mix([(("d", s), n) for _, s, n in rows], hashes, total, weights, 2)
+        assert sorted((r["doc_id"], r["mix_epoch"]) for r in got.collect()) == plain_mix(
+            [(("d", s), n) for _, s, n in rows], hashes, total, weights, 2
+        )
     clash = odd.withColumn("mix_epoch", F.lit(9)).withColumn("_mix_x", F.lit(1)).withColumn("rest", F.lit(2))
     got = mixing.mix(clash, [F.col("lang"), F.col("source")], F.length("text"), F.col("doc_id"), share=1.0)
     assert got.count() == 17 and set(clash.columns) <= set(got.columns)  # two leaves have no tokens
@@ -697,7 +761,9 @@ def test_regions_split_into_voronoi_cells(spark, monkeypatch):
 
     monkeypatch.setattr(jaccard.Space, "pairs", watched)
     for percent in (60, 85):
-        want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * np.intersect1d(sets[a], sets[b]).size >= percent * np.union1d(sets[a], sets[b]).size}
+        want = {
+            (a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * np.intersect1d(sets[a], sets[b]).size >= percent * np.union1d(sets[a], sets[b]).size
+        }
         got = [tuple(sorted((i, j))) for i, js in jaccard.Space(sets, percent).pairs(np.arange(len(sets)), [], None) for j in js.tolist()]
         assert len(got) == len(set(got)) and set(got) == want and want
     assert max(depths) >= 1
@@ -714,11 +780,16 @@ def test_one_of_each(spark, odd):
     want = brute.jaccard(brute.rows_of(odd), 5, 80)[1]
     got = [(r["doc_id"], r["text"] or "") for r in jaccard.one_of_each(odd).collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and sum(i == 15 for i, _ in got) == 0
-    rows = [(1, "a b c d e f"), (15, "a b c d e f"), (15, "p q r s t u"), (15, "p q r s t u"), (16, "p q r s t u v"), (7, ""), (7, ""), (None, "x y z x y"), (3, "x y z x y")]
+    rows = [
+        (1, "a b c d e f"), (15, "a b c d e f"), (15, "p q r s t u"), (15, "p q r s t u"), (16, "p q r s t u v"), (7, ""), (7, ""),
+        (None, "x y z x y"), (3, "x y z x y")
+    ]
     df = spark.createDataFrame([(*r, 0, "g") for r in rows], "doc_id long, text string, _near_id int, _gone string")
     got = jaccard.one_of_each(df)
     assert got.columns == df.columns
-    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, "a b c d e f"), (15, "p q r s t u"), (16, "p q r s t u v"), (7, ""), (7, ""), (None, "x y z x y")], key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(
+        [(1, "a b c d e f"), (15, "p q r s t u"), (16, "p q r s t u v"), (7, ""), (7, ""), (None, "x y z x y")], key=str
+    )
 
 
 @settings(max_examples=15, deadline=None)
