@@ -111,9 +111,16 @@ def main(argv: list[str] | None = None) -> int:
     spark.sparkContext.setLogLevel(args.log_level)
     ship(spark)
     if args.command == "munge-sumstats":
-        names = {"SNP": args.snp, "N": args.N_col, "N_CAS": args.N_cas_col, "N_CON": args.N_con_col, "A1": args.a1, "A2": args.a2, "P": args.p, "FRQ": args.frq, "INFO": args.info}
+        names = {
+            "SNP": args.snp, "N": args.N_col, "N_CAS": args.N_cas_col, "N_CON": args.N_con_col, "A1": args.a1, "A2": args.a2, "P": args.p,
+            "FRQ": args.frq, "INFO": args.info
+        }
         parts = lambda x: tuple(p.strip() for p in x.split(",")) if x else ()
-        opts = MungeOptions(args.daner, args.daner_n, args.n_min, args.maf_min, args.info_min, args.N, args.N_cas, args.N_con, {k: v for k, v in names.items() if v}, args.signed_sumstats, parts(args.ignore), args.keep_maf, args.a1_inc, args.no_alleles, parts(args.info_list), args.nstudy, args.nstudy_min)
+        opts = MungeOptions(
+            args.daner, args.daner_n, args.n_min, args.maf_min, args.info_min, args.N, args.N_cas, args.N_con,
+            {k: v for k, v in names.items() if v}, args.signed_sumstats, parts(args.ignore), args.keep_maf, args.a1_inc, args.no_alleles,
+            parts(args.info_list), args.nstudy, args.nstudy_min
+        )
         done = commands.run_munge(spark, args.sumstats, args.out, opts, args.merge_alleles)
         for name, n in commands.munge_counts(spark, args.sumstats, opts, args.merge_alleles):
             print(f"  Read {n} rows" if name == "read" else f"  Removed {n} SNPs: {name}")
@@ -125,11 +132,21 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command in ("h2", "rg"):
         split = args.ref_ld_chr is not None
         ref, weights = args.ref_ld_chr or args.ref_ld, args.w_ld_chr or args.w_ld
-        common = {"m": args.M, "not_m_5_50": args.not_m_5_50, "no_intercept": args.no_intercept, "two_step": args.two_step, "chisq_max": args.chisq_max, "n_blocks": args.n_blocks, "return_silly_things": args.return_silly_things}
+        common = {
+            "m": args.M, "not_m_5_50": args.not_m_5_50, "no_intercept": args.no_intercept, "two_step": args.two_step,
+            "chisq_max": args.chisq_max, "n_blocks": args.n_blocks, "return_silly_things": args.return_silly_things
+        }
         if args.command == "rg":
-            _, text = commands.run_rg(spark, args.rg.split(","), ref, weights, commands.RegressionOptions(**common), split, _list(args.intercept_h2), _list(args.intercept_gencov), args.no_check_alleles)
+            _, text = commands.run_rg(
+                spark, args.rg.split(","), ref, weights, commands.RegressionOptions(**common), split, _list(args.intercept_h2),
+                _list(args.intercept_gencov), args.no_check_alleles
+            )
         else:
-            opts = commands.RegressionOptions(**common, intercept=args.intercept_h2, samp_prev=args.samp_prev, pop_prev=args.pop_prev, overlap_annot=args.overlap_annot, frqfile=args.frqfile, frqfile_chr=args.frqfile_chr, print_coefficients=args.print_coefficients, print_all_cts=args.print_all_cts)
+            opts = commands.RegressionOptions(
+                **common, intercept=args.intercept_h2, samp_prev=args.samp_prev, pop_prev=args.pop_prev, overlap_annot=args.overlap_annot,
+                frqfile=args.frqfile, frqfile_chr=args.frqfile_chr, print_coefficients=args.print_coefficients,
+                print_all_cts=args.print_all_cts
+            )
             if args.h2_cts:
                 _, text = commands.run_cell_types(spark, args.h2_cts, ref, weights, args.ref_ld_chr_cts, opts, args.out)
             else:
@@ -141,9 +158,14 @@ def main(argv: list[str] | None = None) -> int:
                     text += f"Delete values:\n{jk.delete}\n"
         print(text, end="")
     elif args.command == "make-annot":
-        commands.run_make_annot(spark, args.bimfile, args.annot_file, args.bed_file, args.gene_set_file, args.gene_coord_file, args.windowsize, args.nomerge)
+        commands.run_make_annot(
+            spark, args.bimfile, args.annot_file, args.bed_file, args.gene_set_file, args.gene_coord_file, args.windowsize, args.nomerge
+        )
     else:
-        commands.run_cts_annot(spark, args.bimfile, args.cts_bin.split(","), args.cts_breaks, args.annot_file, args.cts_names.split(",") if args.cts_names else None)
+        commands.run_cts_annot(
+            spark, args.bimfile, args.cts_bin.split(","), args.cts_breaks, args.annot_file,
+            args.cts_names.split(",") if args.cts_names else None
+        )
     return 0
 
 

@@ -7,12 +7,30 @@ from pyspark.sql import functions as F
 
 #: Coefficients of the published rational approximations PPND16 (Wichura 1988, AS 241),
 #: highest power first; the last denominator coefficient is 1.
-CENTRE_NUM = ("2509.0809287301226727", "33430.575583588128105", "67265.770927008700853", "45921.953931549871457", "13731.693765509461125", "1971.5909503065514427", "133.14166789178437745", "3.387132872796366608")
-CENTRE_DEN = ("5226.495278852854561", "28729.085735721942674", "39307.89580009271061", "21213.794301586595867", "5394.1960214247511077", "687.1870074920579083", "42.313330701600911252", "1.0")
-MID_NUM = ("7.7454501427834140764e-4", "0.0227238449892691845833", "0.24178072517745061177", "1.27045825245236838258", "3.64784832476320460504", "5.7694972214606914055", "4.6303378461565452959", "1.42343711074968357734")
-MID_DEN = ("1.05075007164441684324e-9", "5.475938084995344946e-4", "0.0151986665636164571966", "0.14810397642748007459", "0.68976733498510000455", "1.6763848301838038494", "2.05319162663775882187", "1.0")
-TAIL_NUM = ("2.01033439929228813265e-7", "2.71155556874348757815e-5", "0.0012426609473880784386", "0.026532189526576123093", "0.29656057182850489123", "1.7848265399172913358", "5.4637849111641143699", "6.6579046435011037772")
-TAIL_DEN = ("2.04426310338993978564e-15", "1.4215117583164458887e-7", "1.8463183175100546818e-5", "7.868691311456132591e-4", "0.0148753612908506148525", "0.13692988092273580531", "0.59983220655588793769", "1.0")
+CENTRE_NUM = (
+    "2509.0809287301226727", "33430.575583588128105", "67265.770927008700853", "45921.953931549871457", "13731.693765509461125",
+    "1971.5909503065514427", "133.14166789178437745", "3.387132872796366608"
+)
+CENTRE_DEN = (
+    "5226.495278852854561", "28729.085735721942674", "39307.89580009271061", "21213.794301586595867", "5394.1960214247511077",
+    "687.1870074920579083", "42.313330701600911252", "1.0"
+)
+MID_NUM = (
+    "7.7454501427834140764e-4", "0.0227238449892691845833", "0.24178072517745061177", "1.27045825245236838258", "3.64784832476320460504",
+    "5.7694972214606914055", "4.6303378461565452959", "1.42343711074968357734"
+)
+MID_DEN = (
+    "1.05075007164441684324e-9", "5.475938084995344946e-4", "0.0151986665636164571966", "0.14810397642748007459", "0.68976733498510000455",
+    "1.6763848301838038494", "2.05319162663775882187", "1.0"
+)
+TAIL_NUM = (
+    "2.01033439929228813265e-7", "2.71155556874348757815e-5", "0.0012426609473880784386", "0.026532189526576123093",
+    "0.29656057182850489123", "1.7848265399172913358", "5.4637849111641143699", "6.6579046435011037772"
+)
+TAIL_DEN = (
+    "2.04426310338993978564e-15", "1.4215117583164458887e-7", "1.8463183175100546818e-5", "7.868691311456132591e-4",
+    "0.0148753612908506148525", "0.13692988092273580531", "0.59983220655588793769", "1.0"
+)
 
 NA_TOKENS = ("", "na", ".", "nan")
 
@@ -61,9 +79,13 @@ def with_probit(df: DataFrame, p: str, name: str) -> DataFrame:
     df = df.withColumn(half, F.least(F.greatest(F.col(p), F.lit(1e-300)), F.lit(1.0)) / F.lit(2.0))
     df = df.withColumns({q: F.col(half) - F.lit(0.5), root: F.coalesce(F.sqrt(-F.log(half)), F.lit(0.0))})
     centre, mid = F.abs(q) <= F.lit(0.425), F.col(root) <= F.lit(5.0)
-    df = df.withColumn(arg, F.when(centre, F.lit(0.180625) - F.col(q) * F.col(q)).when(mid, F.col(root) - F.lit(1.6)).otherwise(F.col(root) - F.lit(5.0)))
+    df = df.withColumn(
+        arg, F.when(centre, F.lit(0.180625) - F.col(q) * F.col(q)).when(mid, F.col(root) - F.lit(1.6)).otherwise(F.col(root) - F.lit(5.0))
+    )
     x = F.col(arg)
-    value = F.when(centre, F.abs(F.col(q) * ratio(CENTRE_NUM, CENTRE_DEN, x))).when(mid, ratio(MID_NUM, MID_DEN, x)).otherwise(ratio(TAIL_NUM, TAIL_DEN, x))
+    value = F.when(
+        centre, F.abs(F.col(q) * ratio(CENTRE_NUM, CENTRE_DEN, x))
+    ).when(mid, ratio(MID_NUM, MID_DEN, x)).otherwise(ratio(TAIL_NUM, TAIL_DEN, x))
     return df.withColumn(name, F.when(F.col(p).isNotNull(), value)).drop(half, q, root, arg)
 
 
@@ -115,7 +137,9 @@ def regression_weight(ld: Column, w_ld: Column, n: Column, m: float, h2: float,
     return 1 / (2 * variance * variance) / F.greatest(w_ld, F.lit(1.0))
 
 
-def covariance_weight(ld: Column, w_ld: Column, n1: Column, n2: Column, m: float, h1: float, h2: float, rho: float, int_g: float, int1: float, int2: float) -> Column:
+def covariance_weight(
+    ld: Column, w_ld: Column, n1: Column, n2: Column, m: float, h1: float, h2: float, rho: float, int_g: float, int1: float, int2: float
+) -> Column:
     """Weight of a cross-trait product; both heritabilities are clamped to [0, 1], rho isn't clamped."""
     x = F.greatest(ld, F.lit(1.0))
     side = lambda n, h, i: n * F.lit(min(max(h, 0.0), 1.0)) * x / F.lit(float(m)) + F.lit(float(i))

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..sources.shared import cut
 
 
-def numbered(df: DataFrame, order: list[Column], name: str = "_i", within: list[str] | None = None, total: str | None = None, parts: int | None = None) -> DataFrame:
+def numbered(
+    df: DataFrame, order: list[Column], name: str = "_i", within: list[str] | None = None, total: str | None = None,
+    parts: int | None = None
+) -> DataFrame:
     """Add the 0-based position of each row in the given order (of each group, if ``within``), and the number of all rows as ``total``.
 
     A global order is a range shuffle and a sort of each range; a row's number is its place in the
@@ -56,7 +59,9 @@ def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
 def side_by_side(left: DataFrame, right: DataFrame, row: str = "_row") -> DataFrame:
     """Columns of both tables, row by row; unequal heights are an error when it is run."""
     mark = F.assert_true(F.col("_l").isNotNull() & F.col("_r").isNotNull(), "tables of unequal height")
-    both = left.withColumn("_l", F.lit(1)).join(right.withColumn("_r", F.lit(1)), row, "full").withColumn("_ok", F.coalesce(mark.cast("string"), F.lit("")))
+    both = left.withColumn("_l", F.lit(1)).join(right.withColumn("_r", F.lit(1)), row, "full").withColumn(
+        "_ok", F.coalesce(mark.cast("string"), F.lit(""))
+    )
     return both.where("_ok = ''").drop("_l", "_r", "_ok")
 
 
@@ -81,7 +86,13 @@ def join_first(left: DataFrame, right: DataFrame, key: str, order: list[Column])
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, n, mean, sd, min, q25, median, q75, max): exact."""
-    parts = [F.struct(F.lit(name).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).cast("double").alias("min"), *[F.percentile(c, q).alias(a) for q, a in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))], F.max(c).cast("double").alias("max")) for name in columns for c in [F.col(f"`{name}`")]]
+    parts = [
+        F.struct(
+            F.lit(name).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"),
+            F.min(c).cast("double").alias("min"),
+            *[F.percentile(c, q).alias(a) for q, a in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))], F.max(c).cast("double").alias("max")
+        ) for name in columns for c in [F.col(f"`{name}`")]
+    ]
     return df.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("s")).select("s.*")
 
 

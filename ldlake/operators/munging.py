@@ -116,7 +116,9 @@ def sample_size(df: DataFrame, n: float | None, n_cas: float | None, n_con: floa
         return df
     both = F.col("N_CAS") + F.col("N_CON")
     top = df.agg(F.max(both).alias("top"))
-    share = df.join(F.broadcast(top)).agg(F.coalesce(F.avg(F.when(both == F.col("top"), F.col("N_CAS") / both)), F.lit(1.0)).alias("share"))  # both sides of one row
+    share = df.join(F.broadcast(top)).agg(
+        F.coalesce(F.avg(F.when(both == F.col("top"), F.col("N_CAS") / both)), F.lit(1.0)).alias("share")
+    )  # both sides of one row
     return df.join(F.broadcast(share)).withColumn("N", F.col("N_CAS") / F.col("share")).drop("share", "N_CAS", "N_CON")
 
 
@@ -216,7 +218,9 @@ def typed_once(df: DataFrame) -> DataFrame:
     with a number that isn't deterministic stays where it is, and so do they.
     """
     numbers = {c: numeric(df, c) for c in df.columns if c in NUMERIC}
-    texts = {c: F.trim(F.col(c).cast("string")) for c in df.columns if c == "SNP"} | {c: F.upper(F.trim(F.col(c).cast("string"))) for c in df.columns if c in ("A1", "A2")}
+    texts = {c: F.trim(F.col(c).cast("string")) for c in df.columns if c == "SNP"} | {
+        c: F.upper(F.trim(F.col(c).cast("string"))) for c in df.columns if c in ("A1", "A2")
+    }
     return df.withColumns(numbers | texts | {"_once": F.monotonically_increasing_id()}).where("_once >= 0").drop("_once")
 
 
@@ -236,7 +240,10 @@ def stages(raw: DataFrame, opts: MungeOptions = MungeOptions(), reference: DataF
     df = p_in_range(sample_size(df, opts.n, n_cas, n_con))
     yield "P out of range", df
     derive_z(df, opts.signed_sumstats, opts.a1_inc)  # says what is missing, if there is no way
-    for name, step in (("N", lambda d: n_at_least(d, opts.n_min)), ("FRQ", lambda d: frequency_above(d, opts.maf_min)), ("INFO", lambda d: info_at_least(d, opts.info_min))):
+    for name, step in (
+        ("N", lambda d: n_at_least(d, opts.n_min)), ("FRQ", lambda d: frequency_above(d, opts.maf_min)),
+        ("INFO", lambda d: info_at_least(d, opts.info_min))
+    ):
         df = step(df)
         yield name, df
     if not opts.no_alleles:

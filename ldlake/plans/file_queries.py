@@ -46,7 +46,11 @@ def scan_chromosome_files(v: Views) -> DataFrame:
     return df.select("i", F.col("CHR").cast("int").alias("CHR"), "SNP", F.col("L2").cast("double").alias("L2"))
 
 
-@query("SELECT CAST(count(*) AS DOUBLE) AS m, CAST(count(CASE WHEN maf > 0.05 THEN 1 END) AS DOUBLE) AS m_5_50, CAST(2 * count(*) AS DOUBLE) AS two FROM v_ld", "v_ld")
+@query(
+    "SELECT CAST(count(*) AS DOUBLE) AS m, CAST(count(CASE WHEN maf > 0.05 THEN 1 END) AS DOUBLE) AS m_5_50, CAST(2 * count(*) AS "
+    "DOUBLE) AS two FROM v_ld",
+    "v_ld",
+)
 def m_sidecars(v: Views) -> DataFrame:
     at = _at(v) + "/ld."
     counts = ldscore.counts(v.ld.withColumns({"one": F.lit(1.0), "two": F.lit(2.0)}), ["one", "two"], ["CHR"])
@@ -69,7 +73,9 @@ def scan_bim(v: Views) -> DataFrame:
 @query('SELECT k AS iid_idx FROM (SELECT s_acctbal, row_number() OVER (ORDER BY "START") - 1 AS k FROM v_genes) WHERE s_acctbal > 0', "v_genes")
 def scan_fam_keep(v: Views) -> DataFrame:
     at = _at(v)
-    people = v.genes.select(F.concat_ws(" ", F.concat(F.lit("f"), "CHR"), "GENE", F.lit("0 0 1 -9")).alias("line"), "START", "s_acctbal", "CHR", "GENE")
+    people = v.genes.select(
+        F.concat_ws(" ", F.concat(F.lit("f"), "CHR"), "GENE", F.lit("0 0 1 -9")).alias("line"), "START", "s_acctbal", "CHR", "GENE"
+    )
     _lines(people, f"{at}.fam", "START")
     listed = people.where("s_acctbal > 0").select(F.concat(F.lit("f"), "CHR", F.lit("\t"), "GENE").alias("line"), "START")
     _lines(listed, f"{at}.keep", "START", "# kept")
@@ -96,7 +102,9 @@ _GENOTYPES = "SELECT row_number() OVER (ORDER BY CHR, pos) - 1 AS bed_idx, array
 def scan_bed(v: Views) -> DataFrame:
     """Some people of a BED file, read by ranges of SNPs."""
     at, _, _, n = _fileset(v)
-    return plink.read_bed(v.spark, f"{at}.bed", 64, n, [0, 7, 63, 5], 100).select("bed_idx", F.array_join(F.col("g").cast("array<string>"), "").alias("g"))
+    return plink.read_bed(v.spark, f"{at}.bed", 64, n, [0, 7, 63, 5], 100).select(
+        "bed_idx", F.array_join(F.col("g").cast("array<string>"), "").alias("g")
+    )
 
 
 @query(_GENOTYPES.replace("{g}", "g"), "v_geno")
@@ -118,13 +126,22 @@ def scan_cts(v: Views) -> DataFrame:
     at = _at(v)
     _lines(v.ld.select(F.expr("concat_ws('\t', '1', SNP, '0', CAST(num AS STRING), 'A', 'C')").alias("line"), "num"), f"{at}.bim", "num")
     _lines(v.ld.select(F.expr("concat(SNP, '  ', CAST(maf AS STRING))").alias("line"), "num"), f"{at}.cts", "num")
-    return readers.read_cts(v.spark, f"{at}.cts", readers.read_bim(v.spark, f"{at}.bim").select("SNP", "bed_idx")).select("SNP", "bed_idx", r("value", 2).alias("value"))
+    return readers.read_cts(
+        v.spark, f"{at}.cts", readers.read_bim(v.spark, f"{at}.bim").select("SNP", "bed_idx")
+    ).select("SNP", "bed_idx", r("value", 2).alias("value"))
 
 
-@query("SELECT row_number() OVER (ORDER BY CAST(substr(SNP, 3) AS BIGINT)) - 1 AS i, CAST(base AS DOUBLE) AS base, CAST(coding AS DOUBLE) AS coding, CAST(enh AS DOUBLE) AS enh, FRQ > 0.05 AND FRQ < 0.95 AS common FROM v_annot", "v_annot")
+@query(
+    "SELECT row_number() OVER (ORDER BY CAST(substr(SNP, 3) AS BIGINT)) - 1 AS i, CAST(base AS DOUBLE) AS base, CAST(coding AS "
+    "DOUBLE) AS coding, CAST(enh AS DOUBLE) AS enh, FRQ > 0.05 AND FRQ < 0.95 AS common FROM v_annot",
+    "v_annot",
+)
 def scan_annotation_and_frequencies(v: Views) -> DataFrame:
     at, num = _at(v), F.substring("SNP", 3, 20).cast("long")
-    writers.write_table(v.annot.select(F.lit(1).alias("CHR"), num.alias("BP"), "SNP", F.lit(0).alias("CM"), "base", "coding", "enh"), f"{at}.annot.gz", [F.col("BP")])
+    writers.write_table(
+        v.annot.select(F.lit(1).alias("CHR"), num.alias("BP"), "SNP", F.lit(0).alias("CM"), "base", "coding", "enh"), f"{at}.annot.gz",
+        [F.col("BP")]
+    )
     writers.write_table(v.annot.select("SNP", F.col("FRQ").alias("MAF"), num.alias("n")), f"{at}.frq", [F.col("n")])
     annot, names = readers.read_annotation(v.spark, readers.annotation_path(v.spark, at))
     left = frames.numbered(annot, [F.col("_row")], "i")
@@ -144,7 +161,13 @@ def scan_regions(v: Views) -> DataFrame:
 def scan_genes(v: Views) -> DataFrame:
     at = _at(v)
     _lines(v.genes.where("s_acctbal > 0").select("GENE", "START"), f"{at}.set", "START", "# genes")
-    _lines(v.genes.select(F.expr("concat_ws(' ', GENE, concat('chr', CAST(CHR AS STRING)), CAST(START AS STRING), CAST(END AS STRING))").alias("line"), "START"), f"{at}.coord", "START", "GENE CHR START END")
+    _lines(
+        v.genes.select(
+            F.expr("concat_ws(' ', GENE, concat('chr', CAST(CHR AS STRING)), CAST(START AS STRING), CAST(END AS STRING))").alias("line"),
+            "START"
+        ),
+        f"{at}.coord", "START", "GENE CHR START END"
+    )
     return readers.read_gene_coordinates(v.spark, f"{at}.coord", readers.read_genes(v.spark, f"{at}.set"))
 
 
@@ -156,12 +179,33 @@ def decode_memory(v: Views) -> DataFrame:
     return readers.decode_table(v.spark, data).select("GENE", F.col("CHR").cast("int").alias("CHR"), F.col("_row").alias("i"))
 
 
-@query("SELECT concat_ws(':', CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), upper(A1), upper(A2)) AS SNP, round(greatest(least(power(10, -l_quantity), 1), 1e-300) * 1e9, 3) AS P_e9, round(BETA, 6) AS BETA, round(SE, 6) AS SE FROM (SELECT s.*, l_partkey, l_suppkey, l_quantity FROM v_sumstats s JOIN (SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS _row, l_partkey, l_suppkey, l_quantity FROM lineitem) USING (_row)) WHERE _row < 1000 AND FRQ IS NOT NULL", "v_sumstats")
+@query(
+    "SELECT concat_ws(':', CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), upper(A1), upper(A2)) AS SNP, "
+    "round(greatest(least(power(10, -l_quantity), 1), 1e-300) * 1e9, 3) AS P_e9, round(BETA, 6) AS BETA, round(SE, 6) AS SE FROM "
+    "(SELECT s.*, l_partkey, l_suppkey, l_quantity FROM v_sumstats s JOIN (SELECT row_number() OVER (ORDER BY l_orderkey, "
+    "l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) "
+    "- 1 AS _row, l_partkey, l_suppkey, l_quantity FROM lineitem) USING (_row)) WHERE _row < 1000 AND FRQ IS NOT NULL",
+    "v_sumstats",
+)
 def biobank_prep(v: Views) -> DataFrame:
     """Columns of one population of a biobank's file; rows of low confidence go."""
-    df = v._view("v_sumstats").withColumn("_row", F.struct(*[F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")]))
+    df = v._view("v_sumstats").withColumn(
+        "_row",
+        F.struct(
+            *[
+                F.col(c) for c in (
+                    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                    "l_returnflag", "l_linestatus", "l_shipdate"
+                )
+            ]
+        )
+    )
     df = frames.numbered(df, [F.col("_row")], "_i").where("_i < 1000")
-    text = df.select(F.col("l_partkey").alias("chr"), F.col("l_suppkey").alias("pos"), F.upper("A1").alias("ref"), F.upper("A2").alias("alt"), F.col("l_quantity").cast("string").alias("neglog10_pval_EUR"), F.col("BETA").cast("string").alias("beta_EUR"), F.col("SE").cast("string").alias("se_EUR"), F.col("FRQ").isNull().cast("string").alias("low_confidence_EUR"), "_row")
+    text = df.select(
+        F.col("l_partkey").alias("chr"), F.col("l_suppkey").alias("pos"), F.upper("A1").alias("ref"), F.upper("A2").alias("alt"),
+        F.col("l_quantity").cast("string").alias("neglog10_pval_EUR"), F.col("BETA").cast("string").alias("beta_EUR"),
+        F.col("SE").cast("string").alias("se_EUR"), F.col("FRQ").isNull().cast("string").alias("low_confidence_EUR"), "_row"
+    )
     got = readers.biobank_sumstats(text, "EUR")
     return got.select("SNP", r(F.col("P") * 1e9, 3).alias("P_e9"), r("BETA").alias("BETA"), r("SE").alias("SE"))
 
@@ -193,7 +237,11 @@ def chromosome_counts(v: Views) -> DataFrame:
     return memory.chromosome_counts(v.bim)
 
 
-@query("SELECT SNP, max(first) OVER (ORDER BY k) AS run FROM (SELECT SNP, k, CASE WHEN lag(CHR) OVER (ORDER BY k) IS DISTINCT FROM CHR THEN k END AS first FROM (SELECT *, row_number() OVER (ORDER BY num) - 1 AS k FROM v_bim))", "v_bim")
+@query(
+    "SELECT SNP, max(first) OVER (ORDER BY k) AS run FROM (SELECT SNP, k, CASE WHEN lag(CHR) OVER (ORDER BY k) IS DISTINCT FROM "
+    "CHR THEN k END AS first FROM (SELECT *, row_number() OVER (ORDER BY num) - 1 AS k FROM v_bim))",
+    "v_bim",
+)
 def chromosome_runs(v: Views) -> DataFrame:
     """The table isn't sorted by chromosome."""
     return windows.chromosome_runs(frames.numbered(v.bim, [F.col("num")], "bed_idx")).select("SNP", "run")
@@ -208,7 +256,9 @@ _MUNGED = f"{_FILTERED}, z AS (SELECT SNP, A1, A2, {_Z} AS Z, N, FRQ, _row FROM
 def munge_other_names(v: Views) -> DataFrame:
     """Headers of other studies: synonyms, a column given by name, one ignored, a sign given by name and null value."""
     raw = v.ordered.drop("N_CAS", "N_CON", "NSTUDY")
-    raw = raw.withColumnsRenamed({"SNP": "MarkerName", "A1": "effect_allele", "A2": "Other_Allele", "BETA": "tstat", "P": "p_value", "FRQ": "eaf", "INFO": "quality"}).withColumn("junk", F.lit(None).cast("string"))
+    raw = raw.withColumnsRenamed(
+        {"SNP": "MarkerName", "A1": "effect_allele", "A2": "Other_Allele", "BETA": "tstat", "P": "p_value", "FRQ": "eaf", "INFO": "quality"}
+    ).withColumn("junk", F.lit(None).cast("string"))
     opts = munging.MungeOptions(columns={"INFO": "quality"}, signed_sumstats="tstat,0", ignore=("JUNK", "se"), keep_maf=True)
     return munging.munge(raw, opts).select("SNP", "A1", "A2", r("Z").alias("Z"), r("N").alias("N"), r("FRQ").alias("FRQ"))
 
@@ -225,7 +275,11 @@ def munge_daner(v: Views) -> DataFrame:
     return munging.munge(raw, munging.MungeOptions(daner=True, no_alleles=True, a1_inc=True)).select("SNP", r("Z").alias("Z"), "N")
 
 
-_TEXT = _MUNGED.replace("v_sumstats", "v_text").replace("WITH p AS", "WITH v_text AS (SELECT SNP, A1, A2, round(BETA, 3) AS BETA, round(SE, 3) AS SE, round(P, 3) AS P, N, round(INFO, 3) AS INFO, round(FRQ, 3) AS FRQ, _row FROM v_sumstats), p AS", 1)
+_TEXT = _MUNGED.replace("v_sumstats", "v_text").replace(
+    "WITH p AS",
+    "WITH v_text AS (SELECT SNP, A1, A2, round(BETA, 3) AS BETA, round(SE, 3) AS SE, round(P, 3) AS P, N, round(INFO, 3) AS INFO, round(FRQ, 3) AS FRQ, _row FROM v_sumstats), p AS",
+    1
+)
 
 
 @query(f"{_TEXT} SELECT SNP, A1, A2, round(Z, 3) + 0.0 AS Z, N, row_number() OVER (ORDER BY _row) - 1 AS i FROM first WHERE k = 1", "v_sumstats")
@@ -258,7 +312,9 @@ def l2_files(v: Views) -> DataFrame:
     return df.select(F.col("CHR").cast("int").alias("CHR"), "SNP", F.col("L2").cast("double").alias("L2"))
 
 
-_REG_TEXT = _REG.replace("f.Z, f.Z * f.Z AS chi2", "round(f.Z, 3) AS Z, round(f.Z, 3) * round(f.Z, 3) AS chi2").replace("l.L2,", "round(l.L2, 3) AS L2,").replace("l.w_l2,", "round(l.w_l2, 3) AS w_l2,")
+_REG_TEXT = _REG.replace(
+    "f.Z, f.Z * f.Z AS chi2", "round(f.Z, 3) AS Z, round(f.Z, 3) * round(f.Z, 3) AS chi2"
+).replace("l.L2,", "round(l.L2, 3) AS L2,").replace("l.w_l2,", "round(l.w_l2, 3) AS w_l2,")
 
 
 @query(regression_sql.two_step(_REG_TEXT), "v_sumstats", "v_ld")
@@ -270,5 +326,8 @@ def h2_files(v: Views) -> DataFrame:
     writers.write_by_chromosome(v.ld.select("CHR", "SNP", "L2", "num"), f"{at}.ref.", ".l2.ldscore.gz", "num", chromosomes)
     writers.write_by_chromosome(v.ld.select("CHR", "SNP", F.col("w_l2").alias("L2"), "num"), f"{at}.w.", ".l2.ldscore.gz", "num", chromosomes)
     h, _ = commands.run_h2(v.spark, f"{at}.sumstats.gz", f"{at}.ref.", f"{at}.w.", None, commands.RegressionOptions(m=1000.0), True)
-    found = {"h2": h.h2, "h2_se": h.se, "intercept": h.intercept, "intercept_se": h.intercept_se, "mean_chi2": h.mean_chi2, "lambda_gc": h.lambda_gc, "ratio": h.ratio, "ratio_se": h.ratio_se}
+    found = {
+        "h2": h.h2, "h2_se": h.se, "intercept": h.intercept, "intercept_se": h.intercept_se, "mean_chi2": h.mean_chi2,
+        "lambda_gc": h.lambda_gc, "ratio": h.ratio, "ratio_se": h.ratio_se
+    }
     return _row(v, **{k: round(x, 5) for k, x in found.items()})

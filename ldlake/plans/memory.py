@@ -25,7 +25,10 @@ def bim_table(spark: SparkSession, text: str) -> DataFrame:
             return kind(0)
 
     rows = [line.split("\t") for line in text.splitlines() if line.strip()]
-    return spark.createDataFrame([(whole(c[0]), c[1], whole(c[2], float), whole(c[3]), i) for i, c in enumerate(rows)], "CHR int, SNP string, CM double, BP long, bed_idx long")
+    return spark.createDataFrame(
+        [(whole(c[0]), c[1], whole(c[2], float), whole(c[3]), i) for i, c in enumerate(rows)],
+        "CHR int, SNP string, CM double, BP long, bed_idx long"
+    )
 
 
 def chromosome_counts(bim: DataFrame) -> DataFrame:
@@ -42,7 +45,10 @@ def balanced(counts: dict[int, int], workers: int) -> list[list[int]]:
     return out
 
 
-def l2_from_bytes(spark: SparkSession, bed: bytes, bim: str, people: int, kb: float | None = None, cm: float | None = None, snps: int | None = None, chunk: int | None = 200, chromosomes: list[int] | None = None, progress: Callable[[int, int], None] | None = None) -> DataFrame:
+def l2_from_bytes(
+    spark: SparkSession, bed: bytes, bim: str, people: int, kb: float | None = None, cm: float | None = None, snps: int | None = None,
+    chunk: int | None = 200, chromosomes: list[int] | None = None, progress: Callable[[int, int], None] | None = None
+) -> DataFrame:
     """CHR, SNP, BP, bed_idx, maf, L2; of some chromosomes, if they are given.
 
     With ``progress`` chromosomes are computed one after the other, and it is told how many of how many SNPs are done.
@@ -66,7 +72,9 @@ def l2_from_bytes(spark: SparkSession, bed: bytes, bim: str, people: int, kb: fl
 
 def h2_from_bytes(spark: SparkSession, sumstats: bytes, scores: DataFrame, blocks: int = 200, step: float | None = 30.0) -> regression.Heritability:
     """Heritability with the LD scores as weights too; M counts SNPs with maf >= 0.05; the last of a SNP's scores counts."""
-    stats = readers.decode_table(spark, sumstats).select("SNP", number(F.col("Z")).alias("Z"), number(F.col("N")).alias("N"), "_row").where("Z is not null and N > 0")
+    stats = readers.decode_table(spark, sumstats).select(
+        "SNP", number(F.col("Z")).alias("Z"), number(F.col("N")).alias("N"), "_row"
+    ).where("Z is not null and N > 0")
     last = frames.first_of(scores, ["SNP"], [-F.col("bed_idx")]).select("SNP", "L2", F.col("L2").alias("w_l2"))
     df = frames.numbered(stats.join(last, "SNP").withColumn("chi2", F.col("Z") * F.col("Z")), [F.col("_row")], "_i").persist()
     try:

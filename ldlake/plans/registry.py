@@ -61,18 +61,30 @@ def munge_filters(v: Views) -> DataFrame:
     return _filtered(v).select("SNP", "A1", "A2", r("N").alias("N"), r("FRQ").alias("FRQ"), r("INFO").alias("INFO"), "_row")
 
 
-@query(f"{_FILTERED}, z AS (SELECT SNP, A1, A2, {_Z} AS Z, N, _row FROM ok), first AS (SELECT *, row_number() OVER (PARTITION BY SNP ORDER BY _row) AS k FROM z WHERE Z IS NOT NULL) SELECT SNP, A1, A2, round(Z, 6) AS Z, round(N, 6) AS N FROM first WHERE k = 1", "v_sumstats")
+@query(
+    f"{_FILTERED}, z AS (SELECT SNP, A1, A2, {_Z} AS Z, N, _row FROM ok), first AS (SELECT *, row_number() OVER (PARTITION BY SNP "
+    f"ORDER BY _row) AS k FROM z WHERE Z IS NOT NULL) SELECT SNP, A1, A2, round(Z, 6) AS Z, round(N, 6) AS N FROM first WHERE k = 1",
+    "v_sumstats",
+)
 def munge_z(v: Views) -> DataFrame:
     raw = v.ordered.drop("N_CAS", "N_CON", "NSTUDY")
     return munging.munge(raw).select("SNP", "A1", "A2", r("Z").alias("Z"), r("N").alias("N"))
 
 
-@query(f"WITH q AS (SELECT quantile_cont(N, 0.9) / 1.5 AS least FROM ({_IN_RANGE})) SELECT SNP, N, _row FROM ({_IN_RANGE}), q WHERE N >= least", "v_sumstats")
+@query(
+    f"WITH q AS (SELECT quantile_cont(N, 0.9) / 1.5 AS least FROM ({_IN_RANGE})) SELECT SNP, N, _row FROM ({_IN_RANGE}), q WHERE N "
+    f">= least",
+    "v_sumstats",
+)
 def munge_n_min(v: Views) -> DataFrame:
     return munging.n_at_least(munging.p_in_range(v.sumstats), 0).select("SNP", "N", "_row")
 
 
-@query("WITH t AS (SELECT max(N_CAS + N_CON) AS top FROM v_sumstats), s AS (SELECT avg(N_CAS / (N_CAS + N_CON)) AS share FROM v_sumstats, t WHERE N_CAS + N_CON = top) SELECT _row, round(N_CAS / share, 6) AS N FROM v_sumstats, s", "v_sumstats")
+@query(
+    "WITH t AS (SELECT max(N_CAS + N_CON) AS top FROM v_sumstats), s AS (SELECT avg(N_CAS / (N_CAS + N_CON)) AS share FROM "
+    "v_sumstats, t WHERE N_CAS + N_CON = top) SELECT _row, round(N_CAS / share, 6) AS N FROM v_sumstats, s",
+    "v_sumstats",
+)
 def munge_n_case_control(v: Views) -> DataFrame:
     return munging.sample_size(v.sumstats.drop("N"), None, None, None).select("_row", r("N").alias("N"))
 
@@ -101,25 +113,45 @@ _SIGN = """CASE WHEN a.A1 = b.A1 AND a.A2 = b.A2 OR translate(a.A1, 'ACGT', 'TGC
     WHEN a.A1 = b.A2 AND a.A2 = b.A1 OR translate(a.A1, 'ACGT', 'TGCA') = b.A2 AND translate(a.A2, 'ACGT', 'TGCA') = b.A1 THEN -1 END"""
 
 
-@query(f"WITH a AS (SELECT SNP, upper(A1) AS A1, upper(A2) AS A2, _row FROM v_sumstats) SELECT a.SNP, a.A1, a.A2, a._row FROM a JOIN v_alleles b ON a.SNP = b.SNP WHERE {_SIGN} IS NOT NULL", "v_sumstats", "v_alleles")
+@query(
+    f"WITH a AS (SELECT SNP, upper(A1) AS A1, upper(A2) AS A2, _row FROM v_sumstats) SELECT a.SNP, a.A1, a.A2, a._row FROM a JOIN "
+    f"v_alleles b ON a.SNP = b.SNP WHERE {_SIGN} IS NOT NULL",
+    "v_sumstats", "v_alleles",
+)
 def munge_merge_alleles(v: Views) -> DataFrame:
     up = v.sumstats.withColumns({"A1": F.upper("A1"), "A2": F.upper("A2")})
     return munging.merge_alleles(up, v.alleles).select("SNP", "A1", "A2", "_row")
 
 
-@query(f"WITH a AS (SELECT SNP, upper(A1) AS A1, upper(A2) AS A2, BETA, _row FROM v_sumstats), s AS (SELECT a.*, {_SIGN} AS sign FROM a JOIN v_alleles b ON a.SNP = b.SNP WHERE {_VALID.replace('A1', 'a.A1').replace('A2', 'a.A2')}) SELECT SNP, _row, round(BETA * sign, 6) + 0.0 AS Z2 FROM s WHERE sign IS NOT NULL", "v_sumstats", "v_alleles")
+@query(
+    f"WITH a AS (SELECT SNP, upper(A1) AS A1, upper(A2) AS A2, BETA, _row FROM v_sumstats), s AS (SELECT a.*, {_SIGN} AS sign FROM "
+    f"a JOIN v_alleles b ON a.SNP = b.SNP WHERE {_VALID.replace('A1', 'a.A1').replace('A2', 'a.A2')}) SELECT SNP, _row, round(BETA "
+    f"* sign, 6) + 0.0 AS Z2 FROM s WHERE sign IS NOT NULL",
+    "v_sumstats", "v_alleles",
+)
 def rg_align(v: Views) -> DataFrame:
     up = munging.alleles_valid(v.sumstats)
-    met = up.join(v.alleles.toDF("SNP", "_b1", "_b2"), "SNP").withColumn("sign", C.same_or_flipped(F.col("A1"), F.col("A2"), F.col("_b1"), F.col("_b2")))
+    met = up.join(v.alleles.toDF("SNP", "_b1", "_b2"), "SNP").withColumn(
+        "sign", C.same_or_flipped(F.col("A1"), F.col("A2"), F.col("_b1"), F.col("_b2"))
+    )
     return met.where("sign IS NOT NULL").select("SNP", "_row", (r(F.col("BETA") * F.col("sign")) + 0.0).alias("Z2"))
 
 
-@query("WITH f AS (SELECT *, row_number() OVER (PARTITION BY SNP ORDER BY _row) AS k FROM v_sumstats) SELECT SNP, A1, A2, _row FROM f WHERE k = 1", "v_sumstats")
+@query(
+    "WITH f AS (SELECT *, row_number() OVER (PARTITION BY SNP ORDER BY _row) AS k FROM v_sumstats) SELECT SNP, A1, A2, _row FROM "
+    "f WHERE k = 1",
+    "v_sumstats",
+)
 def dedup_first(v: Views) -> DataFrame:
     return frames.first_of(v.sumstats, ["SNP"], [F.col("_row")]).select("SNP", "A1", "A2", "_row")
 
 
-@query("SELECT SNP, _row, CASE WHEN FRQ IS NULL THEN '' ELSE CASE WHEN regexp_matches(printf('%.3f', FRQ), '0+$') THEN regexp_replace(regexp_replace(printf('%.3f', FRQ), '0+$', ''), '\\.$', '.0') ELSE printf('%.3f', FRQ) END END AS FRQ FROM v_sumstats", "v_sumstats")
+@query(
+    "SELECT SNP, _row, CASE WHEN FRQ IS NULL THEN '' ELSE CASE WHEN regexp_matches(printf('%.3f', FRQ), '0+$') THEN "
+    "regexp_replace(regexp_replace(printf('%.3f', FRQ), '0+$', ''), '\\.$', '.0') ELSE printf('%.3f', FRQ) END END AS FRQ FROM "
+    "v_sumstats",
+    "v_sumstats",
+)
 def float_format(v: Views) -> DataFrame:
     """As numbers are written to tables."""
     return v.sumstats.select("SNP", "_row", C.float_text(F.col("FRQ")).alias("FRQ"))
@@ -172,7 +204,11 @@ def regression_weights(v: Views) -> DataFrame:
     return _reg(v).select("SNP", r(w, 9).alias("w"))
 
 
-@query(f"{_REG} SELECT SNP, round(1 / ((N * 0.5 * greatest(L2, 1) / 1000 + 1) * (2 * N * 0.25 * greatest(L2, 1) / 1000 + 1.1) + power(sqrt(2 * N * N) * 0.3 * greatest(L2, 1) / 1000 + 0.05, 2)) / greatest(w_l2, 1), 9) AS w FROM reg", "v_sumstats", "v_ld")
+@query(
+    f"{_REG} SELECT SNP, round(1 / ((N * 0.5 * greatest(L2, 1) / 1000 + 1) * (2 * N * 0.25 * greatest(L2, 1) / 1000 + 1.1) + "
+    f"power(sqrt(2 * N * N) * 0.3 * greatest(L2, 1) / 1000 + 0.05, 2)) / greatest(w_l2, 1), 9) AS w FROM reg",
+    "v_sumstats", "v_ld",
+)
 def gencov_weights(v: Views) -> DataFrame:
     w = C.covariance_weight(F.col("L2"), F.col("w_l2"), F.col("N"), 2 * F.col("N"), 1000, 0.5, 0.25, 0.3, 0.05, 1, 1.1)
     return _reg(v).select("SNP", r(w, 9).alias("w"))
@@ -188,14 +224,22 @@ def lambda_gc(v: Views) -> DataFrame:
     return _reg(v).agg(r(F.median("chi2") / regression.MEDIAN_CHI2).alias("lambda_gc"), r(F.avg("chi2")).alias("mean_chi2"), F.count("*").alias("n"))
 
 
-@query(f"{_REG}, c AS (SELECT greatest(0.001 * max(N), 80) AS top FROM reg) SELECT SNP, round(chi2, 5) AS chi2 FROM reg, c WHERE chi2 < least(top, 2)", "v_sumstats", "v_ld")
+@query(
+    f"{_REG}, c AS (SELECT greatest(0.001 * max(N), 80) AS top FROM reg) SELECT SNP, round(chi2, 5) AS chi2 FROM reg, c WHERE chi2 "
+    f"< least(top, 2)",
+    "v_sumstats", "v_ld",
+)
 def chisq_max(v: Views) -> DataFrame:
     reg = _reg(v)
     top = reg.agg(F.greatest(0.001 * F.max("N"), F.lit(80.0)).alias("top"))
     return reg.join(F.broadcast(top)).where(F.col("chi2") < F.least("top", F.lit(2.0))).select("SNP", r("chi2", 5).alias("chi2"))
 
 
-@query(f"{_REG} SELECT CAST(((_i + 1) * {_B} - 1) // {_N} AS BIGINT) AS block, count(*) AS n, round(sum({_W} * L2 * L2), 5) AS xx, round(sum({_W} * L2), 6) AS x1, round(sum({_W}), 7) AS s, round(sum({_W} * L2 * chi2), 5) AS xy FROM reg GROUP BY 1", "v_sumstats", "v_ld")
+@query(
+    f"{_REG} SELECT CAST(((_i + 1) * {_B} - 1) // {_N} AS BIGINT) AS block, count(*) AS n, round(sum({_W} * L2 * L2), 5) AS xx, "
+    f"round(sum({_W} * L2), 6) AS x1, round(sum({_W}), 7) AS s, round(sum({_W} * L2 * chi2), 5) AS xy FROM reg GROUP BY 1",
+    "v_sumstats", "v_ld",
+)
 def block_gram(v: Views) -> DataFrame:
     reg = _reg(v)
     w = C.regression_weight(F.col("L2"), F.col("w_l2"), F.col("N"), 1000, 0.5, 1)
@@ -237,14 +281,20 @@ def h2_fixed_intercept(v: Views) -> DataFrame:
 @query(regression_sql.two_step(_REG), "v_sumstats", "v_ld")
 def h2_two_step(v: Views) -> DataFrame:
     h = regressed(v, lambda reg: regression.heritability(reg, ["L2"], [1000.0], step=30.0))
-    found = {"h2": h.h2, "h2_se": h.se, "intercept": h.intercept, "intercept_se": h.intercept_se, "mean_chi2": h.mean_chi2, "lambda_gc": h.lambda_gc, "ratio": h.ratio, "ratio_se": h.ratio_se}
+    found = {
+        "h2": h.h2, "h2_se": h.se, "intercept": h.intercept, "intercept_se": h.intercept_se, "mean_chi2": h.mean_chi2,
+        "lambda_gc": h.lambda_gc, "ratio": h.ratio, "ratio_se": h.ratio_se
+    }
     return _row(v, **{k: round(x, 5) for k, x in found.items()})
 
 
 @query(regression_sql.categories(_REG), "v_sumstats", "v_ld")
 def h2_partitioned(v: Views) -> DataFrame:
     fit = regressed(v, lambda reg: regression.partitioned(reg, ["L2", "codingL2"], [1000.0, 400.0]))
-    rows = [(n, round(float(a), 5), round(float(b), 5), round(1000 * float(c), 7), round(1000 * float(d), 7)) for n, a, b, c, d in zip(fit.names, fit.prop, fit.enrichment(), fit.coef, fit.coef_se)]
+    rows = [
+        (n, round(float(a), 5), round(float(b), 5), round(1000 * float(c), 7), round(1000 * float(d), 7)) for n, a, b, c,
+        d in zip(fit.names, fit.prop, fit.enrichment(), fit.coef, fit.coef_se)
+    ]
     return v.spark.createDataFrame(rows, "category string, prop_h2 double, enrichment double, coefficient_1000 double, coefficient_se_1000 double")
 
 
@@ -256,8 +306,16 @@ def h2_overlap(v: Views) -> DataFrame:
     total = v.annot.count()
     fit = regressed(v, lambda reg: regression.partitioned(reg, ["L2", "codingL2"], [float(matrix[0, 0]), float(matrix[1, 1])]))
     five = ("prop_h2", "prop_h2_se", "enrichment", "enrichment_se")
-    rows = [(x["category"], round(x["prop_snps"], 6), *(round(x[k], 5) for k in five), round(1000 * x["coefficient"], 7), round(1000 * x["coefficient_se"], 7), round(x["coefficient_z"], 5)) for x in regression.overlap_results(fit, matrix, total)]
-    return v.spark.createDataFrame(rows, "category string, prop_snps double, " + ", ".join(f"{c} double" for c in five) + ", coefficient_1000 double, coefficient_se_1000 double, coefficient_z double")
+    rows = [
+        (
+            x["category"], round(x["prop_snps"], 6), *(round(x[k], 5) for k in five), round(1000 * x["coefficient"], 7),
+            round(1000 * x["coefficient_se"], 7), round(x["coefficient_z"], 5)
+        ) for x in regression.overlap_results(fit, matrix, total)
+    ]
+    return v.spark.createDataFrame(
+        rows,
+        "category string, prop_snps double, " + ", ".join(f"{c} double" for c in five) + ", coefficient_1000 double, coefficient_se_1000 double, coefficient_z double"
+    )
 
 
 @query(regression_sql.cell_types(_REG), "v_sumstats", "v_ld")
@@ -266,7 +324,10 @@ def h2_cell_type(v: Views) -> DataFrame:
     tissue = lambda reg: reg.withColumn("tissueL2", F.col("codingL2") * F.pmod("_i", F.lit(3)))
     sets = [("coding", ["codingL2"], [400.0]), ("tissue", ["tissueL2"], [300.0])]
     rows = regressed(v, lambda reg: regression.cell_types(reg, sets, ["L2"], [1000.0]), tissue)
-    return v.spark.createDataFrame([(x["name"], round(1000 * x["coefficient"], 7), round(1000 * x["coefficient_se"], 7)) for x in rows], "name string, coefficient_1000 double, coefficient_se_1000 double")
+    return v.spark.createDataFrame(
+        [(x["name"], round(1000 * x["coefficient"], 7), round(1000 * x["coefficient_se"], 7)) for x in rows],
+        "name string, coefficient_1000 double, coefficient_se_1000 double"
+    )
 
 
 def _two_traits(reg: DataFrame) -> DataFrame:
@@ -280,7 +341,10 @@ def _two_traits(reg: DataFrame) -> DataFrame:
 def rg_pair(v: Views) -> DataFrame:
     """Without the P value, whose distribution has no SQL."""
     c = regressed(v, lambda reg: regression.correlation(reg, ["L2"], [1000.0]), _two_traits)
-    found = {"rg": c.rg, "se": c.se, "h2_1": c.h1.h2, "h2_2": c.h2.h2, "gcov": c.gencov.rho, "gcov_int": c.gencov.intercept, "mean_z1z2": c.gencov.mean_z1z2}
+    found = {
+        "rg": c.rg, "se": c.se, "h2_1": c.h1.h2, "h2_2": c.h2.h2, "gcov": c.gencov.rho, "gcov_int": c.gencov.intercept,
+        "mean_z1z2": c.gencov.mean_z1z2
+    }
     return _row(v, **{k: round(x, 5) for k, x in found.items()}, z=round(c.z, 4))
 
 
@@ -295,19 +359,34 @@ def maf_stats(v: Views) -> DataFrame:
     return ldscore.snp_stats(v.geno).select("CHR", "pos", r("maf").alias("maf"))
 
 
-@query(f"{_STD} SELECT CHR, pos, round(list_sum(x), 6) + 0.0 AS total, round(list_sum(list_transform(x, lambda y: y * y)), 6) AS norm, round(x[1], 6) AS first FROM x", "v_geno")
+@query(
+    f"{_STD} SELECT CHR, pos, round(list_sum(x), 6) + 0.0 AS total, round(list_sum(list_transform(x, lambda y: y * y)), 6) AS "
+    f"norm, round(x[1], 6) AS first FROM x",
+    "v_geno",
+)
 def genotype_standardize(v: Views) -> DataFrame:
     df = ldscore.standardised(v.geno)
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, y: s + y)
-    return df.select("CHR", "pos", (r(total("x")) + 0.0).alias("total"), r(total(F.transform("x", lambda y: y * y))).alias("norm"), r(F.col("x")[0]).alias("first"))
+    return df.select(
+        "CHR", "pos", (r(total("x")) + 0.0).alias("total"), r(total(F.transform("x", lambda y: y * y))).alias("norm"),
+        r(F.col("x")[0]).alias("first")
+    )
 
 
-@query(f"{_STD} SELECT CHR, pos, round(CASE WHEN list_sum(list_transform(x, lambda y: y * y)) > 0 THEN list_sum(list_transform(x, lambda y: power(y, 4))) / power(list_sum(list_transform(x, lambda y: y * y)), 2) ELSE 0 END, 6) AS kappa FROM x", "v_geno")
+@query(
+    f"{_STD} SELECT CHR, pos, round(CASE WHEN list_sum(list_transform(x, lambda y: y * y)) > 0 THEN list_sum(list_transform(x, "
+    f"lambda y: power(y, 4))) / power(list_sum(list_transform(x, lambda y: y * y)), 2) ELSE 0 END, 6) AS kappa FROM x",
+    "v_geno",
+)
 def genotype_kurtosis(v: Views) -> DataFrame:
     return ldscore.standardised(v.geno).select("CHR", "pos", r(ldscore.kurtosis(F.col("x"))).alias("kappa"))
 
 
-@query("SELECT CHR, pos, min(pos) OVER (PARTITION BY CHR ORDER BY BP RANGE BETWEEN 500000 PRECEDING AND CURRENT ROW) AS block_left FROM v_bim", "v_bim")
+@query(
+    "SELECT CHR, pos, min(pos) OVER (PARTITION BY CHR ORDER BY BP RANGE BETWEEN 500000 PRECEDING AND CURRENT ROW) AS block_left "
+    "FROM v_bim",
+    "v_bim",
+)
 def block_left_kb(v: Views) -> DataFrame:
     return windows.block_left_kb(v.bim, 500).select("CHR", "pos", "block_left")
 
@@ -330,7 +409,10 @@ _PAIR = ", p AS (SELECT a.CHR, a.pos AS i, b.pos AS j, list_inner_product(a.x, b
 
 def _score_sql(head: str, weights: dict[str, str]) -> str:
     both = ", u AS (SELECT CHR, i AS pos, j AS other, r2 FROM q UNION ALL SELECT CHR, j, i, r2 FROM q)"
-    sums = ", ".join(f"round(any_value({w.replace('@', 'm')}) + coalesce(sum(r2 * {w.replace('@', 'o')}), 0), 5) AS {name}" for name, w in weights.items())
+    sums = ", ".join(
+        f"round(any_value({w.replace('@', 'm')}) + coalesce(sum(r2 * {w.replace('@', 'o')}), 0), 5) AS {name}" for name,
+        w in weights.items()
+    )
     return f"{_LEFT}{head}{_PAIR}{both} SELECT m.CHR, m.pos, {sums} FROM c m LEFT JOIN u ON u.CHR = m.CHR AND u.pos = m.pos LEFT JOIN c o ON o.CHR = m.CHR AND o.pos = u.other GROUP BY m.CHR, m.pos"
 
 
@@ -377,7 +459,9 @@ _GLOBAL = f"""{_LEFT}, g AS (SELECT (CHR - 1) * 125 + pos AS place, (CHR - 1) *
 def ld_score_global_pass(v: Views) -> DataFrame:
     """Positions run over the whole table, so pairs of a chunk may cross chromosomes."""
     df = windows.block_left_kb(ldscore.standardised(v.geno), 200)
-    df = df.withColumns({"pos": (F.col("CHR") - 1) * 125 + F.col("pos"), "block_left": (F.col("CHR") - 1) * 125 + F.col("block_left"), "all": F.lit(0)})
+    df = df.withColumns(
+        {"pos": (F.col("CHR") - 1) * 125 + F.col("pos"), "block_left": (F.col("CHR") - 1) * 125 + F.col("block_left"), "all": F.lit(0)}
+    )
     got = ldscore.scores(windows.effective_left(df, 50, "all").withColumn("a", F.array(F.lit(1.0))), 64, "all")
     return got.select("pos", r(F.col("l2")[0], 5).alias("L2"))
 
@@ -393,15 +477,25 @@ def ld_score_sketch(v: Views) -> DataFrame:
 _DISC = "((29.0 - n % 3) * (29.0 - n % 3) + 8 * ((32.0 - n % 3) * t - 1))"
 
 
-@query(f"WITH t AS (SELECT num AS n, maf AS t FROM v_ld) SELECT n, round(CASE WHEN {_DISC} < 0 THEN 0 ELSE (-(29.0 - n % 3) + sqrt({_DISC})) / 4 END, 6) + 0.0 AS r2 FROM t", "v_ld")
+@query(
+    f"WITH t AS (SELECT num AS n, maf AS t FROM v_ld) SELECT n, round(CASE WHEN {_DISC} < 0 THEN 0 ELSE (-(29.0 - n % 3) + "
+    f"sqrt({_DISC})) / 4 END, 6) + 0.0 AS r2 FROM t",
+    "v_ld",
+)
 def sketch_correction(v: Views) -> DataFrame:
     d = 32 - F.pmod("num", F.lit(3))
     return v.ld.select(F.col("num").alias("n"), (r(C.sketch_r2(F.col("maf"), d.cast("double"))) + 0.0).alias("r2"))
 
 
-@query("SELECT CHR, CAST(count(*) AS DOUBLE) AS M, CAST(coalesce(sum(CASE WHEN maf > 0.05 THEN 1 END), 0) AS DOUBLE) AS M_5_50 FROM v_ld GROUP BY CHR", "v_ld")
+@query(
+    "SELECT CHR, CAST(count(*) AS DOUBLE) AS M, CAST(coalesce(sum(CASE WHEN maf > 0.05 THEN 1 END), 0) AS DOUBLE) AS M_5_50 FROM "
+    "v_ld GROUP BY CHR",
+    "v_ld",
+)
 def m_5_50(v: Views) -> DataFrame:
-    return ldscore.counts(v.ld.withColumn("one", F.lit(1.0)), ["one"], ["CHR"]).select("CHR", F.col("one_M").alias("M"), F.col("one_M_5_50").alias("M_5_50"))
+    return ldscore.counts(v.ld.withColumn("one", F.lit(1.0)), ["one"], ["CHR"]).select(
+        "CHR", F.col("one_M").alias("M"), F.col("one_M_5_50").alias("M_5_50")
+    )
 
 
 _DESC = "SELECT '{c}' AS \"column\", count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS sd, min({c}) AS min, round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS median, round(quantile_cont({c}, 0.75), 6) AS q75, max({c}) AS max FROM v_ld"
@@ -413,7 +507,11 @@ def ld_summary(v: Views) -> DataFrame:
     return got.select("column", "n", *[r(c).alias(c) for c in ("mean", "sd")], "min", *[r(c).alias(c) for c in ("q25", "median", "q75")], "max")
 
 
-@query("SELECT 'maf' AS a, 'maf' AS b, round(corr(maf, maf), 6) AS r FROM v_ld UNION ALL SELECT 'maf', 'L2', round(corr(maf, L2), 6) FROM v_ld UNION ALL SELECT 'L2', 'L2', round(corr(L2, L2), 6) FROM v_ld", "v_ld")
+@query(
+    "SELECT 'maf' AS a, 'maf' AS b, round(corr(maf, maf), 6) AS r FROM v_ld UNION ALL SELECT 'maf', 'L2', round(corr(maf, L2), 6) "
+    "FROM v_ld UNION ALL SELECT 'L2', 'L2', round(corr(L2, L2), 6) FROM v_ld",
+    "v_ld",
+)
 def maf_ld_corr(v: Views) -> DataFrame:
     return frames.correlations(v.ld, ["maf", "L2"]).select("a", "b", r("r").alias("r"))
 
@@ -444,18 +542,31 @@ def interval_merge(v: Views) -> DataFrame:
     return annotations.merged(v.intervals, 100)
 
 
-@query(f"{_MERGED} SELECT b.CHR, b.BP, b.SNP, CAST(EXISTS (SELECT 1 FROM m WHERE m.CHR = b.CHR AND m.s < b.BP AND b.BP <= m.e) AS INTEGER) AS ANNOT FROM v_bim b", "v_intervals", "v_bim")
+@query(
+    f"{_MERGED} SELECT b.CHR, b.BP, b.SNP, CAST(EXISTS (SELECT 1 FROM m WHERE m.CHR = b.CHR AND m.s < b.BP AND b.BP <= m.e) AS "
+    f"INTEGER) AS ANNOT FROM v_bim b",
+    "v_intervals", "v_bim",
+)
 def interval_annotate(v: Views) -> DataFrame:
     return annotations.in_intervals(v.bim.select("CHR", "BP", "SNP"), annotations.merged(v.intervals, 100))
 
 
-@query("SELECT b.CHR, b.BP, b.SNP, coalesce((SELECT max_by(CAST(b.BP <= i.e AS INTEGER), (i.s, i.e)) FROM v_intervals i WHERE i.CHR = b.CHR AND i.s < b.BP), 0) AS ANNOT FROM v_bim b", "v_intervals", "v_bim")
+@query(
+    "SELECT b.CHR, b.BP, b.SNP, coalesce((SELECT max_by(CAST(b.BP <= i.e AS INTEGER), (i.s, i.e)) FROM v_intervals i WHERE i.CHR "
+    "= b.CHR AND i.s < b.BP), 0) AS ANNOT FROM v_bim b",
+    "v_intervals", "v_bim",
+)
 def interval_annotate_unmerged(v: Views) -> DataFrame:
     """Without merging only the last interval that starts before the SNP counts."""
     return annotations.in_intervals(v.bim.select("CHR", "BP", "SNP"), v.intervals)
 
 
-@query('WITH g AS (SELECT CHR, greatest("START" - 5000, 0) AS s, "END" + 5000 AS e FROM v_genes WHERE s_acctbal > 0) SELECT b.CHR, b.BP, b.SNP, CAST(EXISTS (SELECT 1 FROM g WHERE g.CHR = b.CHR AND g.s < b.BP AND b.BP <= g.e) AS INTEGER) AS GENESET FROM v_bim b', "v_genes", "v_bim")
+@query(
+    'WITH g AS (SELECT CHR, greatest("START" - 5000, 0) AS s, "END" + 5000 AS e FROM v_genes WHERE s_acctbal > 0) SELECT b.CHR, '
+    'b.BP, b.SNP, CAST(EXISTS (SELECT 1 FROM g WHERE g.CHR = b.CHR AND g.s < b.BP AND b.BP <= g.e) AS INTEGER) AS GENESET FROM '
+    'v_bim b',
+    "v_genes", "v_bim",
+)
 def gene_set_annotate(v: Views) -> DataFrame:
     genes = v.genes
     spans = annotations.merged(annotations.gene_intervals(genes.where("s_acctbal > 0"), genes.select("GENE", "CHR", "START", "END")), 5000)
@@ -471,7 +582,11 @@ def cts_bins(v: Views) -> DataFrame:
     return v.ld.select("SNP", annotations.bin_of(F.col("maf"), annotations.edges([0.1, 0.25], low, high)[0]).alias("bin"))
 
 
-_HOT = {f"maf_{a}_L2_{b}": f"{x} AND {y}" for a, x in (("min_0.1", "maf <= 0.1"), ("0.1_0.25", "maf > 0.1 AND maf <= 0.25"), ("0.25_max", "maf > 0.25")) for b, y in (("min_10", "L2 <= 10"), ("10_max", "L2 > 10"))}
+_HOT = {
+    f"maf_{a}_L2_{b}": f"{x} AND {y}" for a,
+    x in (("min_0.1", "maf <= 0.1"), ("0.1_0.25", "maf > 0.1 AND maf <= 0.25"), ("0.25_max", "maf > 0.25")) for b,
+    y in (("min_10", "L2 <= 10"), ("10_max", "L2 > 10"))
+}
 
 
 @query("SELECT SNP, " + ", ".join(f'CAST({c} AS INTEGER) AS "{n}"' for n, c in _HOT.items()) + " FROM v_ld", "v_ld")
@@ -480,6 +595,11 @@ def cts_onehot(v: Views) -> DataFrame:
     return df.select("SNP", *[F.col(f"`{n}`") for n in names])
 
 
-@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, CAST(coalesce(sum({a} * {b}), 0) AS DOUBLE) AS value FROM v_annot WHERE FRQ > 0.05 AND FRQ < 0.95" for a in ("base", "coding", "enh") for b in ("base", "coding", "enh")), "v_annot")
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, CAST(coalesce(sum({a} * {b}), 0) AS DOUBLE) AS value FROM v_annot WHERE FRQ > 0.05 AND FRQ < 0.95" for a in ("base", "coding", "enh") for b in ("base", "coding", "enh")
+    ),
+    "v_annot"
+)
 def annot_overlap(v: Views) -> DataFrame:
     return annotations.overlap(v.annot, ["base", "coding", "enh"])

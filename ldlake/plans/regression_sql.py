@@ -132,7 +132,9 @@ def cell_types(reg: str) -> str:
     for tag, (name, m) in zip("uv", (("coding", 400), ("tissue", 300))):
         body = partitioned("", [f"{name}L2", "L2"], [m, 1000], tag, "cts").replace("given", f"given{tag}")
         text += body
-        parts.append(f"SELECT '{name}' AS name, round({tag}f.f0 / nb * 1000, 7) AS coefficient_1000, round(any_value(se) * 1000, 7) AS coefficient_se_1000 FROM {tag}f, given{tag}, (SELECT {spread(pseudo('f0 / nb', 'd0 / nb'))} AS se FROM {tag}d, {tag}f, given{tag}) GROUP BY {tag}f.f0, nb")
+        parts.append(
+            f"SELECT '{name}' AS name, round({tag}f.f0 / nb * 1000, 7) AS coefficient_1000, round(any_value(se) * 1000, 7) AS coefficient_se_1000 FROM {tag}f, given{tag}, (SELECT {spread(pseudo('f0 / nb', 'd0 / nb'))} AS se FROM {tag}d, {tag}f, given{tag}) GROUP BY {tag}f.f0, nb"
+        )
     return text + " " + " UNION ALL ".join(parts)
 
 

@@ -56,7 +56,10 @@ def _ordered(df: DataFrame, names: list[str]) -> DataFrame:
         inside = F.startswith(at, F.lit(name + "/"))
         file = F.when((at == name) | inside, F.lit(i)).otherwise(file)
         part = F.when(inside, F.substring(at, len(name) + 2, 1 << 20)).otherwise(part)
-    return df.withColumn("_row", F.struct(file.alias("f"), part.alias("p"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m")))
+    return df.withColumn(
+        "_row",
+        F.struct(file.alias("f"), part.alias("p"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
+    )
 
 
 def _unpacked_lines(spark: SparkSession, files: list[tuple[int, str]], skip: int) -> DataFrame:
@@ -103,7 +106,10 @@ def lines(spark: SparkSession, files: str | list[str], header: bool = False) ->
     out = None
     if plain:
         # one column up to a character that no table has; this reader leaves out each file's first line
-        rows = spark.read.schema("value string").csv(plain, sep="\x01", header=header, quote="", escape="", comment="", nullValue="\x01", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, maxCharsPerColumn=-1) if header else spark.read.text(plain)
+        rows = spark.read.schema("value string").csv(
+            plain, sep="\x01", header=header, quote="", escape="", comment="", nullValue="\x01", ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False, maxCharsPerColumn=-1
+        ) if header else spark.read.text(plain)
         out = _ordered(rows, [_bare(n) for n in names]).select("value", "_row")
     if blocked:
         more = _unpacked_lines(spark, blocked, int(header))
@@ -237,7 +243,11 @@ def read_bim(spark: SparkSession, path: str, chromosomes: list[int] | None = Non
     from ..operators.frames import numbered
 
     c = F.split("value", "\t", -1)
-    rows = lines(spark, path).select(integer_or_zero(c[0], "int").alias("CHR"), F.get(c, F.lit(1)).alias("SNP"), F.coalesce(F.get(c, F.lit(2)).try_cast("double"), F.lit(0.0)).alias("CM"), integer_or_zero(F.get(c, F.lit(3))).alias("BP"), F.size(c).alias("_n"), "_row")
+    rows = lines(spark, path).select(
+        integer_or_zero(c[0], "int").alias("CHR"), F.get(c, F.lit(1)).alias("SNP"),
+        F.coalesce(F.get(c, F.lit(2)).try_cast("double"), F.lit(0.0)).alias("CM"), integer_or_zero(F.get(c, F.lit(3))).alias("BP"),
+        F.size(c).alias("_n"), "_row"
+    )
     rows = rows.where(F.assert_true(F.col("_n") >= 6, "a BIM line needs six tab-separated fields").isNull()).drop("_n")
     rows = numbered(rows, [F.col("_row")], "bed_idx")
     return rows.where(F.col("CHR").isin(*chromosomes)) if chromosomes else rows
@@ -304,7 +314,9 @@ def _chromosome(c: Column) -> Column:
 
 def _whole(c: Column, what: str) -> Column:
     """A whole number; anything else is an error when it is read."""
-    return F.coalesce(c.try_cast("long"), F.raise_error(F.concat(F.lit(f"{what} isn't a whole number: "), F.coalesce(c, F.lit("missing")))).cast("long"))
+    return F.coalesce(
+        c.try_cast("long"), F.raise_error(F.concat(F.lit(f"{what} isn't a whole number: "), F.coalesce(c, F.lit("missing")))).cast("long")
+    )
 
 
 def read_regions(spark: SparkSession, path: str) -> DataFrame:
@@ -325,7 +337,9 @@ def read_gene_coordinates(spark: SparkSession, path: str, genes: DataFrame | Non
     rows = rows.select(c[0].alias("GENE"), F.get(c, F.lit(1)).alias("c"), F.get(c, F.lit(2)).alias("s"), F.get(c, F.lit(3)).alias("e"))
     if genes is not None:
         rows = rows.join(genes, "GENE", "left_semi")
-    return rows.select("GENE", _chromosome(F.col("c")).alias("CHR"), _whole(F.col("s"), "START").alias("START"), _whole(F.col("e"), "END").alias("END"))
+    return rows.select(
+        "GENE", _chromosome(F.col("c")).alias("CHR"), _whole(F.col("s"), "START").alias("START"), _whole(F.col("e"), "END").alias("END")
+    )
 
 
 def biobank_sumstats(df: DataFrame, population: str, p_scale: str = "neglog10") -> DataFrame:

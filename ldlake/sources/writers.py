@@ -50,7 +50,9 @@ def _join_parts(spark: SparkSession, parts: list, head: str, path: str) -> None:
 
 
 def _csv(writer, path: str, packed: bool) -> None:
-    writer.mode("overwrite").option("maxRecordsPerFile", 0).csv(path, sep="\t", header=False, compression="gzip" if packed else "none", quote="", emptyValue="", escape="")
+    writer.mode("overwrite").option("maxRecordsPerFile", 0).csv(
+        path, sep="\t", header=False, compression="gzip" if packed else "none", quote="", emptyValue="", escape=""
+    )
 
 
 def write_table(df: DataFrame, path: str, order: list[Column] | None = None, formats: dict[str, str] | None = None) -> None:
@@ -122,7 +124,10 @@ def overlap_table(rows: list[dict], coefficients: bool = False) -> str:
         head += ["Coefficient", "Coefficient_std_error", "Coefficient_z-score"]
     out = ["\t".join(head)]
     for r in rows:
-        cells = [r["category"], *[f"{r[k]:.6f}" for k in ("prop_snps", "prop_h2", "prop_h2_se", "enrichment", "enrichment_se")], "NA" if r["enrichment_p"] is None else str(r["enrichment_p"])]
+        cells = [
+            r["category"], *[f"{r[k]:.6f}" for k in ("prop_snps", "prop_h2", "prop_h2_se", "enrichment", "enrichment_se")],
+            "NA" if r["enrichment_p"] is None else str(r["enrichment_p"])
+        ]
         if coefficients:
             cells += [f"{r['coefficient']:.6e}", f"{r['coefficient_se']:.6e}", f"{r['coefficient_z']:.6f}"]
         out.append("\t".join(cells))
@@ -139,7 +144,13 @@ def category_table(fit) -> str:
 
 def correlation_table(traits: list[str], found: list) -> str:
     """The summary of the first trait against each other; what is out of bounds stands as it is."""
-    rows = [(traits[0], name, c.rg, c.se, c.z, c.p, c.h2.h2, c.h2.se, c.h2.intercept, c.h2.intercept_se, c.gencov.intercept, c.gencov.intercept_se) for name, c in zip(traits[1:], found)]
+    rows = [
+        (
+            traits[0], name, c.rg, c.se, c.z, c.p, c.h2.h2, c.h2.se, c.h2.intercept, c.h2.intercept_se, c.gencov.intercept,
+            c.gencov.intercept_se
+        ) for name,
+        c in zip(traits[1:], found)
+    ]
     head = ("p1", "p2", "rg", "se", "z", "p", "h2_obs", "h2_obs_se", "h2_int", "h2_int_se", "gcov_int", "gcov_int_se")
     wide = [max(2, *(len(r[k]) for r in rows)) for k in (0, 1)] if rows else [2, 2]
     wide += [8, 8, 8, 8, 8, 10, 8, 10, 9, 12]

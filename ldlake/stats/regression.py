@@ -54,7 +54,9 @@ def gram(df: DataFrame, xs: list[Column], y: Column, w: Column, block: Column |
     return xx, xy
 
 
-def reweighted(df: DataFrame, xs: list[Column], y: Column, w: Column, update: Callable[[np.ndarray], Column], block: Column, blocks: int) -> Jackknife:
+def reweighted(
+    df: DataFrame, xs: list[Column], y: Column, w: Column, update: Callable[[np.ndarray], Column], block: Column, blocks: int
+) -> Jackknife:
     """Two rounds of new weights from the estimate, then the jackknife."""
     for _ in range(2):
         xx, xy = gram(df, xs, y, w)
@@ -93,14 +95,20 @@ def _totals(jk: Jackknife, m: list[float], n_mean: float) -> tuple[float, float,
     return float(mv @ jk.est[:k] / n_mean), math.sqrt(max(float(mv @ cov @ mv), 0.0)), jk.delete[:, :k] @ mv / n_mean
 
 
-def heritability(df: DataFrame, ld: list[str], m: list[float], blocks: int = 200, step: float | None = None, intercept: float | None = None, chi2: str = "chi2", n: str = "N", w: str = "w_l2") -> Heritability:
+def heritability(
+    df: DataFrame, ld: list[str], m: list[float], blocks: int = 200, step: float | None = None, intercept: float | None = None,
+    chi2: str = "chi2", n: str = "N", w: str = "w_l2"
+) -> Heritability:
     """Total heritability with one or several LD columns (free or fixed intercept, one or two steps)."""
     if step is not None and (intercept is not None or len(ld) > 1):
         raise ValueError("two steps need a free intercept and one LD score column")
     y, nn, wl = F.col(chi2), F.col(n), F.col(w)
     total = sum((F.col(c) for c in ld[1:]), F.col(ld[0]))
     m_total = float(sum(m))
-    first = df.agg(F.count("*").alias("n"), F.avg(n).alias("n_mean"), F.avg(chi2).alias("y_mean"), F.avg(total * nn).alias("xn"), F.median(chi2).alias("median"), *([F.count_if(y < step).alias("n1")] if step is not None else [])).first()
+    first = df.agg(
+        F.count("*").alias("n"), F.avg(n).alias("n_mean"), F.avg(chi2).alias("y_mean"), F.avg(total * nn).alias("xn"),
+        F.median(chi2).alias("median"), *([F.count_if(y < step).alias("n1")] if step is not None else [])
+    ).first()
     n_all, n_mean = first["n"], first["n_mean"]
     blocks = min(n_all, blocks)
     start = 1.0 if intercept is None else intercept
@@ -109,7 +117,10 @@ def heritability(df: DataFrame, ld: list[str], m: list[float], blocks: int = 200
     k = len(ld)
     if step is not None:
         small, block = df.where(y < step), moved_blocks(df, y < step, first["n1"], blocks)
-        one = reweighted(small, [*xs, F.lit(1.0)], y, w0, lambda c: regression_weight(xs[0], wl, nn, m_total, m_total * c[0] / n_mean, c[1]), block, blocks)
+        one = reweighted(
+            small, [*xs, F.lit(1.0)], y, w0, lambda c: regression_weight(xs[0], wl, nn, m_total, m_total * c[0] / n_mean, c[1]), block,
+            blocks
+        )
         int1 = float(one.est[1])
         two = reweighted(df, xs, y - int1, w0, lambda c: regression_weight(total, wl, nn, m_total, m_total * c[0] / n_mean, int1), block, blocks)
         c = df.agg((F.sum(w0 * xs[0]) / F.sum(w0 * xs[0] * xs[0])).alias("c")).first()["c"]
@@ -121,7 +132,10 @@ def heritability(df: DataFrame, ld: list[str], m: list[float], blocks: int = 200
     h2, se, delete = _totals(jk, m, n_mean)
     a, a_se = (float(jk.est[k]), float(jk.se[k])) if intercept is None else (float(intercept), math.nan)
     known = intercept is None and first["y_mean"] > 1
-    return Heritability(h2, se, a, a_se, first["y_mean"], first["median"] / MEDIAN_CHI2, (a - 1) / (first["y_mean"] - 1) if known else math.nan, a_se / (first["y_mean"] - 1) if known else math.nan, delete, jk)
+    return Heritability(
+        h2, se, a, a_se, first["y_mean"], first["median"] / MEDIAN_CHI2, (a - 1) / (first["y_mean"] - 1) if known else math.nan,
+        a_se / (first["y_mean"] - 1) if known else math.nan, delete, jk
+    )
 
 
 @dataclass(frozen=True)
@@ -147,7 +161,10 @@ class Partitioned:
         return np.where(share > 1e-12, self.prop / np.where(share > 1e-12, share, 1), np.nan)
 
 
-def partitioned(df: DataFrame, ld: list[str], m: list[float], blocks: int = 200, intercept: float | None = None, chi2: str = "chi2", n: str = "N", w: str = "w_l2") -> Partitioned:
+def partitioned(
+    df: DataFrame, ld: list[str], m: list[float], blocks: int = 200, intercept: float | None = None, chi2: str = "chi2", n: str = "N",
+    w: str = "w_l2"
+) -> Partitioned:
     """Stratified regression: one weighted fit with the start weights, then the jackknife."""
     y, nn = F.col(chi2), F.col(n)
     total = sum((F.col(c) for c in ld[1:]), F.col(ld[0]))
@@ -161,7 +178,10 @@ def partitioned(df: DataFrame, ld: list[str], m: list[float], blocks: int = 200,
     k = len(ld)
     coef, mv = jk.est[:k] / n_mean, np.array(m, float)
     cov = jk.cov[:k, :k] / n_mean**2
-    return Partitioned(list(ld), mv, coef, np.sqrt(np.maximum(np.diag(cov), 0)), cov, coef * mv, float(coef @ mv), float(jk.est[k]) if intercept is None else float(intercept), n_mean, blocks, jk)
+    return Partitioned(
+        list(ld), mv, coef, np.sqrt(np.maximum(np.diag(cov), 0)), cov, coef * mv, float(coef @ mv),
+        float(jk.est[k]) if intercept is None else float(intercept), n_mean, blocks, jk
+    )
 
 
 def overlap_results(fit: Partitioned, overlap: np.ndarray, m_tot: int) -> list[dict]:
@@ -176,7 +196,10 @@ def overlap_results(fit: Partitioned, overlap: np.ndarray, m_tot: int) -> list[d
     prop_se = np.sqrt(np.maximum(np.diag(share @ prop_cov @ share.T), 0))
     prop_m = fit.m / m_tot if m_tot else np.full(k, np.nan)
     rest = m_tot - fit.m
-    diff = np.where(np.abs(rest[:, None]) < 1e-12, 0.0, overlap / fit.m[:, None] - (fit.m[None, :] - overlap) / np.where(np.abs(rest) < 1e-12, 1, rest)[:, None])
+    diff = np.where(
+        np.abs(rest[:, None]) < 1e-12, 0.0,
+        overlap / fit.m[:, None] - (fit.m[None, :] - overlap) / np.where(np.abs(rest) < 1e-12, 1, rest)[:, None]
+    )
     est = diff @ fit.coef
     se = np.sqrt(np.maximum(np.diag(diff @ fit.coef_cov @ diff.T), 0))
     return [
@@ -191,14 +214,22 @@ def overlap_results(fit: Partitioned, overlap: np.ndarray, m_tot: int) -> list[d
     ]
 
 
-def cell_types(df: DataFrame, sets: list[tuple[str, list[str], list[float]]], base: list[str], m_base: list[float], blocks: int = 200, intercept: float | None = None, first: int = 1) -> list[dict]:
+def cell_types(
+    df: DataFrame, sets: list[tuple[str, list[str], list[float]]], base: list[str], m_base: list[float], blocks: int = 200,
+    intercept: float | None = None, first: int = 1
+) -> list[dict]:
     """For each labelled set of LD columns: its ``first`` coefficients (name, name_1, ...) beside the baseline, one-sided P; ascending P."""
     out = []
     for name, columns, m in sets:
         fit = partitioned(df, [*columns, *base], [*m, *m_base], blocks, intercept)
         for i in range(min(first, len(fit.coef))):
             z = fit.coef[i] / fit.coef_se[i] if fit.coef_se[i] else math.nan
-            out.append({"name": f"{name}_{i}" if i else name, "coefficient": float(fit.coef[i]), "coefficient_se": float(fit.coef_se[i]), "p": float(normal_sf(float(z)))})
+            out.append(
+                {
+                    "name": f"{name}_{i}" if i else name, "coefficient": float(fit.coef[i]), "coefficient_se": float(fit.coef_se[i]),
+                    "p": float(normal_sf(float(z)))
+                }
+            )
     return sorted(out, key=lambda r: (math.isnan(r["p"]), r["p"]))
 
 
@@ -212,7 +243,10 @@ class Covariance:
     delete: np.ndarray
 
 
-def covariance(df: DataFrame, ld: list[str], m: list[float], h1: Heritability, h2: Heritability, blocks: int = 200, step: float | None = None, intercept: float | None = None) -> Covariance:
+def covariance(
+    df: DataFrame, ld: list[str], m: list[float], h1: Heritability, h2: Heritability, blocks: int = 200, step: float | None = None,
+    intercept: float | None = None
+) -> Covariance:
     """Genetic covariance of Z1 and Z2 (columns Z1, Z2, N1, N2)."""
     if step is not None and (intercept is not None or len(ld) > 1):
         raise ValueError("two steps need a free intercept and one LD score column")
@@ -220,7 +254,10 @@ def covariance(df: DataFrame, ld: list[str], m: list[float], h1: Heritability, h
     total = sum((F.col(c) for c in ld[1:]), F.col(ld[0]))
     m_total, k = float(sum(m)), len(ld)
     small_mask = (F.col("Z1") * F.col("Z1") < step) & (F.col("Z2") * F.col("Z2") < step) if step is not None else F.lit(False)
-    first = df.agg(F.count("*").alias("n"), F.avg(n12).alias("n_mean"), F.avg(y).alias("y_mean"), F.avg(total * n12).alias("xn"), F.count_if(small_mask).alias("n1")).first()
+    first = df.agg(
+        F.count("*").alias("n"), F.avg(n12).alias("n_mean"), F.avg(y).alias("y_mean"), F.avg(total * n12).alias("xn"),
+        F.count_if(small_mask).alias("n1")
+    ).first()
     n_mean, blocks = first["n_mean"], min(first["n"], blocks)
     start = 0.0 if intercept is None else intercept
 
@@ -237,7 +274,10 @@ def covariance(df: DataFrame, ld: list[str], m: list[float], h1: Heritability, h
         jk = two_step(one, two, df.agg((F.sum(w0 * xs[0]) / F.sum(w0 * xs[0] * xs[0])).alias("c")).first()["c"])
     else:
         free = intercept is None
-        jk = reweighted(df, [*xs, F.lit(1.0)] if free else xs, y if free else y - intercept, w0, lambda c: weight(total, m_total * c[0] / n_mean, c[k] if free else intercept), block_of(F.col("_i"), first["n"], blocks), blocks)
+        jk = reweighted(
+            df, [*xs, F.lit(1.0)] if free else xs, y if free else y - intercept, w0,
+            lambda c: weight(total, m_total * c[0] / n_mean, c[k] if free else intercept), block_of(F.col("_i"), first["n"], blocks), blocks
+        )
     rho, se, delete = _totals(jk, m, n_mean)
     a, a_se = (float(jk.est[k]), float(jk.se[k])) if intercept is None else (float(intercept), math.nan)
     return Covariance(rho, se, a, a_se, first["y_mean"], delete)
@@ -255,7 +295,10 @@ class Correlation:
     gencov: Covariance
 
 
-def correlation(df: DataFrame, ld: list[str], m: list[float], blocks: int = 200, step: float | None = None, intercepts: tuple[float | None, float | None, float | None] = (None, None, None), silly: bool = False) -> Correlation:
+def correlation(
+    df: DataFrame, ld: list[str], m: list[float], blocks: int = 200, step: float | None = None,
+    intercepts: tuple[float | None, float | None, float | None] = (None, None, None), silly: bool = False
+) -> Correlation:
     """Genetic correlation of a pair; status says what is out of bounds, the numbers stay raw."""
     both = df.withColumns({"_c1": F.col("Z1") * F.col("Z1"), "_c2": F.col("Z2") * F.col("Z2")})
     h1 = heritability(both, ld, m, blocks, step, intercepts[0], "_c1", "N1")

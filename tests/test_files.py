@@ -20,7 +20,10 @@ def study_rows():
     rng = np.random.default_rng(41)
     for i in range(STUDY):
         effect, allele = rng.normal(0, 0.02), ("AG", "CA", "TC", "GA")[i % 4]
-        row = {"SNP": f"rs{7 * i + 3}", "A1": allele[0].lower(), "A2": allele[1], "BETA": f"{effect:.5f}", "P": f"{rng.uniform(0.001, 1):.4f}", "N": str(5000 + i % 4), "INFO": "0.97", "FRQ": f"{rng.uniform(0.1, 0.9):.3f}", "NOTE": "ok"}
+        row = {
+            "SNP": f"rs{7 * i + 3}", "A1": allele[0].lower(), "A2": allele[1], "BETA": f"{effect:.5f}", "P": f"{rng.uniform(0.001, 1):.4f}",
+            "N": str(5000 + i % 4), "INFO": "0.97", "FRQ": f"{rng.uniform(0.1, 0.9):.3f}", "NOTE": "ok"
+        }
         fault = i % 5 == 4
         if fault:
             row |= ({"INFO": "0.2"}, {"FRQ": "0.003"}, {"A2": allele[0]}, {"NOTE": "NA"}, {"P": "1.5"}, {"BETA": "."}, {"N": "20"})[i // 5 % 7]
@@ -47,7 +50,10 @@ def test_munge_and_h2(spark, sumstats, tmp_path):
     with gzip.open(tmp_path / "ref.gz", "wt") as f:
         f.write("CHR SNP BP L2\n" + "".join(f"1 {s} {i} {1 + i % 50}\n" for i, s in enumerate(kept)))
     with pytest.warns(UserWarning, match="200k"):
-        h, text = commands.run_h2(spark, str(tmp_path / "out.sumstats.gz"), str(tmp_path / "ref.gz"), str(tmp_path / "ref.gz"), opts=commands.RegressionOptions(samp_prev=0.5, pop_prev=0.01))
+        h, text = commands.run_h2(
+            spark, str(tmp_path / "out.sumstats.gz"), str(tmp_path / "ref.gz"), str(tmp_path / "ref.gz"),
+            opts=commands.RegressionOptions(samp_prev=0.5, pop_prev=0.01)
+        )
     assert text.startswith("Total Observed scale h2:") and "Liability" in text and np.isfinite(h.h2)
     pairs, text = commands.run_rg(spark, [str(tmp_path / "out.sumstats.gz")] * 2, str(tmp_path / "ref.gz"), str(tmp_path / "ref.gz"))
     assert len(pairs) == 1 and "Genetic Correlation" in text
@@ -63,7 +69,9 @@ def test_rows_are_numbered_by_file_order_at_every_size(spark, tmp_path):
     want = [f"{c}-{i}" for c in (2, 1) for i in range(500)]
     for parts in (1, 10):
         got = frames.numbered(df, [F.col("_row")], "_i", total="n", parts=parts).collect()
-        assert [r["x"] for r in sorted(got, key=lambda r: r["_i"])] == want and sorted(r["_i"] for r in got) == list(range(1000)) and {r["n"] for r in got} == {1000}
+        assert [
+            r["x"] for r in sorted(got, key=lambda r: r["_i"])
+        ] == want and sorted(r["_i"] for r in got) == list(range(1000)) and {r["n"] for r in got} == {1000}
     odd = spark.createDataFrame([(None, 1), ("b", 2), ("b", 3), ("a", 4)], "k string, v int")
     assert [r["v"] for r in sorted(frames.numbered(odd, [F.col("k"), F.col("v").desc()]).collect(), key=lambda r: r["_i"])] == [1, 4, 3, 2]
     assert frames.numbered(odd.limit(0), [F.col("k")]).count() == 0
@@ -72,7 +80,9 @@ def test_rows_are_numbered_by_file_order_at_every_size(spark, tmp_path):
 def test_table_rules(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x  y   z\n1 NA\n\n 2 .  3 \nx y z\nnan na q\n")
     df = readers.read_table(spark, str(tmp_path / "a.txt"))
-    assert [tuple(r) for r in df.orderBy("_row").select("x", "y", "z").collect()] == [("1", None, None), ("2", None, "3"), ("x", "y", "z"), (None, None, "q")]
+    assert [tuple(r) for r in df.orderBy("_row").select("x", "y", "z").collect()] == [
+        ("1", None, None), ("2", None, "3"), ("x", "y", "z"), (None, None, "q")
+    ]
     assert dict(readers.typed(df.where("x in ('1', '2')")).dtypes)["x"] == "double"
     with pytest.raises(ValueError):
         frames.rename(df, {"x": "y"})
@@ -109,7 +119,10 @@ def test_number_format(spark):
 
 
 def test_daner_and_names(spark):
-    row = spark.createDataFrame([(1, "rs1", "A", "C", 0.1, 0.2, 1.1, 0.01, 5.0, 7.0)], "_row long, snp string, a1 string, a2 string, FRQ_A_50 double, FRQ_U_70 double, `or` double, p double, Nca double, Nco double")
+    row = spark.createDataFrame(
+        [(1, "rs1", "A", "C", 0.1, 0.2, 1.1, 0.01, 5.0, 7.0)],
+        "_row long, snp string, a1 string, a2 string, FRQ_A_50 double, FRQ_U_70 double, `or` double, p double, Nca double, Nco double"
+    )
     got = munging.munge(row, munging.MungeOptions(daner=True, keep_maf=True)).first()
     assert (got["N"], got["FRQ"]) == (120.0, 0.2)
     assert munging.munge(row, munging.MungeOptions(daner_n=True)).first()["N"] == 12.0
@@ -166,7 +179,10 @@ def test_ld_scores(spark, tmp_path):
     assert readers.read_table(spark, str(tmp_path / "ld.l2.ldscore.gz")).count() == 60
     single = commands.run_l2(spark, path, None, commands.LdOptions(snps=5, snp_level_masking=True, fast_f32=True))
     assert np.allclose([r["L2"] for r in single["scores"].orderBy("bed_idx").collect()], l2, atol=1e-5)
-    for opts in (commands.LdOptions(kb=5, per_allele=True), commands.LdOptions(cm=0.1, maf=0.05, sketch=10), commands.LdOptions(snps=5, global_pass=True)):
+    for opts in (
+        commands.LdOptions(kb=5, per_allele=True), commands.LdOptions(cm=0.1, maf=0.05, sketch=10),
+        commands.LdOptions(snps=5, global_pass=True)
+    ):
         assert commands.run_l2(spark, path, None, opts)["scores"].count() > 0
     (tmp_path / "keep.txt").write_text("# some\n" + "".join(f"f{i} i{i}\n" for i in range(0, 23, 2)))
     got = commands.run_l2(spark, path, None, commands.LdOptions(snps=5, snp_level_masking=True, keep=str(tmp_path / "keep.txt")))
@@ -178,7 +194,9 @@ def test_ld_scores(spark, tmp_path):
         commands.LdOptions(cts_bin="x", cts_breaks="1", extract="y")
     text = writers.ld_summary(got["summary"].collect(), got["correlations"].collect(), got["columns"], "ld.l2.ldscore.gz")
     lines = text.splitlines()
-    assert lines[1] == "Summary of LD Scores in ld.l2.ldscore.gz" and lines[2].split() == ["MAF", "L2"] and [x.split()[0] for x in lines[3:10]] == ["mean", "std", "min", "25%", "50%", "75%", "max"]
+    assert lines[1] == "Summary of LD Scores in ld.l2.ldscore.gz" and lines[2].split() == ["MAF", "L2"] and [x.split()[0] for x in lines[3:10]] == [
+        "mean", "std", "min", "25%", "50%", "75%", "max"
+    ]
     assert lines[11] == "MAF/LD Score Correlation Matrix" and lines[13].split()[1] == "1.0000"
 
 
@@ -222,7 +240,9 @@ def test_runs_of_chromosomes_and_annotations_by_chromosome(spark, tmp_path):
 
 def test_regions_of_odd_chromosomes_and_numbers(spark, tmp_path):
     (tmp_path / "r.bed").write_text("track a\nchrX\t1\t5\nchr2\t10\t20\nMT\t1\t2\nchr07\t1\t2\n")
-    assert [tuple(r) for r in readers.read_regions(spark, str(tmp_path / "r.bed")).orderBy("s", "e").collect()] == [(None, 1, 2), (None, 1, 2), (None, 1, 5), (2, 10, 20)]
+    assert [
+        tuple(r) for r in readers.read_regions(spark, str(tmp_path / "r.bed")).orderBy("s", "e").collect()
+    ] == [(None, 1, 2), (None, 1, 2), (None, 1, 5), (2, 10, 20)]
     (tmp_path / "bad.bed").write_text("chr1\tx\t5\n")
     with pytest.raises(Exception, match="start isn't a whole number"):
         readers.read_regions(spark, str(tmp_path / "bad.bed")).collect()
@@ -252,7 +272,9 @@ def test_annotations(spark, tmp_path):
     assert got.columns[-1] == "r" and [r["SNP"] for r in got.where("r = 1").collect()] == ["rs0", "rs1", "rs2", "rs3", "rs30"]
     (tmp_path / "g.txt").write_text("G1\n")
     (tmp_path / "c.txt").write_text("GENE CHR START END\nG1 1 1500 2500\nG2 1 9000 9900\n")
-    got = commands.run_make_annot(spark, str(tmp_path / "x.bim"), None, gene_set=str(tmp_path / "g.txt"), gene_coords=str(tmp_path / "c.txt"), windowsize=600)
+    got = commands.run_make_annot(
+        spark, str(tmp_path / "x.bim"), None, gene_set=str(tmp_path / "g.txt"), gene_coords=str(tmp_path / "c.txt"), windowsize=600
+    )
     assert got.where("g = 1").count() == 3
     (tmp_path / "v.txt").write_text("".join(f"rs{i} {i / 60}\n" for i in range(60)))
     hot = commands.run_cts_annot(spark, str(tmp_path / "x.bim"), [str(tmp_path / "v.txt")], "0.25,0.5", None, ["V"])
@@ -296,7 +318,9 @@ def test_in_memory(spark):
     g = rng.integers(0, 3, (300, 40)).astype(np.int8)
     bim = "".join(f"{1 + i // 200}\trs{i}\t0\t{1000 * i}\tA\tC\n" for i in range(300))
     told = []
-    got = memory.l2_from_bytes(spark, plink.MAGIC + plink.encode_block(g), bim, 40, snps=5, chunk=None, progress=lambda done, all_: told.append((done, all_)))
+    got = memory.l2_from_bytes(
+        spark, plink.MAGIC + plink.encode_block(g), bim, 40, snps=5, chunk=None, progress=lambda done, all_: told.append((done, all_))
+    )
     assert told == [(200, 300), (300, 300)]
     assert got.count() == 300
     left = np.maximum(np.arange(300) - 5, (np.arange(300) // 200) * 200)
@@ -336,7 +360,11 @@ def test_result_files(spark, tmp_path):
         columns = ["oneL2", "twoL2"] if name == "base." else ["L2"]
         for c in (1, 2):
             at = range((c - 1) * n // 2, c * n // 2)
-            (tmp_path / f"{name}{c}.l2.ldscore").write_text("\t".join(["CHR", "SNP", "BP", *columns]) + "\n" + "".join("\t".join([str(c), f"rs{i}", str(i), *(f"{x[i]:.3f}" for x in ld[name])]) + "\n" for i in at))
+            (tmp_path / f"{name}{c}.l2.ldscore").write_text(
+                "\t".join(["CHR", "SNP", "BP", *columns]) + "\n" + "".join(
+                    "\t".join([str(c), f"rs{i}", str(i), *(f"{x[i]:.3f}" for x in ld[name])]) + "\n" for i in at
+                )
+            )
             (tmp_path / f"{name}{c}.l2.M_5_50").write_text("\t".join(["500"] * len(columns)) + "\n")
             if name == "base.":
                 (tmp_path / f"base.{c}.annot").write_text("CHR\tBP\tSNP\tCM\tone\ttwo\n" + "".join(f"{c}\t{i}\trs{i}\t0\t1\t{i % 2}\n" for i in at))
@@ -348,19 +376,25 @@ def test_result_files(spark, tmp_path):
     (fit, rows), text = commands.run_h2(spark, at("x.txt"), at("base."), at("w."), out, options, True)
     lines = (tmp_path / "o.results").read_text()
     assert lines == writers.overlap_table(rows) and len(lines.splitlines()) == 3 and text.endswith(lines) and text.startswith("Total observed-scale h2")
-    fit, text = commands.run_h2(spark, at("x.txt"), at("base."), at("w."), None, commands.RegressionOptions(n_blocks=20, print_coefficients=True), True)
+    fit, text = commands.run_h2(
+        spark, at("x.txt"), at("base."), at("w."), None, commands.RegressionOptions(n_blocks=20, print_coefficients=True), True
+    )
     cells = [line.split() for line in text.splitlines()]
     assert ["Category", "Prop_h2", "Prop_SNPs", "Enrichment", "Coefficient"] in cells
     assert ["twoL2", f"{fit.prop[1]:.4f}", "0.5000", f"{2 * fit.prop[1]:.4f}", f"{fit.coef[1]:.4e}"] in cells
     (tmp_path / "k.ldcts").write_text(f"liver {at('a.')},{at('b.')}\nbrain {at('b.')}\n")
     for every, names in ((False, ["brain", "liver"]), (True, ["brain", "liver", "liver_1"])):
-        rows, text = commands.run_cell_types(spark, at("x.txt"), at("base."), at("w."), at("k.ldcts"), commands.RegressionOptions(n_blocks=20, print_all_cts=every), out)
+        rows, text = commands.run_cell_types(
+            spark, at("x.txt"), at("base."), at("w."), at("k.ldcts"), commands.RegressionOptions(n_blocks=20, print_all_cts=every), out
+        )
         assert (tmp_path / "o.cell_type_results.txt").read_text() == text and sorted(line.split()[0] for line in text.splitlines()[1:]) == names
         assert [r["p"] for r in rows] == sorted(r["p"] for r in rows)
     (found,), text = commands.run_rg(spark, [at("x.txt"), at("y.txt")], at("w."), at("w."), commands.RegressionOptions(n_blocks=20), True)
     head, row = text.split("Summary of Genetic Correlation Results\n")[1].splitlines()
     assert head.split()[:3] == ["p1", "p2", "rg"] and row.split()[:2] == [at("x.txt"), at("y.txt")]
-    assert row.split()[6:] == [f"{v:.4f}" for v in (found.h2.h2, found.h2.se, found.h2.intercept, found.h2.intercept_se, found.gencov.intercept, found.gencov.intercept_se)]
+    assert row.split()[6:] == [
+        f"{v:.4f}" for v in (found.h2.h2, found.h2.se, found.h2.intercept, found.h2.intercept_se, found.gencov.intercept, found.gencov.intercept_se)
+    ]
 
 
 def test_ld_scores_feed_h2(spark, tmp_path):
@@ -375,13 +409,20 @@ def test_ld_scores_feed_h2(spark, tmp_path):
     assert [r["SNP"] for r in again] == [f"rs{i}" for i in range(60)] and [r["CHR"] for r in again] == ["1"] * 30 + ["2"] * 30
     assert np.allclose([float(r["L2"]) for r in again], [r["L2"] for r in got["scores"].orderBy("bed_idx").collect()], atol=6e-4)
     (tmp_path / "s.txt").write_text("SNP\tZ\tN\n" + "".join(f"rs{i}\t{rng.normal():.4f}\t1000\n" for i in range(50)))
-    h = [commands.run_h2(spark, str(tmp_path / "s.txt"), out, out, None, commands.RegressionOptions(n_blocks=10, m=m), True)[0].h2 for m in (None, 53.0, 50.0)]
+    h = [
+        commands.run_h2(
+            spark, str(tmp_path / "s.txt"), out, out, None, commands.RegressionOptions(n_blocks=10, m=m), True
+        )[0].h2 for m in (None, 53.0, 50.0)
+    ]
     assert h[0] == h[1] != h[2]
     commands.run_l2(spark, path, out, commands.LdOptions(snps=5, print_snps=str(tmp_path / "print.txt")))
     assert gzip.open(tmp_path / "ld2.l2.ldscore.gz", "rt").read() == "CHR\tSNP\tBP\tL2\n" and readers.read_split(spark, out, ".l2.ldscore").count() == 30
     (tmp_path / "v.txt").write_text("".join(f"rs{i} {i / 60}\n" for i in range(60)))
     for quiet in (True, False):
-        commands.run_l2(spark, path, str(tmp_path / "cts"), commands.LdOptions(snps=5, cts_bin=str(tmp_path / "v.txt"), cts_breaks="0.5", cts_names="V", no_print_annot=quiet))
+        commands.run_l2(
+            spark, path, str(tmp_path / "cts"),
+            commands.LdOptions(snps=5, cts_bin=str(tmp_path / "v.txt"), cts_breaks="0.5", cts_names="V", no_print_annot=quiet)
+        )
         assert (tmp_path / "cts.annot.gz").exists() != quiet
     lines = gzip.open(tmp_path / "cts.annot.gz", "rt").read().splitlines()
     assert lines[0] == "CHR\tSNP\tBP\tCM\tV_min_0.5L2\tV_0.5_maxL2" and lines[2] == "1\trs1\t2000\t0.01\t1\t0" and lines[-1].endswith("\t0\t1") and len(lines) == 61
