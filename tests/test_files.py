@@ -97,6 +97,15 @@ def test_table_rules(spark, tmp_path):
         readers.read_table(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")])
 
 
+def test_tables_of_the_same_keys_are_put_side_by_side(spark):
+    left = spark.createDataFrame([("a", 1, 0), ("b", 2, 1), ("a", 3, 2), (None, 4, 3)], "SNP string, x int, _row int")
+    right = spark.createDataFrame([("a", 10, 0), ("b", 20, 1), ("a", 30, 2), (None, 40, 3)], "SNP string, y int, at int")
+    merged = lambda r: sorted((x["x"], x["y"]) for x in frames.merge_aligned(left, r, "SNP", [F.col("_row")], [F.col("at")]).collect())
+    assert merged(right) == [(1, 10), (2, 20), (3, 30), (4, 40)]
+    assert merged(right.where("y < 40")) == merged(right.where("y < 30")) == [(1, 10), (2, 20), (3, 10)]
+    assert merged(right.withColumn("at", 3 - F.col("at"))) == [(1, 30), (2, 20), (3, 30)]
+
+
 def test_files_of_one_name_and_of_many_members(spark, tmp_path):
     for c in (3, 1, 2):
         (tmp_path / f"chr {c}+%41").mkdir()
