@@ -257,6 +257,21 @@ def _met(t: pa.Table) -> pa.Table:
     return _table(out, ANSWER)
 
 
+def _told(t: pa.Table) -> pa.Table:
+    """The fingerprints of heads for the parts that ask for them; of several of one key the smallest."""
+    out: dict[str, list] = {f.name: [] for f in ANSWER}
+    prints: dict[int, str] = {}
+    rows = t.select(["part", "id", "fp"]).to_pylist()
+    for r in rows:
+        if r["fp"] is not None:
+            prints[r["id"]] = min(r["fp"], prints.get(r["id"], r["fp"]))
+    for r in rows:
+        if r["fp"] is None and r["id"] in prints:
+            for name, x in zip(out, (r["part"], None, None, None, r["id"], prints[r["id"]])):
+                out[name].append(x)
+    return _table(out, ANSWER)
+
+
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", target: int = TEXT_PARTITION, least: float = LEAST) -> DataFrame:
     """Fingerprints of each text, of its edited text, their likeness, and an earlier near duplicate; one row for each row.
 
@@ -333,13 +348,8 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
     by_part = rows.groupBy("part")
     answers = by_part.applyInArrow(name, _ddl(NAMED)).groupBy("bucket").applyInArrow(_met, _ddl(ANSWER))
-    asked = cut(by_part.cogroup(answers.groupBy("part")).applyInArrow(ask, _ddl(ASKED)))
-    heads = asked.where("fp is not null").groupBy("id").agg(F.min("fp").alias("fp"))
-    told = asked.where("fp is null").select("part", "id").join(heads, "id")
-    told = told.select(
-        "part", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("heads"),
-        "id", "fp"
-    )
+    asked = by_part.cogroup(answers.groupBy("part")).applyInArrow(ask, _ddl(ASKED))
+    told = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket")).applyInArrow(_told, _ddl(ANSWER))
     return by_part.cogroup(answers.unionByName(told).groupBy("part")).applyInArrow(finish, _ddl(result))
 
 
