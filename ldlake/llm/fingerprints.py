@@ -22,12 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, n_parts
+from .common import cut, n_parts, part_bytes
 from .suffixes import _ddl, _expand, _squeeze, _table
 
 CLASSES, PERIOD, SAMPLES = 64, 1 << 16, 128
 TEXT_PARTITION, MOST_PARTS = 24_000_000, 2_000_000  # bytes of text in a part; parts, whose sixteen bytes each are broadcast
-BUCKET = 50_000  # texts whose bands meet in a bucket, about
+BUCKET = 5_000  # texts whose bands meet in a bucket, about; up to 20 times as many in large tables
 CHUNK = 512  # fingerprints of a bucket that meet those of another chunk in a tile
 LEAST, BANDS, WIDTH = 0.5, 14, 7  # likeness of texts that have nothing in common stays below 0.3
 AT_ONCE, FEW = 1 << 22, 16  # characters that walk together; texts of a batch that are walked one by one
@@ -287,7 +287,8 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     Texts are shuffled once, which the three passes share; a part asks once for each head. Other columns of docs take no part.
     """
     rows, parts = in_parts(docs, key, text, target)
-    buckets = n_parts(docs.count(), BUCKET)
+    n = docs.count()
+    buckets = n_parts(n, part_bytes(4000 * n, BUCKET, 20))
 
     def name(t: pa.Table) -> pa.Table:
         out: dict[str, list] = {f.name: [] for f in NAMED}
