@@ -193,8 +193,8 @@ def band_keys(fp: str, bands: int = BANDS, width: int = WIDTH) -> list[int]:
 
 
 NAMED = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("band", pa.binary()), ("first", pa.binary())])
-ANSWER = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("heads", pa.binary()), ("id", pa.int64()), ("fp", pa.string())])
-ASKED = pa.schema([("part", pa.int32()), ("id", pa.int64()), ("fp", pa.string())])
+ANSWER = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("heads", pa.binary()), ("id", pa.int64()), ("fp", pa.binary())])
+ASKED = pa.schema([("part", pa.int32()), ("id", pa.int64()), ("fp", pa.binary())])
 
 
 class Part:
@@ -260,7 +260,7 @@ def _met(t: pa.Table) -> pa.Table:
 def _told(t: pa.Table) -> pa.Table:
     """The fingerprints of heads for the parts that ask for them; of several of one key the smallest."""
     out: dict[str, list] = {f.name: [] for f in ANSWER}
-    prints: dict[int, str] = {}
+    prints: dict[int, bytes] = {}
     rows = t.select(["part", "id", "fp"]).to_pylist()
     for r in rows:
         if r["fp"] is not None:
@@ -303,7 +303,7 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
         if t.num_rows:
             number, part = t.column("part")[0].as_py(), Part(t, buckets)
             best, heads = part.heads(answers.to_pylist())
-            found = [(number, h, None) for h in sorted(set(best.values()))] + [(number, int(part.first[k]), part.fps[k]) for k in sorted(heads)]
+            found = [(number, h, None) for h in sorted(set(best.values()))] + [(number, int(part.first[k]), bytes.fromhex(part.fps[k])) for k in sorted(heads)]
             for c, x in zip(out, zip(*found)) if found else ():
                 out[c] += x
         return _table(out, ASKED)
@@ -317,7 +317,7 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
         out: dict[str, list] = {f.name: [] for f in result}
         if t.num_rows:
             part, answers = Part(t, buckets), answers.to_pylist()
-            prints_of = {r["id"]: r["fp"] for r in answers if r["fp"] is not None}
+            prints_of = {r["id"]: r["fp"].hex() for r in answers if r["fp"] is not None}
             near: dict[int, tuple] = {}
             for k, h in part.heads(answers)[0].items():
                 like = likeness(part.fps[k], prints_of[h]) if h in prints_of else 0.0
