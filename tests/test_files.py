@@ -120,6 +120,36 @@ def test_files_of_one_name_and_of_many_members(spark, tmp_path):
     assert gzip.open(tmp_path / "y.txt.gz", "rt").read() == text.replace(" ", "\t") and readers.read_table(spark, str(tmp_path / "y.txt.gz")).count() == 200
 
 
+def test_files_of_every_chromosome(spark, tmp_path):
+    for c in (2, 10, 22, 23, 31):
+        (tmp_path / f"x{c}.l2.ldscore").write_text(f"CHR SNP\n{c} rs{c}\n")
+        (tmp_path / f"chr {c}").mkdir()
+        (tmp_path / f"chr {c}" / f"y{c}.ld").write_text(f"CHR SNP\n{c} rs{c}\n")
+    (tmp_path / "x.l2.ldscore").write_text("CHR SNP\n99 all\n")
+    (tmp_path / "x07.l2.ldscore").write_text("CHR SNP\n7 no\n")
+    for prefix, suffix in (("x", ".l2.ldscore"), ("x@", ".l2.ldscore"), ("chr @/y@", ".ld")):
+        at = str(tmp_path / prefix)
+        assert [r["CHR"] for r in readers.read_split(spark, at, suffix).orderBy("_row").collect()] == ["2", "10", "22"]
+        assert [r["CHR"] for r in readers.read_split(spark, at, suffix, every=True).orderBy("_row").collect()] == ["2", "10", "22", "23", "31"]
+    assert readers.present(spark, str(tmp_path / "none" / "x"), ".ld", True) == []
+
+
+def test_query_of_many_chromosomes(spark, tmp_path):
+    """The table has SNPs on chromosomes above 22."""
+    import duckdb
+
+    from ldlake.plans import file_queries, registry  # noqa: F401
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 250")
+    rows.withColumn("vec_id", F.col("vec_id") + 2700).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(registry.ORACLE["l2_files"]).df()
+    got = registry.QUERIES["l2_files"](spark, str(tmp_path)).toPandas()
+    assert want["CHR"].max() > 22 and len(want) == 250
+    assert set(got.itertuples(index=False, name=None)) == set(want[list(got.columns)].itertuples(index=False, name=None))
+
+
 def test_number_format(spark):
     df = spark.createDataFrame([(6702.0,), (0.123456,), (-0.029,), (float("nan"),), (None,)], "x double")
     from ldlake.functions.columns import float_text
