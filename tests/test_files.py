@@ -120,6 +120,48 @@ def test_files_of_one_name_and_of_many_members(spark, tmp_path):
     assert gzip.open(tmp_path / "y.txt.gz", "rt").read() == text.replace(" ", "\t") and readers.read_table(spark, str(tmp_path / "y.txt.gz")).count() == 200
 
 
+def test_gzip_tables_are_shared_by_tasks(spark, tmp_path, monkeypatch):
+    from ldlake.sources import members
+
+    monkeypatch.setattr(members, "RANGE", 600)
+    monkeypatch.setattr(writers, "MEMBER_ROWS", 40)
+    at = str(tmp_path / "x.txt.gz")
+    df = spark.range(1000).select(F.concat(F.lit("rs"), F.xxhash64("id")).alias("SNP"), (F.col("id") / 8).alias("x"), F.col("id").alias("k"))
+    writers.write_table(df, at, [F.col("k")])
+    want = [(r["SNP"], float(r["x"]), r["k"]) for r in df.orderBy("k").collect()]
+    text = gzip.open(at, "rt").read().splitlines()  # any tool reads it
+    assert text[0] == "SNP\tx\tk" and [x.split("\t")[0] for x in text[1:]] == [x[0] for x in want]
+    got = readers.read_table(spark, at)
+    assert got.rdd.getNumPartitions() > 8  # was one task
+    rows = frames.numbered(readers.typed(got), [F.col("_row")], "i").orderBy("i").collect()
+    assert [r["i"] for r in rows] == list(range(1000)) and [r["k"] for r in rows] == [x[2] for x in want] and [r["SNP"] for r in rows] == [x[0] for x in want]
+    assert all(abs(r["x"] - x[1]) < 0.001 for r, x in zip(rows, want))
+    # one member of another tool: a stream, whose lines are dealt out; both kinds in one table keep their order
+    other = str(tmp_path / "y.txt.gz")
+    with gzip.open(other, "wt") as f:
+        f.write("SNP\tx\tk\n" + "".join(f"o{i}\t{i}\t{i}\n\n" for i in range(500)))
+    both = readers.read_table(spark, [other, at])
+    assert "hashpartitioning(_row" in readers.read_table(spark, other)._jdf.queryExecution().toString()
+    assert [r["SNP"] for r in both.orderBy("_row").collect()] == [f"o{i}" for i in range(500)] + [x[0] for x in want]
+
+
+def test_lines_of_members(monkeypatch):
+    import io
+
+    from ldlake.sources import members
+
+    monkeypatch.setattr(members, "_BLOCK", 7)
+    text = [f"{'long ' * (i % 40)}{i}\n" for i in range(300)] + ["no end"]
+    packed = b"".join(gzip.compress("".join(text[a : a + 50]).encode()) for a in range(0, 301, 50))
+    assert b"".join(members._blocks(io.BytesIO(packed), 0, len(packed))).decode() == "".join(text)
+    assert all(x.endswith(b"\n") for x in list(members._blocks(io.BytesIO(packed), 0, len(packed)))[:-1])
+    with pytest.raises(EOFError):
+        list(members._blocks(io.BytesIO(packed[:-9]), 0, len(packed)))
+    plain = gzip.compress(b"x", mtime=0)
+    named = members.header(plain[: members.PLAIN], len(plain)) + plain[members.PLAIN :]
+    assert gzip.decompress(named) == b"x" and members.length(named[: members.LONG]) == len(named) and members.length(plain[: members.LONG]) is None
+
+
 def test_files_of_every_chromosome(spark, tmp_path):
     for c in (2, 10, 22, 23, 31):
         (tmp_path / f"x{c}.l2.ldscore").write_text(f"CHR SNP\n{c} rs{c}\n")
@@ -151,9 +193,9 @@ def test_query_of_many_chromosomes(spark, tmp_path):
 
 
 def test_number_format(spark):
-    df = spark.createDataFrame([(6702.0,), (0.123456,), (-0.029,), (float("nan"),), (None,)], "x double")
     from ldlake.functions.columns import float_text
 
+    df = spark.createDataFrame([(6702.0,), (0.123456,), (-0.029,), (float("nan"),), (None,)], "x double")
     assert [r[0] for r in df.select(float_text(F.col("x"))).collect()] == ["6702.0", "0.123", "-0.029", "", ""]
 
 
