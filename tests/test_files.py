@@ -145,6 +145,20 @@ def test_gzip_tables_are_shared_by_tasks(spark, tmp_path, monkeypatch):
     assert [r["SNP"] for r in both.orderBy("_row").collect()] == [f"o{i}" for i in range(500)] + [x[0] for x in want]
 
 
+def test_sorted_rows_are_kept_by_columns(spark, monkeypatch):
+    from ldlake.plans.views import Views
+
+    df = Views(spark, "/root/testdata/sf0.001").sumstats
+    scan = df.select("SNP", "_row")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<SNP:string,_m:bigint>" in scan  # was all columns of the view, and those of the order
+    table = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    assert frames.ranges_of(table) == 4
+    monkeypatch.setattr(frames, "RANGE_BYTES", 1 << 12)
+    assert frames.in_ranges(table, [F.struct("l_orderkey", "l_linenumber")]).rdd.getNumPartitions() > 8  # was 4 at every size
+    same = frames.numbered(table.select("l_orderkey", F.lit(None).alias("none"), F.col("l_orderkey").alias("L_OrderKey")), [F.col("none")], "i")
+    assert same.count() == table.count() and same.select("i").distinct().count() == same.count()
+
+
 def test_lines_of_members(monkeypatch):
     import io
 
