@@ -159,6 +159,20 @@ def test_sorted_rows_are_kept_by_columns(spark, monkeypatch):
     assert same.count() == table.count() and same.select("i").distinct().count() == same.count()
 
 
+def test_first_rows_are_carried_once(spark):
+    """The first of equal rows of an order is the least of the rest, so it doesn't depend on how rows lie."""
+    rows = [("a", 2, 1.0, "x"), ("a", 1, 2.0, "z"), ("a", 1, 2.0, "y"), (None, 5, None, "n"), (None, 4, None, None), ("b", None, 1.0, "q"), ("b", 0, 1.0, "r")]
+    df = spark.createDataFrame(rows, "k string, at int, x double, t string")
+    want = [(None, 4, None, None), ("a", 1, 2.0, "y"), ("b", None, 1.0, "q")]
+    for order in ([F.col("at")], [F.struct("at")], [F.col("at").cast("long")]):
+        got = frames.first_of(df, ["k"], order)
+        assert got.dtypes == df.dtypes and {tuple(r)[:3] for r in got.collect()} == {r[:3] for r in want}
+    plan = frames.first_of(df, ["k"], [F.col("at")])
+    assert set(map(tuple, plan.collect())) == set(want) and "min_by" not in plan._jdf.queryExecution().toString()
+    assert set(map(tuple, frames.first_of(df, ["k"], [F.col("k"), F.col("at")]).collect())) == set(want)
+    assert frames.first_of(df.withColumn("m", F.create_map("k", "t")).where("k IS NOT NULL"), ["k"], [F.col("at")]).count() == 2
+
+
 def test_lines_of_members(monkeypatch):
     import io
 
