@@ -159,6 +159,19 @@ def test_sorted_rows_are_kept_by_columns(spark, monkeypatch):
     assert same.count() == table.count() and same.select("i").distinct().count() == same.count()
 
 
+def test_large_tables_are_written_in_ranges(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(frames, "RANGE_BYTES", 1 << 12)
+    join = writers._join_parts
+    monkeypatch.setattr(writers, "_join_parts", lambda spark, parts, head, path: (seen.append(len(parts)), join(spark, parts, head, path)))
+    table = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_tax")
+    order = ["l_orderkey", "l_linenumber", "l_tax"]
+    writers.write_table(table, str(tmp_path / "x.gz"), [F.struct(*order)])
+    assert seen[0] > 8  # was one for each shuffle partition at most, at every size
+    want = [f"{r[0]}\t{r[1]}" for r in table.orderBy(*order).collect()]
+    assert [x.rsplit("\t", 1)[0] for x in gzip.open(tmp_path / "x.gz", "rt").read().splitlines()[1:]] == want
+
+
 def test_first_rows_are_carried_once(spark):
     """The first of equal rows of an order is the least of the rest, so it doesn't depend on how rows lie."""
     rows = [("a", 2, 1.0, "x"), ("a", 1, 2.0, "z"), ("a", 1, 2.0, "y"), (None, 5, None, "n"), (None, 4, None, None), ("b", None, 1.0, "q"), ("b", 0, 1.0, "r")]
@@ -223,6 +236,9 @@ def test_query_of_many_chromosomes(spark, tmp_path):
 def test_number_format(spark):
     from ldlake.functions.columns import float_text
 
+    odd = [0.0, -0.0, -0.0004, 0.0005, 1.0005, 0.9996, 1e15, -1e20, float("inf"), 99999999999999.5, 1200.0]
+    want = ["0.0", "-0.0", "-0.0", "0.001", "1.001", "1.0", "1000000000000000.0", "-100000000000000000000.0", "Infinity", "99999999999999.5", "1200.0"]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in odd], "x double").select(float_text(F.col("x"))).collect()] == want
     df = spark.createDataFrame([(6702.0,), (0.123456,), (-0.029,), (float("nan"),), (None,)], "x double")
     assert [r[0] for r in df.select(float_text(F.col("x"))).collect()] == ["6702.0", "0.123", "-0.029", "", ""]
 
