@@ -24,6 +24,7 @@ from .common import utf8
 PAD = 10  # the context before a text: line feeds
 UNIT = 1024
 SEGMENT = 1 << 16
+WINDOW = 1 << 18  # bytes scored at a time, whatever the texts' lengths; a multiple of SEGMENT
 LEAST_ROWS = 50
 MOST_LANGUAGES = 200  # the model, which is sent to all executors, grows with their number
 LETTER = re.compile("[A-Za-z]")
@@ -109,22 +110,32 @@ class ContextTrees:
         self._pack(orders[3][0], lower)
 
     def _pack(self, codes: np.ndarray, cost: np.ndarray) -> None:
-        """Tables for the scan: context of three bytes, byte -> row of fixed-point costs, two languages to a word."""
+        """Tables for the scan: context of three bytes, byte -> row of fixed-point costs, two languages to a word.
+
+        A context is found by its first two bytes, then its third, so the tables hold what was seen, not all that 24 bits can say.
+        """
         ctx = np.unique(np.concatenate([self.three_codes, codes >> 8]))
-        self.context = np.zeros(1 << 24, np.int32)
-        self.context[ctx] = np.arange(1, ctx.size + 1)
-        symbols = np.unique(codes & 255)
+        symbols = np.unique(np.concatenate([ctx & 255, codes & 255]))
         self.symbol = np.zeros(256, np.int32)
         self.symbol[symbols] = np.arange(1, symbols.size + 1)
         self.width = symbols.size + 1
+        pairs = np.unique(ctx >> 8)
+        self.pair = np.zeros(1 << 16, np.int32)
+        self.pair[pairs] = np.arange(1, pairs.size + 1)
+        self.context = np.zeros((pairs.size + 1) * self.width, np.int32)
+        self.context[self._place(ctx)] = np.arange(1, ctx.size + 1)
         self.row = np.zeros((ctx.size + 1) * self.width, np.int32)
-        self.row[self.context[codes >> 8] * self.width + self.symbol[codes & 255]] = np.arange(1, codes.size + 1)
+        self.row[self.context[self._place(codes >> 8)] * self.width + self.symbol[codes & 255]] = np.arange(1, codes.size + 1)
         fixed = np.rint(cost * UNIT).astype(np.uint64)
         if fixed.shape[0] % 2:
             fixed = np.vstack([fixed, np.zeros((1, fixed.shape[1]), np.uint64)])
         words = fixed[0::2] | (fixed[1::2] << np.uint64(32))
         self.words = np.hstack([np.zeros((words.shape[0], 1), np.uint64), words])
 
+    def _place(self, ctx: np.ndarray) -> np.ndarray:
+        """Where the contexts are in ``context``; it has 0 there for those that aren't known."""
+        return self.pair[ctx >> 8] * self.width + self.symbol[ctx & 255]
+
     def _missed(self, code: np.ndarray) -> np.ndarray:
         """Costs (bytes x languages, fixed point) of what no language has seen in its context of three."""
 
@@ -142,25 +153,33 @@ class ContextTrees:
         cost += np.where(known, self.three[:, at], esc(self.esc2, short >> 8) + self.two[:, short & 0xFFFF])
         return np.rint(cost.T * UNIT).astype(np.uint64)
 
-    def code_lengths(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Bits of each text (row) under each language (column)."""
-        nl, n = len(self.langs), off.size - 1
-        out = np.zeros((n, nl), np.int64)
-        if not raw.size:
-            return out / UNIT
-        code = _grams(raw, off)
-        row = self.row[self.context[code >> np.uint32(8)] * self.width + self.symbol[raw]]
+    def _add_window(self, out: np.ndarray, raw: np.ndarray, off: np.ndarray, begin: int, end: int) -> None:
+        """Add the costs of the bytes from begin to end to those of their texts; bytes before them are context only."""
+        nl, back = len(self.langs), min(3, begin)
+        first, last = np.searchsorted(off, begin, side="right") - 1, np.searchsorted(off, end)
+        inside = np.clip(off[first : last + 1], begin - back, end) - (begin - back)
+        code = _grams(raw[begin - back : end], inside)[back:]
+        row = self.row[self.context[self._place(code >> np.uint32(8))] * self.width + self.symbol[raw[begin:end]]]
         # no segment crosses a text or holds so much that half a word could overflow
-        starts = np.unique(np.concatenate([off[:-1][off[:-1] < off[1:]], np.arange(0, raw.size, SEGMENT)]))
+        heads = off[first:last][off[first:last] < off[first + 1 : last + 1]]
+        starts = np.unique(np.concatenate([heads[heads >= begin], np.arange(begin, end, SEGMENT)]))
         owner = np.searchsorted(off, starts, side="right") - 1
         for pair, words in enumerate(self.words):
-            sums = np.add.reduceat(words[row], starts)
+            sums = np.add.reduceat(words[row], starts - begin)
             for lang, part in ((2 * pair, sums & np.uint64(0xFFFFFFFF)), (2 * pair + 1, sums >> np.uint64(32))):
                 if lang < nl:
                     np.add.at(out[:, lang], owner, part.astype(np.int64))
-        missed = np.flatnonzero(row == 0)
-        if missed.size:
-            np.add.at(out, np.searchsorted(off, missed, side="right") - 1, self._missed(code[missed]).astype(np.int64))
+        missed, some = np.flatnonzero(row == 0), max(1, WINDOW // nl)
+        for k in range(0, missed.size, some):
+            at = missed[k : k + some]
+            np.add.at(out, np.searchsorted(off, at + begin, side="right") - 1, self._missed(code[at]).astype(np.int64))
+
+    def code_lengths(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Bits of each text (row) under each language (column)."""
+        nl, n = len(self.langs), off.size - 1
+        out = np.zeros((n, nl), np.int64)
+        for begin in range(0, raw.size, WINDOW):
+            self._add_window(out, raw, off, begin, min(begin + WINDOW, raw.size))
         return out / UNIT
 
 
@@ -186,7 +205,16 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     return langs, got["lang"].map(index).to_numpy(np.int64), got["code"].to_numpy(), got["n"].to_numpy()
 
 
-_built: dict[str, ContextTrees] = {}
+_built: dict[str, ContextTrees | None] = {}
+
+
+def _trees(tag: str, held) -> ContextTrees | None:
+    """The trees of a broadcast model, built once in a worker. A function of the module is sent by name, so its tasks
+    share the dict; one that is sent whole, as those inside of functions are, brings an empty copy of it for each task."""
+    if tag not in _built:
+        _built.clear()
+        _built[tag] = None if held.value is None else ContextTrees(*held.value)
+    return _built[tag]
 
 
 def identify(docs: DataFrame, model: tuple | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -207,16 +235,13 @@ def identify(docs: DataFrame, model: tuple | None, text: str = "text", keep: tup
     schema = ", ".join(f"k{i} {src.schema[i].dataType.simpleString()}" for i in range(len(keep))) + ", lang_pred string, score double"
 
     def score(batches):
-        if held.value is not None and tag not in _built:
-            _built.clear()
-            _built[tag] = ContextTrees(*held.value)
-        trees = _built.get(tag)
+        trees = _trees(tag, held)
         for whole in batches:
             for begin in range(0, whole.num_rows, 512):
                 batch = whole.slice(begin, 512)
                 texts = batch.column(own)
                 raw, off = utf8(texts)
-                said = [bool(t) and bool(LETTER.search(t) or any(map(str.isalpha, t))) for t in texts.to_pylist()]
+                said = [bool(t) and bool(LETTER.search(t) or any(map(str.isalpha, t))) for t in (x.as_py() for x in texts)]
                 if trees is None:
                     pred, prob = ["und"] * len(said), np.zeros(len(said))
                 else:
@@ -229,6 +254,7 @@ def identify(docs: DataFrame, model: tuple | None, text: str = "text", keep: tup
                     [*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(prob)],
                     [*[f"k{i}" for i in range(len(keep))], "lang_pred", "score"]
                 )
+            whole = batch = texts = raw = None  # or they stay while the next batch is read
 
     out = src.mapInArrow(score, schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")

@@ -95,7 +95,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
         words = _words[tokenizer]
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            for doc, row, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for doc, row, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (x.as_py() for x in batch.column(2))):
                 ids = words.ids(body or "") + b"\0\0\0\0"
                 n = len(ids) // 4
                 begin, end, piece = 0, n % size or min(n, size), 0
@@ -107,6 +107,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
                 [pa.array(c, batch.schema.field(0).type if i == 0 else pa.int64()) for i, c in enumerate(out)],
                 ["doc_id", "row", "piece", "start", "length", "ids_crc32"]
             )
+        words.clear()  # they are the task's own, and would stay in the worker until its garbage is collected
 
     src = docs.select(F.col(key).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("text"))
     return src.mapInArrow(pieces, f"doc_id {src.schema[0].dataType.simpleString()}, row long, piece long, start long, length long, ids_crc32 long")

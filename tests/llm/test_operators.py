@@ -5,6 +5,7 @@ import json
 import math
 import random
 import sys
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -423,6 +424,57 @@ def test_code_lengths_are_ppm():
             assert abs(row[k] - sum(cost(k, p[i - 3 : i], p[i]) for i in range(3, len(p)))) < 0.02
 
 
+def grown_trees(texts):
+    lang, code, n = [], [], []
+    for k, text in enumerate(texts):
+        raw = np.frombuffer(text, np.uint8)
+        c, m = np.unique(language._grams(raw, np.array([0, raw.size])), return_counts=True)
+        lang, code, n = [*lang, *[k] * c.size], [*code, *c], [*n, *m]
+    return language.ContextTrees([*map(str, range(len(texts)))], np.array(lang), np.array(code), np.array(n))
+
+
+def test_language_memory_is_bounded():
+    words = [b"the quick brown fox ", "der schnelle größte Fuchs ".encode(), b"el zorro veloz "]
+    tracemalloc.start()
+    try:
+        trees = grown_trees(words)
+        raw = np.frombuffer((words[0] * 5 + words[1] + b"\xfe\x01Q") * 60_000, np.uint8)  # one long text and a short one
+        before = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        got = trees.code_lengths(raw, np.array([0, raw.size - 7, raw.size]))
+        peak = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert got.shape == (2, 3) and got[0].argmin() == 0
+    assert sum(x.nbytes for x in vars(trees).values() if isinstance(x, np.ndarray)) < 8e6  # 67 MB, when contexts were placed by their 24 bits
+    assert raw.size > 7e6 and peak < 40e6  # not a multiple of the text
+
+
+def test_language_trees_are_built_once_in_a_worker():
+    class Held:
+        value = (["a"], np.zeros(1, int), np.array([0x0A0A0A61]), np.ones(1, int))
+
+    import ldlake.llm.language as module
+    from pyspark import cloudpickle
+
+    sent = cloudpickle.loads(cloudpickle.dumps(language._trees))
+    try:
+        assert sent.__globals__ is vars(module) and sent("t", Held) is language._trees("t", Held) and sent("u", Held) and [*language._built] == ["u"]
+    finally:
+        language._built.clear()
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 4, 7, 64])
+def test_code_lengths_by_windows(monkeypatch, window):
+    trees = grown_trees([b"abracadabra banana", b"xyzzy a xylophone", b"\x00\xff\n\n\nab"])
+    docs = [b"", b"abra", b"", b"", b"x", b"xylo banana q\xff\xfe", b"\n\n", b"zyzzy" * 9, b""]
+    raw, off = np.frombuffer(b"".join(docs), np.uint8), np.cumsum([0, *map(len, docs)])
+    want = trees.code_lengths(raw, off)
+    alone = [trees.code_lengths(np.frombuffer(d, np.uint8), np.array([0, len(d)]))[0] for d in docs]
+    monkeypatch.setattr(language, "WINDOW", window)
+    assert (trees.code_lengths(raw, off) == want).all() and (np.array(alone) == want).all()
+
+
 # suffixes
 
 
